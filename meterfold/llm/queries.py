@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meterfold.llm import bpe, token_counts, token_files
+from meterfold.llm import bpe, quality_classifier, quality_rules, token_counts, token_files, toxicity
 from meterfold.llm.common import scratch, table
 
 
@@ -25,8 +25,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_token_files, op4_token_counts)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_quality, op4_token_counts, op8_quality_rules, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces that one slice of a batch may hold; bounds the memory of a step, not what is processed.
-SLICE = 400_000
+SLICE = 200_000
 #: Distinct pieces whose codes a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
