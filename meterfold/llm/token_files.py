@@ -187,7 +187,8 @@ def read(files: DataFrame, folder: str, only: list[int] | None = None) -> DataFr
 
     base = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = files.withColumn("base", F.coalesce(base, F.lit(0))).select("path", "base", "part")
-    return parts.repartition("part").select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    tasks = max(1, min(files.count(), 10_000))
+    return parts.repartition(tasks, "part").select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def with_checksum(docs: DataFrame) -> DataFrame:
