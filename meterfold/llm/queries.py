@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meterfold.llm import bpe, jaccard_join, quality_classifier, quality_rules, token_counts, token_files, toxicity
+from meterfold.llm import bpe, html_text, jaccard_join, quality_classifier, quality_rules, token_counts, token_files, toxicity
 from meterfold.llm.common import scratch, table
 
 
@@ -29,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_quality, op4_token_counts, op7_jaccard_join, op8_quality_rules, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_quality, op4_token_counts, op5_html_text, op7_jaccard_join, op8_quality_rules, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
