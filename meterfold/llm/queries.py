@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meterfold.llm import bpe, html_text, jaccard_join, quality_classifier, quality_rules, token_counts, token_files, toxicity
+from meterfold.llm import bpe, chat, decontamination, html_text, jaccard_join, quality_classifier, quality_rules, token_counts, token_files, toxicity
 from meterfold.llm.common import scratch, table
 
 
@@ -33,6 +34,13 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.read_back(chat.format_chats(turns.unionByName(probe), tokenizers.path("byte_bpe_50k.json")))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -45,8 +53,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_quality, op4_token_counts, op5_html_text, op7_jaccard_join, op8_quality_rules, op9_toxicity)}
+    every = op1_byte_bpe, op2_token_files, op3_quality, op4_token_counts, op5_html_text, op6_chat, op7_jaccard_join, op8_quality_rules, op9_toxicity, op10_leaks
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
