@@ -207,8 +207,8 @@ def decode(encoded: DataFrame, rank_file: str, key: str = "doc_id", ids: str = "
     return lists.mapInArrow(run, f"key {kind}, ids array<int>, decoded binary").toDF(key, ids, "decoded")
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Digests of every document's ids and of the bytes that they decode to."""
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, ids: bool = False) -> DataFrame:
+    """Digests of every document's ids and of the bytes that they decode to; ids: with the ids themselves."""
     both = decode(encode(docs, rank_file, pattern), rank_file)
     joined = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return both.select(
@@ -216,4 +216,5 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["token_ids"] if ids else []),
     )

@@ -167,13 +167,15 @@ def posteriors(docs: DataFrame, p: Params) -> DataFrame:
     return joined.withColumn("posterior", F.col("odds") / (1 + F.col("odds")))
 
 
-def quality(docs: DataFrame, labels: DataFrame, p: Params = Params(), host: str = "source", path: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, p: Params = Params(), host: str = "source", path: str = "lang", key: tuple[DataFrame, str] | None = None) -> DataFrame:
     """Every document's own evidence, host and path rates, posterior and kept (posterior >= p.threshold).
 
     A null host or path is the group ''; repeated rows count as often as they occur and get equal results; a document
-    alone on its host gets the global prior. Other columns aren't carried.
+    alone on its host gets the global prior. Other columns aren't carried. key: docs with a column that tells rows
+    apart better than doc_id, and its name; its values then stand under doc_id.
     """
     ship(docs.sparkSession)
-    own = materialised(evidence(docs, train(docs, labels, p), [host, path]), "evidence")
+    keyed, name = key or (docs, "doc_id")
+    own = materialised(evidence(keyed, train(docs, labels, p), [host, path], name), "evidence")
     out = posteriors(own, p)
     return out.select(F.col("key").alias("doc_id"), F.col("own_p").alias("evidence"), "host_rate", "path_rate", "posterior", (F.col("posterior") >= p.threshold).alias("kept"))
