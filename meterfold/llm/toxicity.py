@@ -26,7 +26,10 @@ BUCKETS = 1 << 18
 
 @dataclass(frozen=True)
 class Params:
-    """positives and unlabelled bound the rows that the model is fitted on; everything else covers all rows."""
+    """positives and unlabelled bound the rows that the model is fitted on; everything else covers all rows.
+
+    The soft threshold is sparsity over the root of the number of positives, as chance slopes are.
+    """
 
     positives: int = 4000
     unlabelled: int = 10_000
@@ -34,7 +37,7 @@ class Params:
     steps: int = 150
     rate: float = 1.0
     momentum: float = 0.9
-    sparsity: float = 3e-3
+    sparsity: float = 0.06
     rarest: float = 0.002
     commonest: float = 0.5
     folds: int = 5
@@ -95,7 +98,7 @@ def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, n
         speed = p.momentum * speed - rate * np.bincount(columns, weights=slope[rows], minlength=size)
         b_speed = p.momentum * b_speed - 0.1 * rate * slope.sum()
         w, b = w + speed, b + b_speed
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * p.sparsity, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * p.sparsity / np.sqrt(n_p), 0)
     weights = np.zeros(BUCKETS)
     weights[np.flatnonzero(used)] = w
     return weights, b
