@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterfold.scratch import materialised, scratch
+
+__all__ = ["dim_join", "is_small", "materialised", "scratch", "ship", "table", "text_or_empty"]
+
 #: Rows up to which a table of a few narrow columns is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Salts of a shuffle join whose many-side may have a hot key.
@@ -27,7 +29,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[1]
     out = Path(tempfile.mkdtemp(prefix="meterfold-")) / "meterfold_ship.zip"
     with zipfile.ZipFile(out, "w") as z:
-        for p in [root / "__init__.py", *sorted((root / "llm").glob("*.py"))]:
+        for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     spark.sparkContext.addPyFile(str(out))
     _shipped.add(app)
@@ -37,22 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name under the shared folder that the cluster names, or under a local one if it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/meterfold-scratch"
-        os.makedirs(base.removeprefix("file://"), exist_ok=True)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def materialised(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage in a way that outlives executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df, cheap to read, has at most so many rows."""
     return df.limit(rows + 1).count() <= rows
