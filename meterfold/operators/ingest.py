@@ -41,8 +41,8 @@ def decode_attribution(rows: DataFrame, header: str = "header", secret: bytes |
         return pd.Series(ok)
 
     standard = F.translate(F.col(header), "-_", "+/")
-    padded = F.concat(F.rtrim(F.lit("="), standard), F.repeat(F.lit("="), F.pmod(-F.length(F.rtrim(F.lit("="), standard)), F.lit(4)).cast("int")))
-    usable = (F.length(header) <= HEADER_CAP) & F.col(header).rlike("^[A-Za-z0-9_=-]+$") & (F.pmod(F.length(F.rtrim(F.lit("="), standard)), F.lit(4)) != 1)
+    padded = F.concat(F.rtrim(standard, F.lit("=")), F.repeat(F.lit("="), F.pmod(-F.length(F.rtrim(standard, F.lit("="))), F.lit(4)).cast("int")))
+    usable = (F.length(header) <= HEADER_CAP) & F.col(header).rlike("^[A-Za-z0-9_=-]+$") & (F.pmod(F.length(F.rtrim(standard, F.lit("="))), F.lit(4)) != 1)
     if secret is not None:
         rows = rows.withColumn("signature_ok", verified(F.col(header), F.col("signature")))
         usable = usable & F.col("signature_ok")
@@ -122,7 +122,7 @@ def normalize_tool_cost(records: DataFrame) -> DataFrame:
         valid = valid & F.length(n).between(1, 64)
     for n in ("units", "cost_usd"):
         c = F.col(n)
-        valid = valid & (c.isNull() | (~F.isnan(c.cast("double")) & (c >= 0) & (c * NANO < F.lit(float(MAX_LONG)))))
+        valid = valid & (c.isNull() | (~F.isnan(c.cast("double")) & (c >= 0) & (c.cast("double") * float(NANO) < F.lit(float(MAX_LONG)))))
     valid = F.coalesce(valid, F.lit(False))
     priced = F.col("cost_usd").isNotNull()
     meta = F.to_json(F.struct(*names, "units", "unit"))

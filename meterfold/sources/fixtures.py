@@ -74,7 +74,7 @@ DIMENSIONS = {
     "super_admins": f"SELECT id AS user_id FROM {_ids(1, 49)} WHERE id % 10 = 0",
     "models": f"SELECT CONCAT('model-', CAST(id - 1 AS TEXT)) AS model_name, s.scope AS scope, CONCAT('Model ', CAST(id - 1 AS TEXT)) AS display_name FROM {_ids(1, 6)} CROSS JOIN (SELECT 'shared' AS scope UNION ALL SELECT 'own' AS scope) AS s WHERE s.scope = 'shared' OR id = 1",
     "prices": f"SELECT CONCAT('model-', CAST(id - 1 AS TEXT)) AS model_name, id * 10 AS input_rate, id * 30 AS output_rate, CASE WHEN id < 5 THEN id * 2 END AS cache_read_rate, CASE WHEN id < 5 THEN id * 12 END AS cache_creation_rate FROM {_ids(1, 5)}",
-    "limits": f"SELECT project_id, project_id <> 4 AS enabled, CASE WHEN project_id <> 3 THEN CAST(40000000000 AS BIGINT) * project_id END AS project_limit_nano, CAST(6000000000 AS BIGINT) AS member_limit_nano, project_id = 5 AS is_personal FROM {PROJECTS}",
+    "limits": f"SELECT project_id, project_id <> 4 AS enabled, CASE WHEN project_id <> 3 THEN n * (900 + 200 * project_id) END AS project_limit_nano, n * 40 AS member_limit_nano, project_id = 5 AS is_personal FROM {PROJECTS} CROSS JOIN (SELECT COUNT(*) AS n FROM orders) AS o",
     "tool_weights": f"SELECT CONCAT('tool_', CAST(id - 1 AS TEXT)) AS tool, CAST(id % 4 AS BIGINT) AS weight FROM {_ids(1, 8)} UNION ALL SELECT 'github:tool_1' AS tool, CAST(5 AS BIGINT) AS weight FROM {_ids(1, 1)}",
     "conversations": f"SELECT CONCAT('00000000-0000-0000-0000-', LPAD(CAST(c_custkey AS TEXT), 12, '0')) AS uuid, CONCAT('chat ', CAST(c_custkey AS TEXT)) AS chat_name, c_custkey % 3 = 0 AS is_private, CAST(c_custkey % 50 AS BIGINT) AS author_id FROM customer WHERE c_custkey % 19 <> 0",
     "feature_labels": "SELECT 'web_search' AS feature, 'Web search' AS label FROM region WHERE r_regionkey = 0",
