@@ -62,5 +62,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+_ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
+OP6_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, COUNT(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(COALESCE(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(SUM(24 + length(replace({_ESCAPED.format("role")}, chr(10), '\\n')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+OP7_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(COALESCE(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM words),
+sizes AS (SELECT doc_id, COUNT(*) AS n FROM grams GROUP BY 1),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, COUNT(*) AS m FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE m / (x.n + y.n - m) >= 0.8),
+reach AS (SELECT DISTINCT u AS node, u AS seen FROM links UNION SELECT reach.node, links.v FROM reach JOIN links ON links.u = reach.seen)
+SELECT d.doc_id, COALESCE(c.class_id, d.doc_id) AS class_id, COALESCE(k.n_links, 0) AS n_links FROM documents d
+LEFT JOIN (SELECT node, MIN(seen) AS class_id FROM reach GROUP BY 1) c ON c.node = d.doc_id
+LEFT JOIN (SELECT u, COUNT(*) AS n_links FROM links GROUP BY 1) k ON k.u = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": OP6_SQL, "op7_jaccard_join": OP7_SQL}
