@@ -321,3 +321,41 @@ def daily_breakdown(s: Store) -> DataFrame:
 _DAYS = f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, model_name, {_SOURCE} AS spend_source, cost_nano_usd FROM {_EV_APP} WHERE {FILTERS['budget'][1]}"
 _PAIRS = " UNION ALL ".join(f"SELECT day, '{k}' AS kind, CONCAT({c}, '=', CAST(CAST(SUM(cost_nano_usd) AS BIGINT) AS VARCHAR)) AS e FROM ({_DAYS}) GROUP BY day, {c}" for k, c in (("model", "model_name"), ("source", "spend_source")))
 add("daily_breakdown", daily_breakdown, f"SELECT day, string_agg(e, ',' ORDER BY e) FILTER (WHERE kind = 'model') AS by_model, string_agg(e, ',' ORDER BY e) FILTER (WHERE kind = 'source') AS by_source FROM ({_PAIRS}) GROUP BY day")
+
+
+for _name, _row, _sql in (
+    ("is_agent_row", P.is_agent_row, "COALESCE(root_entity_type IN ('application', 'pipeline'), FALSE) AND entity_type IS DISTINCT FROM 'evaluation'"),
+    ("is_evaluation_row", P.is_evaluation_row, "entity_type IS NOT DISTINCT FROM 'evaluation'"),
+    ("is_skill_run_row", P.is_skill_run_row, "root_entity_type IS NOT DISTINCT FROM 'skill'"),
+    ("is_run_row", P.is_run_row, "COALESCE(entity_id = root_entity_id AND entity_type = root_entity_type, FALSE)"),
+    ("manual_run", P.manual_run, "trigger_source IS NULL OR trigger_source IN ('chat', 'api', 'mcp')"),
+):
+    add(_name, lambda s, r=_row: s.events.groupBy("event_type", r().alias("flag")).agg(measure("events")), f"SELECT event_type, {_sql} AS flag, COUNT(*) AS events FROM ev GROUP BY 1, 2")
+add("user_label", QUERIES["join_user"], ORACLE["join_user"].removeprefix(with_events("")))
+add("join_conversation", QUERIES["private_chat_name"], ORACLE["private_chat_name"].removeprefix(with_events("")))
+add("join_version", QUERIES["version_label"], ORACLE["version_label"].removeprefix(with_events("")))
+add("bucket", lambda s: s.events.where(FILTERS["model"][0]()).groupBy(C.bucket("week").alias("b")).agg(measure("events")).select(F.col("b").cast("string").alias("start"), C.bucket_end("week", F.col("b")).cast("string").alias("finish"), "events"), f"SELECT CAST(b AS VARCHAR) AS start, CAST(CAST(b + INTERVAL 7 DAY AS DATE) AS VARCHAR) AS finish, events FROM (SELECT CAST(date_trunc('week', ts) AS DATE) AS b, COUNT(*) AS events FROM ev WHERE {FILTERS['model'][1]} GROUP BY 1)")
+add("period_start", lambda s: s.events.groupBy(*[C.bucket(g).cast("string").alias(g) for g in ("day", "week", "month")]).agg(measure("events")), "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week, CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS month, COUNT(*) AS events FROM ev GROUP BY 1, 2, 3")
+add("cost_usd", lambda s: report(s.events, "model", ["model_name"], ["cost_nano"]).select("model_name", C.cost_usd(F.col("cost_nano")).alias("cost_usd")), f"SELECT model_name, round_even(cost_nano / 1e9, 9) AS cost_usd FROM ({report_sql('model', ['model_name'], ['cost_nano'])})")
+plain("skill_project", "skills", ["skill_project"], ["events"])
+
+
+def last_week(s: Store) -> DataFrame:
+    """Model calls a day in the default window, with the newest event as now."""
+    now = s.events.agg(F.max("ts")).first()[0]
+    period = P.date_range(None, None, now)
+    return s.events.where(P.within(period)).groupBy(F.to_date("ts").cast("string").alias("day")).agg(measure("events"))
+
+
+_WEEK = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(*) AS events FROM ev WHERE ts >= (SELECT MAX(ts) FROM ev) - INTERVAL 7 DAY GROUP BY 1"
+add("date_range", last_week, _WEEK)
+
+
+def year_meta(s: Store) -> DataFrame:
+    """The window really used where all events were asked for: it is clamped, and counts those of its last 366 days."""
+    first, last = s.events.agg(F.min("ts"), F.max("ts")).first()
+    period = P.date_range(first, last, last)
+    return s.events.where(P.within(period)).agg(measure("events"), F.lit(period.clamped).alias("clamped"), F.lit(len(period.defaulted)).alias("defaulted"))
+
+
+add("date_range_meta", year_meta, "SELECT COUNT(*) AS events, TRUE AS clamped, 0 AS defaulted FROM ev WHERE ts >= (SELECT MAX(ts) FROM ev) - INTERVAL 366 DAY")

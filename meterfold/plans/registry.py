@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterfold.plans import catalog, jobs  # noqa: F401  jobs adds to the catalogue
+from meterfold.plans import catalog, jobs, streams  # noqa: F401  both add to the catalogue
 from meterfold.sources.store import Store
 
 
