@@ -46,18 +46,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def partner_ranges(starts: np.ndarray, n: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the rows that it is paired with, as [low, high).
+def partner_ranges(starts: np.ndarray, side: np.ndarray, crossed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the rows that it is paired with, as [low, high), in groups sorted by side.
 
-    Within a group sorted by side, a row of side 1 meets each of side 0; a group without side 1 is one block, in which
-    each row meets those before it.
+    Where a group crosses two blocks, a row of side 1 meets each of side 0, which may be none; elsewhere a group is one
+    block, in which each row meets those before it.
     """
-    first = np.repeat(starts, np.diff(np.append(starts, n)))
-    ones = np.add.reduceat(side.astype(np.int64), starts) if len(starts) else np.empty(0, dtype=np.int64)
-    crossed = np.repeat(ones > 0, np.diff(np.append(starts, n)))
-    zeros = np.repeat(np.diff(np.append(starts, n)) - ones, np.diff(np.append(starts, n)))
-    high = np.where(crossed, np.where(side == 1, first + zeros, first), np.arange(n))
-    return first, high
+    n = len(side)
+    sizes = np.diff(np.append(starts, n))
+    first = np.repeat(starts, sizes)
+    zeros = np.repeat(np.add.reduceat((side == 0).astype(np.int64), starts), sizes) if n else first
+    return first, np.where(crossed, np.where(side == 1, first + zeros, first), np.arange(n))
 
 
 def pair_chunks(low: np.ndarray, high: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
