@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import ship, text_or_empty
-from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, spread
+from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, spread, tidy
 
 #: The characters with Unicode's White_Space property, for Java's regular expressions.
 WHITE_SPACE = r"\t-\r\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", t
 
     kind = docs.schema[key].dataType.simpleString()
     pieces = docs.select(F.col(key).alias("key"), pre_tokens(pattern, text).alias("pieces"))
-    return pieces.mapInArrow(run, f"key {kind}, token_ids array<int>").withColumnRenamed("key", key)
+    return pieces.mapInArrow(tidy(run), f"key {kind}, token_ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, rank_file: str, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:
@@ -204,7 +204,7 @@ def decode(encoded: DataFrame, rank_file: str, key: str = "doc_id", ids: str = "
 
     kind = encoded.schema[key].dataType.simpleString()
     lists = encoded.select(F.col(key).alias("key"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))
-    return lists.mapInArrow(run, f"key {kind}, ids array<int>, decoded binary").toDF(key, ids, "decoded")
+    return lists.mapInArrow(tidy(run), f"key {kind}, ids array<int>, decoded binary").toDF(key, ids, "decoded")
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, ids: bool = False) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import ship
+from meterfold.llm.ragged import tidy
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -122,7 +123,7 @@ def format_chats(turns: DataFrame, tokenizer_file: str, trained_role: str = "ass
     empty = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in ("role", "text")]
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *empty)
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInArrow(run, "conv_id long, segment int, n_turns long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss array<boolean>")
+    return rows.mapInArrow(tidy(run), "conv_id long, segment int, n_turns long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss array<boolean>")
 
 
 def read_back(formatted: DataFrame, trained_role: str = "assistant") -> DataFrame:
@@ -169,4 +170,4 @@ def read_back(formatted: DataFrame, trained_role: str = "assistant") -> DataFram
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

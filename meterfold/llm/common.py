@@ -18,11 +18,18 @@ BROADCAST_ROWS = 200_000
 #: Salts of a shuffle join whose many-side may have a hot key.
 SALTS = 16
 
+#: Rows and bytes of one Arrow batch, where the session hasn't got smaller ones: they bound a Python worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark application."""
+    """Send this package to the executors, once for each Spark application, and bound the session's Arrow batches."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        own = spark.conf.get(f"spark.sql.execution.arrow.{name}", str(most + 1)).rstrip("bB")
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

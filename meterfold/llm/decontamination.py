@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import dim_join, materialised, ship, text_or_empty
-from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices
+from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, tidy
 
 #: Units of measure and number words that become placeholders.
 UNITS = frozenset(
@@ -129,7 +129,7 @@ def item_windows(items: DataFrame, p: Params, key: str = "item_id", text: str =
 
     kind = items.schema[key].dataType.simpleString()
     rows = items.select(F.col(key).alias("key"), tokens(text).alias("pieces"))
-    return rows.mapInArrow(run, f"key {kind}, hash long, at long, slots array<string>, width int, n_windows long")
+    return rows.mapInArrow(tidy(run), f"key {kind}, hash long, at long, slots array<string>, width int, n_windows long")
 
 
 def doc_windows(docs: DataFrame, widths: list[int], bits: np.ndarray, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,7 +151,7 @@ def doc_windows(docs: DataFrame, widths: list[int], bits: np.ndarray, p: Params,
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), tokens(text).alias("pieces"))
-    return rows.mapInArrow(run, f"key {kind}, hash long, at long, slots array<string>")
+    return rows.mapInArrow(tidy(run), f"key {kind}, hash long, at long, slots array<string>")
 
 
 def _filter(windows: DataFrame) -> np.ndarray:

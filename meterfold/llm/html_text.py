@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import dim_join, is_small, materialised, ship
+from meterfold.llm.ragged import tidy
 
 #: Fixed values of HTML: elements without content, with raw text, and those that break text into blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -244,7 +245,7 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
             kinds = pa.int64(), pa.string(), pa.int32(), pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
 
-    found = keyed.select("page", "host", "html").mapInArrow(subtrees, "page long, host string, element int, hash long")
+    found = keyed.select("page", "host", "html").mapInArrow(tidy(subtrees), "page long, host string, element int, hash long")
     found = materialised(found, "subtrees")
     counts = found.groupBy("host", "hash", "page").agg(F.count("*").alias("n")).groupBy("host", "hash").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= p.least)
     sites = keyed.groupBy("host", "page").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("of"))
@@ -261,4 +262,4 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
 
     joined = keyed.join(F.broadcast(marks) if is_small(marks) else marks, "page", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "deleted").mapInArrow(texts, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "deleted").mapInArrow(tidy(texts), f"page_id {kind}, url string, text string, n_chars long")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import dim_join, materialised, ship
-from meterfold.llm.ragged import Pieces, Remembered, slices, sums
+from meterfold.llm.ragged import Pieces, Remembered, slices, sums, tidy
 from meterfold.llm.words import BAR, CHARS, DIGITS, FIELDS, LETTERS, SHOUTS, SYMBOL, UPPER, word_codes, words
 
 N_FEATURES = 10
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params, key: str = "doc_id", te
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column("label"), lists], ["label", "x"])
 
-    got = rows.mapInArrow(run, "label int, x array<double>").toArrow()
+    got = rows.mapInArrow(tidy(run), "label int, x array<double>").toArrow()
     y = got["label"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return None
@@ -130,7 +130,7 @@ def evidence(docs: DataFrame, model, keys: list[str], key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), *groups, words(text).alias("pieces"))
     schema = ", ".join([f"key {kind}", *(f"{n} string" for n in names), "own long"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def posteriors(docs: DataFrame, p: Params) -> DataFrame:

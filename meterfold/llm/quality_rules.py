@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import dim_join, materialised, ship, text_or_empty
-from meterfold.llm.ragged import Pieces, Remembered, slices, sums
+from meterfold.llm.ragged import Pieces, Remembered, slices, sums, tidy
 from meterfold.llm.words import CHARS, FIELDS, SYMBOL, repeated_window_words, word_codes, words
 
 METRICS = ("piece_chars", "byte_chars", "fallback", "evenness")
@@ -104,7 +104,7 @@ def measure(docs: DataFrame, piece_model: str, rank_file: str, pattern: str, key
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), lines.alias("lines"), words(text).alias("pieces"))
     rows = rows.select("key", "lang", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "pieces")
     schema = f"key {kind}, lang string, n_dup_lines long, " + ", ".join(f"{x} long" for x in numbers) + ", " + ", ".join(f"{x} double" for x in METRICS)
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
 
 
 def bands(measured: DataFrame, p: Params) -> DataFrame:

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
 #: Pieces that one slice of a batch may hold; bounds the memory of a step, not what is processed.
-SLICE = 200_000
+SLICE = 100_000
 #: Distinct pieces whose codes a worker remembers before it starts afresh.
 REMEMBERED = 200_000
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, which gives memory that it no longer needs back to the system at its end: Spark keeps idle workers for a while."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose list column has about limit elements; a longer single row comes alone."""
     ends = batch.column(column).offsets.to_numpy()[1:] - batch.column(column).offsets[0].as_py()

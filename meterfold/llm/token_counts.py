@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import ship, text_or_empty
-from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, sums
+from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, sums, tidy
 
 #: Fixed value: the mark that stands for a space in SentencePiece vocabularies.
 MARK = 0x2581
@@ -171,5 +171,5 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, key: str =
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.octet_length(text_or_empty(text)).cast("long").alias("n_bytes"), marked_pieces(text).alias("pieces"))
-    counted = rows.mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(tidy(run), f"key {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

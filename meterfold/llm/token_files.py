@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from meterfold.llm.bpe import pre_tokens
 from meterfold.llm.common import ship, text_or_empty
-from meterfold.llm.ragged import Pieces, Remembered, slices
+from meterfold.llm.ragged import Pieces, Remembered, slices, tidy
 
 #: Fixed values of the public zstandard seekable format, and the skippable frame for keys.
 SEEK_MAGIC, SEEKABLE, KEY_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -155,7 +155,7 @@ def write(docs: DataFrame, tokenizer_file: str, pattern: str, folder: str, end_i
         special = special | F.col("text").contains(s)
     pieces = F.when(special, F.array().cast("array<string>")).otherwise(pre_tokens(pattern))
     rows = rows.select("key", F.when(special, F.col("text")).alias("special"), pieces.alias("pieces"))
-    rows.mapInArrow(run, FILE_FIELDS).write.parquet(f"{folder}/_index")
+    rows.mapInArrow(tidy(run), FILE_FIELDS).write.parquet(f"{folder}/_index")
     return spark.read.schema(FILE_FIELDS).parquet(f"{folder}/_index")
 
 
@@ -188,7 +188,7 @@ def read(files: DataFrame, folder: str, only: list[int] | None = None) -> DataFr
     base = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = files.withColumn("base", F.coalesce(base, F.lit(0))).select("path", "base", "part")
     tasks = max(1, min(files.count(), 10_000))
-    return parts.repartition(tasks, "part").select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return parts.repartition(tasks, "part").select("path", "base").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def with_checksum(docs: DataFrame) -> DataFrame:

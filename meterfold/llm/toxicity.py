@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import ship, text_or_empty
-from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, sums
+from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, sums, tidy
 
 BUCKETS = 1 << 18
 
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params, key: str = "doc_id", te
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("positive"), lists], ["positive", "buckets"])
 
-    got = rows.mapInArrow(run, "positive boolean, buckets array<int>").toArrow().combine_chunks()
+    got = rows.mapInArrow(tidy(run), "positive boolean, buckets array<int>").toArrow().combine_chunks()
     sides = []
     for side in (True, False):
         lists = got.filter(pa.compute.equal(got["positive"], side))["buckets"].combine_chunks()
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], p: Params, key: str
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(1 / (1 + np.exp(-z)))], ["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(F.col(key).alias("key"), _words(text).alias("pieces")).mapInArrow(run, f"key {kind}, score double")
+    scored = docs.select(F.col(key).alias("key"), _words(text).alias("pieces")).mapInArrow(tidy(run), f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), held_out(F.col("key"), p.folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
