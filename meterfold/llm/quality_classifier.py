@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params, key: str = "doc_id", te
     own = labels.select(F.col(key), F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull() & F.col("label").isNotNull())
     own = own.groupBy(key).agg(F.min("label").alias("label"))
     chosen = own.orderBy(F.xxhash64(key), F.col(key)).limit(p.sample)
-    rows = docs.join(F.broadcast(chosen), key).select("label", words(text).alias("pieces"))
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).select("label", words(text).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Remembered(word_codes)

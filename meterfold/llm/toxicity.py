@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params, key: str = "doc_id", te
     order = F.xxhash64(key), F.col(key)
     chosen = own.where("label = 1").select(key).orderBy(*order).limit(p.positives).select(key, F.lit(True).alias("positive"))
     others = docs.where(F.col(key).isNotNull() & ~held_out(F.col(key), p.folds)).select(key).distinct().orderBy(*order).limit(p.unlabelled).select(key, F.lit(False).alias("positive"))
-    rows = docs.join(F.broadcast(chosen.unionByName(others)), key).select("positive", _words(text).alias("pieces"))
+    rows = docs.select(key, text).join(F.broadcast(chosen.unionByName(others)), key).select("positive", _words(text).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _hashes(p.beginning)
