@@ -2,8 +2,8 @@
 
 Public vocabularies measure each text: characters per token under two of them, the share of byte-fallback tokens and
 the entropy of the token distribution. What is usual differs by language, so each language gets rejection bands from
-the histograms of all its texts, gathered in one grouped aggregation; a text that lies outside a band goes. Simple rules
-on length and on repeated five-word windows stand before.
+the histograms of its texts that pass the base rules, gathered in one grouped aggregation; a text that lies outside a
+band goes. The base rules, on length and on repeated five-word windows, stand before.
 """
 
 from __future__ import annotations
@@ -26,17 +26,22 @@ METRICS = ("piece_chars", "byte_chars", "fallback", "evenness")
 
 @dataclass(frozen=True)
 class Params:
-    """A band reaches from the median `reach` times as far as the 5 % and 95 % quantiles do, at least `least` bins.
+    """A band reaches from the median `reach` times as far as the quartiles do (`even_reach` for evenness), at least `least`.
 
-    It is wider for short texts, by the root of 1 + slack / tokens. fallback has no lower bound, evenness no upper one.
+    It is wider for short texts, by the root of 1 + slack / tokens, and where few rows tell what is usual, by the root of
+    1 + enough / rows; but it never goes below half the median nor past half of what a share leaves above it, so that
+    every bound can be crossed. fallback has no lower bound, evenness no upper one. Texts have evenness bands by the
+    logarithm of their length where `enough` rows share it, and their language's elsewhere.
     """
 
     min_words: int = 10
     max_repeat_percent: int = 20
-    bins: int = 100
-    reach: float = 4.0
-    least: float = 4.0
+    bins: int = 1000
+    reach: float = 6.0
+    even_reach: float = 3.0
+    least: float = 0.04
     slack: float = 100.0
+    enough: int = 20
 
 
 @lru_cache(maxsize=2)
@@ -108,24 +113,45 @@ def measure(docs: DataFrame, piece_model: str, rank_file: str, pattern: str, key
 
 
 def bands(measured: DataFrame, p: Params) -> DataFrame:
-    """lang, and for each metric the median and the reach below and above it, in bins, from exact histograms of all rows.
+    """lang, and for each metric the median and the reach below and above it, in bins, from exact histograms.
 
-    Characters per token have 20 bins a character; shares and evenness have p.bins. One row a language comes out; the
-    histograms have at most a few hundred bins a language and metric, so that grouping leaves little to sort.
+    Only rows that pass the base rules count, and quartiles hold as long as less than a quarter of them is junk on one
+    side. One row a language comes out; evenness_sizes has the bands of the lengths that enough rows have. The histograms
+    have at most p.bins bins a share and 20 characters' worth of p.bins / 5, so that grouping leaves little to sort.
     """
-    binned = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _bin(m, p).alias("bin")) for m in METRICS])).alias("x")
-    counts = measured.where("n_tokens > 0").select("lang", binned).groupBy("lang", "x.metric", "x.bin").count()
-    key = Window.partitionBy("lang", "metric")
+    every = [F.struct(F.lit(m).alias("metric"), F.lit(-1).alias("size"), _bin(m, p).alias("bin")) for m in METRICS]
+    every.append(F.struct(F.lit("evenness").alias("metric"), _size().alias("size"), _bin("evenness", p).alias("bin")))
+    counts = measured.where((F.col("n_tokens") > 0) & ~_failed(p)).select("lang", F.explode(F.array(*every)).alias("x")).groupBy("lang", "x.metric", "x.size", "x.bin").count()
+    key = Window.partitionBy("lang", "metric", "size")
     ranked = counts.withColumn("upto", F.sum("count").over(key.orderBy("bin"))).withColumn("total", F.sum("count").over(key))
-    quantile = {q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) for q in (0.05, 0.5, 0.95)}
-    wide = ranked.groupBy("lang", "metric").agg(*[x.alias(f"q{round(100 * q)}") for q, x in quantile.items()])
-    reach = [F.greatest(F.lit(p.least), p.reach * d) for d in (F.col("q50") - F.col("q5"), F.col("q95") - F.col("q50"))]
-    wide = wide.select("lang", "metric", F.col("q50").alias("mid"), reach[0].alias("below"), reach[1].alias("above"))
-    return wide.groupBy("lang").agg(*[F.max(F.when(F.col("metric") == m, F.struct("mid", "below", "above"))).alias(f"{m}_band") for m in METRICS])
+    quantile = {q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) for q in (0.25, 0.5, 0.75)}
+    wide = ranked.groupBy("lang", "metric", "size").agg(F.max("total").alias("total"), *[x.alias(f"q{round(100 * q)}") for q, x in quantile.items()])
+    times = F.when(F.col("metric") == "evenness", p.even_reach).otherwise(p.reach)
+    unit = F.when(F.col("metric").endswith("chars"), _per_one("chars", p)).otherwise(_per_one("share", p))
+    few = F.sqrt(1 + p.enough / F.col("total"))
+    reach = [few * F.greatest(unit * p.least, times * d) for d in (F.col("q50") - F.col("q25"), F.col("q75") - F.col("q50"))]
+    wide = wide.where((F.col("size") < 0) | (F.col("total") >= p.enough)).select("lang", "metric", "size", F.struct(F.col("q50").alias("mid"), reach[0].alias("below"), reach[1].alias("above")).alias("band"))
+    whole = [F.max(F.when((F.col("metric") == m) & (F.col("size") < 0), F.col("band"))).alias(f"{m}_band") for m in METRICS]
+    sizes = F.collect_list(F.when(F.col("size") >= 0, F.struct("size", "band")))
+    return wide.groupBy("lang").agg(*whole, F.map_from_entries(sizes).alias("evenness_sizes"))
+
+
+def _per_one(metric: str, p: Params) -> int:
+    """Bins of one character a token, or of a whole share."""
+    return p.bins // 5 if metric.endswith("chars") else p.bins
 
 
 def _bin(metric: str, p: Params) -> Column:
-    return F.least(F.floor(F.col(metric) * (20 if metric.endswith("chars") else p.bins)), F.lit(400)).cast("int")
+    return F.least(F.floor(F.col(metric) * _per_one(metric, p)), F.lit(20 * _per_one("chars", p))).cast("int")
+
+
+def _size() -> Column:
+    """The length of a text as the whole logarithm of its tokens: an entropy's share falls as texts grow."""
+    return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
+
+
+def _failed(p: Params) -> Column:
+    return (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat_percent * F.col("n_words"))
 
 
 def judge(measured: DataFrame, bands: DataFrame, p: Params) -> DataFrame:
@@ -133,14 +159,17 @@ def judge(measured: DataFrame, bands: DataFrame, p: Params) -> DataFrame:
     wider = F.sqrt(1 + p.slack / F.greatest(F.col("n_tokens"), F.lit(1)))
     fertile = F.lit(True)
     for m in METRICS:
-        off, band = _bin(m, p) - F.col(f"{m}_band.mid"), f"{m}_band"
+        band = F.col(f"{m}_band")
+        if m == "evenness":
+            band = F.coalesce(F.try_element_at("evenness_sizes", _size()), band)
+        mid, off = band["mid"], _bin(m, p) - band["mid"]
         if m != "fallback":
-            fertile = fertile & (off >= -wider * F.col(f"{band}.below"))
+            fertile = fertile & (off >= -F.least(wider * band["below"], mid / 2))
         if m != "evenness":
-            fertile = fertile & (off <= wider * F.col(f"{band}.above"))
-    failed = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat_percent * F.col("n_words"))
+            above = wider * band["above"]
+            fertile = fertile & (off <= (above if m.endswith("chars") else F.least(above, (p.bins - mid) / 2)))
     joined = dim_join(measured, bands, ["lang"])
-    joined = joined.withColumn("base_failed", failed).withColumn("fertile", F.coalesce(fertile, F.lit(False)))
+    joined = joined.withColumn("base_failed", _failed(p)).withColumn("fertile", F.coalesce(fertile, F.lit(False)))
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("fertile"))
 
 

@@ -261,6 +261,75 @@ def test_quality_rules(odd, none, docs):
     assert quality_rules.quality_rules(none, *files).count() == 0
 
 
+def de_bruijn(letters, width):
+    """Words of letters in which no window of width letters comes twice."""
+    seen, out = set(), [letters[0]] * (width - 1)
+    while True:
+        last = tuple(out[1 - width :])
+        step = next((x for x in reversed(letters) if (*last, x) not in seen), None)
+        if step is None:
+            return out
+        seen.add((*last, step))
+        out.append(step)
+
+
+def test_quality_bands_reject_junk(spark, docs):
+    """Each band alone has a junk text that passes the base rules and lies outside; ordinary texts stay."""
+    files = MODEL, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
+    plain = docs.where("lang = 'en'").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(3)
+    said = " ".join(r.text or "" for r in plain.limit(20).collect()).split()
+    some = [str(x) for x in rng.choice(said, 300)]
+    junk = {
+        "piece_chars": " ".join("".join(rng.choice(list("qxzjvkw"), 7)) for _ in range(300)),
+        "byte_chars": " ".join(f"{w}{rng.choice(['$$$', '%%%', '***', '&&&'])}" for w in some),
+        "fallback": " ".join(w + "".join(chr(0x10330 + int(k)) for k in rng.integers(0, 20, 2)) for w in some),
+        "evenness": " ".join(de_bruijn(["the", "of", "and", "to"], 5)),
+    }
+    rows = spark.createDataFrame([(-1 - k, t, "en") for k, t in enumerate(junk.values())], "doc_id long, text string, lang string")
+    p = quality_rules.Params()
+    measured = scratched(quality_rules.measure(plain.unionByName(rows), *files))
+    bands = scratched(quality_rules.bands(measured, p))
+    open_band = F.struct(F.lit(0).alias("mid"), F.lit(0.0).alias("below"), F.lit(1e9).alias("above"))
+    for k, name in enumerate(junk):
+        only = bands.withColumns({f"{m}_band": open_band for m in quality_rules.METRICS if m != name})
+        if name != "evenness":
+            only = only.withColumn("evenness_sizes", F.lit(None).cast(bands.schema["evenness_sizes"].dataType))
+        got = {r.doc_id: r for r in quality_rules.judge(measured, only, p).collect()}
+        assert not got[-1 - k].base_failed and not got[-1 - k].fertile, name
+        own = [r.fertile for d, r in got.items() if d >= 0 and not r.base_failed]
+        assert np.mean(own) > 0.85, name
+
+
+def scratched(df):
+    path = scratch(df.sparkSession, "test")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def test_quality_bands_hold_against_a_hot_source(spark):
+    """A fifth of a language is junk of one kind, part of it repeated lines; all of it goes and none of the rest does."""
+    row = "n_words long, n_repeat_words long, n_tokens long, piece_chars double, byte_chars double, fallback double, evenness double"
+    rows = [(k, "en", 300, 0, 600, 2.20 + k % 5 / 50, 2.22 + k % 5 / 50, 0.0, 0.70 + k % 3 / 100) for k in range(800)]
+    rows += [(10_000 + k, "en", 300, 0, 600, 2.02, 1.69, 0.0, 0.68) for k in range(200)]
+    rows += [(20_000 + k, "en", 300, 300, 600, 1.0, 1.0, 0.0, 0.1) for k in range(500)]
+    measured = spark.createDataFrame(rows, f"doc_id long, lang string, {row}")
+    p = quality_rules.Params()
+    got = quality_rules.judge(measured, quality_rules.bands(measured, p), p).collect()
+    assert all(r.kept == (r.doc_id < 10_000) for r in got)
+
+
+def test_quality_even_texts_need_their_own_length(spark):
+    """An evenness that is usual for a long text is not for a short one."""
+    row = "n_words long, n_repeat_words long, n_tokens long, piece_chars double, byte_chars double, fallback double, evenness double"
+    rows = [(10 * n + k, "en", n, 0, n, 2.2, 2.2, 0.0, e) for n, e in ((100, 0.85), (3000, 0.58)) for k in range(9)] * 5
+    rows.append((-1, "en", 100, 0, 100, 2.2, 2.2, 0.0, 0.58))
+    measured = spark.createDataFrame(rows, f"doc_id long, lang string, {row}")
+    p = quality_rules.Params()
+    got = quality_rules.judge(measured, quality_rules.bands(measured, p), p).collect()
+    assert all(r.kept == (r.doc_id >= 0) for r in got)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"w{k}" for k in range(300)]
