@@ -32,7 +32,7 @@ FILTER_BITS = 1 << 24
 
 @dataclass(frozen=True)
 class Params:
-    """A document holds an item if it has coverage of its windows, and consistent of its placeholders' values agree.
+    """A document holds an item if one occurrence has coverage of its windows, and consistent of its values agree there.
 
     An item of fewer tokens than width has a single window of its own length; one of fewer than least isn't looked for.
     A window needs literals tokens that aren't placeholders.
@@ -162,11 +162,39 @@ def _filter(windows: DataFrame) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
+def occurrences(hits: DataFrame, p: Params) -> DataFrame:
+    """The best qualifying occurrence of each doc and item, from hits (doc, item, at, slots, item_at, item_slots, n_windows).
+
+    A hit's shift is at - item_at. Copies of an item stand at shifts that lie its length or more apart, and words put in
+    or left out move a copy's later windows. So shifts fall into buckets as wide as the item, twice, the second time half
+    a bucket further: a copy that moves by up to half its length is whole in one of them, and no bucket holds two whole
+    copies. Where windows recur in the item, the shift with the most hits in the bucket decides.
+    """
+    pair = ["doc", "item"]
+    shifted = hits.withColumn("shift", F.col("at") - F.col("item_at"))
+    able = shifted.groupBy(*pair).agg(F.countDistinct("item_at").alias("n"), F.min("shift").alias("first"), F.max("shift").alias("last"), F.max("n_windows").alias("n_windows"))
+    able = able.where(F.col("n") >= p.coverage * F.col("n_windows")).select(*pair, F.when(F.col("first") == F.col("last"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))).alias("grids"))
+    wide = F.col("n_windows") + (p.width - 1)
+    placed = shifted.join(able, pair).withColumn("grid", F.explode("grids")).withColumn("bucket", F.floor((F.col("shift") + F.col("grid") * F.floor(wide / 2)) / wide))
+    own = [*pair, "grid", "bucket"]
+    support = placed.groupBy(*own, "shift").agg(F.count("*").alias("support"))
+    chosen = placed.join(support, [*own, "shift"]).groupBy(*own, "item_at").agg(F.max_by(F.struct("item_slots", "slots", "n_windows"), F.struct("support", -F.col("shift"))).alias("x")).select(*own, "x.*")
+    covered = chosen.groupBy(*own).agg(F.count("*").alias("matched"), F.max("n_windows").alias("n_windows")).where(F.col("matched") >= p.coverage * F.col("n_windows"))
+    values = chosen.select(*own, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).groupBy(*own, F.col("x.item_slots").alias("was")).agg(F.min("x.slots").alias("low"), F.max("x.slots").alias("high"))
+    one = F.col("low") == F.col("high")
+    slots = values.groupBy(*own).agg(F.count("*").alias("n_slots"), F.sum(one.cast("long")).alias("n_consistent"), F.sum((one & (F.col("low") != F.col("was"))).cast("long")).alias("n_changed"))
+    both = covered.join(slots, own, "left").fillna(0, ["n_slots", "n_consistent", "n_changed"]).where(F.col("n_consistent") >= p.consistent * F.col("n_slots"))
+    verbatim = (F.col("n_changed") == 0) & (F.col("n_consistent") == F.col("n_slots"))
+    order = F.struct(verbatim.alias("verbatim"), "matched", "n_consistent", "n_windows", "n_slots", "n_changed")
+    return both.groupBy(*pair).agg(F.max(order).alias("x")).select(*pair, "x.*")
+
+
 def leaks(docs: DataFrame, items: DataFrame, p: Params = Params(), doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
     """One row for each document and item that it holds: doc_key, item_key, n_windows, matched, n_slots, n_consistent, n_changed, verbatim.
 
-    n_slots counts the distinct values in matched placeholders of the item, n_consistent those that stand for one value
-    in the document throughout, n_changed those of them that differ there. Null texts count as empty and match nothing;
+    Each occurrence of an item in a document is judged apart, and the best one that qualifies is told, a verbatim one
+    first. n_slots counts the distinct values in matched placeholders of the item, n_consistent those that stand for one
+    value in the occurrence throughout, n_changed those of them that differ there. Null texts count as empty and match nothing;
     rows that share an id count as one document or item. Other columns aren't carried.
     """
     ship(docs.sparkSession)
@@ -177,12 +205,5 @@ def leaks(docs: DataFrame, items: DataFrame, p: Params = Params(), doc_key: str
     found = doc_windows(docs, widths, _filter(known), p, doc_key).withColumnRenamed("key", "doc")
     known = known.select("item", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows")
     hits = materialised(dim_join(found, known, ["hash"], "inner"), "hits")
-    covered = hits.groupBy("doc", "item").agg(F.countDistinct("item_at").alias("matched"), F.max("n_windows").alias("n_windows"))
-    pairs = hits.select("doc", "item", F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).groupBy("doc", "item", F.col("x.item_slots").alias("was"))
-    values = pairs.agg(F.min("x.slots").alias("low"), F.max("x.slots").alias("high"))
-    one = F.col("low") == F.col("high")
-    slots = values.groupBy("doc", "item").agg(F.count("*").alias("n_slots"), F.sum(one.cast("long")).alias("n_consistent"), F.sum((one & (F.col("low") != F.col("was"))).cast("long")).alias("n_changed"))
-    both = covered.join(slots, ["doc", "item"], "left").fillna(0, ["n_slots", "n_consistent", "n_changed"])
-    both = both.where((F.col("matched") >= p.coverage * F.col("n_windows")) & (F.col("n_consistent") >= p.consistent * F.col("n_slots")))
-    verbatim = (F.col("n_changed") == 0) & (F.col("n_consistent") == F.col("n_slots"))
-    return both.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "n_windows", "matched", "n_slots", "n_consistent", "n_changed", verbatim.alias("verbatim"))
+    best = occurrences(hits, p)
+    return best.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "n_windows", "matched", "n_slots", "n_consistent", "n_changed", "verbatim")

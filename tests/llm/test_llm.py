@@ -391,6 +391,24 @@ def test_leaks(spark, odd, none):
     assert decontamination.leaks(odd, items).count() == 0
 
 
+def test_leaks_judge_each_occurrence(spark):
+    """A verbatim copy counts beside other questions of its template, and so do several copies with other values."""
+    ask = "If {0} has {1} apples and gives {2} apples to {3}, how many of the apples does {0} keep for the {4} days of her trip?".format
+    item = ask("Maria", 12, 5, "Peter", 3)
+    others = [ask("Olga", 31, 7, "Ivan", 9), ask("Lena", 40, 8, "Karl", 2), ask("Anna", 77, 6, "Paul", 4)]
+    moved = item.replace("gives 5 apples", "gladly gives 5 apples").replace(" does Maria", " then does Maria")
+    twice = "Tom has 31 red apples in the box today. Ann has 45 red apples in the box today. Who has more of them now?"
+    filler = "and then nothing else of note came up here for a while "
+    texts = {1: f"{item} {others[0]}", 2: " ".join(others), 3: " ".join([*others, filler * 3, item, *others]), 4: others[0].replace("Olga keep", "Ivan keep") + " " + others[1].replace("Lena keep", "Karl keep"), 5: f"{filler}{moved} {others[2]}", 6: f"{filler}{twice} {filler}"}
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA)
+    items = spark.createDataFrame([(1, item), (2, twice)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(docs, items, decontamination.Params(consistent=0.9, coverage=0.2)).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 2)}
+    assert [got[k].verbatim for k in sorted(got)] == [True, False, True, True, True]
+    usual = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, items).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (6, 2)} <= usual
+
+
 def test_leaks_are_the_benchmarks_passages(spark, docs, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts, known = {r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in items.collect()}
