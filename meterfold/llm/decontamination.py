@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders. Windows of the templates that result are joined by hash between
 documents and benchmark items; the values that stand in the placeholders must then map consistently from item to
-document, so that a question asked again with other numbers is caught and a chance likeness isn't.
+document, so that a question asked again with other numbers is caught and a chance likeness isn't. Beside the templates
+stands the exact window of each whole item, its lower-cased tokens, whatever its length and however few are literal.
 """
 
 from __future__ import annotations
@@ -24,17 +25,22 @@ UNITS = frozenset(
     "% $ € £ ¥ ° mm cm m km mg g kg t ml cl l s ms min h hr hrs mph kmh kwh w kw v hz mb gb tb inch inches foot feet yard yards mile miles ounce ounces pound pounds gram grams kilogram kilograms tonne tonnes ton tons litre litres liter liters gallon gallons meter meters metre metres centimeter centimeters centimetre centimetres kilometer kilometers kilometre kilometres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit watt watts volt volts".split()
 )
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())
-TOKEN = r"\p{N}+(?:[.,:/]\p{N}+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[%$€£¥°]|[.!?]|\n"
+#: Scripts that write no spaces between words, a token a character: Thai, Lao, Burmese, Khmer, kana, Han, Yi.
+_SPACED = r"[\p{L}\p{M}&&[\x00-\u0DFF\u0F00-\u0FFF\u10A0-\u177F\u1800-\u303F\u3100-\u31EF\u3200-\u33FF\uA4D0-\uF8FF\uFB00-\x{1FFFF}\x{40000}-\x{10FFFF}]]"
+TOKEN = rf"\p{{N}}+(?:[.,:/]\p{{N}}+)*|{_SPACED}+(?:['’]{_SPACED}+)*|\p{{L}}\p{{M}}*|[%$€£¥°]|[.!?]|\n"
 LITERAL, NUMBER, UNIT, NAME, END = range(5)
 #: Bits of the filter of benchmark windows that every task gets: its size is fixed, a fuller one lets more rows pass.
 FILTER_BITS = 1 << 24
+#: An odd number and what it is multiplied with to give 1 modulo 2^64.
+BASE = np.uint64(0xD1342543DE82EF95)
+INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
 
 @dataclass(frozen=True)
 class Params:
     """A document holds an item if one occurrence has coverage of its windows, and consistent of its values agree there.
 
-    An item of fewer tokens than width has a single window of its own length; one of fewer than least isn't looked for.
+    An item of fewer tokens than width has a single window of its own length, one of fewer than least only its exact one.
     A window needs literals tokens that aren't placeholders.
     """
 
@@ -50,45 +56,61 @@ def tokens(text: str = "text") -> Column:
 
 
 def _codes(distinct: list[str]) -> list[bytes]:
-    """Kind and hash of each token; NAME stands for a capital, which is a name only inside a sentence."""
-    out = np.zeros((len(distinct), 2), dtype="<u8")
+    """Kind, hash as a template's token and hash as it stands, lower-cased; a capital is a NAME wherever it stands."""
+    out = np.zeros((len(distinct), 3), dtype="<u8")
     for k, w in enumerate(distinct):
         low = w.lower()
         if w in ".!?\n":
-            out[k] = END, 0
-        elif w[0].isnumeric() or low in NUMBER_WORDS:
-            out[k] = NUMBER, NUMBER
+            out[k] = END, 0, 0
+            continue
+        own = xxhash.xxh3_64_intdigest(low.encode("utf-8"))
+        if w[0].isnumeric() or low in NUMBER_WORDS:
+            out[k] = NUMBER, NUMBER, own
         elif low in UNITS:
-            out[k] = UNIT, UNIT
+            out[k] = UNIT, UNIT, own
+        elif w[0].isupper():
+            out[k] = NAME, NAME, own
         else:
-            out[k] = NAME if w[0].isupper() else LITERAL, xxhash.xxh3_64_intdigest(low.encode("utf-8"))
+            out[k] = LITERAL, own, own
     raw = out.tobytes()
-    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
+    return [raw[k : k + 24] for k in range(0, len(raw), 24)]
 
 
 class Templates:
-    """Canonical tokens of a slice: kinds, hashes, places in pieces, and the rows' offsets."""
+    """Canonical tokens of a slice: kinds, hashes as templates and as they stand, places in pieces, and the rows' offsets."""
 
     def __init__(self, lists: pa.ListArray, code: Remembered):
         self.pieces = Pieces(lists)
         index, at = self.pieces.index, self.pieces.offsets
-        own = np.frombuffer(b"".join(code(self.pieces.distinct)), dtype="<u8").reshape(-1, 2)
-        kind, value = own[index, 0].astype(np.int64), own[index, 1].copy()
-        before = np.ones(len(index), dtype=bool)
-        before[1:] = kind[:-1] == END
-        before[at[:-1][at[:-1] < len(index)]] = True
-        kind[(kind == NAME) & before] = LITERAL
-        value[kind == NAME] = NAME
-        stays = kind != END
-        self.kind, self.value, self.place = kind[stays], value[stays], index[stays]
+        own = np.frombuffer(b"".join(code(self.pieces.distinct)), dtype="<u8").reshape(-1, 3)
+        stays = own[index, 0] != END
+        self.place = index[stays]
+        self.kind, self.value, self.raw = own[self.place, 0].astype(np.int64), own[self.place, 1], own[self.place, 2]
         self.offsets = offsets_of(stays)[at]
+        self.row = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+        n = len(self.raw)
+        with np.errstate(over="ignore"):
+            self.back = np.cumprod(np.full(n, INVERSE))
+            self.upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.raw * np.cumprod(np.full(n, BASE)))])
+
+    def exact(self, start: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of the tokens as they stand in windows of so many tokens: a polynomial modulo 2^64, from running sums."""
+        with np.errstate(over="ignore"):
+            total = (self.upto[start + width] - self.upto[start]) * self.back[start]
+            total = (total ^ (total >> np.uint64(32)) ^ np.uint64(width)) * np.uint64(0x9E3779B97F4A7C15)
+        return total ^ (total >> np.uint64(29))
+
+    def inside(self, width: int) -> np.ndarray:
+        """Starts of all windows of so many tokens that lie in one row."""
+        n = len(self.raw) - width + 1
+        return np.flatnonzero(self.row[:n] == self.row[width - 1 :]) if n > 0 else np.empty(0, dtype=np.int64)
 
     def windows(self, width: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, start and hash of each window of so many tokens with enough literals."""
         n = len(self.kind) - width + 1
         if n <= 0:
             return (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0, dtype=np.uint64),)
-        row = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+        row = self.row
         plain = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
         start = np.flatnonzero((row[:n] == row[width - 1 :]) & (plain[width:] - plain[:n] >= literals))
         total = np.full(len(start), width, dtype=np.uint64)
@@ -103,6 +125,7 @@ class Templates:
 
 
 FIELDS = ["hash", "at", "slots"]
+RESULT = ["n_windows", "matched", "n_slots", "n_consistent", "n_changed", "verbatim"]
 
 
 def _rows(key: pa.Array, templates: Templates, row: np.ndarray, start: np.ndarray, hashes: np.ndarray, width: int, more: list[tuple[str, pa.Array]]) -> pa.RecordBatch:
@@ -132,31 +155,77 @@ def item_windows(items: DataFrame, p: Params, key: str = "item_id", text: str =
     return rows.mapInArrow(tidy(run), f"key {kind}, hash long, at long, slots array<string>, width int, n_windows long")
 
 
-def doc_windows(docs: DataFrame, widths: list[int], bits: np.ndarray, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, hash, at, slots of the windows of every whole text that pass the filter of benchmark windows."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def item_exact(items: DataFrame, p: Params, key: str = "item_id", text: str = "text") -> DataFrame:
+    """key, n tokens, head and hash: the exact window of each item that has a token, and that of its first p.width tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Remembered(_codes)
-        bits = shared.value
+        for batch in batches:
+            for part in slices(batch, "pieces"):
+                templates = Templates(part.column("pieces"), code)
+                size = np.diff(templates.offsets)
+                for n in np.unique(size[size > 0]).tolist():
+                    row = np.flatnonzero(size == n)
+                    start = templates.offsets[row]
+                    head, whole = (templates.exact(start, w).view(np.int64) for w in (min(n, p.width), n))
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(np.full(len(row), n)), pa.array(head), pa.array(whole)], ["key", "n", "head", "hash"])
+
+    kind = items.schema[key].dataType.simpleString()
+    rows = items.select(F.col(key).alias("key"), tokens(text).alias("pieces"))
+    return rows.mapInArrow(tidy(run), f"key {kind}, n long, head long, hash long")
+
+
+def _exact_hits(templates: Templates, lengths: list[int], heads: np.ndarray, wholes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the windows that pass both filters, each once a row: heads are looked for, whole items where one is."""
+    out = []
+    starts = {}
+    for n in lengths:
+        short = min(n, width)
+        if short not in starts:
+            inside = templates.inside(short)
+            starts[short] = inside[_passes(heads, templates.exact(inside, short))]
+        start = starts[short]
+        start = start[start + n <= templates.offsets[templates.row[start] + 1]]
+        found = templates.exact(start, n)
+        own = _passes(wholes, found)
+        out.append(np.stack([templates.row[start[own]].astype(np.uint64), found[own]], axis=1))
+    both = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.uint64)
+    return both[:, 0].astype(np.int64), both[:, 1]
+
+
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
+def doc_windows(docs: DataFrame, widths: list[int], bits: np.ndarray, lengths: list[int], heads: np.ndarray, wholes: np.ndarray, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, hash, at, slots of the windows of every whole text that pass the filters of the benchmark; exact ones have no at."""
+    shared = docs.sparkSession.sparkContext.broadcast((bits, heads, wholes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Remembered(_codes)
+        bits, heads, wholes = shared.value
         for batch in batches:
             for part in slices(batch, "pieces"):
                 templates = Templates(part.column("pieces"), code)
                 for width in widths:
                     row, start, hashes = templates.windows(width, p.literals)
-                    bit = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                    own = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+                    own = _passes(bits, hashes)
                     if own.any():
                         yield _rows(part.column("key"), templates, row[own], start[own], hashes[own], width, [])
+                row, hashes = _exact_hits(templates, lengths, heads, wholes, p.width)
+                if len(row):
+                    none = pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(hashes.view(np.int64)), *none], ["key", *FIELDS])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), tokens(text).alias("pieces"))
     return rows.mapInArrow(tidy(run), f"key {kind}, hash long, at long, slots array<string>")
 
 
-def _filter(windows: DataFrame) -> np.ndarray:
+def _filter(windows: DataFrame, column: str = "hash") -> np.ndarray:
     """A bit for each bucket of benchmark windows: at most FILTER_BITS distinct ones come to the driver."""
-    got = windows.select(F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")).distinct().toArrow()["bit"].to_numpy()
+    got = windows.select(F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")).distinct().toArrow()["bit"].to_numpy()
     flags = np.zeros(FILTER_BITS, dtype=bool)
     flags[got] = True
     return np.packbits(flags, bitorder="little")
@@ -194,16 +263,24 @@ def leaks(docs: DataFrame, items: DataFrame, p: Params = Params(), doc_key: str
 
     Each occurrence of an item in a document is judged apart, and the best one that qualifies is told, a verbatim one
     first. n_slots counts the distinct values in matched placeholders of the item, n_consistent those that stand for one
-    value in the occurrence throughout, n_changed those of them that differ there. Null texts count as empty and match nothing;
+    value in the occurrence throughout, n_changed those of them that differ there. An item that only its exact window finds has
+    this one window. Null texts count as empty and match nothing;
     rows that share an id count as one document or item. Other columns aren't carried.
     """
     ship(docs.sparkSession)
     known = materialised(item_windows(items, p, item_key).withColumnRenamed("key", "item"), "item-windows")
+    whole = materialised(item_exact(items, p, item_key).withColumnRenamed("key", "item"), "items")
     widths = sorted(r.width for r in known.select("width").distinct().collect())
-    if not widths:
-        widths = [p.width]
-    found = doc_windows(docs, widths, _filter(known), p, doc_key).withColumnRenamed("key", "doc")
+    lengths = sorted(r.n for r in whole.select("n").distinct().collect())
+    filters = _filter(known), lengths, _filter(whole, "head"), _filter(whole)
+    found = materialised(doc_windows(docs, widths, *filters, p, doc_key).withColumnRenamed("key", "doc"), "found")
     known = known.select("item", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows")
-    hits = materialised(dim_join(found, known, ["hash"], "inner"), "hits")
+    hits = materialised(dim_join(found.where("at IS NOT NULL"), known, ["hash"], "inner"), "hits")
+    exact = dim_join(found.where("at IS NULL").select("doc", "hash"), whole.select("item", "hash"), ["hash"], "inner").select("doc", "item").distinct()
     best = occurrences(hits, p)
-    return best.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "n_windows", "matched", "n_slots", "n_consistent", "n_changed", "verbatim")
+    one = {"n_windows": F.lit(1), "matched": F.lit(1)}
+    both = best.withColumn("exact", F.lit(False)).unionByName(exact.select("doc", "item", *[one.get(c, F.lit(0)).cast("boolean" if c == "verbatim" else "long").alias(c) for c in RESULT], F.lit(True).alias("exact")))
+    order = F.struct(~F.col("exact"), *RESULT)
+    rows = both.groupBy("doc", "item").agg(F.max_by(F.struct(*RESULT), order).alias("x"), F.max("exact").alias("exact"))
+    rows = rows.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key), "x.*", "exact")
+    return rows.withColumn("verbatim", F.col("verbatim") | F.col("exact")).drop("exact")

@@ -409,6 +409,15 @@ def test_leaks_judge_each_occurrence(spark):
     assert {(1, 1), (2, 1), (3, 1), (6, 2)} <= usual
 
 
+def test_leaks_find_whole_items_of_any_kind(spark):
+    """Verbatim items without a template window, of any length and script, and after words that don't end a sentence."""
+    whole = {1: "WHAT IS THE CAPITAL OF FRANCE", 2: "Compute 48 / 6 + 7", 3: "法国的首都是哪一座城市", 4: "What colour has the sky", 5: "xylograph", 6: "เมืองหลวงของฝรั่งเศสคือ", 7: "Where Do Old Grey Foxes Sleep When Cold Winter Rain Falls Down On Them"}
+    docs = spark.createDataFrame([(k, f"前文 noise, Question: {t} and more") for k, t in whole.items()] + [(30, "城市的首都是哪一座法国 compute 48 / 7 + 6 and what is the capital of spain"), (31, f"这里{whole[3]}呢"), (32, "question: what colour has the sky")], SCHEMA)
+    items = spark.createDataFrame([*whole.items(), (8, "..."), (9, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(docs, items).collect()}
+    assert set(got) == {(k, k) for k in whole} | {(31, 3), (32, 4)} and all(r.verbatim for r in got.values())
+
+
 def test_leaks_are_the_benchmarks_passages(spark, docs, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts, known = {r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in items.collect()}
