@@ -72,12 +72,6 @@ def resolve_project(rows: DataFrame, members: DataFrame, personal: DataFrame) ->
     return joined.withColumn("billed_project", billed).drop("_member", "personal_project")
 
 
-def billable_input(inclusive: Column, given: Column, read: Column, creation: Column) -> Column:
-    """Input tokens to bill: without what the cache served where the count includes it; null stays null."""
-    less = given - F.coalesce(read, F.lit(0)) - F.coalesce(creation, F.lit(0))
-    return F.when(given.isNotNull(), F.greatest(F.lit(0), F.when(inclusive, less).otherwise(given)))
-
-
 def price_events(events: DataFrame, prices: DataFrame) -> DataFrame:
     """Four priced parts and their total in nano-dollars; rates are nano-dollars a token.
 
@@ -172,65 +166,3 @@ def quarantine_events(payloads: DataFrame, schema: str, payload: str = "payload"
         missing = missing | c.isNull()
     reason = F.when(unreadable, "unreadable").when(missing, "incomplete").when(F.length("_row.event_type") > 16, "too long")
     return parsed.withColumn("reason", reason).select(*payloads.columns, "_row.*", "reason")
-
-
-#: How each wire shape is known, where its counts lie, and whether input includes what the cache served.
-SHAPES = [
-    # name, endpoint, body, provider, (input, output, cache read, cache creation, reasoning), inclusive
-    ("ollama.native", r"/api/(chat|generate|embed|embeddings)$", r'"(prompt_eval_count|eval_count)"', None, (["$.prompt_eval_count"], ["$.eval_count"], [], [], []), False),
-    ("azure.chat", r"/openai/deployments/.*completions\?.*api-version", None, None, "chat", True),
-    ("ai_dial.chat", r"(dial.*|/openai/deployments/.*)completions$", None, None, "chat", True),
-    ("openai.responses", r"/(responses|images/generations|edits|variations)$", r'"(input_tokens_details|output_tokens_details)"', None, (["$.usage.input_tokens", "$.response.usage.input_tokens"], ["$.usage.output_tokens", "$.response.usage.output_tokens"], ["$.usage.input_tokens_details.cached_tokens", "$.response.usage.input_tokens_details.cached_tokens"], [], ["$.usage.output_tokens_details.reasoning_tokens", "$.response.usage.output_tokens_details.reasoning_tokens"]), True),
-    ("openai.embeddings", r"/embeddings$", None, None, (["$.usage.prompt_tokens", "$.usage.total_tokens"], [], [], [], []), True),
-    ("openai.chat", r"/(chat/)?completions$", r'"prompt_tokens"', None, "chat", True),
-    ("anthropic.messages", r"/messages$", r'"(cache_read_input_tokens|message_start)"', None, "messages", False),
-    ("bedrock.converse", r"/converse(-stream)?$", None, None, (["$.usage.inputTokens", "$.metadata.usage.inputTokens"], ["$.usage.outputTokens", "$.metadata.usage.outputTokens"], ["$.usage.cacheReadInputTokens", "$.metadata.usage.cacheReadInputTokens"], ["$.usage.cacheWriteInputTokens", "$.metadata.usage.cacheWriteInputTokens"], []), False),
-    ("bedrock.invoke", r"/invoke(-with-response-stream)?$", None, None, (["$['amazon-bedrock-invocationMetrics'].inputTokenCount", "$.usage.input_tokens", "$.message.usage.input_tokens"], ["$['amazon-bedrock-invocationMetrics'].outputTokenCount", "$.usage.output_tokens"], ["$['amazon-bedrock-invocationMetrics'].cacheReadInputTokenCount", "$.usage.cache_read_input_tokens"], ["$['amazon-bedrock-invocationMetrics'].cacheWriteInputTokenCount", "$.usage.cache_creation_input_tokens"], []), False),
-    ("google.generate_content", r":(streamG|g)enerateContent", r'"usageMetadata"', None, (["$.usageMetadata.promptTokenCount"], ["$.usageMetadata.candidatesTokenCount"], ["$.usageMetadata.cachedContentTokenCount"], [], ["$.usageMetadata.thoughtsTokenCount"]), True),
-    ("wam.chat", None, None, "wam", "chat", True),
-]
-PATHS = {
-    "chat": (["$.usage.prompt_tokens"], ["$.usage.completion_tokens"], ["$.usage.prompt_tokens_details.cached_tokens"], ["$.usage.prompt_tokens_details.cache_creation_tokens"], ["$.usage.completion_tokens_details.reasoning_tokens"]),
-    "messages": (["$.usage.input_tokens", "$.message.usage.input_tokens"], ["$.usage.output_tokens", "$.message.usage.output_tokens"], ["$.usage.cache_read_input_tokens", "$.message.usage.cache_read_input_tokens"], ["$.usage.cache_creation_input_tokens", "$.message.usage.cache_creation_input_tokens"], []),
-}
-COUNTS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "reasoning_tokens")
-
-
-def dialect_of(endpoint: Column, body: Column, provider: Column) -> Column:
-    """The wire shape of a call: by provider, then by endpoint, then by the first 8192 characters of the body."""
-    rules = [F.when(provider == p, n) for n, _, _, p, _, _ in SHAPES if p]
-    rules += [F.when(endpoint.rlike(e), n) for n, e, _, _, _, _ in SHAPES if e]
-    rules += [F.when(F.substring(body, 1, 8192).rlike(b), n) for n, _, b, _, _, _ in SHAPES if b]
-    return F.coalesce(*rules)
-
-
-def parse_bodies(bodies: DataFrame) -> DataFrame:
-    """One usage reading a call from its deframed events: call_id, dialect, model_name, counts, billable input, token_source.
-
-    bodies: call_id, seq, endpoint, provider, payload (a JSON object). Across a call's events the first input count, the
-    last output count, and the first count other than 0 of the others hold. Counts must be whole and not negative.
-    """
-    call = bodies.groupBy("call_id").agg(F.first("endpoint", True).alias("_endpoint"), F.first("provider", True).alias("_provider"), F.min_by("payload", "seq").alias("_body"))
-    call = call.select("call_id", dialect_of(F.col("_endpoint"), F.col("_body"), F.col("_provider")).alias("dialect"), F.regexp_extract(F.coalesce("_endpoint", F.lit("")), r"/model/([^/]+)/", 1).alias("_path_model"))
-    rows = bodies.join(call, "call_id")
-    raw = F.get_json_object("payload", "$.bytes")
-    rows = rows.withColumn("payload", F.when((F.col("dialect") == "bedrock.invoke") & raw.isNotNull(), F.decode(F.unbase64(raw), "UTF-8")).otherwise(F.col("payload")))
-    for k, count in enumerate(COUNTS):
-        value = None
-        for n, _, _, _, paths, _ in SHAPES:
-            own = (PATHS[paths] if isinstance(paths, str) else paths)[k]
-            found = F.coalesce(*[F.get_json_object("payload", p) for p in own]) if own else F.lit(None).cast("string")
-            value = F.when(F.col("dialect") == n, found) if value is None else value.when(F.col("dialect") == n, found)
-        rows = rows.withColumn(count, F.when(value.rlike("^[0-9]{1,18}$"), value.cast("long")))
-    google = F.col("dialect") == "google.generate_content"
-    rows = rows.withColumn("output_tokens", F.when(google & F.col("output_tokens").isNotNull(), F.col("output_tokens") + F.coalesce("reasoning_tokens", F.lit(0))).otherwise(F.col("output_tokens")))
-    model = F.coalesce(*[F.get_json_object("payload", p) for p in ("$.model", "$.message.model", "$.response.model", "$.modelVersion")])
-    rows = rows.withColumn("_model", model)
-    first = lambda n: F.min_by(n, F.when(F.col(n).isNotNull(), F.col("seq")))
-    last = lambda n: F.max_by(n, F.when(F.col(n).isNotNull(), F.col("seq")))
-    nonzero = lambda n: F.coalesce(F.min_by(n, F.when(F.col(n) != 0, F.col("seq"))), F.lit(0))
-    out = rows.groupBy("call_id", "dialect").agg(first("input_tokens").alias("input_tokens"), last("output_tokens").alias("output_tokens"), *[nonzero(n).alias(n) for n in COUNTS[2:]], F.coalesce(first("_model"), F.nullif(F.first("_path_model"), F.lit(""))).alias("model_name"))
-    out = out.withColumn("output_tokens", F.when(F.col("dialect") == "openai.embeddings", F.coalesce("output_tokens", F.lit(0))).otherwise(F.col("output_tokens")))
-    inclusive = F.col("dialect").isin(*[n for n, _, _, _, _, i in SHAPES if i])
-    source = F.when(F.col("input_tokens").isNull() | F.col("output_tokens").isNull(), "unparsed").otherwise("provider")
-    return out.withColumn("billable_input_tokens", billable_input(inclusive, F.col("input_tokens"), F.col("cache_read_tokens"), F.col("cache_creation_tokens"))).withColumn("token_source", source)

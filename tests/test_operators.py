@@ -9,6 +9,7 @@ from meterfold.functions import columns as C
 from meterfold.functions.predicates import date_range
 from meterfold.operators import complexity as X
 from meterfold.operators import ingest as I
+from meterfold.operators.wire import parse_bodies
 from meterfold.operators.page import collapse_tail, page
 from meterfold.schema import EVENT, conform_events
 from meterfold.sources.events import drop_months, expired_months, read_events, write_events
@@ -73,7 +74,7 @@ def test_wire_known_answers(spark):
         ("e", 0, "https://x/v1/embeddings", None, '{"model":"e","usage":{"total_tokens":7}}'),
         ("u", 0, "https://x/v1/chat/completions", None, '{"usage":{"prompt_tokens":-1}}'),
     ]
-    got = {r.call_id: r for r in I.parse_bodies(spark.createDataFrame(rows, "call_id string, seq long, endpoint string, provider string, payload string")).collect()}
+    got = {r.call_id: r for r in parse_bodies(spark.createDataFrame(rows, "call_id string, seq long, endpoint string, provider string, payload string")).collect()}
     assert (got["a"].input_tokens, got["a"].output_tokens, got["a"].cache_read_tokens, got["a"].cache_creation_tokens, got["a"].billable_input_tokens) == (12, 45, 8000, 3200, 12)
     assert (got["g"].output_tokens, got["g"].billable_input_tokens, got["g"].dialect) == (31, 904, "google.generate_content")
     assert (got["e"].input_tokens, got["e"].output_tokens, got["e"].token_source) == (7, 0, "provider")
