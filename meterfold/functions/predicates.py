@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Event types, actors and trigger sources as they are recorded.
+#: Event types and trigger sources as they are recorded.
 AGENT_TYPES = ("application", "pipeline")
 MANUAL_SOURCES = ("chat", "api", "mcp")
 AUTOMATION_SOURCES = ("scheduled", "webhook", "schedule_manual")
-SYSTEM_EMAIL, SYSTEM_EMAIL_LIKE = "system@centry.user", "system_user_%@centry.user"
+#: Patterns of the addresses of service accounts, where a caller names no others; their domain is a deployment's own.
+SERVICE_EMAILS = ("system@service.invalid", "system_user_%@service.invalid")
 CHAT_LIKE = "________-____-____-____-____________"
 DEFAULT_DAYS, MAX_DAYS = 7, 366
 
@@ -50,13 +51,16 @@ def since(start: datetime.datetime, end: datetime.datetime) -> Column:
     return months & (F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))
 
 
-def human() -> Column:
-    email = F.col("user_email")
-    return (F.col("user_id") != 0) & (email.isNull() | ((email != SYSTEM_EMAIL) & ~email.like(SYSTEM_EMAIL_LIKE)))
+def human(services: tuple[str, ...] = SERVICE_EMAILS) -> Column:
+    """Events of people: neither of actor 0 nor of an address that one of the patterns fits; an unknown address counts as a person's."""
+    email, service = F.col("user_email"), F.lit(False)
+    for pattern in services:
+        service = service | email.like(pattern)
+    return (F.col("user_id") != 0) & (email.isNull() | ~service)
 
 
-def base_filters(project: int, p: Period, types: tuple[str, ...] = ("llm", "tool")) -> Column:
-    return (F.col("project_id") == project) & F.col("event_type").isin(*types) & within(p) & human()
+def base_filters(project: int, p: Period, types: tuple[str, ...] = ("llm", "tool"), services: tuple[str, ...] = SERVICE_EMAILS) -> Column:
+    return (F.col("project_id") == project) & F.col("event_type").isin(*types) & within(p) & human(services)
 
 
 def model_call_filters(project: int, p: Period) -> Column:

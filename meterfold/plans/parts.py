@@ -16,7 +16,7 @@ PERIOD = P.Period(datetime.datetime(1996, 3, 1), datetime.datetime(1996, 12, 31,
 MONTH, NEXT_MONTH = datetime.datetime(1996, 6, 1), datetime.datetime(1996, 7, 1)
 
 _SPAN = f"ts BETWEEN TIMESTAMP '{PERIOD.start}' AND TIMESTAMP '{PERIOD.end}'"
-_HUMAN = "user_id <> 0 AND (user_email IS NULL OR (user_email <> 'system@centry.user' AND user_email NOT LIKE 'system_user_%@centry.user'))"
+_HUMAN = "user_id <> 0 AND (user_email IS NULL OR (user_email <> 'system@service.invalid' AND user_email NOT LIKE 'system_user_%@service.invalid'))"
 _AGENT_ROW = "(COALESCE(root_entity_type IN ('application', 'pipeline'), FALSE) AND entity_type IS DISTINCT FROM 'evaluation')"
 _MANUAL = "(trigger_source IS NULL OR trigger_source IN ('chat', 'api', 'mcp'))"
 _RUN_ROW = "COALESCE(entity_id = root_entity_id AND entity_type = root_entity_type, FALSE)"

@@ -13,7 +13,7 @@ SELECT CONCAT('k-', CAST(ok AS TEXT), '-', CAST(ln AS TEXT)) AS idempotency_key,
   od + ln * INTERVAL '1' MINUTE AS ts,
   CAST(nk % 5 + 1 AS BIGINT) AS project_id,
   CAST(ck % 50 AS BIGINT) AS user_id,
-  CASE WHEN ck % 50 = 0 OR ck % 7 = 0 THEN NULL WHEN ck % 50 = 49 THEN 'system_user_1@centry.user'
+  CASE WHEN ck % 50 = 0 OR ck % 7 = 0 THEN NULL WHEN ck % 50 = 49 THEN 'system_user_1@service.invalid'
        ELSE CONCAT('user', CAST(ck % 50 AS TEXT), '@example.com') END AS user_email,
   CASE WHEN ok % 97 = 0 THEN NULL ELSE CONCAT('run-', CAST(ok AS TEXT)) END AS run_id,
   CASE WHEN ok % 4 = 3 THEN NULL WHEN ok % 4 = 2 THEN CONCAT('stream-', CAST(ok AS TEXT))
