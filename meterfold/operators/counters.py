@@ -55,17 +55,46 @@ def reconcile_history(history: DataFrame, run: DataFrame, keep: int = 168) -> Da
 
 
 def budget_breach(events: DataFrame, limits: DataFrame) -> DataFrame:
-    """The first call, per project, at which the month's running spend passes the limit.
+    """The first call at which a month's running spend passes the limit, for each project (user 0) and each member.
 
-    A running sum within (project, month) is a sort on that key: months bound the rows of a task, and spend before a
-    day is carried in from daily sums, so that a hot project is spread over its days.
+    limits: project_id, project_limit_nano, member_limit_nano; null is no limit.
     """
-    own = events.where((F.col("event_type") == "llm") & counted()).select("project_id", F.trunc("ts", "MM").alias("period_start"), F.to_date("ts").alias("day"), "ts", "idempotency_key", zero("cost_nano_usd").alias("cost"))
-    days = own.groupBy("project_id", "period_start", "day").agg(F.sum("cost").alias("day_cost"))
-    earlier = Window.partitionBy("project_id", "period_start").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("before", F.coalesce(F.sum("day_cost").over(earlier), F.lit(0)))
-    reached = days.join(limits.where("project_limit_nano IS NOT NULL"), "project_id").where("before <= project_limit_nano AND before + day_cost > project_limit_nano")
-    inside = Window.partitionBy("project_id", "day").orderBy("ts", "idempotency_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = own.join(reached.select("project_id", "period_start", "day", "before", "project_limit_nano"), ["project_id", "period_start", "day"])
-    running = running.withColumn("running_nano", F.col("before") + F.sum("cost").over(inside)).where("running_nano > project_limit_nano")
-    return running.groupBy("project_id", "period_start").agg(F.min(F.struct("running_nano", "idempotency_key")).alias("x"), F.min("day").alias("day")).select("project_id", "period_start", "day", F.col("x.running_nano").alias("running_nano"), F.col("x.idempotency_key").alias("idempotency_key"))
+    calls = events.where((F.col("event_type") == "llm") & counted())
+    owners = F.when(F.col("user_id") != 0, F.array(F.lit(0).cast("long"), "user_id")).otherwise(F.array(F.lit(0).cast("long")))
+    own = calls.select("project_id", F.explode(owners).alias("user_id"), F.trunc("ts", "MM").alias("period_start"), F.to_date("ts").alias("day"), "ts", "idempotency_key", zero("cost_nano_usd").alias("cost"))
+    limit = F.when(F.col("user_id") == 0, F.col("project_limit_nano")).otherwise(F.col("member_limit_nano"))
+    key = ["project_id", "user_id", "period_start"]
+    days = day_sums(own, key).join(limits.select("project_id", "project_limit_nano", "member_limit_nano"), "project_id").withColumn("limit_nano", limit)
+    reached = days.where("before <= limit_nano AND before + day_cost > limit_nano").select(*key, "day", "before", "limit_nano")
+    running = within_days(own.join(reached, [*key, "day"]), key).where("running_nano > limit_nano")
+    first = running.groupBy(*key).agg(F.min(F.struct("running_nano", "idempotency_key")).alias("x"), F.min("day").alias("day"))
+    return first.select(*key, "day", F.col("x.running_nano").alias("running_nano"), F.col("x.idempotency_key").alias("idempotency_key"))
+
+
+def day_sums(own: DataFrame, key: list[str]) -> DataFrame:
+    """cost by key and day, and before: what the earlier days of the key cost."""
+    days = own.groupBy(*key, "day").agg(F.sum("cost").alias("day_cost"))
+    earlier = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return days.withColumn("before", F.coalesce(F.sum("day_cost").over(earlier), F.lit(0)))
+
+
+def within_days(own: DataFrame, key: list[str]) -> DataFrame:
+    """own with running_nano: before and what the day has cost up to a row.
+
+    A window holds a day of a key, so that a hot key is spread over its days.
+    """
+    inside = Window.partitionBy(*key, "day").orderBy("ts", "idempotency_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return own.withColumn("running_nano", F.col("before") + F.sum("cost").over(inside))
+
+
+def running_spend(events: DataFrame) -> DataFrame:
+    """The month's spend of each project after each of its calls."""
+    calls = events.where((F.col("event_type") == "llm") & counted())
+    own = calls.select("project_id", F.trunc("ts", "MM").alias("period_start"), F.to_date("ts").alias("day"), "ts", "idempotency_key", zero("cost_nano_usd").alias("cost"))
+    key = ["project_id", "period_start"]
+    return within_days(own.join(day_sums(own, key).drop("day_cost"), [*key, "day"]), key).select(*key, "idempotency_key", "running_nano")
+
+
+def write_counters(counters: DataFrame, path: str) -> None:
+    """Counters on disk by their period, of which spend queries read one."""
+    counters.write.partitionBy("period_start").parquet(path)

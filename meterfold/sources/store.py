@@ -1,9 +1,10 @@
-"""The event table of a data folder, built once a session through the ingest path and read by every report."""
+"""The event table of a data folder and its spend counters, built once a session through the ingest path and read by every report."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterfold.operators.counters import KEYS, VALUES, build_counters, write_counters
 from meterfold.operators.ingest import dedupe_events
 from meterfold.scratch import scratch
 from meterfold.sources import fixtures
@@ -27,6 +28,17 @@ class Store:
             _built[key] = path
         return read_events(self.spark, _built[key])
 
+    @property
+    def counters(self) -> DataFrame:
+        """The stored spend counters, by period."""
+        key = self.spark.sparkContext.applicationId, f"{self.sf_dir}#counters"
+        if key not in _built:
+            path = scratch(self.spark, "counters")
+            write_counters(build_counters(self.events), path)
+            _built[key] = path
+        rows = self.spark.read.schema("project_id long, user_id long, period_kind string, model_name string, input_tokens long, output_tokens long, cost_nano_usd long, call_count long, period_start date").parquet(_built[key])
+        return rows.select(*KEYS, *VALUES)
+
     @property
     def raw(self) -> DataFrame:
         return fixtures.raw_events(self.spark, self.sf_dir)
