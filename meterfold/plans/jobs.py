@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterfold.functions import columns as C
@@ -12,6 +12,7 @@ from meterfold.operators import complexity as X
 from meterfold.operators import counters as K
 from meterfold.operators import ingest as I
 from meterfold.operators.budget import best_warnings, budget_door, budget_state, scope_rows
+from meterfold.operators.wire import billable_input, parse_bodies
 from meterfold.plans.catalog import add
 from meterfold.plans.parts import MONTH, PROJECT
 from meterfold.schema import conform_events
@@ -29,11 +30,10 @@ add("conform_events", lambda s: conform_events(s.raw).groupBy("event_type").agg(
 def run_ids(s: Store) -> DataFrame:
     """Orders' numbers as run ids in several spellings, and some that aren't any."""
     h = F.md5(F.col("run_id"))
-    n = F.pmod(F.xxhash64("run_id"), F.lit(1))
     own = s.events.where("run_id IS NOT NULL").select("run_id").distinct()
     kind = F.pmod(F.regexp_extract("run_id", r"(\d+)$", 1).cast("long"), F.lit(4))
     raw = F.when(kind == 0, F.upper(h)).when(kind == 1, F.concat(F.lit("urn:uuid:"), h)).when(kind == 2, F.concat(F.lit("{"), h, F.lit("}"))).otherwise(F.col("run_id"))
-    return own.select("run_id", I.canonical_run_id(raw).alias("canonical")).where(n == 0)
+    return own.select("run_id", I.canonical_run_id(raw).alias("canonical"))
 
 
 _H = "md5(run_id)"
@@ -52,7 +52,7 @@ add("decode_attribution", attributions, f"SELECT idempotency_key, concat({_H}[1:
 
 
 def resolved(s: Store) -> DataFrame:
-    calls = s.events.select("idempotency_key", "user_id", F.when(F.col("user_id") == 49, "system_user_4@centry.user").alias("user_name"), "project_id").withColumnRenamed("project_id", "header_project")
+    calls = s.events.select("idempotency_key", "user_id", F.when(F.col("user_id") == 49, "system_user_4@service.invalid").alias("user_name"), "project_id").withColumnRenamed("project_id", "header_project")
     personal = s.users.where("user_id % 2 = 0").select("user_id", (F.col("user_id") + 100).alias("personal_project"))
     return I.resolve_project(calls, s.members, personal).select("idempotency_key", "billed_project")
 
@@ -60,25 +60,63 @@ def resolved(s: Store) -> DataFrame:
 add("resolve_project", resolved, "SELECT e.idempotency_key, CASE WHEN m.user_id IS NOT NULL THEN e.project_id WHEN e.user_id = 49 THEN CAST(4 AS BIGINT) WHEN e.user_id % 2 = 0 AND u.user_id IS NOT NULL THEN e.user_id + 100 END AS billed_project FROM ev e LEFT JOIN (SELECT DISTINCT project_id, user_id FROM members) m ON m.project_id = e.project_id AND m.user_id = e.user_id LEFT JOIN users u ON u.user_id = e.user_id")
 
 
+#: What each of the derived bodies is, by the number of its order: a wire shape, or one that only its body tells.
+BODIES = ["openai.chat", "azure.chat", "ai_dial.chat", "wam.chat", "openai.responses", "openai.embeddings", "anthropic.messages", "bedrock.converse", "bedrock.invoke", "google.generate_content", "ollama.native", "openai.chat", "anthropic.messages", "bedrock.invoke"]
+ENDPOINTS = ["https://x/v1/chat/completions", "https://x/openai/deployments/d/chat/completions?api-version=1", "https://x/openai/deployments/d/chat/completions", "https://x/v1/chat/completions", "https://x/v1/responses", "https://x/v1/embeddings", "https://x/v1/messages", "https://x/model/{m}/converse-stream", "https://x/model/{m}/invoke", "https://x/v1/models/m:streamGenerateContent", "https://x/api/chat", "https://x/proxy", "https://x/proxy", "https://x/model/{m}/invoke-with-response-stream"]
+
+
 def bodies(s: Store) -> DataFrame:
-    """Two streamed events a model call, in the shapes of three dialects."""
-    own = s.events.where("event_type = 'llm'").select("idempotency_key", "model_name", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
-    kind = F.pmod(F.regexp_extract("idempotency_key", r"k-(\d+)", 1).cast("long"), F.lit(3))
+    """Two streamed events a model call, in all wire shapes by turns; the counts come late, early or twice as each shape has them."""
+    names = {"m": "model_name", "i": "input_tokens", "o": "output_tokens", "r": "cache_read_tokens", "c": "cache_creation_tokens"}
+    own = s.events.where("event_type = 'llm'").select("idempotency_key", *names.values())
+    kind = F.pmod(F.regexp_extract("idempotency_key", r"k-(\d+)", 1).cast("long"), F.lit(len(BODIES)))
+
+    def text(template: str) -> Column:
+        return F.format_string(template.replace("%", "%%").replace("<m>", "%1$s").replace("<i>", "%2$d").replace("<o>", "%3$d").replace("<r>", "%4$d").replace("<c>", "%5$d"), *names.values())
+
+    chat = '{"model":"<m>","usage":{"prompt_tokens":<i>,"completion_tokens":<o>,"prompt_tokens_details":{"cached_tokens":<r>,"cache_creation_tokens":<c>},"completion_tokens_details":{"reasoning_tokens":3}}}'
+    messages = '{"type":"message_start","message":{"model":"<m>","usage":{"input_tokens":<i>,"cache_read_input_tokens":<r>,"cache_creation_input_tokens":<c>,"output_tokens":1}}}', '{"usage":{"output_tokens":<o>}}'
+    invoke = '{"amazon-bedrock-invocationMetrics":{"inputTokenCount":<i>,"outputTokenCount":<o>,"cacheReadInputTokenCount":<r>,"cacheWriteInputTokenCount":<c>}}'
+    google = '{"modelVersion":"<m>","usageMetadata":{"promptTokenCount":<i>,"candidatesTokenCount":<o>,"thoughtsTokenCount":2,"cachedContentTokenCount":<r>}}'
+    later = '{"choices":[]}', chat
+    pairs = {
+        "openai.responses": ('{"type":"response.created","response":{"model":"<m>"}}', '{"response":{"usage":{"input_tokens":<i>,"output_tokens":<o>,"input_tokens_details":{"cached_tokens":<r>},"output_tokens_details":{"reasoning_tokens":4}}}}'),
+        "openai.embeddings": ('{"model":"<m>","usage":{"total_tokens":<i>}}', "{}"),
+        "anthropic.messages": messages,
+        "bedrock.converse": ('{"contentBlockDelta":{}}', '{"metadata":{"usage":{"inputTokens":<i>,"outputTokens":<o>,"cacheReadInputTokens":<r>,"cacheWriteInputTokens":<c>}}}'),
+        "bedrock.invoke": ("{broken", invoke),
+        "google.generate_content": (google, google),
+        "ollama.native": ('{"model":"<m>","done":false}', '{"model":"<m>","done":true,"prompt_eval_count":<i>,"eval_count":<o>}'),
+    }
+
+    def payload(seq: int) -> Column:
+        out = None
+        for k, name in enumerate(BODIES):
+            value = text(pairs.get(name, later)[seq])
+            if k == 11:
+                value = text(chat) if seq == 0 else F.lit("{}")
+            if k == 13:  # packed in base64, as that stream has it
+                value = F.to_json(F.struct(F.base64(F.encode(value, "UTF-8")).alias("bytes")))
+            out = F.when(F.col("kind") == k, value) if out is None else out.when(F.col("kind") == k, value)
+        return out
+
     own = own.withColumn("kind", kind)
-    chat = F.to_json(F.struct("model_name", F.struct(F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("completion_tokens"), F.struct(F.col("cache_read_tokens").alias("cached_tokens")).alias("prompt_tokens_details")).alias("usage")))
-    start = F.to_json(F.struct(F.struct(F.col("model_name").alias("model"), F.struct("input_tokens", F.col("cache_read_tokens").alias("cache_read_input_tokens"), F.col("cache_creation_tokens").alias("cache_creation_input_tokens"), F.lit(1).alias("output_tokens")).alias("usage")).alias("message")))
-    delta = F.to_json(F.struct(F.struct("output_tokens").alias("usage")))
-    google = F.to_json(F.struct(F.col("model_name").alias("modelVersion"), F.struct(F.col("input_tokens").alias("promptTokenCount"), F.col("output_tokens").alias("candidatesTokenCount"), F.lit(2).alias("thoughtsTokenCount"), F.col("cache_read_tokens").alias("cachedContentTokenCount")).alias("usageMetadata")))
-    first = F.when(F.col("kind") == 0, '{"choices":[]}').when(F.col("kind") == 1, start).otherwise(google)
-    second = F.when(F.col("kind") == 0, F.regexp_replace(chat, '"model_name"', '"model"')).when(F.col("kind") == 1, delta).otherwise(google)
-    endpoint = F.when(F.col("kind") == 0, "https://x/v1/chat/completions").when(F.col("kind") == 1, "https://x/v1/messages").otherwise("https://x/v1/models/m:streamGenerateContent")
-    events = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("seq"), v.alias("payload")) for k, v in ((0, first), (1, second))]))
-    return own.select(F.col("idempotency_key").alias("call_id"), endpoint.alias("endpoint"), F.lit(None).cast("string").alias("provider"), events.alias("x")).select("call_id", "endpoint", "provider", "x.seq", "x.payload")
-
-
-_KIND = "CAST(regexp_extract(idempotency_key, 'k-(\\d+)', 1) AS BIGINT) % 3"
-add("parse_bodies", lambda s: I.parse_bodies(bodies(s)), f"SELECT idempotency_key AS call_id, CASE {_KIND} WHEN 0 THEN 'openai.chat' WHEN 1 THEN 'anthropic.messages' ELSE 'google.generate_content' END AS dialect, model_name, input_tokens, CASE {_KIND} WHEN 2 THEN output_tokens + 2 ELSE output_tokens END AS output_tokens, cache_read_tokens, CASE {_KIND} WHEN 1 THEN cache_creation_tokens ELSE 0 END AS cache_creation_tokens, CAST(CASE {_KIND} WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS reasoning_tokens, CASE {_KIND} WHEN 1 THEN input_tokens ELSE GREATEST(0, input_tokens - cache_read_tokens) END AS billable_input_tokens, 'provider' AS token_source FROM ev WHERE event_type = 'llm'")
-add("billable_input", lambda s: s.events.select("idempotency_key", I.billable_input(F.col("project_id") % 2 == 0, F.col("input_tokens"), F.col("cache_read_tokens") * 3, F.col("cache_creation_tokens")).alias("billable")), "SELECT idempotency_key, GREATEST(0, CASE WHEN project_id % 2 = 0 THEN input_tokens - 3 * cache_read_tokens - cache_creation_tokens ELSE input_tokens END) AS billable FROM ev")
+    endpoint = F.element_at(F.array(*[F.concat_ws("", *[F.col("model_name") if part == "{m}" else F.lit(part) for part in e.partition("{m}")]) if "{m}" in e else F.lit(e) for e in ENDPOINTS]), (F.col("kind") + 1).cast("int"))
+    events = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("seq"), payload(k).alias("payload")) for k in (0, 1)]))
+    return own.select(F.col("idempotency_key").alias("call_id"), endpoint.alias("endpoint"), F.when(F.col("kind") == 3, "wam").alias("provider"), events.alias("x")).select("call_id", "endpoint", "provider", "x.seq", "x.payload")
+
+
+_KIND = f"CAST(regexp_extract(idempotency_key, 'k-(\\d+)', 1) AS BIGINT) % {len(BODIES)}"
+_NAMES = "[" + ", ".join(f"'{n}'" for n in BODIES) + "]"
+add("parse_bodies", lambda s: parse_bodies(bodies(s)), f"""SELECT call_id, dialect, model_name, input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens, reasoning_tokens,
+  CASE WHEN chat OR dialect IN ('openai.responses', 'google.generate_content') THEN GREATEST(0, input_tokens - cache_read_tokens - cache_creation_tokens) ELSE input_tokens END AS billable_input_tokens, 'provider' AS token_source
+FROM (SELECT idempotency_key AS call_id, dialect, dialect LIKE '%.chat' AS chat, model_name, input_tokens,
+  CASE dialect WHEN 'google.generate_content' THEN output_tokens + 2 WHEN 'openai.embeddings' THEN 0 ELSE output_tokens END AS output_tokens,
+  CASE WHEN dialect IN ('openai.embeddings', 'ollama.native') THEN 0 ELSE cache_read_tokens END AS cache_read_tokens,
+  CASE WHEN dialect IN ('openai.embeddings', 'ollama.native', 'openai.responses', 'google.generate_content') THEN 0 ELSE cache_creation_tokens END AS cache_creation_tokens,
+  CAST(CASE WHEN dialect = 'google.generate_content' THEN 2 WHEN dialect = 'openai.responses' THEN 4 WHEN dialect LIKE '%.chat' THEN 3 ELSE 0 END AS BIGINT) AS reasoning_tokens
+  FROM (SELECT *, ({_NAMES})[1 + {_KIND}] AS dialect FROM ev WHERE event_type = 'llm'))""")
+add("billable_input", lambda s: s.events.select("idempotency_key", billable_input(F.col("project_id") % 2 == 0, F.col("input_tokens"), F.col("cache_read_tokens") * 3, F.col("cache_creation_tokens")).alias("billable")), "SELECT idempotency_key, GREATEST(0, CASE WHEN project_id % 2 = 0 THEN input_tokens - 3 * cache_read_tokens - cache_creation_tokens ELSE input_tokens END) AS billable FROM ev")
 PRICED = ["cost_nano_usd", "input_cost_nano_usd", "output_cost_nano_usd", "cache_read_cost_nano_usd", "cache_creation_cost_nano_usd"]
 _P = {"input_cost_nano_usd": "COALESCE(billable_input_tokens * input_rate, 0)", "output_cost_nano_usd": "COALESCE(output_tokens * output_rate, 0)", "cache_read_cost_nano_usd": "COALESCE(cache_read_tokens * COALESCE(cache_read_rate, input_rate), 0)", "cache_creation_cost_nano_usd": "COALESCE(cache_creation_tokens * COALESCE(cache_creation_rate, input_rate), 0)"}
 for _name in ("price_events", "join_price"):
@@ -106,14 +144,13 @@ def quarantined(s: Store) -> DataFrame:
     return I.quarantine_events(rows, "idempotency_key string, ts timestamp, project_id long, event_type string, _corrupt string").select("k", "reason")
 
 
-for _name in ("quarantine_events", "stream_quarantine"):
-    add(_name, quarantined, "SELECT idempotency_key AS k, CASE WHEN duration_ms % 7 = 0 THEN 'unreadable' WHEN duration_ms % 11 = 0 THEN 'incomplete' WHEN duration_ms % 13 = 0 THEN 'too long' END AS reason FROM ev")
+add("quarantine_events", quarantined, "SELECT idempotency_key AS k, CASE WHEN duration_ms % 7 = 0 THEN 'unreadable' WHEN duration_ms % 11 = 0 THEN 'incomplete' WHEN duration_ms % 13 = 0 THEN 'too long' END AS reason FROM ev")
 add("expire_partitions", lambda s: expired_months(s.events, TODAY, 90).select(F.col("event_month").cast("string").alias("event_month")), "SELECT DISTINCT CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS event_month FROM ev WHERE date_trunc('month', ts) + INTERVAL 1 MONTH <= DATE '1997-01-01' - INTERVAL 90 DAY")
 add("write_events", lambda s: s.events.groupBy(F.col("event_month").cast("string").alias("event_month")).agg(F.count("*").alias("n")), "SELECT CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS event_month, COUNT(*) AS n FROM ev GROUP BY 1")
 
 # --- counters
 _CALLS = "SELECT project_id, user_id, CAST(date_trunc('month', ts) AS DATE) AS m, '' AS model_name, billable_input_tokens AS i, output_tokens AS o, cost_nano_usd AS c FROM ev WHERE event_type = 'llm' AND budget_exempt IS NOT TRUE UNION ALL SELECT project_id, user_id, CAST(date_trunc('month', ts) AS DATE), json_extract_string(meta, '$.feature'), 0, 0, cost_nano_usd FROM ev WHERE event_type = 'tool_cost' AND budget_exempt IS NOT TRUE"
-_COUNTERS = f"SELECT project_id, u AS user_id, 'month' AS period_kind, CAST(m AS VARCHAR) AS period_start, model_name, CAST(SUM(i) AS BIGINT) AS input_tokens, CAST(SUM(o) AS BIGINT) AS output_tokens, CAST(SUM(c) AS BIGINT) AS cost_nano_usd, COUNT(*) AS call_count FROM (SELECT *, 0 AS u FROM ({_CALLS}) UNION ALL SELECT *, user_id FROM ({_CALLS}) WHERE user_id <> 0) GROUP BY ALL"
+COUNTERS = _COUNTERS = f"SELECT project_id, u AS user_id, 'month' AS period_kind, CAST(m AS VARCHAR) AS period_start, model_name, CAST(SUM(i) AS BIGINT) AS input_tokens, CAST(SUM(o) AS BIGINT) AS output_tokens, CAST(SUM(c) AS BIGINT) AS cost_nano_usd, COUNT(*) AS call_count FROM (SELECT *, 0 AS u FROM ({_CALLS}) UNION ALL SELECT *, user_id FROM ({_CALLS}) WHERE user_id <> 0) GROUP BY ALL"
 
 
 def counters(s: Store) -> DataFrame:
@@ -125,8 +162,7 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 add("build_counters", lambda s: shown(counters(s)), _COUNTERS)
-add("stream_counters", lambda s: shown(counters(s)), _COUNTERS)
-add("fact_totals", lambda s: shown(counters(s).where((F.col("period_start") == F.lit(M)) & (F.col("model_name") == ""))), f"SELECT * FROM ({_COUNTERS}) WHERE period_start = '{M}' AND model_name = ''")
+add("fact_totals", lambda s: shown(K.build_counters(s.events.where(F.col("event_month") == F.lit(M))).where(F.col("model_name") == "")), f"SELECT * FROM ({_COUNTERS}) WHERE period_start = '{M}' AND model_name = ''")
 
 
 def stale_counters(s: Store) -> DataFrame:
@@ -157,7 +193,8 @@ _MINE = f"FROM ({_COUNTERS}) WHERE project_id = {PROJECT} AND period_start = '{M
 
 
 def month_counters(s: Store) -> DataFrame:
-    return counters(s).where((F.col("period_start") == F.lit(M)))
+    """The month's counters, from its part of the stored table."""
+    return s.counters.where(F.col("period_start") == F.lit(M))
 
 
 def spend(rows: DataFrame) -> DataFrame:
@@ -171,12 +208,12 @@ add("projects_spend", lambda s: s.limits.select("project_id").unionByName(s.limi
 add("users_spend", lambda s: s.users.select("user_id").join(month_counters(s).where(f"project_id = {PROJECT} AND user_id <> 0 AND model_name = ''").select("user_id", "cost_nano_usd"), "user_id", "left").fillna(0), f"SELECT u.user_id, COALESCE(c.cost_nano_usd, 0) AS cost_nano_usd FROM users u LEFT JOIN (SELECT * {_MINE} AND model_name = '') c ON c.user_id = u.user_id")
 add("member_spend", lambda s: month_counters(s).where(f"project_id = {PROJECT} AND model_name = ''").select(F.when(F.col("user_id") == 0, "project").otherwise("member").alias("kind"), "user_id", "cost_nano_usd", "call_count"), f"SELECT CASE WHEN user_id = 0 THEN 'project' ELSE 'member' END AS kind, user_id, cost_nano_usd, call_count {_MINE} AND model_name = ''")
 add("feature_spend", lambda s: month_counters(s).where(f"project_id = {PROJECT} AND model_name = 'web_search'").agg(F.sum(F.when(F.col("user_id") == 0, F.col("cost_nano_usd"))).alias("project_nano"), F.sum(F.when(F.col("user_id") == 7, F.col("cost_nano_usd"))).alias("member_nano"), F.sum(F.when(F.col("user_id") == 0, F.col("call_count"))).alias("calls")), f"SELECT CAST(SUM(cost_nano_usd) FILTER (WHERE user_id = 0) AS BIGINT) AS project_nano, CAST(SUM(cost_nano_usd) FILTER (WHERE user_id = 7) AS BIGINT) AS member_nano, CAST(SUM(call_count) FILTER (WHERE user_id = 0) AS BIGINT) AS calls {_MINE} AND model_name = 'web_search'")
-add("available_periods", lambda s: counters(s).where(f"project_id = {PROJECT}").select(F.date_format("period_start", "yyyyMM").alias("period")).unionByName(s.spark.range(1).select(F.lit("200112").alias("period"))).distinct().orderBy(F.col("period").desc()).limit(24), f"SELECT period FROM (SELECT strftime(CAST(period_start AS DATE), '%Y%m') AS period FROM ({_COUNTERS}) WHERE project_id = {PROJECT} UNION SELECT '200112') ORDER BY 1 DESC LIMIT 24")
+add("available_periods", lambda s: s.counters.where(f"project_id = {PROJECT}").select(F.date_format("period_start", "yyyyMM").alias("period")).unionByName(s.spark.range(1).select(F.lit("200112").alias("period"))).distinct().orderBy(F.col("period").desc()).limit(24), f"SELECT period FROM (SELECT strftime(CAST(period_start AS DATE), '%Y%m') AS period FROM ({_COUNTERS}) WHERE project_id = {PROJECT} UNION SELECT '200112') ORDER BY 1 DESC LIMIT 24")
 
 
 def monthly_history(s: Store) -> DataFrame:
     months = s.spark.range(1).select(F.explode(F.sequence(F.add_months(F.lit(TODAY), -12), F.add_months(F.lit(TODAY), -1), F.expr("INTERVAL 1 MONTH"))).alias("period_start"))
-    own = counters(s).where(f"project_id = {PROJECT} AND user_id = 0 AND model_name = ''").select("period_start", "cost_nano_usd", "call_count")
+    own = s.counters.where(f"project_id = {PROJECT} AND user_id = 0 AND model_name = ''").select("period_start", "cost_nano_usd", "call_count")
     return shown(months.join(own, "period_start", "left").fillna(0))
 
 
@@ -206,15 +243,17 @@ def feature_limits(s: Store) -> DataFrame:
 
 add("feature_warnings", lambda s: best_warnings(scope_rows(month_counters(s), feature_limits(s), "web_search"), s.members), _WARN.format(scopes=_FEATURE))
 add("budget_door", lambda s: budget_door(all_scopes(s), s.members), f"SELECT m.project_id, m.user_id AS member_id, CASE WHEN MAX(CASE WHEN scope = 'project' AND spent_nano >= limit_nano THEN 1 ELSE 0 END) = 1 THEN 'project' WHEN MAX(CASE WHEN scope = 'member' AND spent_nano >= limit_nano THEN 1 ELSE 0 END) = 1 THEN 'member' END AS closed_by FROM (SELECT DISTINCT project_id, user_id FROM members) m LEFT JOIN (SELECT * FROM ({_SCOPES}) WHERE enabled) x ON x.project_id = m.project_id AND (x.user_id = 0 OR x.user_id = m.user_id) GROUP BY 1, 2")
-_RUNNING = "SELECT project_id, CAST(date_trunc('month', ts) AS DATE) AS p, ts, idempotency_key, SUM(cost_nano_usd) OVER (PARTITION BY project_id, date_trunc('month', ts) ORDER BY ts, idempotency_key ROWS UNBOUNDED PRECEDING) AS running FROM ev WHERE event_type = 'llm' AND budget_exempt IS NOT TRUE"
+_SPENT = "SELECT project_id, {user} AS user_id, CAST(date_trunc('month', ts) AS DATE) AS p, ts, idempotency_key, SUM(cost_nano_usd) OVER (PARTITION BY project_id, {user}, date_trunc('month', ts) ORDER BY ts, idempotency_key ROWS UNBOUNDED PRECEDING) AS running FROM ev WHERE event_type = 'llm' AND budget_exempt IS NOT TRUE"
+_RUNNING = _SPENT.format(user="CAST(0 AS BIGINT)")
+_MEMBERS = _SPENT.format(user="user_id") + " AND user_id <> 0"
 
 
 def breaches(s: Store) -> DataFrame:
-    tight = s.limits.withColumn("project_limit_nano", F.floor(F.col("project_limit_nano") / 3))
-    return K.budget_breach(s.events, tight).select("project_id", F.col("period_start").cast("string").alias("period_start"), "running_nano")
+    tight = s.limits.withColumn("project_limit_nano", F.floor(F.col("project_limit_nano") / 3)).withColumn("member_limit_nano", F.floor(F.col("member_limit_nano") / 3))
+    return K.budget_breach(s.events, tight).select("project_id", "user_id", F.col("period_start").cast("string").alias("period_start"), "running_nano")
 
 
-add("budget_breach", breaches, f"SELECT r.project_id, CAST(p AS VARCHAR) AS period_start, CAST(MIN(running) AS BIGINT) AS running_nano FROM ({_RUNNING}) r JOIN limits l ON l.project_id = r.project_id WHERE running > l.project_limit_nano // 3 GROUP BY 1, 2")
+add("budget_breach", breaches, f"SELECT r.project_id, r.user_id, CAST(p AS VARCHAR) AS period_start, CAST(MIN(running) AS BIGINT) AS running_nano FROM ({_RUNNING} UNION ALL {_MEMBERS}) r JOIN limits l ON l.project_id = r.project_id WHERE running > CASE WHEN r.user_id = 0 THEN l.project_limit_nano ELSE l.member_limit_nano END // 3 GROUP BY 1, 2, 3")
 
 # --- complexity
 START, END = datetime.datetime(1996, 3, 1), datetime.datetime(1996, 12, 31)
@@ -243,7 +282,7 @@ def scored(s: Store) -> DataFrame:
 
 _SCORED = f"SELECT *, cu_context + cu_llm + cu_tools AS cu_total, first_ts AS ts FROM (SELECT r.*, LEAST(peak_input_tokens / 1000.0, 30.0)::DOUBLE AS cu_context, CAST(llm_calls AS DOUBLE) AS cu_llm, CAST(COALESCE(w.n, 0) AS DOUBLE) AS cu_tools FROM ({_AGG}) r LEFT JOIN (SELECT project_id, run_id, SUM(weight * calls) AS n FROM ({_WEIGHTED}) GROUP BY 1, 2) w ON w.project_id = r.project_id AND w.run_id = r.run_id WHERE llm_calls + tool_calls > 0 AND last_ts <= TIMESTAMP '{END}')"
 add("score_runs", lambda s: scored(s).select("project_id", "run_id", "cu_context", "cu_llm", "cu_tools", "cu_total"), f"SELECT project_id, run_id, cu_context, cu_llm, cu_tools, cu_total FROM ({_SCORED})")
-add("stream_quiet_runs", lambda s: scored(s).select("project_id", "run_id", "cu_total"), f"SELECT project_id, run_id, cu_total FROM ({_SCORED})")
+SCORED_ALL = _SCORED.replace(_RUNS, "(SELECT * FROM ev WHERE run_id IS NOT NULL)").replace(f" AND last_ts <= TIMESTAMP '{END}'", "")
 _EDGES = [0.0, *X.BOUNDS, 1e18]
 _HIST = ", ".join(f"COUNT(*) FILTER (WHERE cu_total >= {a} AND cu_total < {b}) AS h{k}" for k, (a, b) in enumerate(zip(_EDGES, _EDGES[1:], strict=False)))
 _DAILYC = f"SELECT project_id, root_entity_type, root_entity_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(*) AS runs, SUM(cu_total) AS cu_sum, MAX(cu_total) AS cu_max, {_HIST} FROM ({_SCORED}) WHERE root_entity_id IS NOT NULL GROUP BY 1, 2, 3, 4"
@@ -289,4 +328,4 @@ add("resolve_thresholds", thresholds, _THRESHOLDS)
 add("cu_label", lambda s: scored(s).crossJoin(F.broadcast(thresholds(s))).select("project_id", "run_id", C.cu_label(F.col("cu_total"), F.col("medium"), F.col("high"), F.col("extreme")).alias("label")), f"SELECT project_id, run_id, CASE WHEN cu_total >= extreme THEN 'X' WHEN cu_total >= high THEN 'H' WHEN cu_total >= medium THEN 'M' ELSE 'L' END AS label FROM ({_SCORED}) CROSS JOIN ({_THRESHOLDS})")
 add("percentile_of", lambda s: scored(s).crossJoin(F.broadcast(X.calibrate(scored(s), TODAY).select("breakpoints"))).select("project_id", "run_id", C.percentile_of(F.col("cu_total"), F.col("breakpoints")).cast("int").alias("percentile")), f"SELECT project_id, run_id, CAST(len(list_filter(b, lambda x: x <= cu_total)) AS INTEGER) AS percentile FROM ({_SCORED}) CROSS JOIN (SELECT quantile_cont(cu_total, [{', '.join(str(k / 100) for k in range(1, 100))}]) AS b FROM ({_NEW}))")
 add("complexity_freshness", lambda s: X.complexity_freshness(s.events.groupBy("project_id").agg(F.max("ts").alias("computed_at")), datetime.datetime(2002, 1, 1)).select("project_id", "stale"), "SELECT project_id, MAX(ts) < TIMESTAMP '2002-01-01' - INTERVAL 26 HOUR AS stale FROM ev GROUP BY 1")
-add("running_spend", lambda s: s.events.where(f"project_id = {PROJECT} AND event_type = 'llm' AND budget_exempt IS NOT TRUE AND event_month = DATE '{M}'").select("idempotency_key", F.sum("cost_nano_usd").over(Window.partitionBy("project_id", "event_month").orderBy("ts", "idempotency_key").rowsBetween(Window.unboundedPreceding, 0)).alias("running_nano")), f"SELECT idempotency_key, CAST(running AS BIGINT) AS running_nano FROM ({_RUNNING}) WHERE project_id = {PROJECT} AND p = DATE '{M}'")
+add("running_spend", lambda s: K.running_spend(s.events.where((F.col("event_month") == F.lit(M)) & (F.col("project_id") == PROJECT))).select("idempotency_key", "running_nano"), f"SELECT idempotency_key, CAST(running AS BIGINT) AS running_nano FROM ({_RUNNING}) WHERE project_id = {PROJECT} AND p = DATE '{M}'")
