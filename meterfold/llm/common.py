@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from meterfold.scratch import materialised, scratch
 
@@ -66,3 +67,9 @@ def dim_join(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "left")
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def whole_numbers(df: DataFrame, key: str) -> None:
+    """Raise for keys that aren't whole numbers: as such they'd become null."""
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} must be a column of whole numbers")

@@ -82,7 +82,7 @@ class Templates:
     def __init__(self, lists: pa.ListArray, code: Remembered):
         self.pieces = Pieces(lists)
         index, at = self.pieces.index, self.pieces.offsets
-        own = np.frombuffer(b"".join(code(self.pieces.distinct)), dtype="<u8").reshape(-1, 3)
+        own = code(self.pieces.distinct).table(3)
         stays = own[index, 0] != END
         self.place = index[stays]
         self.kind, self.value, self.raw = own[self.place, 0].astype(np.int64), own[self.place, 1], own[self.place, 2]
@@ -121,7 +121,7 @@ class Templates:
 
     def slots(self, start: int, width: int) -> list[str]:
         """The values that stand in a window's placeholders, lower-cased."""
-        return [self.pieces.distinct[self.place[k]].lower() for k in range(start, start + width) if self.kind[k] != LITERAL]
+        return [self.pieces.distinct[self.place[k]].as_py().lower() for k in range(start, start + width) if self.kind[k] != LITERAL]
 
 
 FIELDS = ["hash", "at", "slots"]
@@ -138,7 +138,7 @@ def item_windows(items: DataFrame, p: Params, key: str = "item_id", text: str =
     """key, width, hash, at, slots of each window of each item, and n_windows of its item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Remembered(_codes)
+        code = Remembered(_codes, "<u8")
         for batch in batches:
             for part in slices(batch, "pieces"):
                 templates = Templates(part.column("pieces"), code)
@@ -159,7 +159,7 @@ def item_exact(items: DataFrame, p: Params, key: str = "item_id", text: str = "t
     """key, n tokens, head and hash: the exact window of each item that has a token, and that of its first p.width tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Remembered(_codes)
+        code = Remembered(_codes, "<u8")
         for batch in batches:
             for part in slices(batch, "pieces"):
                 templates = Templates(part.column("pieces"), code)
@@ -203,7 +203,7 @@ def doc_windows(docs: DataFrame, widths: list[int], bits: np.ndarray, lengths: l
     shared = docs.sparkSession.sparkContext.broadcast((bits, heads, wholes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Remembered(_codes)
+        code = Remembered(_codes, "<u8")
         bits, heads, wholes = shared.value
         for batch in batches:
             for part in slices(batch, "pieces"):

@@ -43,7 +43,7 @@ def features(part: pa.RecordBatch, code: Remembered) -> np.ndarray:
     """Shares of symbols, capitals, digits, marks, bars and repeats, mean word length and size of each row."""
     pieces = Pieces(part.column("pieces"))
     at, index = pieces.offsets, pieces.index
-    own = np.frombuffer(b"".join(code(pieces.distinct)), dtype="<u4").reshape(-1, FIELDS).astype(np.int64)
+    own = code(pieces.distinct).table(FIELDS).astype(np.int64)
     total = {k: sums(own[index, k], at) for k in (CHARS, UPPER, LETTERS, DIGITS, SYMBOL, SHOUTS, BAR)}
     n, chars = np.maximum(1, np.diff(at)), np.maximum(1, total[CHARS])
     rows = np.repeat(np.arange(part.num_rows), np.diff(at))

@@ -92,10 +92,10 @@ def measure(docs: DataFrame, piece_model: str, rank_file: str, pattern: str, key
             for part in slices(batch, "pieces"):
                 pieces = Pieces(part.column("pieces"))
                 at, index = pieces.offsets, pieces.index
-                own = np.frombuffer(b"".join(code(pieces.distinct)), dtype="<u4").reshape(-1, FIELDS).astype(np.int64)
+                own = code(pieces.distinct).table(FIELDS).astype(np.int64)
                 ids, offsets = pieces.coded(encode(pieces.distinct))
                 tokens = np.diff(offsets)
-                second = np.frombuffer(b"".join(count(pieces.distinct)), dtype="<u4").astype(np.int64)
+                second = count(pieces.distinct).table(1)[:, 0].astype(np.int64)
                 chars = sums(own[index, CHARS], at)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     found = (chars / tokens, chars / sums(second[index], at), sums(is_byte[ids].astype(np.int64), offsets) / tokens, _evenness(ids, offsets, vocabulary))
