@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterfold.llm.bpe import pre_tokens
-from meterfold.llm.common import ship, text_or_empty
-from meterfold.llm.ragged import Pieces, Remembered, slices, tidy
+from meterfold.llm.common import ship, text_or_empty, whole_numbers
+from meterfold.llm.ragged import Pieces, Remembered, gathered, slices, tidy
 
 #: Fixed values of the public zstandard seekable format, and the skippable frame for keys.
 SEEK_MAGIC, SEEKABLE, KEY_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
 NO_KEY = -(1 << 63)
+#: Pieces that a task looks at together, and distinct ones whose ids a worker remembers.
+WINDOW, KNOWN = 1_500_000, 500_000
 FILE_FIELDS = "part int, path string, n_docs long, n_ids long, n_bytes long"
 
 
@@ -102,7 +104,7 @@ def library(tokenizer_file: str):
     def encode(pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return encode, Remembered(encode)
+    return encode, Remembered(encode, limit=KNOWN)
 
 
 def special_strings(tokenizer_file: str) -> list[str]:
@@ -112,17 +114,18 @@ def special_strings(tokenizer_file: str) -> list[str]:
 
 
 def write(docs: DataFrame, tokenizer_file: str, pattern: str, folder: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode docs with a byte-level tokenizers file, and write the ids in ascending order of key.
+    """Encode docs with a byte-level tokenizers file, and write the ids in ascending order of key, a column of whole numbers.
 
     Returns one row a file (part, path, n_docs, n_ids, n_bytes), read from the index that lies beside the files; parts
     are in key order. A null text counts as empty, null keys come first, rows of equal keys are in the order of their
     texts' hashes; other columns aren't carried. Pre-tokens are split by pattern, as the library would, and the library
-    encodes each distinct one; a text with one of its special strings goes to the library whole. A task writes under
+    encodes each distinct one of a window; a text with one of its special strings goes to the library whole. A task writes under
     a name of its own attempt and renames at its end, so that a repeated task leaves one whole file; the files that
     count are those in the index.
     """
     spark = docs.sparkSession
     ship(spark)
+    whole_numbers(docs, key)
     specials = special_strings(tokenizer_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +135,14 @@ def write(docs: DataFrame, tokenizer_file: str, pattern: str, folder: str, end_i
         fs.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
         name, out = f"{base}/.{part}-{uuid.uuid4().hex}", None
-        for batch in batches:
-            for rows in slices(batch, "pieces"):
+        for window in gathered(batches, "pieces", WINDOW):
+            pieces = Pieces(window.column("pieces"))
+            codes, at = distinct(pieces.distinct), 0
+            for rows in slices(window, "pieces"):
                 if out is None:
                     out = FileWriter(fs.open_output_stream(name))
-                pieces = Pieces(rows.column("pieces"))
-                values, offsets = pieces.coded(distinct(pieces.distinct))
+                values, offsets = pieces.part(at, rows.num_rows).coded(codes)
+                at += rows.num_rows
                 for k, (doc, own) in enumerate(zip(rows.column("key").to_pylist(), rows.column("special").to_pylist(), strict=True)):
                     ids = whole([own])[0] if own is not None else values[offsets[k] : offsets[k + 1]].tobytes()
                     out.add(doc, ids + end)
@@ -149,7 +154,9 @@ def write(docs: DataFrame, tokenizer_file: str, pattern: str, folder: str, end_i
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(done, (pa.int32(), pa.string(), *[pa.int64()] * 3), strict=True)], ["part", "path", "n_docs", "n_ids", "n_bytes"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
+    # equal rows may stand in any order, so that many of them can be split over files by where they come from
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("copy", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("key", "tie", "copy").sortWithinPartitions("key", "tie", "copy")
     special = F.lit(False)
     for s in specials:
         special = special | F.col("text").contains(s)
