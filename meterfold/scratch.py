@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name under spark.checkpoint.dir, or under a local folder where that is unset."""
+    """A new folder name under spark.checkpoint.dir; where that is unset, under a local folder if all of Spark runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/meterfold-scratch"
         os.makedirs(base.removeprefix("file://"), exist_ok=True)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
