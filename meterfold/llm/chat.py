@@ -3,10 +3,10 @@
 A conversation is rendered whole and encoded once with offsets; the sorted spans of the assistant's texts are then
 intersected with the sorted spans of the tokens by binary search. A turn is
 
-    <|im_start|>role NEWLINE text <|im_end|> NEWLINE
+    <|im_start|>role<|im_sep|>text<|im_end|>
 
-Inside roles and texts a backslash becomes two, and <| becomes <\\|, so that no text can hold a control string; a line
-break inside a role becomes \\n.
+The three control strings are tokens of their own, so that no token reaches from a text into what stands around it.
+Inside roles and texts a backslash becomes two, and <| becomes <\\|, so that no text can hold a control string.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterfold.llm.common import ship
+from meterfold.llm.common import ship, whole_numbers
 from meterfold.llm.ragged import tidy
 
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
+OPEN, MIDDLE, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>", re.DOTALL)
 #: Characters after which a conversation goes on in a further segment, at a turn's end, where no token can cross.
 SEGMENT = 500_000
 
@@ -35,22 +36,18 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
 
-def escape_role(role: str) -> str:
-    return escape(role).replace("\n", "\\n")
-
-
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.DOTALL) if "\\" in text else text
+    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL) if "\\" in text else text
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """Formatted turns, and the span of each turn's text in them."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
+        head, body = f"{OPEN}{escape(role)}{MIDDLE}", escape(text)
         spans.append((at + len(head), at + len(head) + len(body)))
-        out += [head, body, CLOSE, "\n"]
-        at = spans[-1][1] + len(CLOSE) + 1
+        out += [head, body, CLOSE]
+        at = spans[-1][1] + len(CLOSE)
     return "".join(out), spans
 
 
@@ -66,68 +63,81 @@ def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The file's tokenizer, to which the control strings are added."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in (OPEN, MIDDLE, CLOSE)])
+    return tokenizer
+
+
+FORMATTED = "conv_id long, segment long, whole boolean, n_turns long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss array<boolean>"
 
-    return Tokenizer.from_file(path)
+
+def _columns(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
 def format_chats(turns: DataFrame, tokenizer_file: str, trained_role: str = "assistant") -> DataFrame:
-    """Formatted conversations: conv_id, segment, n_turns, formatted, token_ids, token_starts, token_ends and loss.
+    """Formatted conversations: conv_id, segment, whole, n_turns, formatted, token_ids, token_starts, token_ends and loss.
 
-    turns has conv_id, turn, role, text; turns are in the order of turn, then role and text, nulls first. A null role or
-    text counts as empty. A null conv_id is a conversation of its own. Offsets are code points of the segment. Nearly
-    all conversations have one segment; a task streams through its rows, so that a conversation of any length takes the
-    memory of one segment. A conversation's segments follow each other in one partition. Other columns aren't carried.
+    turns has conv_id (whole numbers), turn, role, text; turns are in the order of turn, then role and text, nulls first.
+    A null role or text counts as empty. A null conv_id is a conversation of its own. Offsets are code points of the
+    segment. Nearly all conversations have one segment, and whole says of a row that it surely is its conversation. Rows
+    are dealt by ranges of (conversation, turn), so that a conversation of any length is formatted by several tasks in
+    the memory of one segment each; segments rise in its order. Other columns aren't carried.
     """
     ship(turns.sparkSession)
-    lists = {"token_ids": pa.int32(), "token_starts": pa.int32(), "token_ends": pa.int32(), "loss": pa.bool_()}
+    whole_numbers(turns, "conv_id")
+    arrays = {"token_ids": pa.int32(), "token_starts": pa.int32(), "token_ends": pa.int32(), "loss": pa.bool_()}
+    kinds = {"conv_id": pa.int64(), "segment": pa.int64(), "whole": pa.bool_(), "n_turns": pa.int64(), "formatted": pa.string(), **{k: pa.list_(t) for k, t in arrays.items()}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_file)
-        done: list[tuple] = []
+        first, number, edge = TaskContext.get().partitionId() << 32, 0, True
 
-        def segment(conv: int | None, number: int, held: list[tuple[str, str]]) -> tuple:
+        def segment(conv: int | None, held: list[tuple[str, str]], whole: bool) -> tuple:
+            nonlocal number
+            number += 1
             text, spans = render(held)
             code = tokenizer.encode(text, add_special_tokens=False)
             starts, ends = np.array(code.offsets, dtype=np.int32).reshape(-1, 2).T
             mask = loss_mask(starts, ends, [s for s, (role, _) in zip(spans, held, strict=True) if role == trained_role])
-            return conv, number, len(held), text, code.ids, starts, ends, mask
+            return conv, first + number, whole, len(held), text, code.ids, starts, ends, mask
 
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*done, strict=True))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), *map(pa.list_, lists.values())]
-            names = ["conv_id", "segment", "n_turns", "formatted", *lists]
-            batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
-            done.clear()
-            return batch
-
-        conv, number, held, size = None, -1, [], 0
+        done: list[tuple] = []
+        conv, held, size = None, [], 0
         for batch in batches:
             for own, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
                 if held and (own != conv or size >= SEGMENT):
-                    done.append(segment(conv, number, held))
-                    number, held, size = (number + 1 if own == conv else 0), [], 0
-                    if sum(len(x[3]) for x in done) > SEGMENT:
-                        yield flush()
-                elif not held:
-                    number = 0
+                    # the first and last conversations of a partition may go on in the ones beside it
+                    done.append(segment(conv, held, own != conv and not edge))
+                    edge, held, size = own == conv, [], 0
+                    if sum(len(x[4]) for x in done) > SEGMENT:
+                        yield _columns(done, kinds)
+                        done.clear()
                 conv = own
                 held.append((role, text))
                 size += len(role) + len(text)
         if held:
-            done.append(segment(conv, number, held))
+            done.append(segment(conv, held, False))
         if done:
-            yield flush()
+            yield _columns(done, kinds)
 
     empty = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in ("role", "text")]
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *empty)
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInArrow(tidy(run), "conv_id long, segment int, n_turns long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss array<boolean>")
+    rows = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 32)).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    return rows.mapInArrow(tidy(run), FORMATTED)
 
 
-def read_back(formatted: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """Digests of what formatted conversations hold, as format_chats returns them: turns and text under the loss mask."""
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Digests of what formatted conversations hold, as format_chats returns them, in any order of rows.
+
+    All that stands under the loss mask counts, wherever it stands. A conversation of one row is digested where it lies;
+    the segments of others meet in their order, as a digest is a sequence.
+    """
+    kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -138,36 +148,33 @@ def read_back(formatted: DataFrame, trained_role: str = "assistant") -> DataFram
                 rows.append((conv, state["turns"], state["all"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["size"]))
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("conv_id", "segment", "formatted")]
+            columns = [batch.column(k).to_pylist() for k in ("conv_id", "formatted")]
             masks = [[batch.column(k).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for k in ("token_starts", "token_ends", "loss")] for i in range(batch.num_rows)]
-            for own, number, text, (starts, ends, mask) in zip(*columns, masks, strict=True):
-                if number == 0:
+            for own, text, (starts, ends, mask) in zip(*columns, masks, strict=True):
+                if state is None or own != conv:
                     close()
                     conv, state = own, {"turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0}
-                change = np.zeros(len(text) + 1, dtype=np.int64)
-                np.add.at(change, starts[mask], 1)
-                np.add.at(change, ends[mask], -1)
-                covered = np.cumsum(change[:-1]) > 0
                 state["size"] += len(text)
                 for m in TURN.finditer(text):
                     state["turns"] += 1
                     state["all"].update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
-                    low, high = m.span(2)
-                    if unescape(m[1]) == trained_role and covered[low:high].any():
-                        kept = m[2] if covered[low:high].all() else "".join(c for c, on in zip(m[2], covered[low:high], strict=True) if on)
-                        state["chars"] += len(unescape(kept))
-                        state["loss"].update(unescape(kept).encode())
+                change = np.zeros(len(text) + 1, dtype=np.int64)
+                np.add.at(change, starts[mask], 1)
+                np.add.at(change, ends[mask], -1)
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]]))).tolist()
+                for low, high in zip(edges[::2], edges[1::2], strict=True):
+                    said = unescape(text[low:high])
+                    state["chars"] += len(said)
+                    state["loss"].update(said.encode())
             if len(rows) > 1000:
-                yield batch_of(rows)
+                yield _columns(rows, kinds)
                 rows.clear()
         close()
         if rows:
-            yield batch_of(rows)
-
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield _columns(rows, kinds)
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    def digests(df: DataFrame) -> DataFrame:
+        return df.select("conv_id", "formatted", "token_starts", "token_ends", "loss").mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
-    return formatted.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    apart = formatted.where("NOT whole").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return digests(formatted.where("whole")).unionByName(digests(apart))
