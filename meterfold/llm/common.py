@@ -47,18 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df, cheap to read, has at most so many rows."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> bool:
+    """Whether df, cheap to read, has at most so many rows; weight: what a row counts, for rows of no fixed size."""
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0)).alias("w")).first()
+    return seen.n <= rows and seen.w <= 10 * rows
 
 
-def dim_join(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def dim_join(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", weight: Column | None = None) -> DataFrame:
     """Join df with a table that has each key once: broadcast if it is small, else by shuffle with df's keys salted.
 
     The salt spreads a key that holds a large part of df's rows over SALTS tasks; dim, one row a key, is repeated
     as often. Null keys match nothing.
     """
-    if is_small(dim):
+    if is_small(dim, weight=weight):
         return df.join(F.broadcast(dim), keys, how)
     salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
