@@ -1,13 +1,14 @@
 """Token counts by rank-synchronous array merging.
 
-Pre-tokens lie as ragged numpy arrays of symbols. In each round every sequence finds its lowest-rank adjacent pair, the
-leftmost of equal ones, and all sequences merge theirs in the same step; sequences without a pair leave. What a sequence
-counts is the symbols that survive, a character outside the vocabulary counting its UTF-8 bytes (byte fallback).
+Pre-tokens lie as ragged numpy arrays of symbols. In each round every sequence finds its lowest-rank adjacent pair and
+all sequences merge theirs in the same step, at each place where it stands, from the left; only behind a place where a
+pair of a lower rank arises the others wait. Sequences without a pair leave. What a sequence counts is the symbols that
+survive, a character outside the vocabulary counting its UTF-8 bytes (byte fallback). Beforehand a pre-token is cut
+between characters that no piece of the vocabulary holds side by side, as no merge can cross there.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import ship, text_or_empty
-from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, sums, tidy
+from meterfold.llm.ragged import Pieces, Remembered, gathered, offsets_of, sums, tidy
 
 #: Fixed value: the mark that stands for a space in SentencePiece vocabularies.
 MARK = 0x2581
-#: Symbols from which a sequence is merged with a heap: rounds over it would take the square of its length.
-LONG = 160
 NONE = np.int64(1 << 40)
+#: Pre-tokens that a task looks at together.
+WINDOW = 1_000_000
 
 
 def marked_pieces(text: str = "text") -> Column:
@@ -70,7 +71,13 @@ class PieceMerges:
                     table[a * self.size + b] = (rank[piece], names[piece])
         self.keys = np.array(sorted(table), dtype=np.int64)
         self.ranks, self.merged = np.array([table[k] for k in self.keys.tolist()], dtype=np.int64).T.copy()
-        self.table = table
+        self.adjacent = np.array(sorted({names[a] * self.size + names[b] for piece in rank for a, b in zip(piece, piece[1:], strict=False)}), dtype=np.int64)
+        # symbols after whose merge a pair of a lower rank may stand there
+        self.sinks = np.zeros(self.size, dtype=bool)
+        own = np.full(self.size, -1, dtype=np.int64)
+        own[self.merged] = self.ranks
+        for side in (self.keys // self.size, self.keys % self.size):
+            self.sinks[side[self.ranks <= own[side]]] = True
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of the pairs (NONE where there is no merge) and their places in the table."""
@@ -89,13 +96,16 @@ class PieceMerges:
         cost = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
         cost = np.where(known & self.is_piece[np.maximum(symbols, 0)], 1, cost)
         out = np.zeros(len(pieces), dtype=np.int64)
-        offsets = offsets_of(lengths)
-        for k in np.flatnonzero(lengths >= LONG).tolist():
-            span = slice(offsets[k], offsets[k + 1])
-            out[k] = self._count_long(symbols[span].tolist(), cost[span].tolist())
-        short = np.repeat(lengths < LONG, lengths)
-        owner = np.repeat(np.arange(len(pieces)), lengths)[short]
-        symbols, cost = symbols[short], cost[short]
+        whole = np.repeat(np.arange(len(pieces)), lengths)
+        if not len(whole):
+            return out
+        keys = np.where((symbols[:-1] >= 0) & (symbols[1:] >= 0), symbols[:-1] * self.size + symbols[1:], -1)
+        at = np.minimum(np.searchsorted(self.adjacent, keys), len(self.adjacent) - 1)
+        owner = offsets_of((self.adjacent[at] != keys) | (whole[1:] != whole[:-1]))
+        alone = np.bincount(owner)[owner] == 1
+        np.add.at(out, whole[alone], cost[alone])
+        whole = whole[np.flatnonzero(np.diff(owner, prepend=-1))]
+        symbols, cost, owner = symbols[~alone], cost[~alone], owner[~alone]
         while len(symbols):
             ranks, places = self.lookup(symbols[:-1], symbols[1:])
             ranks = np.append(np.where(owner[:-1] == owner[1:], ranks, NONE), NONE)
@@ -104,41 +114,37 @@ class PieceMerges:
             sizes = np.diff(np.append(starts, len(owner)))
             ended = lowest == NONE
             if ended.any():
-                out[owner[starts[ended]]] = np.add.reduceat(cost, starts)[ended]
-            hits = np.flatnonzero((ranks == np.repeat(lowest, sizes)) & (ranks != NONE))
-            hits = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])] if len(hits) else hits
+                np.add.at(out, whole[owner[starts[ended]]], np.add.reduceat(cost, starts)[ended])
+            hits = self._from_the_left(np.flatnonzero((ranks == np.repeat(lowest, sizes)) & (ranks != NONE)), symbols, owner, ranks, places)
             symbols[hits], cost[hits] = self.merged[places[hits]], 1
             stays = np.repeat(~ended, sizes)
             stays[hits + 1] = False
             symbols, cost, owner = symbols[stays], cost[stays], owner[stays]
         return out
 
-    def _count_long(self, symbols: list[int], cost: list[int]) -> int:
-        n = len(symbols)
-        nxt, prv = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = []
-
-        def note(a: int, b: int) -> None:
-            if symbols[a] >= 0 and symbols[b] >= 0 and (found := self.table.get(symbols[a] * self.size + symbols[b])):
-                heap.append((found[0], a, b, symbols[a], symbols[b], found[1])) if not ready else heapq.heappush(heap, (found[0], a, b, symbols[a], symbols[b], found[1]))
-
-        ready, alive = False, [True] * n
-        for k in range(n - 1):
-            note(k, k + 1)
-        heapq.heapify(heap)
-        ready = True
-        while heap:
-            _, a, b, was_a, was_b, merged = heapq.heappop(heap)
-            if not (alive[a] and alive[b] and nxt[a] == b and symbols[a] == was_a and symbols[b] == was_b):
-                continue
-            symbols[a], cost[a], alive[b] = merged, 1, False
-            nxt[a] = nxt[b]
-            if nxt[a] >= 0:
-                prv[nxt[a]] = a
-                note(a, nxt[a])
-            if prv[a] >= 0:
-                note(prv[a], a)
-        return sum(c for c, lives in zip(cost, alive, strict=True) if lives)
+    def _from_the_left(self, hits: np.ndarray, symbols: np.ndarray, owner: np.ndarray, ranks: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Of the places of the lowest pairs those that merge now: none that overlaps one before it, none behind one that lets a lower pair arise."""
+        if len(hits) < 2:
+            return hits
+        k = np.arange(len(hits))
+        linked = np.concatenate([[False], hits[1:] == hits[:-1] + 1])
+        hits = hits[(k - np.maximum.accumulate(np.where(linked, 0, k))) % 2 == 0]
+        merged = self.merged[places[hits]]
+        sinks = np.flatnonzero(self.sinks[merged])
+        if not len(sinks):
+            return hits
+        at, own = hits[sinks], merged[sinks]
+        touched = (sinks > 0) & (hits[np.maximum(sinks - 1, 0)] == at - 2)
+        before = np.where(touched, merged[np.maximum(sinks - 1, 0)], symbols[np.maximum(at - 1, 0)])
+        before = np.where((at > 0) & (owner[np.maximum(at - 1, 0)] == owner[at]), before, -1)
+        behind = np.minimum(at + 2, len(symbols) - 1)
+        after = np.where((at + 2 < len(symbols)) & (owner[behind] == owner[at]), symbols[behind], -1)
+        arises = np.minimum(self.lookup(before, own)[0], self.lookup(own, after)[0]) <= ranks[at]
+        stops = np.zeros(len(hits), dtype=np.int64)
+        stops[sinks[arises]] = 1
+        earlier = np.cumsum(stops) - stops
+        first = np.flatnonzero(np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]]))
+        return hits[earlier == np.repeat(earlier[first], np.diff(np.append(first, len(hits))))]
 
 
 @lru_cache(maxsize=2)
@@ -162,12 +168,11 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model_file)
-        for batch in batches:
-            for part in slices(batch, "pieces"):
-                pieces = Pieces(part.column("pieces"))
-                own = count(pieces.distinct).table(1)[:, 0].astype(np.int64)
-                totals = sums(own[pieces.index], pieces.offsets)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n_bytes"), pa.array(totals)], ["key", "n_bytes", "n_tokens"])
+        for part in gathered(batches, "pieces", WINDOW):
+            pieces = Pieces(part.column("pieces"))
+            own = count(pieces.distinct).table(1)[:, 0].astype(np.int64)
+            totals = sums(own[pieces.index], pieces.offsets)
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n_bytes"), pa.array(totals)], ["key", "n_bytes", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.octet_length(text_or_empty(text)).cast("long").alias("n_bytes"), marked_pieces(text).alias("pieces"))
