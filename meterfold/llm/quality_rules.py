@@ -18,9 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import dim_join, materialised, ship, text_or_empty
-from meterfold.llm.ragged import Pieces, Remembered, slices, sums, tidy
+from meterfold.llm.ragged import Pieces, Remembered, gathered, slices, sums, tidy
 from meterfold.llm.words import CHARS, FIELDS, SYMBOL, repeated_window_words, word_codes, words
 
+#: Characters a token up to which bins are equally wide.
+LINEAR = 20
+#: Words that a task looks at together.
+WINDOW = 600_000
 METRICS = ("piece_chars", "byte_chars", "fallback", "evenness")
 
 
@@ -88,8 +92,8 @@ def measure(docs: DataFrame, piece_model: str, rank_file: str, pattern: str, key
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Remembered(word_codes)
         encode, count, is_byte = _vocabularies(piece_model, rank_file, pattern)
-        for batch in batches:
-            for part in slices(batch, "pieces"):
+        for window in gathered(batches, "pieces", WINDOW):
+            for part in slices(window, "pieces", WINDOW):
                 pieces = Pieces(part.column("pieces"))
                 at, index = pieces.offsets, pieces.index
                 own = code(pieces.distinct).table(FIELDS).astype(np.int64)
@@ -117,7 +121,7 @@ def bands(measured: DataFrame, p: Params) -> DataFrame:
 
     Only rows that pass the base rules count, and quartiles hold as long as less than a quarter of them is junk on one
     side. One row a language comes out; evenness_sizes has the bands of the lengths that enough rows have. The histograms
-    have at most p.bins bins a share and 20 characters' worth of p.bins / 5, so that grouping leaves little to sort.
+    have p.bins bins a share, p.bins / 5 a character a token up to LINEAR ones and logarithmic ones beyond, without end.
     """
     every = [F.struct(F.lit(m).alias("metric"), F.lit(-1).alias("size"), _bin(m, p).alias("bin")) for m in METRICS]
     every.append(F.struct(F.lit("evenness").alias("metric"), _size().alias("size"), _bin("evenness", p).alias("bin")))
@@ -142,7 +146,11 @@ def _per_one(metric: str, p: Params) -> int:
 
 
 def _bin(metric: str, p: Params) -> Column:
-    return F.least(F.floor(F.col(metric) * _per_one(metric, p)), F.lit(20 * _per_one("chars", p))).cast("int")
+    even = F.floor(F.col(metric) * _per_one(metric, p))
+    if not metric.endswith("chars"):
+        return even.cast("int")
+    top = LINEAR * _per_one(metric, p)
+    return F.when(F.col(metric) <= LINEAR, even).otherwise(top + F.floor(top * F.log(F.col(metric) / LINEAR))).cast("int")
 
 
 def _size() -> Column:
