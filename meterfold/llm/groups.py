@@ -87,11 +87,12 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """node and its component's smallest node, for each node of edges (u, v), by alternating large and small stars.
 
     Each round is two grouped aggregations and joins over the edges, written to the shared folder; the number of edges
-    never grows, and rounds grow with the logarithm of a component's diameter.
+    never grows, and rounds grow with the logarithm of a component's diameter. It ends when nothing changes any more, and
+    raises an error if that takes more than so many rounds, rather than to return parts of components.
     """
     links = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links, before = materialised(links, "links"), None
@@ -103,11 +104,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if not seen.n:
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written first, so that both sides of the join are plain exchanges, whose skewed parts Spark can split
+        least = materialised(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialised(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialised(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         links = materialised(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small-star")
+    else:
+        raise RuntimeError(f"components still changed after {rounds} rounds")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
