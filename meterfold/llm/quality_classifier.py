@@ -80,14 +80,16 @@ def fit(x: np.ndarray, y: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params, key: str = "doc_id", text: str = "text", label: str = "quality"):
-    """Fit on the labelled rows with the smallest key hashes, p.sample at most; a key with several labels counts as bad if one is 0.
+    """Fit on the labelled keys with the smallest hashes, p.sample at most; a key with several labels counts as bad if one is 0.
+
+    Of rows that share a key the one with the least text counts.
 
     Without labels of both kinds there is no model, and every document's own evidence is even.
     """
     own = labels.select(F.col(key), F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull() & F.col("label").isNotNull())
     own = own.groupBy(key).agg(F.min("label").alias("label"))
     chosen = own.orderBy(F.xxhash64(key), F.col(key)).limit(p.sample)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select("label", words(text).alias("pieces"))
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "label").agg(F.min(text).alias("text")).select("label", words("text").alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Remembered(word_codes)

@@ -19,20 +19,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterfold.llm.common import ship, text_or_empty
-from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, sums, tidy
+from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, spread, sums, tidy
 
 BUCKETS = 1 << 18
 
 
 @dataclass(frozen=True)
 class Params:
-    """positives and unlabelled bound the rows that the model is fitted on; everything else covers all rows.
+    """positives and unlabelled bound the rows that the model is fitted on, features the distinct buckets of each; all else covers all rows.
 
     The soft threshold is sparsity over the root of the number of positives, as chance slopes are.
     """
 
     positives: int = 4000
     unlabelled: int = 10_000
+    features: int = 8192
     beginning: int = 5
     steps: int = 150
     rate: float = 1.0
@@ -74,27 +75,38 @@ def _features(part: pa.RecordBatch, hashes: Remembered) -> tuple[np.ndarray, np.
     return seen % BUCKETS, offsets_of(np.bincount(seen // BUCKETS, minlength=part.num_rows))
 
 
+def risk(z: np.ndarray, n_p: int, prior: float) -> tuple[float, float]:
+    """Both parts of the logistic risk of scores z, the first n_p of positives: prior * R_p(+) and R_u(-) - prior * R_p(-), which may not fall below zero."""
+    as_positive, as_negative = np.logaddexp(0, -z), np.logaddexp(0, z)
+    return prior * as_positive[:n_p].mean(), as_negative[n_p:].mean() - prior * as_negative[:n_p].mean()
+
+
+def risk_slope(z: np.ndarray, n_p: int, prior: float) -> np.ndarray:
+    """How a step treats each score: by the slope of the whole risk, or against that of its second part where this is below zero."""
+    n_u = len(z) - n_p
+    likely = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    slope = np.empty(len(z))
+    if risk(z, n_p, prior)[1] >= 0:
+        slope[:n_p], slope[n_p:] = -prior / n_p, likely[n_p:] / n_u
+    else:
+        slope[:n_p], slope[n_p:] = prior * likely[:n_p] / n_p, -likely[n_p:] / n_u
+    return slope
+
+
 def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, p: Params) -> tuple[np.ndarray, float]:
     """Weights and intercept from (buckets, offsets) of positive and unlabelled rows."""
-    n_p, n_u = len(positive[1]) - 1, len(unlabelled[1]) - 1
-    n = n_p + n_u
+    n_p = len(positive[1]) - 1
+    n = n_p + len(unlabelled[1]) - 1
     buckets = np.concatenate([positive[0], unlabelled[0]])
-    rows = np.repeat(np.arange(n), np.concatenate([np.diff(positive[1]), np.diff(unlabelled[1])]))
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.concatenate([np.diff(positive[1]), np.diff(unlabelled[1])]))
     seen = np.bincount(buckets, minlength=BUCKETS)
     used = (seen >= max(2, p.rarest * n)) & (seen <= p.commonest * n)
-    rows, columns = rows[used[buckets]], (np.cumsum(used) - 1)[buckets[used[buckets]]]
+    rows, columns = rows[used[buckets]], (np.cumsum(used, dtype=np.int32) - 1)[buckets[used[buckets]]]
     size = int(used.sum())
     w, speed, b, b_speed = np.zeros(size), np.zeros(size), float(np.log(prior / max(1 - prior, 1e-9))), 0.0
     for step in range(p.steps):
         rate = p.rate * 0.5 * (1 + np.cos(np.pi * step / p.steps))
-        z = b + np.bincount(rows, weights=w[columns], minlength=n)
-        likely, loss = 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.logaddexp(0, z)
-        negative_risk = loss[n_p:].mean() - prior * loss[:n_p].mean()
-        slope = np.empty(n)
-        if negative_risk >= 0:
-            slope[:n_p], slope[n_p:] = -prior / n_p, likely[n_p:] / n_u
-        else:
-            slope[:n_p], slope[n_p:] = prior * likely[:n_p] / n_p, -likely[n_p:] / n_u
+        slope = risk_slope(b + np.bincount(rows, weights=w[columns], minlength=n), n_p, prior)
         speed = p.momentum * speed - rate * np.bincount(columns, weights=slope[rows], minlength=size)
         b_speed = p.momentum * b_speed - 0.1 * rate * slope.sum()
         w, b = w + speed, b + b_speed
@@ -105,11 +117,12 @@ def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, n
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
-    """Fit on at most p.positives rows labelled 1 and p.unlabelled others, those with the smallest key hashes.
+    """Fit on at most p.positives keys labelled 1 and p.unlabelled others, those with the smallest hashes, one row each.
 
     Labels of the held-out fold are never read; the class prior is the share of 1 among the other labels, all of them.
     A key with several labels counts as toxic if one of them is 1. Without positives every score is the class prior,
-    0.0 if there are no labels either.
+    0.0 if there are no labels either. Of rows that share a key the one with the least text counts, and of a row with more
+    than p.features buckets those of the lowest numbers, which are hashes.
     """
     own = labels.select(F.col(key), F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull() & F.col("label").isNotNull() & ~held_out(F.col(key), p.folds))
     own = own.groupBy(key).agg(F.max("label").alias("label"))
@@ -121,13 +134,16 @@ def train(docs: DataFrame, labels: DataFrame, p: Params, key: str = "doc_id", te
     order = F.xxhash64(key), F.col(key)
     chosen = own.where("label = 1").select(key).orderBy(*order).limit(p.positives).select(key, F.lit(True).alias("positive"))
     others = docs.where(F.col(key).isNotNull() & ~held_out(F.col(key), p.folds)).select(key).distinct().orderBy(*order).limit(p.unlabelled).select(key, F.lit(False).alias("positive"))
-    rows = docs.select(key, text).join(F.broadcast(chosen.unionByName(others)), key).select("positive", _words(text).alias("pieces"))
+    rows = docs.select(key, text).join(F.broadcast(chosen.unionByName(others)), key).groupBy(key, "positive").agg(F.min(text).alias("text"))
+    rows = rows.select("positive", _words("text").alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _hashes(p.beginning)
         for batch in batches:
             for part in slices(batch, "pieces"):
                 buckets, offsets = _features(part, hashes)
+                some = np.minimum(np.diff(offsets), p.features)
+                buckets, offsets = buckets[spread(offsets[:-1], some)], offsets_of(some)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("positive"), lists], ["positive", "buckets"])
 
@@ -135,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params, key: str = "doc_id", te
     sides = []
     for side in (True, False):
         lists = got.filter(pa.compute.equal(got["positive"], side))["buckets"].combine_chunks()
-        sides.append((lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets_of(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))))
+        sides.append((lists.flatten().to_numpy(zero_copy_only=False), offsets_of(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))))
+    del got
     return fit(*sides, prior, p) if len(sides[0][1]) > 1 and len(sides[1][1]) > 1 else constant
 
 
@@ -162,5 +179,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], p: Params, key: str
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, by a model of labels outside the held-out fold.
+
+    Null and empty texts get the score that follows from no words; repeated rows get equal scores; rows with a null id are
+    scored and in no fold; without labels of 1 nothing is called toxic. Other columns aren't carried.
+    """
     ship(docs.sparkSession)
     return score(docs, train(docs, labels, p), p)
