@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterfold.llm.common import dim_join, materialised, ship, text_or_empty
+from meterfold.llm.common import dim_join, is_small, materialised, ship, text_or_empty
 from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, tidy
 
 #: Units of measure and number words that become placeholders.
@@ -27,8 +27,8 @@ UNITS = frozenset(
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())
 #: Scripts that write no spaces between words, a token a character: Thai, Lao, Burmese, Khmer, kana, Han, Yi.
 _SPACED = r"[\p{L}\p{M}&&[\x00-\u0DFF\u0F00-\u0FFF\u10A0-\u177F\u1800-\u303F\u3100-\u31EF\u3200-\u33FF\uA4D0-\uF8FF\uFB00-\x{1FFFF}\x{40000}-\x{10FFFF}]]"
-TOKEN = rf"\p{{N}}+(?:[.,:/]\p{{N}}+)*|{_SPACED}+(?:['’]{_SPACED}+)*|\p{{L}}\p{{M}}*|[%$€£¥°]|[.!?]|\n"
-LITERAL, NUMBER, UNIT, NAME, END = range(5)
+TOKEN = rf"\p{{N}}+(?:[.,:/]\p{{N}}+)*|(?<=\p{{N}} ?)[-+*/=×÷^<>](?= ?\p{{N}})|{_SPACED}+(?:['’]{_SPACED}+)*|\p{{L}}\p{{M}}*|[%$€£¥°]|[.!?]|\n"
+LITERAL, NUMBER, UNIT, NAME, OPERATOR, END = range(6)
 #: Bits of the filter of benchmark windows that every task gets: its size is fixed, a fuller one lets more rows pass.
 FILTER_BITS = 1 << 24
 #: An odd number and what it is multiplied with to give 1 modulo 2^64.
@@ -56,7 +56,10 @@ def tokens(text: str = "text") -> Column:
 
 
 def _codes(distinct: list[str]) -> list[bytes]:
-    """Kind, hash as a template's token and hash as it stands, lower-cased; a capital is a NAME wherever it stands."""
+    """Kind, hash as a template's token and hash as it stands, lower-cased; a capital is a NAME wherever it stands.
+
+    An operator between numbers stands for itself, but is no literal: lists of numbers aren't wording.
+    """
     out = np.zeros((len(distinct), 3), dtype="<u8")
     for k, w in enumerate(distinct):
         low = w.lower()
@@ -66,6 +69,8 @@ def _codes(distinct: list[str]) -> list[bytes]:
         own = xxhash.xxh3_64_intdigest(low.encode("utf-8"))
         if w[0].isnumeric() or low in NUMBER_WORDS:
             out[k] = NUMBER, NUMBER, own
+        elif w in "-+*/=×÷^<>":
+            out[k] = OPERATOR, own, own
         elif low in UNITS:
             out[k] = UNIT, UNIT, own
         elif w[0].isupper():
@@ -121,7 +126,7 @@ class Templates:
 
     def slots(self, start: int, width: int) -> list[str]:
         """The values that stand in a window's placeholders, lower-cased."""
-        return [self.pieces.distinct[self.place[k]].as_py().lower() for k in range(start, start + width) if self.kind[k] != LITERAL]
+        return [self.pieces.distinct[self.place[k]].as_py().lower() for k in range(start, start + width) if NUMBER <= self.kind[k] <= NAME]
 
 
 FIELDS = ["hash", "at", "slots"]
@@ -231,6 +236,23 @@ def _filter(windows: DataFrame, column: str = "hash") -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
+def candidates(found: DataFrame, known: DataFrame, p: Params) -> DataFrame:
+    """Windows of documents beside equal windows of items, for the pairs of document and item that can reach coverage.
+
+    Of an item's n windows a document needs c, so that it has one of any n - c + 1. The rarest ones in the documents are
+    taken: a window that many items and documents share doesn't bring all of them together.
+    """
+    often = found.groupBy("hash").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("item").orderBy("often", "item_at")
+    rare = known.join(often, "hash").withColumn("missing", F.col("n_windows") - F.count("*").over(Window.partitionBy("item"))).withColumn("k", F.row_number().over(rarest))
+    # windows that no document has are the rarest of all
+    rare = rare.where(F.col("k") + F.col("missing") <= F.col("n_windows") - F.ceil(p.coverage * F.col("n_windows")) + 1)
+    rare = materialised(rare.select("item", "hash").distinct(), "rare")
+    pairs = found.select("doc", "hash").distinct().join(F.broadcast(rare) if is_small(rare) else rare, "hash").select("doc", "item").distinct()
+    wide = pairs.join(F.broadcast(known) if is_small(known, weight=F.size("item_slots")) else known, "item")
+    return wide.join(found, ["doc", "hash"])
+
+
 def occurrences(hits: DataFrame, p: Params) -> DataFrame:
     """The best qualifying occurrence of each doc and item, from hits (doc, item, at, slots, item_at, item_slots, n_windows).
 
@@ -275,7 +297,7 @@ def leaks(docs: DataFrame, items: DataFrame, p: Params = Params(), doc_key: str
     filters = _filter(known), lengths, _filter(whole, "head"), _filter(whole)
     found = materialised(doc_windows(docs, widths, *filters, p, doc_key).withColumnRenamed("key", "doc"), "found")
     known = known.select("item", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows")
-    hits = materialised(dim_join(found.where("at IS NOT NULL"), known, ["hash"], "inner"), "hits")
+    hits = materialised(candidates(found.where("at IS NOT NULL"), materialised(known, "known"), p), "hits")
     exact = dim_join(found.where("at IS NULL").select("doc", "hash"), whole.select("item", "hash"), ["hash"], "inner").select("doc", "item").distinct()
     best = occurrences(hits, p)
     one = {"n_windows": F.lit(1), "matched": F.lit(1)}
