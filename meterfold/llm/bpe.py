@@ -29,8 +29,8 @@ from meterfold.llm.ragged import Pieces, Remembered, gathered, offsets_of, slice
 
 #: Pieces of the corpus vocabulary that every task gets, some 10 MB: those that recur most.
 HEAD = 1 << 18
-#: Pieces of the vocabulary that one replay takes, and pieces of texts that a task looks at together.
-REPLAY, WINDOW = 1 << 17, 2_500_000
+#: Pieces of the vocabulary that one replay takes, pieces of texts that a task looks at together, and that it gives out at once.
+REPLAY, WINDOW, PART = 1 << 16, 1_500_000, 150_000
 #: The characters with Unicode's White_Space property, for Java's regular expressions.
 WHITE_SPACE = r"\t-\r\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -230,7 +230,7 @@ def _coded(batches: Iterator[pa.RecordBatch], rank_file: str, known) -> Iterator
     for window in gathered(batches, "pieces", WINDOW):
         pieces = Pieces(window.column("pieces"))
         codes, at = code(pieces.distinct), 0
-        for part in slices(window, "pieces"):
+        for part in slices(window, "pieces", PART):
             yield part, *pieces.part(at, part.num_rows).coded(codes)
             at += part.num_rows
 
