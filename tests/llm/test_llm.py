@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meterfold.llm import bpe, chat, decontamination, html_text, jaccard_join, quality_classifier, quality_rules, token_counts, token_files, toxicity
 from meterfold.llm.common import dim_join, scratch
+from meterfold.llm.groups import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 ODD = [
@@ -78,6 +79,40 @@ def test_replay_on_random_pieces():
     assert [np.frombuffer(x, "<u4").tolist() for x in merges.encode(pieces)] == [enc.encode_single_piece(p) if hasattr(enc, "encode_single_piece") else enc._encode_single_piece(p.encode()) for p in pieces]
 
 
+def test_vocabulary_is_the_corpus(spark, docs):
+    """The pieces that recur most, with the library's codes; the same ids come out whatever tasks get of them."""
+    enc, counts = tiktoken_encoding(), defaultdict(int)
+    import regex
+
+    for r in docs.collect():
+        for p in regex.findall(P.PATTERN, r.text or ""):
+            counts[p] += 1
+    want = sorted((p for p, n in counts.items() if n > 1), key=lambda p: (-counts[p], p.encode()))[:300]
+    got = bpe.vocabulary(docs, RANKS, P.PATTERN, head=300).collect()
+    assert sorted(r.piece for r in got) == sorted(want)
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(r.piece) for r in got)
+
+
+def test_remembered_codes_are_the_same_after_forgetting():
+    from meterfold.llm.ragged import Remembered
+    import pyarrow as pa
+
+    seen = []
+
+    def encode(words):
+        seen.extend(words)
+        return [np.arange(len(w), dtype="<u4").tobytes() for w in words]
+
+    code, rng = Remembered(encode, limit=20, known=(pa.array(["stays"]), np.arange(5, dtype="<u4"), np.array([5]))), np.random.default_rng(5)
+    for _ in range(60):
+        words = pa.array(sorted({"w" * int(k) for k in rng.integers(0, 40, 12)} | {"stays", "often"}))
+        got = code(words)
+        for w, a, n in zip(words.to_pylist(), got.starts, got.lengths, strict=True):
+            assert got.flat[a : a + n].tolist() == list(range(len(w)))
+        assert len(code.pieces) <= 1 + 20 + len(words)
+    assert "stays" not in seen and seen.count("often") == 1
+
+
 def test_token_files(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -97,6 +132,21 @@ def test_token_files(spark, odd, none):
     assert token_files.read(token_files.write(none, JSON, P.PATTERN, folder), folder).count() == 0
 
 
+def test_equal_rows_are_split_over_files(spark):
+    df = spark.createDataFrame([(None, "same words")] * 400 + [(5, "same words")] * 400, SCHEMA).repartition(8)
+    folder, together = scratch(spark, "test-files"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(together, "false")
+    try:
+        files = token_files.write(df, JSON, P.PATTERN, folder)
+    finally:
+        spark.conf.unset(together)
+    assert files.count() > 2 and files.selectExpr("max(n_docs)").first()[0] < 500
+    rows = token_files.read(files, folder).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 400 + [5] * 400 and rows[-1].start == sum(r.n_tokens for r in rows[:-1])
+    with pytest.raises(ValueError):
+        token_files.write(df.selectExpr("cast(doc_id as string) as doc_id", "text"), JSON, P.PATTERN, folder)
+
+
 def test_damaged_frame_is_found(tmp_path):
     path = tmp_path / "x.zst"
     w = token_files.FileWriter(open(path, "wb"))
@@ -130,6 +180,16 @@ def test_token_counts(odd, none, docs):
     assert token_counts.count_tokens(none, MODEL).count() == 0
 
 
+def test_token_counts_of_long_sequences():
+    import sentencepiece
+
+    sp, merges = sentencepiece.SentencePieceProcessor(model_file=MODEL), token_counts.PieceMerges(MODEL)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("etaoinsrhé漢"), n)) for n in (159, 160, 161, 1000, 5000)] + ["a" * 1001, "=-" * 700, "the" * 900, "漢字" * 400, "0123456789" * 120, "x"]
+    texts += ["".join(rng.choice(list("aeinrst-="), n)) for n in rng.integers(2, 60, 300)]
+    assert merges.count([" " + t for t in texts]).tolist() == [len(sp.encode(t)) for t in texts]
+
+
 def brute(docs):
     """Classes and links by comparing n-gram sets that share an n-gram."""
     sets, index = {}, defaultdict(list)
@@ -178,6 +238,13 @@ def test_jaccard_join_on_odd_rows(odd, none):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+def test_components_of_a_long_path(spark):
+    edges = spark.range(700).select((F.col("id") * 7919 % 701).alias("u"), ((F.col("id") + 1) * 7919 % 701).alias("v"))
+    assert [r.component for r in components(edges).select("component").distinct().collect()] == [0]
+    with pytest.raises(RuntimeError):
+        components(edges, rounds=2)
+
+
 def test_pruning_bounds():
     p = jaccard_join.Params()
     needs = dict(jaccard_join.least_matches(p))
@@ -193,15 +260,98 @@ HTML = """<!doctype html><html><head><title>t</title><style>p{}</style></head><b
 
 def test_html(spark):
     rows = [(1, "https://h.example/a", HTML), (2, None, None), (3, "nohost", ""), (4, "x", "<p>a<<b <!-- no end")]
-    rows += [(10 + k, "http://H.example:80/", f"<body><div>Same banner</div><p>Own text {k}</p></body>") for k in range(6)]
-    rows += [(30, "http://h.example/", "<body><div>Same banner</div><p>Own text 0</p></body>")]
+    rows += [(10 + k, "http://H.example:80/", f"<body><div>Same banner</div><p>Own text of page {k}</p></body>") for k in range(6)]
+    rows += [(30, "http://h.example/", "<body><div>Same banner</div><p>Own text of page 0</p></body>")]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("host", F.lit(1))).collect()}
     assert got[1].text == "Title & more\n\nFirst bold text goes on\n\nSecond\n\none\n\ntwo" and got[1].n_chars == len(got[1].text)
     assert got[2].text == got[3].text == "" and got[4].text == "a<<b"
-    assert all(got[10 + k].text == f"Own text {k}" for k in range(6)) and got[30].text == "Own text 0"
+    assert all(got[10 + k].text == f"Own text of page {k}" for k in range(6)) and got[30].text == "Own text of page 0"
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def html_of(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def prose(rng, n=40):
+    return " ".join(rng.choice(WORDS, n)) + f" {rng.integers(1 << 30)}"
+
+
+def test_html_templates_alone_give_the_text(spark):
+    """Pages without article, and with nothing that names its unwanted parts: the site's recurring blocks go from each, rotating ones too."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for k in range(60):
+        own = [prose(rng) for _ in range(3)]
+        top, turn = "<div><p>Welcome to our site</p><p>All you can read</p></div>", f"<section>Buy thing {k % 12} today</section>"
+        rows.append((k, "https://h.example/x", f"<body>{top}<div><h2>{own[0]}</h2><p>{own[1]}</p>{turn}<p>{own[2]}</p></div><div>Written by the team of this site</div></body>"))
+        want[k] = "\n\n".join(own)
+    rows.append((100, "https://h.example/y", "<div><p>Welcome to our site</p><p>All you can read</p></div>Short one"))
+    rows.append((101, "https://other.example/", rows[0][2]))
+    got = html_of(spark, rows)
+    assert {k: got[k] for k in want} == want and got[100] == "Short one"
+    assert got[101].startswith("Welcome to our site\n\nAll you can read") and "Buy thing 0 today" in got[101]
+
+
+def test_html_near_copies_are_no_template(spark):
+    """Near copies of an article, in article elements or not, and exact ones keep what they share; so do quoted passages in articles."""
+    rng = np.random.default_rng(8)
+    body, rows, want = [prose(rng, 60) for _ in range(8)], [], {}
+    for k in range(20):
+        own = list(body)
+        own[int(rng.integers(8))] += f" edited {k}"
+        inner = f"<h1>Title {k}</h1>" + "".join(f"<div><p>{b}</p></div>" for b in own)
+        rows.append((k, "https://h.example/a", f"<body><article>{inner}</article></body>" if k % 2 else f"<body><div>{inner}</div></body>"))
+        rows.append((50 + k, "https://h.example/a", rows[0][2]))
+        want[k] = "\n\n".join([f"Title {k}", *own])
+        want[50 + k] = want[0]
+    quoted = prose(rng, 30)
+    for k in range(20):
+        own = prose(rng, 60)
+        rows.append((100 + k, "https://q.example/a", f"<article><p>{own}</p><p>{quoted}</p></article>"))
+        want[100 + k] = f"{own}\n\n{quoted}"
+    assert html_of(spark, rows) == want
+
+
+def test_html_template_counts_are_brute_force(spark, sf_dir):
+    pages = [(k, f"https://{'ab'[k % 2]}.example/", "".join(f"<div>block {j} of {k % 2}</div>" for j in range(6) if (k * 7 + j * 3) % 5 < 2) + f"<p>{'own words ' * (k % 9)}{k}</p>") for k in range(40)]
+    found, own = defaultdict(set), {}
+    for k, url, html in pages:
+        blocks = html_text.subtrees(html_text.parse(html))
+        own[k] = [(url, h, size) for _, h, size, _ in blocks]
+        for _, h, _, _ in blocks:
+            found[url, h].add(k)
+    shared = {k: sum(size for url, h, size in b if len(found[url, h]) >= 5) for k, b in own.items()}
+    voters = {k for k, b in own.items() if 2 * shared[k] <= sum(size for *_, size in b)}
+    want = {(url.split("/")[2], h) for (url, h), at in found.items() if len(at & voters) >= 5 and len(at) >= 5}
+    rows = [(k, url.split("/")[2], e, h, size, able) for k, url, html in pages for e, h, size, able in html_text.subtrees(html_text.parse(html))]
+    df = spark.createDataFrame(rows, "page long, host string, element int, hash long, size long, able boolean")
+    got = {(r.host, r.hash) for r in html_text.templates(df, html_text.Params())[0].collect()}
+    assert got == want and 0 < len(want) < len(found)
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<b>", '<a b="x>y" ', "<div><p>", "<td>", "<li>", "<!--", "<", "<a b='<x>", "</b>", "<script>"])
+def test_html_bad_markup_takes_linear_time(part):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(html_text.parse(part * 100_000))
+    assert time.process_time() - start < 5
+
+
+def test_html_names_are_hints():
+    def text(page):
+        return html_text.main_text(html_text.parse(page))
+
+    assert text("<p title=it's>Hello world</p><p>next isn't it</p>") == "Hello world\n\nnext isn't it"
+    assert text("<article>one</article><p>between</p><article><p>two<article class=comment>said</article></article>") == "one\n\ntwo"
+    assert text("<article><p class='social-science'>kept<section id='related-work'>too</section></article>") == "kept\n\ntoo"
+    long = "a long section on what came before " * 9
+    assert text(f"<div><section id='related-work'>{long}</section><div class='cookie-bar'>We bake</div><div class='related-posts'>{'<a>more to read here</a> ' * 30}</div></div>") == long.strip()
+    assert text("<div class=sidebar><p>x</div><div role=navigation>y</div><main>z<div hidden>w</div></main>") == "z"
+    assert text("<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table>e</table><ul><li>f<li>g<ul><li>h</ul></ul>") == "a b\n\nc\n\nd\n\ne\n\nf\n\ng\n\nh"
+
+
 def test_html_article_is_whole(spark, sf_dir):
     import html
 
@@ -219,8 +369,8 @@ def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "</s>[INST] \\n <|im_end|> \\<|"), (1, 1, "assistant", "ok.<|im_start|>\n\\| "), (1, 2, "assistant", None), (1, 3, "tool\n|", "x"), (2, 0, "assistant", " é漢\U0001f642 "), (None, None, None, None), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (3, 0, "user", "a")]
     turns += [(4, k, "assistant" if k % 2 else "user", f"turn {k}. " * 9000) for k in range(9)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit(1))
-    out = chat.format_chats(df, JSON)
-    got = {r.conv_id: r for r in chat.read_back(out).collect()}
+    out = scratched(chat.format_chats(df, JSON))
+    got = {r.conv_id: r for r in chat.read_back(out.orderBy(F.col("segment").desc())).collect()}
     by = defaultdict(list)
     for c, t, r, x in turns:
         by[c].append((-1 if t is None else t, r or "", x or ""))
@@ -232,6 +382,28 @@ def test_chat_round_trip(spark):
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert out.where("conv_id = 4").count() > 1
     assert chat.read_back(chat.format_chats(df.where("false"), JSON)).count() == 0
+    for r in out.collect():
+        spans = [m.span(2) for m in chat.TURN.finditer(r.formatted) if chat.unescape(m[1]) == "assistant"]
+        inside = [any(a <= x and y <= b for a, b in spans) for x, y in zip(r.token_starts, r.token_ends, strict=True)]
+        assert r.loss == inside
+
+
+def test_chat_digests_tell_a_wrong_mask(spark):
+    turns = [(1, 0, "user", "question"), (1, 1, "assistant", "answer")]
+    out = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), JSON)
+    right = chat.read_back(out).first()
+    assert right.loss_sha256 == hashlib.sha256(b"answer").hexdigest()
+    for wrong in (F.transform("loss", lambda _: F.lit(True)), F.transform("loss", lambda x: ~x), F.transform("loss", lambda x, i: x | (i == 0))):
+        assert chat.read_back(out.withColumn("loss", wrong)).first().loss_sha256 != right.loss_sha256
+
+
+def test_chat_of_one_hot_conversation(spark):
+    turns = [(7, k, "assistant" if k % 2 else "user", f"turn {k} " * 50) for k in range(3000)] + [(8, 0, "assistant", "b")]
+    out = scratched(chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), JSON))
+    assert out.where("conv_id = 7").count() > 2
+    got = {r.conv_id: r for r in chat.read_back(out).collect()}
+    loss = "".join(x for c, _, r, x in turns if c == 7 and r == "assistant")
+    assert (got[7].n_turns, got[7].loss_sha256) == (3000, hashlib.sha256(loss.encode()).hexdigest()) and got[8].loss_chars == 1
 
 
 def base_rules(text):
@@ -319,6 +491,47 @@ def test_quality_bands_hold_against_a_hot_source(spark):
     assert all(r.kept == (r.doc_id < 10_000) for r in got)
 
 
+def test_quality_bands_are_brute_force(spark, docs):
+    """Bands and verdicts of all metrics by plain loops over the measured rows."""
+    p, rng = quality_rules.Params(), np.random.default_rng(9)
+    row = "n_words long, n_repeat_words long, n_tokens long, piece_chars double, byte_chars double, fallback double, evenness double"
+    rows = [(k, "xy"[k % 2], int(rng.integers(5, 400)), int(rng.integers(0, 30)), int(2 ** rng.uniform(1, 10)), float(rng.gamma(4, 1)), float(rng.gamma(9, 0.5)) * (40 if k % 97 == 0 else 1), float(rng.beta(1, 30)), float(rng.beta(20, 4))) for k in range(900)]
+    measured = spark.createDataFrame(rows, f"doc_id long, lang string, {row}")
+    got = {r.doc_id: r.kept for r in quality_rules.judge(measured, quality_rules.bands(measured, p), p).collect()}
+
+    def bin_of(metric, x):
+        if not metric.endswith("chars"):
+            return int(np.floor(x * p.bins))
+        return int(np.floor(x * p.bins / 5)) if x <= 20 else 4 * p.bins + int(np.floor(4 * p.bins * np.log(x / 20)))
+
+    names = [x.split()[0] for x in f"doc_id long, lang string, {row}".split(", ")]
+    table = [dict(zip(names, r, strict=True)) for r in rows]
+    for r in table:
+        r["failed"] = r["n_words"] < p.min_words or 100 * r["n_repeat_words"] > p.max_repeat_percent * r["n_words"]
+        r["size"] = int(np.floor(np.log2(max(1, r["n_tokens"]))))
+
+    def band(some, metric):
+        bins = sorted(bin_of(metric, r[metric]) for r in some)
+        q = [bins[int(np.ceil(x * len(bins))) - 1] for x in (0.25, 0.5, 0.75)]
+        unit = p.bins / 5 if metric.endswith("chars") else p.bins
+        times, few = p.even_reach if metric == "evenness" else p.reach, np.sqrt(1 + p.enough / len(bins))
+        return q[1], few * max(unit * p.least, times * (q[1] - q[0])), few * max(unit * p.least, times * (q[2] - q[1]))
+
+    good, verdicts = [r for r in table if not r["failed"]], {}
+    for r in table:
+        own, wider, kept = [x for x in good if x["lang"] == r["lang"]], np.sqrt(1 + p.slack / max(1, r["n_tokens"])), not r["failed"]
+        for m in quality_rules.METRICS:
+            some = [x for x in own if x["size"] == r["size"]] if m == "evenness" else own
+            mid, below, above = band(some if len(some) >= p.enough or m != "evenness" else own, m)
+            off = bin_of(m, r[m]) - mid
+            if m != "fallback" and off < -min(wider * below, mid / 2):
+                kept = False
+            if m != "evenness" and off > (wider * above if m.endswith("chars") else min(wider * above, (p.bins - mid) / 2)):
+                kept = False
+        verdicts[r["doc_id"]] = kept
+    assert got == verdicts and 0 < sum(verdicts.values()) < len(good)
+
+
 def test_quality_even_texts_need_their_own_length(spark):
     """An evenness that is usual for a long text is not for a short one."""
     row = "n_words long, n_repeat_words long, n_tokens long, piece_chars double, byte_chars double, fallback double, evenness double"
@@ -347,6 +560,31 @@ def test_toxicity_learns_and_holds_out(spark):
     assert [r.score for r in toxicity.toxicity(docs, flipped).orderBy("doc_id").collect()] == [r.score for r in sorted(got, key=lambda r: r.doc_id)]
 
 
+@pytest.mark.parametrize("shift", [0.0, -6.0])
+def test_toxicity_slope_is_that_of_the_risk(shift):
+    """By finite differences: of the whole risk, or against the second part where that is below zero."""
+    rng = np.random.default_rng(3)
+    z, n_p, prior = rng.normal(0, 1, 50), 12, 0.3
+    z[12:] += shift
+    first, second = toxicity.risk(z, n_p, prior)
+    loss = lambda x: np.log(1 + np.exp(-x))
+    assert np.isclose(first, prior * np.mean([loss(x) for x in z[:12]]))
+    assert np.isclose(second, np.mean([loss(-x) for x in z[12:]]) - prior * np.mean([loss(-x) for x in z[:12]])) and (second < 0) == (shift < 0)
+    for k in range(50):
+        step = np.zeros(50)
+        step[k] = 1e-6
+        a, b = (np.array(toxicity.risk(z + d * step, n_p, prior)) for d in (1, -1))
+        slope = (a - b) / 2e-6
+        assert np.isclose(toxicity.risk_slope(z, n_p, prior)[k], slope.sum() if second >= 0 else -slope[1], atol=1e-6)
+
+
+def test_toxicity_fits_one_row_a_key(spark):
+    rows = [(k, f"plain words {k % 7} here") for k in range(60)] + [(3, "bad thing")] * 500
+    labels = spark.createDataFrame([(k, int(k == 3)) for k in range(60)], "doc_id long, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(rows, SCHEMA), labels)
+    assert got.count() == len(rows) and got.where("score is null").count() == 0
+
+
 def test_toxicity_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (6, 0), (None, 1), (99, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(odd, labels).collect()
@@ -362,6 +600,42 @@ def test_quality_on_labels(spark, docs, sf_dir):
     assert got.where("(quality = 1) = kept").count() > 0.95 * got.count()
 
 
+def test_quality_on_held_out_labels(spark, sf_dir):
+    """A model that saw half of the labels, on the other half."""
+    folder = sf_dir.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    got = quality_classifier.quality(docs, labels.where(~unseen)).join(labels.where(unseen), "doc_id")
+    assert got.where("quality = 1 AND NOT kept").count() <= 0.02 * got.where("quality = 1").count()
+    assert got.where("(quality = 1) = kept").count() > 0.95 * got.count()
+
+
+def test_posteriors_are_brute_force(spark):
+    rng, p = np.random.default_rng(12), quality_classifier.Params()
+    rows = [(k, f"h{rng.integers(6)}", f"p{rng.integers(3)}", int(rng.integers(1, 1_000_000))) for k in range(300)] + [(400, "alone", "p0", 500_000)]
+    got = {r.key: r for r in quality_classifier.posteriors(spark.createDataFrame(rows, "key long, group_0 string, group_1 string, own long"), p).collect()}
+    own = {k: x / 1e6 for k, _, _, x in rows}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for k, h, q, _ in rows:
+        hosts[h].append(own[k])
+        paths[h, q].append(own[k])
+    mean = np.mean(list(own.values()))
+
+    def strength(groups):
+        n = np.array([len(g) for g in groups])
+        d = sum(len(g) * (np.mean(g) - mean) ** 2 for g in groups)
+        between = (d - (len(n) - 1) * mean * (1 - mean)) / (n.sum() - (n**2).sum() / n.sum())
+        return p.most_strength if between <= 0 else round(min(max(mean * (1 - mean) / between - 1, p.least_strength), p.most_strength), 3)
+
+    k_host, k_path = strength(hosts.values()), strength(paths.values())
+    for k, h, q, _ in rows:
+        host = (k_host * mean + sum(hosts[h]) - own[k]) / (k_host + len(hosts[h]) - 1)
+        path = (k_path * host + sum(paths[h, q]) - own[k]) / (k_path + len(paths[h, q]) - 1)
+        path_odds = min(max(path, p.clip), 1 - p.clip)
+        odds = own[k] / (1 - own[k]) * path_odds / (1 - path_odds) / (mean / (1 - mean))
+        assert np.allclose([got[k].host_rate, got[k].path_rate, got[k].posterior], [host, path, odds / (1 + odds)])
+
+
 def test_sites_pull_even_documents(spark):
     """Documents of even evidence follow their site; a site of one row follows the global rate."""
     rows = [(k, "bad", "", 50_000) for k in range(40)] + [(100 + k, "good", "", 950_000) for k in range(200)] + [(500, "bad", "", 500_000), (501, "good", "", 500_000), (502, "new", "", 500_000)]
@@ -418,6 +692,43 @@ def test_leaks_find_whole_items_of_any_kind(spark):
     assert set(got) == {(k, k) for k in whole} | {(31, 3), (32, 4)} and all(r.verbatim for r in got.values())
 
 
+ASKED = {
+    "en": ["If {0} buys {1} apples and {2} gives away {3} of them each day, after how many days does {0} have no apples left in the basket?", "A train leaves {0} at {1} and travels {2} km to {4}, how long does the whole journey take if it stops for {3} minutes on the way?", "The shop of {0} sells {1} lamps for {2} dollars each and {3} chairs at half of that price, what does it earn in all?"],
+    "de": ["Wenn {0} heute {1} rote Bücher kauft und {2} davon {3} an die alte Schule verschenkt, wie viele bleiben ihr dann noch für den nächsten Tag übrig?", "Ein Zug fährt um {1} Uhr in {0} los und legt {2} km bis nach {4} zurück, wie lange dauert die ganze Fahrt, wenn er {3} Minuten unterwegs hält?", "Im Laden von {0} kosten {1} kleine Lampen zusammen {2} Euro und {3} große Stühle halb so viel, was nimmt er damit insgesamt ein?"],
+    "fr": ["Si {0} achète {1} pommes et que {2} en donne {3} chaque jour, après combien de jours ne reste-t-il plus de pommes dans le panier ?", "Un train part de {0} à {1} heures et parcourt {2} km jusqu'à {4}, combien de temps dure le trajet entier s'il s'arrête {3} minutes en route ?", "La boutique de {0} vend {1} lampes à {2} euros chacune et {3} chaises à la moitié de ce prix, combien gagne-t-elle en tout ?"],
+    "es": ["Si {0} compra {1} manzanas y {2} regala {3} de ellas cada día, ¿después de cuántos días no quedan manzanas en la cesta de la casa?", "Un tren sale de {0} a las {1} y recorre {2} km hasta {4}, ¿cuánto dura el viaje entero si se detiene {3} minutos en el camino?", "La tienda de {0} vende {1} lámparas a {2} euros cada una y {3} sillas a la mitad de ese precio, ¿cuánto gana en total?"],
+}
+
+
+def test_leaks_find_asked_again(spark):
+    """Items with other names and numbers, in four languages: nine of ten are found, and none where the same value stands for two."""
+    names, numbers = ["Olga", "Ivan", "Lena", "Karl", "Porto", "Basel", "Riga"], [7, 31, 45, 12, 90, 8, 64, 23]
+    items, docs, rng = [], [], np.random.default_rng(1)
+    for k, (lang, asked) in enumerate((lang, a) for lang, some in ASKED.items() for a in some):
+        fill = lambda: [*(str(x) for x in (rng.choice(names[:4]), *rng.choice(numbers, 3, replace=False))), str(rng.choice(names[4:]))]
+        items.append((k, asked.format("Maria", "15", "28", "4", "Lyon")))
+        docs += [(100 * k + j, f"Something else before. {asked.format(*fill())} And after it.") for j in range(10)]
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(d // 100 == i for d, i in got)
+    for k, lang in enumerate(ASKED):
+        assert sum((d, d // 100) in got for d, _ in docs if d // 300 == k) >= 27, lang
+
+
+def test_leaks_tell_operators_apart(spark):
+    items = spark.createDataFrame([(1, "Compute 48 / 6 + 7"), (2, "What is 12 + 7?"), (3, "Compute 3 times 4.")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "now compute 48 / 6 + 7 at once"), (2, "compute 48 * 6 - 7"), (3, "so what is 12 + 7 then"), (4, "what is 12 - 7"), (5, "and compute 3 times 4 here"), (6, "12 + 7")], SCHEMA)
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, items).collect()} == {(1, 1), (3, 2), (5, 3)}
+
+
+def test_leaks_of_shared_windows(spark):
+    """Windows that all items share don't make candidates, and each document still gets its own item."""
+    common = "please read the following short text with care and then answer the question that stands below it in one sentence"
+    own = [" ".join(np.random.default_rng(k).choice(WORDS, 25)) for k in range(30)]
+    items = spark.createDataFrame([(k, f"{common} {t}") for k, t in enumerate(own)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{common} {own[k]} end") for k in range(30)] + [(100 + k, f"{common} nothing of these {k}") for k in range(50)], SCHEMA)
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, items).collect()} == {(k, k) for k in range(30)}
+
+
 def test_leaks_are_the_benchmarks_passages(spark, docs, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts, known = {r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in items.collect()}
@@ -426,7 +737,7 @@ def test_leaks_are_the_benchmarks_passages(spark, docs, sf_dir):
 
 
 def test_salted_join(spark, monkeypatch):
-    monkeypatch.setattr("meterfold.llm.common.is_small", lambda df: False)
+    monkeypatch.setattr("meterfold.llm.common.is_small", lambda *a, **k: False)
     left = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     dim = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
     got = dim_join(left, dim, ["k"]).groupBy("v").count().collect()
