@@ -331,9 +331,10 @@ for _name, _row, _sql in (
     ("manual_run", P.manual_run, "trigger_source IS NULL OR trigger_source IN ('chat', 'api', 'mcp')"),
 ):
     add(_name, lambda s, r=_row: s.events.groupBy("event_type", r().alias("flag")).agg(measure("events")), f"SELECT event_type, {_sql} AS flag, COUNT(*) AS events FROM ev GROUP BY 1, 2")
-add("user_label", QUERIES["join_user"], ORACLE["join_user"].removeprefix(with_events("")))
-add("join_conversation", QUERIES["private_chat_name"], ORACLE["private_chat_name"].removeprefix(with_events("")))
-add("join_version", QUERIES["version_label"], ORACLE["version_label"].removeprefix(with_events("")))
+# the same joins over other rows: all actors, another reader, every version without a stored name
+add("user_label", lambda s: pages.join_user(report(s.events, "model", ["user_id"], ["llm_calls", "stored_email"]), s.users), f"SELECT t.user_id, t.llm_calls, {_USER_LABEL} FROM ({report_sql('model', ['user_id'], ['llm_calls', 'stored_email'])}) t LEFT JOIN users u ON u.user_id = t.user_id")
+add("join_conversation", lambda s: pages.join_conversation(report(s.events, "chats", ["conversation_id", "user_id"], ["runs"]), s.conversations, USER + 4), f"SELECT t.*, {_CHAT_LABEL.replace(f'<> {USER} ', f'<> {USER + 4} ')} FROM ({report_sql('chats', ['conversation_id', 'user_id'], ['runs'])}) t LEFT JOIN conversations c ON c.uuid = t.conversation_id")
+add("join_version", lambda s: pages.join_version(report(s.events, "all", ["root_entity_version_id", "root_entity_type"], ["events"]), s.versions), f"SELECT t.*, COALESCE(v.version_name, CASE WHEN t.root_entity_version_id IS NOT NULL THEN CONCAT('Version #', CAST(t.root_entity_version_id AS VARCHAR)) END) AS version_label FROM ({report_sql('all', ['root_entity_version_id', 'root_entity_type'], ['events'])}) t LEFT JOIN versions v ON v.version_id = t.root_entity_version_id")
 add("bucket", lambda s: s.events.where(FILTERS["model"][0]()).groupBy(C.bucket("week").alias("b")).agg(measure("events")).select(F.col("b").cast("string").alias("start"), C.bucket_end("week", F.col("b")).cast("string").alias("finish"), "events"), f"SELECT CAST(b AS VARCHAR) AS start, CAST(CAST(b + INTERVAL 7 DAY AS DATE) AS VARCHAR) AS finish, events FROM (SELECT CAST(date_trunc('week', ts) AS DATE) AS b, COUNT(*) AS events FROM ev WHERE {FILTERS['model'][1]} GROUP BY 1)")
 add("period_start", lambda s: s.events.groupBy(*[C.bucket(g).cast("string").alias(g) for g in ("day", "week", "month")]).agg(measure("events")), "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week, CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS month, COUNT(*) AS events FROM ev GROUP BY 1, 2, 3")
 add("cost_usd", lambda s: report(s.events, "model", ["model_name"], ["cost_nano"]).select("model_name", C.cost_usd(F.col("cost_nano")).alias("cost_usd")), f"SELECT model_name, round_even(cost_nano / 1e9, 9) AS cost_usd FROM ({report_sql('model', ['model_name'], ['cost_nano'])})")

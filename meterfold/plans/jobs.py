@@ -24,7 +24,7 @@ TODAY = datetime.date(1997, 1, 1)
 
 # --- ingest
 add("dedupe_events", lambda s: I.dedupe_events(s.raw, "arrival").select("idempotency_key", "arrival", "event_type", "cost_nano_usd"), "SELECT idempotency_key, arrival, event_type, cost_nano_usd FROM raw WHERE arrival = 1")
-add("conform_events", lambda s: conform_events(s.raw).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("reasoning_tokens").alias("reasoning"), F.sum("cache_read_cost_nano_usd").alias("cache_cost"), F.count("role_snapshot").alias("roles"), F.sum("cost_nano_usd").alias("cost")), "SELECT event_type, COUNT(*) AS n, CAST(0 AS BIGINT) AS reasoning, CAST(0 AS BIGINT) AS cache_cost, CAST(0 AS BIGINT) AS roles, CAST(SUM(cost_nano_usd) AS BIGINT) AS cost FROM raw GROUP BY 1")
+add("conform_events", lambda s: conform_events(s.raw).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("reasoning_tokens").alias("reasoning"), F.sum("cache_read_cost_nano_usd").alias("cache_cost"), F.count("role_snapshot").alias("roles"), F.sum("cost_nano_usd").alias("cost")), "SELECT event_type, COUNT(*) AS n, CAST(0 AS BIGINT) AS reasoning, CAST(SUM(cache_read_cost_nano_usd) AS BIGINT) AS cache_cost, CAST(0 AS BIGINT) AS roles, CAST(SUM(cost_nano_usd) AS BIGINT) AS cost FROM raw GROUP BY 1")
 
 
 def run_ids(s: Store) -> DataFrame:
@@ -119,8 +119,11 @@ FROM (SELECT idempotency_key AS call_id, dialect, dialect LIKE '%.chat' AS chat,
 add("billable_input", lambda s: s.events.select("idempotency_key", billable_input(F.col("project_id") % 2 == 0, F.col("input_tokens"), F.col("cache_read_tokens") * 3, F.col("cache_creation_tokens")).alias("billable")), "SELECT idempotency_key, GREATEST(0, CASE WHEN project_id % 2 = 0 THEN input_tokens - 3 * cache_read_tokens - cache_creation_tokens ELSE input_tokens END) AS billable FROM ev")
 PRICED = ["cost_nano_usd", "input_cost_nano_usd", "output_cost_nano_usd", "cache_read_cost_nano_usd", "cache_creation_cost_nano_usd"]
 _P = {"input_cost_nano_usd": "COALESCE(billable_input_tokens * input_rate, 0)", "output_cost_nano_usd": "COALESCE(output_tokens * output_rate, 0)", "cache_read_cost_nano_usd": "COALESCE(cache_read_tokens * COALESCE(cache_read_rate, input_rate), 0)", "cache_creation_cost_nano_usd": "COALESCE(cache_creation_tokens * COALESCE(cache_creation_rate, input_rate), 0)"}
-for _name in ("price_events", "join_price"):
-    add(_name, lambda s: I.price_events(s.events.where("event_type = 'llm'"), s.prices).select("idempotency_key", "cost_source", *PRICED), f"SELECT idempotency_key, CASE WHEN p.model_name IS NULL THEN 'unpriced' ELSE 'catalog' END AS cost_source, {' + '.join(_P.values())} AS cost_nano_usd, {', '.join(f'{v} AS {n}' for n, v in _P.items())} FROM ev LEFT JOIN prices p ON p.model_name = ev.model_name WHERE event_type = 'llm'")
+_PRICE = (
+    f"SELECT idempotency_key, ev.model_name, CASE WHEN p.model_name IS NULL THEN 'unpriced' ELSE 'catalog' END AS cost_source, {' + '.join(_P.values())} AS cost_nano_usd, {', '.join(f'{v} AS {n}' for n, v in _P.items())} FROM ev LEFT JOIN prices p ON p.model_name = ev.model_name WHERE event_type = 'llm'"
+)
+add("price_events", lambda s: I.price_events(s.events.where("event_type = 'llm'"), s.prices).select("idempotency_key", "cost_source", *PRICED), f"SELECT idempotency_key, cost_source, {', '.join(PRICED)} FROM ({_PRICE})")
+add("join_price", lambda s: I.price_events(s.events.where("event_type = 'llm'"), s.prices).groupBy("model_name", "cost_source").agg(F.count("*").alias("calls"), F.sum("cost_nano_usd").alias("cost_nano")), f"SELECT model_name, cost_source, COUNT(*) AS calls, CAST(SUM(cost_nano_usd) AS BIGINT) AS cost_nano FROM ({_PRICE}) GROUP BY 1, 2")
 add("estimate_cost", lambda s: I.estimate_cost(s.events.where("event_type = 'llm'").select("idempotency_key", "model_name", (F.col("input_tokens") * 4 + 3).alias("body_bytes"), F.when(F.col("output_tokens") % 2 == 0, F.col("output_tokens")).alias("max_tokens"), F.lit(0).alias("max_completion_tokens"), F.lit(None).cast("long").alias("max_output_tokens")), s.prices, cap_nano=400_000).select("idempotency_key", "estimate_nano"), "SELECT idempotency_key, LEAST(COALESCE(input_tokens * input_rate + CASE WHEN output_tokens % 2 = 0 AND output_tokens > 0 THEN output_tokens ELSE 4096 END * output_rate, 0), 400000) AS estimate_nano FROM ev LEFT JOIN prices p ON p.model_name = ev.model_name WHERE event_type = 'llm'")
 
 
@@ -173,8 +176,8 @@ def stale_counters(s: Store) -> DataFrame:
 _STALE = _COUNTERS.replace("FROM ev WHERE", "FROM ev WHERE trigger_source IS DISTINCT FROM 'webhook' AND")
 _KEYS = "project_id, user_id, period_kind, period_start, model_name"
 _DRIFT = f"SELECT {_KEYS}, " + ", ".join(f"COALESCE(f.{v}, 0) AS fact_{v}, COALESCE(k.{v}, 0) AS counter_{v}, COALESCE(f.{v}, 0) - COALESCE(k.{v}, 0) AS delta_{v}" for v in K.VALUES) + f" FROM ({_COUNTERS}) f FULL JOIN ({_STALE}) k USING ({_KEYS}) WHERE " + " OR ".join(f"COALESCE(f.{v}, 0) <> COALESCE(k.{v}, 0)" for v in K.VALUES)
-for _name in ("counter_drift", "drift_join"):
-    add(_name, lambda s: shown(K.counter_drift(counters(s), stale_counters(s))), _DRIFT)
+add("counter_drift", lambda s: shown(K.counter_drift(counters(s), stale_counters(s))), _DRIFT)
+add("drift_join", lambda s: shown(K.counter_drift(stale_counters(s), counters(s)).groupBy("project_id", "period_start").agg(F.count("*").alias("keys"), F.sum((F.col("fact_call_count") == 0).cast("long")).alias("missing"), F.sum("delta_cost_nano_usd").alias("delta_nano"))), f"SELECT project_id, period_start, COUNT(*) AS keys, COUNT(*) FILTER (WHERE counter_call_count = 0) AS missing, CAST(-SUM(delta_cost_nano_usd) AS BIGINT) AS delta_nano FROM ({_DRIFT}) GROUP BY 1, 2")
 add("counter_totals", lambda s: shown(stale_counters(s).where(F.col("model_name") == "")), f"SELECT * FROM ({_STALE}) WHERE model_name = ''")
 add("counter_repair", lambda s: shown(K.counter_repair(stale_counters(s), K.counter_drift(counters(s), stale_counters(s)))), _COUNTERS)
 
@@ -227,7 +230,8 @@ def all_scopes(s: Store) -> DataFrame:
 _SCOPES = f"SELECT c.project_id, c.user_id, CASE WHEN c.user_id = 0 THEN 'project' ELSE 'member' END AS scope, c.cost_nano_usd AS spent_nano, CASE WHEN c.user_id = 0 THEN l.project_limit_nano ELSE l.member_limit_nano END AS limit_nano, l.enabled, CASE WHEN l.is_personal THEN 60 ELSE 75 END AS threshold FROM ({_COUNTERS}) c JOIN limits l ON l.project_id = c.project_id WHERE c.period_start = '{M}' AND c.model_name = ''"
 _USED = "spent_nano * 100 / limit_nano"
 _LEVEL = f"CASE WHEN limit_nano > 0 AND {_USED} >= threshold AND {_USED} < 100 THEN GREATEST(threshold, CASE WHEN {_USED} >= 95 THEN 95 WHEN {_USED} >= 90 THEN 90 ELSE 0 END) END"
-for _name in ("budget_state", "budget_percent", "redact_amounts"):
+add("budget_percent", lambda s: budget_state(all_scopes(s)).groupBy("scope").agg(F.max("percent").alias("most"), F.sum((F.col("percent") >= 100).cast("long")).alias("over"), F.sum(F.col("percent").isNull().cast("long")).alias("unlimited")), f"SELECT scope, MAX(percent) AS most, CAST(SUM(CASE WHEN percent >= 100 THEN 1 WHEN percent < 100 THEN 0 END) AS BIGINT) AS over, COUNT(*) FILTER (WHERE percent IS NULL) AS unlimited FROM (SELECT scope, CASE WHEN limit_nano > 0 THEN round_even({_USED}, 2) END AS percent FROM ({_SCOPES})) GROUP BY 1")
+for _name in ("budget_state", "redact_amounts"):
     _hide = _name == "redact_amounts"
     _money = "" if _hide else "spent_nano, limit_nano, CASE WHEN limit_nano IS NOT NULL THEN GREATEST(0, limit_nano - spent_nano) END AS remaining_nano, "
     add(_name, lambda s, h=_hide: C.redact_amounts(budget_state(all_scopes(s)).withColumnRenamed("spent_nano", "spent_nano_cost" if h else "spent_nano"), not h), f"SELECT project_id, user_id, scope, {_money}CASE WHEN limit_nano > 0 THEN round_even({_USED}, 2) END AS percent FROM ({_SCOPES})")
@@ -305,8 +309,8 @@ _BEFORE = [" + ".join(["0", *[f"h{j}" for j in range(k)]]) for k in range(N + 1)
 _MEDIAN = "CASE WHEN runs <= 2 THEN cu_sum / runs " + " ".join(f"WHEN ({_BEFORE[k + 1]}) * 2 >= runs THEN {_EDGES[k]}::DOUBLE + (LEAST({_EDGES[k + 1] if k + 1 < N else 'cu_max'}, GREATEST(cu_max, {_EDGES[k]})) - {_EDGES[k]})::DOUBLE * (runs / 2.0::DOUBLE - ({_BEFORE[k]})) / h{k}" for k in range(N)) + " END"
 _ENTS = f"SELECT *, {_MEDIAN} AS cu_median, cu_sum / runs AS cu_avg FROM ({_ENT})"
 ENT = ["project_id", "root_entity_type", "root_entity_id", "runs", "cu_sum", "cu_max", "cu_median", "cu_avg"]
-for _name in ("complexity_entities", "median_lateral"):
-    add(_name, lambda s: X.complexity_entities(daily(s)).select(*ENT), f"SELECT {', '.join(ENT)} FROM ({_ENTS})")
+add("median_lateral", lambda s: daily(s).select("project_id", "root_entity_type", "root_entity_id", F.col("day").cast("string").alias("day"), X.histogram_median(F.col("histogram"), F.col("runs"), F.col("cu_sum"), F.col("cu_max")).alias("cu_median")), f"SELECT project_id, root_entity_type, root_entity_id, day, {_MEDIAN} AS cu_median FROM ({_DAILYC})")
+add("complexity_entities", lambda s: X.complexity_entities(daily(s)).select(*ENT), f"SELECT {', '.join(ENT)} FROM ({_ENTS})")
 _EXACT = f"SELECT project_id, root_entity_type, root_entity_id, COUNT(*) AS n, MAX(cu_total) AS mx, quantile_cont(cu_total, 0.5) AS md FROM ({_SCORED}) WHERE root_entity_id IS NOT NULL AND ts >= TIMESTAMP '1996-05-01' GROUP BY 1, 2, 3"
 add("complexity_summary", lambda s: X.complexity_summary(X.complexity_entities(daily(s)), scored(s).where(F.col("ts") >= F.lit(datetime.datetime(1996, 5, 1)))), f"SELECT r.project_id, r.root_entity_type, r.root_entity_id, CASE WHEN n >= runs THEN n ELSE runs END AS runs, CASE WHEN n >= runs THEN mx ELSE cu_max END AS cu_max, CASE WHEN n >= runs THEN md ELSE cu_median END AS cu_median, COALESCE(n >= runs, FALSE) AS exact FROM ({_ENTS}) r LEFT JOIN ({_EXACT}) e ON e.project_id = r.project_id AND e.root_entity_type = r.root_entity_type AND e.root_entity_id = r.root_entity_id")
 add("complexity_trend", lambda s: daily(s).where(f"project_id = {PROJECT}").groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("runs").alias("runs"), F.sum("cu_sum").alias("cu_sum"), F.max("cu_max").alias("cu_max")), f"SELECT day, CAST(SUM(runs) AS BIGINT) AS runs, SUM(cu_sum) AS cu_sum, MAX(cu_max) AS cu_max FROM ({_DAILYC}) WHERE project_id = {PROJECT} GROUP BY 1")

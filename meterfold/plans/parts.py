@@ -116,11 +116,11 @@ SQL_MEASURES = {
     "cost_nano": _s("cost_nano_usd"),
     "input_cost_nano": _s("input_cost_nano_usd"),
     "output_cost_nano": _s("output_cost_nano_usd"),
-    "cache_read_cost_nano": _s("0"),
-    "cache_creation_cost_nano": _s("0"),
+    "cache_read_cost_nano": _s("cache_read_cost_nano_usd"),
+    "cache_creation_cost_nano": _s("cache_creation_cost_nano_usd"),
     "eval_cost_nano": _s(f"CASE WHEN {_EVAL} THEN cost_nano_usd END"),
     "unpriced_calls": _n("cost_source = 'unpriced'"),
-    "unparsed_calls": "CAST(0 AS BIGINT)",
+    "unparsed_calls": _n("token_source = 'unparsed'"),
     "unresolved_input": _n("cost_source <> 'unpriced' AND input_tokens > 0 AND input_cost_nano_usd = 0"),
     "unresolved_output": _n("cost_source <> 'unpriced' AND output_tokens > 0 AND output_cost_nano_usd = 0"),
     "first_ms": "epoch_ms(MIN(ts))",

@@ -36,8 +36,11 @@ SELECT CONCAT('k-', CAST(ok AS TEXT), '-', CAST(ln AS TEXT)) AS idempotency_key,
   CASE WHEN kind <= 11 THEN q * 30 ELSE 0 END AS cache_read_tokens,
   CASE WHEN kind <= 11 THEN q * 10 ELSE 0 END AS cache_creation_tokens,
   CASE WHEN kind <= 11 THEN q * 7 ELSE 0 END AS output_tokens,
-  CASE WHEN kind <= 11 AND pk % 6 <> 5 AND q % 5 <> 0 THEN price * 6 ELSE 0 END AS input_cost_nano_usd,
+  CASE WHEN kind <= 11 AND pk % 6 <> 5 AND q % 5 <> 0 THEN price * 4 ELSE 0 END AS input_cost_nano_usd,
   CASE WHEN kind <= 11 AND pk % 6 <> 5 AND q % 5 <> 0 THEN price * 4 ELSE 0 END AS output_cost_nano_usd,
+  CASE WHEN kind <= 11 AND pk % 6 <> 5 AND q % 5 <> 0 THEN price * 1 ELSE 0 END AS cache_read_cost_nano_usd,
+  CASE WHEN kind <= 11 AND pk % 6 <> 5 AND q % 5 <> 0 THEN price * 1 ELSE 0 END AS cache_creation_cost_nano_usd,
+  CASE WHEN kind <= 11 AND ok % 23 = 0 THEN 'unparsed' WHEN kind <= 11 THEN 'provider' END AS token_source,
   CASE WHEN (kind <= 11 AND pk % 6 <> 5 AND q % 5 <> 0) OR kind = 19 THEN price * 10 ELSE 0 END AS cost_nano_usd,
   CASE WHEN pk % 6 = 5 THEN 'unpriced' ELSE 'catalog' END AS cost_source,
   CAST(ln * 250 + pk % 1000 AS INT) AS duration_ms,
