@@ -31,6 +31,7 @@ class Shape:
 _CHAT = (("usage.prompt_tokens",), ("usage.completion_tokens",), ("usage.prompt_tokens_details.cached_tokens",), ("usage.prompt_tokens_details.cache_creation_tokens",), ("usage.completion_tokens_details.reasoning_tokens",))
 _CHAT_PATH = r"/(chat/)?completions$"
 _METRICS = "amazon-bedrock-invocationMetrics"
+_INVOKED = (("inputTokenCount", "inputTokens", "input_tokens"), ("outputTokenCount", "outputTokens", "output_tokens"), ("cacheReadInputTokenCount", "cacheReadInputTokens", "cache_read_input_tokens"), ("cacheWriteInputTokenCount", "cacheWriteInputTokens", "cache_creation_input_tokens"), ("", "", ""))
 #: In the order in which they are tried, the specific before the general.
 SHAPES = {
     "wam.chat": Shape(_CHAT_PATH, _CHAT, True, provider="wam"),
@@ -42,7 +43,7 @@ SHAPES = {
     "openai.chat": Shape(_CHAT_PATH, _CHAT, True, body=r'"prompt_tokens"'),
     "anthropic.messages": Shape(r"/messages$", tuple((f"usage.{n}", f"message.usage.{n}") if n else () for n in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "")), False, body=r'"(cache_read_input_tokens|message_start)"'),
     "bedrock.converse": Shape(r"/converse(-stream)?$", tuple((f"usage.{n}", f"metadata.usage.{n}") if n else () for n in ("inputTokens", "outputTokens", "cacheReadInputTokens", "cacheWriteInputTokens", "")), False),
-    "bedrock.invoke": Shape(r"/invoke(-with-response-stream)?$", ((f"{_METRICS}.inputTokenCount", "usage.input_tokens", "message.usage.input_tokens"), (f"{_METRICS}.outputTokenCount", "usage.output_tokens"), (f"{_METRICS}.cacheReadInputTokenCount", "usage.cache_read_input_tokens"), (f"{_METRICS}.cacheWriteInputTokenCount", "usage.cache_creation_input_tokens"), ()), False),
+    "bedrock.invoke": Shape(r"/invoke(-with-response-stream)?$", tuple((f"{_METRICS}.{own}", f"usage.{camel}", f"usage.{snake}", f"message.usage.{snake}") if own else () for own, camel, snake in _INVOKED), False),
     "google.generate_content": Shape(r":(streamG|g)enerateContent$", (("usageMetadata.promptTokenCount",), ("usageMetadata.candidatesTokenCount",), ("usageMetadata.cachedContentTokenCount",), (), ("usageMetadata.thoughtsTokenCount",)), True, body=r'"usageMetadata"'),
 }
 MODEL = ("model", "message.model", "response.model", "modelVersion")
@@ -74,7 +75,7 @@ def _at(body: str, path: str) -> Column:
 
 
 def dialect_by_endpoint(endpoint: Column, provider: Column) -> Column:
-    path = F.substring_index(F.substring_index(endpoint, "#", 1), "?", 1)
+    path = F.regexp_replace(F.substring_index(F.substring_index(endpoint, "#", 1), "?", 1), "/+$", "")
     versioned = F.substring_index(endpoint, "#", 1).contains("api-version=")
     rules = []
     for name, s in SHAPES.items():
@@ -102,7 +103,8 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
 
     bodies: call_id, seq, endpoint, provider, payload (a JSON object). The shape follows from provider and endpoint, which
     all events of a call share, or else from the call's first body. Across a call's events the first input count, the last
-    output count, and the first count other than 0 of the others hold. Counts must be whole and not negative.
+    output count, and the first count other than 0 of the others hold. Counts must be whole and not negative. A model that
+    the path names comes before one that a body does.
 
     Each payload is parsed once. Events are read as their endpoint says, or, where it says nothing, as each shape that a
     body can tell; one aggregation a call keeps both, and the first body's shape then picks its reading.
@@ -143,7 +145,7 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
         value = F.when(F.col("_own").isNotNull(), F.col(f"_{count}")).otherwise(F.coalesce(*by_body))
         counts[count] = value if k < 2 else F.coalesce(value, F.lit(0))
     counts["output_tokens"] = F.when(F.col("dialect") == "openai.embeddings", F.coalesce(counts["output_tokens"], F.lit(0))).otherwise(counts["output_tokens"])
-    out = calls.select("call_id", "dialect", *[c.alias(n) for n, c in counts.items()], F.coalesce("_model", F.nullif("_path_model", F.lit(""))).alias("model_name"))
+    out = calls.select("call_id", "dialect", *[c.alias(n) for n, c in counts.items()], F.coalesce(F.nullif("_path_model", F.lit("")), "_model").alias("model_name"))
     inclusive = F.col("dialect").isin(*[n for n, s in SHAPES.items() if s.inclusive])
     source = F.when(F.col("input_tokens").isNull() | F.col("output_tokens").isNull(), "unparsed").otherwise("provider")
     return out.withColumn("billable_input_tokens", billable_input(inclusive, F.col("input_tokens"), F.col("cache_read_tokens"), F.col("cache_creation_tokens"))).withColumn("token_source", source)

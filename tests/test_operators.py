@@ -1,6 +1,9 @@
 """Known answers of single operators."""
 
+import base64
 import datetime
+import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +11,14 @@ from pyspark.sql import functions as F
 from meterfold.functions import columns as C
 from meterfold.functions.predicates import date_range
 from meterfold.operators import complexity as X
+from meterfold.operators import counters as K
 from meterfold.operators import ingest as I
 from meterfold.operators.wire import parse_bodies
 from meterfold.operators.page import collapse_tail, page
 from meterfold.schema import EVENT, conform_events
 from meterfold.sources.events import drop_months, expired_months, read_events, write_events
+from meterfold.sources.store import Store
+from meterfold.streaming import jobs as S
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -81,6 +87,101 @@ def test_wire_known_answers(spark):
     assert got["u"].token_source == "unparsed"
 
 
+CHAT = '{"model":"m","usage":{"prompt_tokens":100,"completion_tokens":7,"prompt_tokens_details":{"cached_tokens":30,"cache_creation_tokens":20},"completion_tokens_details":{"reasoning_tokens":2}}}'
+MESSAGE = '{"type":"message_start","message":{"model":"m","usage":{"input_tokens":100,"output_tokens":1,"cache_read_input_tokens":30,"cache_creation_input_tokens":20}}}'
+INVOKED = '{"amazon-bedrock-invocationMetrics":{"inputTokenCount":100,"outputTokenCount":7,"cacheReadInputTokenCount":30,"cacheWriteInputTokenCount":20}}'
+WIRE = [
+    # dialect, endpoint, provider, bodies in order, (input, output, cache read, cache creation, reasoning, billable), model
+    ("openai.chat", "https://x/v1/chat/completions?x=1", None, ['{"model":"m","choices":[]}', CHAT], (100, 7, 30, 20, 2, 50), "m"),
+    ("openai.chat", "https://x/v1/completions", None, [CHAT], (100, 7, 30, 20, 2, 50), "m"),
+    ("openai.chat", "https://x/proxy", None, [CHAT, "{}"], (100, 7, 30, 20, 2, 50), "m"),
+    ("azure.chat", "https://x/openai/deployments/d/chat/completions?api-version=2024", None, [CHAT], (100, 7, 30, 20, 2, 50), "m"),
+    ("ai_dial.chat", "https://x/openai/deployments/d/chat/completions", None, [CHAT], (100, 7, 30, 20, 2, 50), "m"),
+    ("ai_dial.chat", "https://dial.x/v1/chat/completions", None, [CHAT], (100, 7, 30, 20, 2, 50), "m"),
+    ("wam.chat", "https://x/v1/chat/completions", "wam", [CHAT], (100, 7, 30, 20, 2, 50), "m"),
+    ("anthropic.messages", "https://x/v1/messages", "wam", [MESSAGE, '{"usage":{"output_tokens":3}}', '{"usage":{"output_tokens":7}}'], (100, 7, 30, 20, 0, 100), "m"),
+    ("anthropic.messages", "https://x/proxy", None, [MESSAGE, '{"usage":{"output_tokens":7}}'], (100, 7, 30, 20, 0, 100), "m"),
+    ("openai.responses", "https://x/v1/responses", None, ['{"response":{"model":"m"}}', '{"response":{"usage":{"input_tokens":100,"output_tokens":7,"input_tokens_details":{"cached_tokens":30},"output_tokens_details":{"reasoning_tokens":2}}}}'], (100, 7, 30, 0, 2, 70), "m"),
+    ("openai.responses", "https://x/v1/images/edits", None, ['{"usage":{"input_tokens":100,"output_tokens":7}}'], (100, 7, 0, 0, 0, 100), None),
+    ("openai.embeddings", "https://x/v1/embeddings", None, ['{"model":"m","usage":{"total_tokens":100}}'], (100, 0, 0, 0, 0, 100), "m"),
+    ("bedrock.converse", "https://x/model/m.v1/converse-stream", None, ["{}", '{"metadata":{"usage":{"inputTokens":100,"outputTokens":7,"cacheReadInputTokens":30,"cacheWriteInputTokens":20}}}'], (100, 7, 30, 20, 0, 100), "m.v1"),
+    ("bedrock.invoke", "https://x/model/m.v1/invoke", None, [INVOKED], (100, 7, 30, 20, 0, 100), "m.v1"),
+    ("bedrock.invoke", "https://x/model/m.v1/invoke-with-response-stream", None, [json.dumps({"bytes": base64.b64encode(b.encode()).decode()}) for b in (MESSAGE, '{"usage":{"output_tokens":7}}')], (100, 7, 30, 20, 0, 100), "m.v1"),
+    ("google.generate_content", "https://x/models/m:generateContent", None, ['{"modelVersion":"m","usageMetadata":{"promptTokenCount":100,"candidatesTokenCount":5,"thoughtsTokenCount":2,"cachedContentTokenCount":30}}'], (100, 7, 30, 0, 2, 70), "m"),
+    ("ollama.native", "https://x/api/chat", None, ['{"model":"m","done":false}', '{"model":"m","prompt_eval_count":100,"eval_count":7}'], (100, 7, 0, 0, 0, 100), "m"),
+    (None, "https://x/other", None, ["{broken", '{"usage":{"prompt_tokens":1.5}}'], (None, None, 0, 0, 0, None), None),
+]
+
+
+def test_every_wire_shape(spark):
+    rows = [(str(k), seq, endpoint, provider, body) for k, (_, endpoint, provider, bodies, _, _) in enumerate(WIRE) for seq, body in enumerate(bodies)]
+    got = {int(r.call_id): r for r in parse_bodies(spark.createDataFrame(rows[::-1], "call_id string, seq long, endpoint string, provider string, payload string")).collect()}
+    for k, (dialect, *_, counts, model) in enumerate(WIRE):
+        r = got[k]
+        found = r.input_tokens, r.output_tokens, r.cache_read_tokens, r.cache_creation_tokens, r.reasoning_tokens, r.billable_input_tokens
+        assert (r.dialect, found, r.model_name) == (dialect, counts, model), WIRE[k][:3]
+        assert r.token_source == ("unparsed" if dialect is None else "provider")
+
+
+def test_bodies_are_parsed_in_one_shuffle(spark):
+    rows = spark.createDataFrame([("a", 0, "e", None, "{}")], "call_id string, seq long, endpoint string, provider string, payload string")
+    plan = parse_bodies(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_spend_reads_one_month(spark, sf_dir):
+    store = Store(spark, sf_dir)
+    plan = store.counters.where("period_start = DATE '1996-06-01'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period_start" in plan
+
+
+def test_breach_of_project_and_member(spark):
+    rows = [(1, 5, DAY + datetime.timedelta(hours=k), f"k{k}", 10, "llm", None) for k in range(6)] + [(1, 0, DAY + datetime.timedelta(days=1), "sys", 100, "llm", None), (1, 6, DAY, "free", 999, "llm", True)]
+    events = spark.createDataFrame(rows, "project_id long, user_id long, ts timestamp, idempotency_key string, cost_nano_usd long, event_type string, budget_exempt boolean")
+    limits = spark.createDataFrame([(1, 100, 35)], "project_id long, project_limit_nano long, member_limit_nano long")
+    got = {(r.user_id, r.idempotency_key, r.running_nano) for r in K.budget_breach(events, limits).collect()}
+    assert got == {(0, "sys", 160), (5, "k3", 40)}
+
+
+def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
+    """The same micro-batch twice, as after a failure behind its writes: the second overwrites what the first left."""
+    folders = [str(tmp_path / n) for n in ("events", "counters", "quarantine", "queue", "checkpoint")]
+    record = '{"ts":"2024-01-01T00:00:00Z","idempotency_key":"%s","project_id":1,"user_id":2,"event_type":"llm","cost_nano_usd":5,"arrival":%d}'
+    lines = [record % ("a", 1), record % ("b", 1), record % ("a", 2), "{broken"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folders[3])
+
+    def run():
+        S.ingest(spark, S.read_queue(spark, folders[3]), *folders[:3], folders[4], {"availableNow": True}).awaitTermination()
+        return S.read_landed(spark, folders[0]).count(), {(r.user_id, r.cost_nano_usd, r.call_count) for r in S.read_counters(spark, folders[1]).collect()}, S.read_letters(spark, folders[2]).count()
+
+    want = 2, {(0, 10, 2), (2, 10, 2)}, 1
+    assert run() == want
+    shutil.rmtree(tmp_path / "checkpoint" / "commits")
+    assert run() == want
+    letters = S.read_letters(spark, folders[2])
+    now = letters.first().quarantined_at
+    assert S.expired_letters(letters, now + datetime.timedelta(days=13)).count() == 0
+    old = [r.batch for r in S.expired_letters(letters, now + datetime.timedelta(days=15)).collect()]
+    S.drop_letters(spark, folders[2], old)
+    assert len(old) == 1 and not (tmp_path / "quarantine" / f"batch={old[0]}").exists()
+
+
+def test_reservations(spark, tmp_path):
+    """In time, late, never settled, and settled without a reservation."""
+    at = lambda m: DAY + datetime.timedelta(minutes=m)
+    reserves = spark.createDataFrame([(1, 2, "in", 10, at(0)), (1, 2, "late", 20, at(0)), (1, 3, "never", 30, at(0)), (9, 9, "end", 0, at(9999))], "project_id long, user_id long, call_id string, held_nano long, held_from timestamp")
+    settles = spark.createDataFrame([(1, 2, "in", 4, at(15)), (1, 2, "late", 8, at(16)), (1, 3, "alone", 16, at(5)), (9, 9, "end", 0, at(9999))], "project_id long, user_id long, call_id string, billed_nano long, billed_at timestamp")
+    streams = []
+    for name, df in (("r", reserves), ("s", settles)):
+        df.write.parquet(str(tmp_path / name))
+        streams.append(spark.readStream.schema(df.schema).parquet(str(tmp_path / name)))
+    S.open_reservations(*streams).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    calls = spark.read.parquet(str(tmp_path / "out")).where("project_id = 1")
+    got = lambda m: {r.user_id: (r.spent_nano, r.reserved_nano, r.late, r.ran_out) for r in S.balances(calls, at(m)).collect()}
+    assert got(10) == {2: (0, 30, 0, 0), 3: (16, 30, 1, 0)}
+    assert got(60) == {2: (12, 0, 1, 1), 3: (16, 0, 1, 1)}
+
+
 def test_score_known_answer(spark):
     runs = spark.createDataFrame([(1, "r", DAY, DAY, 12500, 4, 3)], "project_id long, run_id string, ts timestamp, last_event_at timestamp, peak_input_tokens long, llm_calls long, tool_calls long")
     counts = spark.createDataFrame([(1, "r", "kit__heavy", None, 2), (1, "r", "light", None, 1)], "project_id long, run_id string, tool_name string, toolkit_type string, calls long")
