@@ -166,6 +166,26 @@ def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     assert len(old) == 1 and not (tmp_path / "quarantine" / f"batch={old[0]}").exists()
 
 
+def test_compaction_keeps_the_events(spark, tmp_path):
+    events, queue = str(tmp_path / "events"), str(tmp_path / "queue")
+    for k in range(7):
+        lines = [f'{{"ts":"2024-0{1 + n % 3}-01T00:00:00Z","idempotency_key":"k{n}","project_id":1,"event_type":"llm","arrival":{k}}}' for n in range(k, k + 4)]
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(queue)
+    S.ingest(spark, S.read_queue(spark, queue, 1), events, str(tmp_path / "c"), str(tmp_path / "q"), str(tmp_path / "p"), {"availableNow": True}, compact_every=3).awaitTermination()
+    want = sorted(f"k{n}" for n in range(10))
+    got = lambda: sorted(r.idempotency_key for r in S.read_landed(spark, events).collect())
+    folders = lambda: sorted(x.name for x in (tmp_path / "events").iterdir() if not x.name.startswith("."))
+    assert got() == want and folders() == ["batch=5", "batch=6"]
+    # a failure while it was writing, and one before the old files were gone
+    (tmp_path / "events" / "_compact-5").mkdir()
+    S.finish_compaction(spark, events)
+    assert got() == want and folders() == ["batch=5", "batch=6"]
+    shutil.copytree(tmp_path / "events" / "batch=5", tmp_path / "events" / "_compact-5")
+    (tmp_path / "events" / "_compact-5" / "_SUCCESS").touch()
+    S.finish_compaction(spark, events)
+    assert got() == want and folders() == ["batch=5", "batch=6"]
+
+
 def test_reservations(spark, tmp_path):
     """In time, late, never settled, and settled without a reservation."""
     at = lambda m: DAY + datetime.timedelta(minutes=m)
