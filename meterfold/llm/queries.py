@@ -1,4 +1,8 @@
-"""The operators' queries, each over its whole tables; registered by the entry module when this package is there."""
+"""The operators' queries, each over its whole tables; registered by the entry module when this package is there.
+
+Null texts count as empty ones, an empty table gives no rows, repeated rows give a row each unless a query says otherwise,
+and other columns aren't carried; what else holds for odd rows stands at the operators themselves.
+"""
 
 from __future__ import annotations
 
@@ -13,28 +17,34 @@ from meterfold.llm.common import materialised, scratch, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of what they decode to, for every document."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position, size and checksum of every document, read from the token files that were written; ids are whole numbers, null ones come first."""
     folder = scratch(spark, "token-files")
     files = token_files.write(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN, folder)
     return token_files.with_checksum(token_files.read(files, folder))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, tokens and whether they are over the limit, for every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document, and whether it is kept; without labels of both kinds all evidence is even."""
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; a page without any has an empty one."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of its text under the loss mask, read back from the rows that were written."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
@@ -42,18 +52,22 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, copies that repeat an id included; a text without words is alone."""
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base rules and the verdict of the fertility bands, for every document."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by a model of the labels outside the held-out fold."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds; rows that share an id count as one."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -93,7 +93,7 @@ class Pieces:
         self.offsets = self.offsets - self.offsets[0]
         words = lists.flatten().dictionary_encode()
         self.index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.distinct: pa.StringArray = words.dictionary
+        self.distinct: pa.StringArray = words.dictionary.cast(pa.string())
 
     def part(self, at: int, n: int) -> Pieces:
         """Those of n documents from the one at at, with the same distinct pieces."""
