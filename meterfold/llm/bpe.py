@@ -5,8 +5,8 @@ are replayed over that vocabulary: an inverted index leads from each token pair
 are taken in rising order, a rank's places are merged at once in all words, and only the two neighbours of a place get
 new entries. The codes are written to Parquet, and every text is encoded against them.
 
-What tasks get of the vocabulary is bounded: the pieces that recur most, HEAD of them. The others, nearly all of which
-the corpus has a few times, are replayed by the same index in the task that meets them, over windows of millions of
+What tasks get of the vocabulary is bounded: the pieces that recur most, HEAD of them at most. The others, nearly all of
+which the corpus has a few times, are replayed by the same index in the task that meets them, over windows of a million
 pieces. A join of all rows with the whole vocabulary would give the same ids, as a piece's codes depend on nothing else.
 """
 
@@ -196,13 +196,21 @@ def replayer(path: str) -> MergeReplay:
 
 
 def vocabulary(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", head: int = HEAD) -> DataFrame:
-    """piece and ids (binary, little-endian 32-bit) of the head pieces that recur most in the corpus, replayed by hash partition.
+    """piece and ids (binary, little-endian 32-bit) of the pieces that recur most in the corpus, replayed by hash partition.
 
-    All pieces of all rows are counted; of equally frequent ones the lesser come first. A null text has none.
+    All pieces of all rows are counted. A histogram of the counts, eight bins a doubling, tells from which bin on there are
+    head pieces at most; so no task sorts them. A null text has none.
     """
     ship(docs.sparkSession)
     counts = docs.select(F.explode(pre_tokens(pattern, text)).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    often = materialised(counts.where("n > 1").orderBy(F.col("n").desc(), "piece").limit(head).select("piece"), "vocabulary")
+    counts = materialised(counts.where("n > 1").select("piece", F.floor(8 * F.log2("n")).cast("int").alias("bin")), "vocabulary")
+    least, size = None, 0
+    for r in sorted(counts.groupBy("bin").agg(F.count("*").alias("n")).collect(), reverse=True):
+        size += r.n
+        if size > head:
+            break
+        least = r.bin
+    often = counts.where(F.col("bin") >= least).select("piece") if least is not None else counts.where("false").select("piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, held = replayer(rank_file), [pa.array([], pa.string())]
