@@ -41,9 +41,12 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt tr figcaption".sp
 #: Elements and roles that don't belong to the article.
 DROPPED = frozenset("nav footer aside form script style noscript template head title iframe svg canvas button select textarea input object embed dialog menu search audio video math xmp noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Class names and ids that say so as they stand; as parts of longer names they are a hint only.
+#: Class names and ids that say so as they stand; beside other words than PLACES and PARTS they are a hint only.
 DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr newsletter subscribe subscription social share sharing comment comments disqus related recommended recommendations popup modal pagination pager skip notice notification".split())
 DROPPED_NAMES = frozenset(["header", "site-header", "page-header", "masthead", "topbar"])
+#: What stands before or behind such a word in the name of a part of a page, and leaves it what it is.
+PLACES = frozenset("site page post article entry main top bottom left right global primary secondary user reader content".split())
+PARTS = frozenset("area bar block box button buttons container content form group inner item items link links list outer panel posts section slot thread unit widget widgets wrap wrapper".split())
 COMMENTS = frozenset(["comment", "comments", "reply", "replies"])
 KEPT = frozenset(["html", "body", "main"])
 #: Characters from which an element is too long to go for a hint, unless half of it is links.
@@ -54,6 +57,7 @@ NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 REST = re.compile(r"""(?>[^>="']++|=\s*+(?:"[^"]*"|'[^']*')|[="'])*+>""")
 ATTRIBUTE = re.compile(r"""([^\s/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]++)))?""")
 TELLING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
+SEAMS = re.compile(r"[-_:]+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -96,8 +100,10 @@ def _named(tag: str, attributes: str) -> tuple[bool, bool, str]:
                         return True, False, ""
                 elif word in DROPPED_NAMES or word in DROPPED_WORDS:
                     return True, False, ""
-                elif tag not in PROSE and not DROPPED_WORDS.isdisjoint(re.split(r"[-_:]+", word)):
-                    hinted = True
+                elif not DROPPED_WORDS.isdisjoint(pieces := [x for x in SEAMS.split(word) if x and not x.isdigit()]):
+                    if all(x in DROPPED_WORDS or x in PLACES or x in PARTS for x in pieces):
+                        return True, False, ""
+                    hinted = hinted or tag not in PROSE
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and UNSEEN.search(value):
             return True, False, ""
     return False, hinted, main
