@@ -3,6 +3,7 @@
 import base64
 import datetime
 import json
+import math
 import shutil
 
 import pytest
@@ -19,6 +20,7 @@ from meterfold.schema import EVENT, conform_events
 from meterfold.sources.events import drop_months, expired_months, read_events, write_events
 from meterfold.sources.store import Store
 from meterfold.streaming import jobs as S
+from meterfold.streaming.commits import Commit, CommitLog, Run, to_merge
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -144,46 +146,183 @@ def test_breach_of_project_and_member(spark):
 
 
 def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
-    """The same micro-batch twice, as after a failure behind its writes: the second overwrites what the first left."""
-    folders = [str(tmp_path / n) for n in ("events", "counters", "quarantine", "queue", "checkpoint")]
+    """The same micro-batch twice, as after a failure behind its writes: the second changes nothing."""
+    root, queue, checkpoint = (str(tmp_path / n) for n in ("log", "queue", "checkpoint"))
     record = '{"ts":"2024-01-01T00:00:00Z","idempotency_key":"%s","project_id":1,"user_id":2,"event_type":"llm","cost_nano_usd":5,"arrival":%d}'
     lines = [record % ("a", 1), record % ("b", 1), record % ("a", 2), "{broken"]
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folders[3])
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(queue)
 
     def run():
-        S.ingest(spark, S.read_queue(spark, folders[3]), *folders[:3], folders[4], {"availableNow": True}).awaitTermination()
-        return S.read_landed(spark, folders[0]).count(), {(r.user_id, r.cost_nano_usd, r.call_count) for r in S.read_counters(spark, folders[1]).collect()}, S.read_letters(spark, folders[2]).count()
+        S.ingest(spark, S.read_queue(spark, queue), root, checkpoint, {"availableNow": True}).awaitTermination()
+        return S.read_landed(spark, root).count(), {(r.user_id, r.cost_nano_usd, r.call_count) for r in S.read_counters(spark, root).collect()}, S.read_letters(spark, root).count()
 
     want = 2, {(0, 10, 2), (2, 10, 2)}, 1
     assert run() == want
     shutil.rmtree(tmp_path / "checkpoint" / "commits")
     assert run() == want
-    letters = S.read_letters(spark, folders[2])
-    now = letters.first().quarantined_at
-    assert S.expired_letters(letters, now + datetime.timedelta(days=13)).count() == 0
-    old = [r.batch for r in S.expired_letters(letters, now + datetime.timedelta(days=15)).collect()]
-    S.drop_letters(spark, folders[2], old)
-    assert len(old) == 1 and not (tmp_path / "quarantine" / f"batch={old[0]}").exists()
+    now = S.read_letters(spark, root).first().quarantined_at
+    assert S.drop_letters(spark, root, now + datetime.timedelta(days=13)) == [] and S.read_letters(spark, root).count() == 1
+    assert S.drop_letters(spark, root, now + datetime.timedelta(days=15)) == [0] and S.read_letters(spark, root).count() == 0
+    assert run() == (2, {(0, 10, 2), (2, 10, 2)}, 0)
 
 
 def test_compaction_keeps_the_events(spark, tmp_path):
-    events, queue = str(tmp_path / "events"), str(tmp_path / "queue")
+    root, queue = str(tmp_path / "log"), str(tmp_path / "queue")
     for k in range(7):
         lines = [f'{{"ts":"2024-0{1 + n % 3}-01T00:00:00Z","idempotency_key":"k{n}","project_id":1,"event_type":"llm","arrival":{k}}}' for n in range(k, k + 4)]
         spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(queue)
-    S.ingest(spark, S.read_queue(spark, queue, 1), events, str(tmp_path / "c"), str(tmp_path / "q"), str(tmp_path / "p"), {"availableNow": True}, compact_every=3).awaitTermination()
-    want = sorted(f"k{n}" for n in range(10))
-    got = lambda: sorted(r.idempotency_key for r in S.read_landed(spark, events).collect())
-    folders = lambda: sorted(x.name for x in (tmp_path / "events").iterdir() if not x.name.startswith("."))
-    assert got() == want and folders() == ["batch=5", "batch=6"]
-    # a failure while it was writing, and one before the old files were gone
-    (tmp_path / "events" / "_compact-5").mkdir()
-    S.finish_compaction(spark, events)
-    assert got() == want and folders() == ["batch=5", "batch=6"]
-    shutil.copytree(tmp_path / "events" / "batch=5", tmp_path / "events" / "_compact-5")
-    (tmp_path / "events" / "_compact-5" / "_SUCCESS").touch()
-    S.finish_compaction(spark, events)
-    assert got() == want and folders() == ["batch=5", "batch=6"]
+    S.ingest(spark, S.read_queue(spark, queue, 1), root, str(tmp_path / "p"), {"availableNow": True}, S.Upkeep(fanout=3)).awaitTermination()
+    assert sorted(r.idempotency_key for r in S.read_landed(spark, root).collect()) == sorted(f"k{n}" for n in range(10))
+    assert [r.size for r in CommitLog(spark, root).newest().runs] == [3, 3, 1]
+
+def lines_of(spark, path, *batches):
+    """A queue with one file a batch, whose records are (key, minute) pairs of model calls or broken lines."""
+    import os
+
+    os.makedirs(path, exist_ok=True)
+    for k, batch in enumerate(batches):
+        own = [x if isinstance(x, str) else f'{{"ts":"{(DAY + datetime.timedelta(minutes=x[1])).isoformat()}Z","idempotency_key":"{x[0]}","project_id":1,"user_id":2,"event_type":"llm","cost_nano_usd":5,"arrival":{k}}}' for x in batch]
+        with open(f"{path}/{k:04d}.json", "w") as f:
+            f.write("\n".join(own) + "\n")
+        os.utime(f"{path}/{k:04d}.json", (k, k))
+    return path
+
+
+def seen_by_reader(spark, root, commit=None):
+    """What a reader makes of one commit: keys of events, calls that counters have, and rejected rows."""
+    commit = commit or CommitLog(spark, root).newest()
+    keys = sorted(r.idempotency_key for r in S.read_landed(spark, root, commit).collect())
+    calls = {r.user_id: r.call_count for r in S.read_counters(spark, root, commit).collect()}
+    return keys, calls, S.read_letters(spark, root, commit).count()
+
+
+def test_a_reader_sees_all_of_a_batch_or_none(spark, tmp_path, monkeypatch):
+    """The writer is killed at every one of its writes in turn; what is readable then is that of whole batches, and the next try ends it."""
+    batches = [[("a", 0), ("b", 1), "{broken"], [("a", 0), ("c", 90), "{broken"], [("d", 5), ("c", 90)], [("e", 60)]]
+    queue = lines_of(spark, str(tmp_path / "queue"), *batches)
+    states, keys, broken = [([], {}, 0)], [], 0
+    for b in batches:
+        keys = sorted({*keys, *(x[0] for x in b if not isinstance(x, str))})
+        broken += sum(isinstance(x, str) for x in b)
+        states.append((keys, {0: len(keys), 2: len(keys)}, broken))
+    go = lambda root: S.ingest(spark, S.read_queue(spark, queue, 1), root, f"{root}-checkpoint", {"availableNow": True}, S.Upkeep(fanout=2)).awaitTermination()
+    real, left, seen = {n: getattr(CommitLog, n) for n in ("write", "add")}, {}, []
+
+    def step(name):
+        def one(self, *args, **more):
+            left[name] -= 1
+            if left[name] < 0:
+                raise OSError("killed")
+            out = real[name](self, *args, **more)
+            if left["look"]:
+                seen.append(seen_by_reader(spark, self.root))
+            return out
+
+        return one
+
+    for name in real:
+        monkeypatch.setattr(CommitLog, name, step(name))
+    for name, kills in (("write", (1, 4, 6, 11)), ("add", (0, 2)), ("none", (0,))):
+        for k in kills:
+            root = f"{tmp_path}/{name}-{k}"
+            left |= {"write": 10**6, "add": 10**6, "look": name == "none"} | {name: k}
+            if name != "none":
+                with pytest.raises(Exception, match="killed"):
+                    go(root)
+                assert seen_by_reader(spark, root) in states
+            left |= {"write": 10**6, "add": 10**6}
+            go(root)
+            assert seen_by_reader(spark, root) == states[-1]
+    assert len(seen) > 20 and all(s in states for s in seen)
+
+
+def test_a_reader_keeps_its_commit_through_merges(spark, tmp_path):
+    root, queue = str(tmp_path / "log"), str(tmp_path / "queue")
+    lines_of(spark, queue, *[[(f"k{k}", k)] for k in range(9)])
+    S.ingest(spark, S.read_queue(spark, queue, 1), root, str(tmp_path / "c"), {"availableNow": True}, S.Upkeep(fanout=2, whole=4)).awaitTermination()
+    log = CommitLog(spark, root)
+    for v in log.versions():
+        commit = log.load(v)
+        n = commit.next
+        assert seen_by_reader(spark, root, commit) == (sorted(f"k{k}" for k in range(n)), {0: n, 2: n}, 0)
+    newest = log.newest()
+    assert [r.size for r in newest.runs] == [8, 1]
+    # counters are put together at every size, events only up to that of whole
+    assert [len(r.folders["counters"]) for r in newest.runs] == [1, 1] and [len(r.folders["events"]) for r in newest.runs] == [2, 1]
+    log.vacuum(keep=1)
+    assert log.versions() == [newest.version] and seen_by_reader(spark, root)[1] == {0: 9, 2: 9}
+    assert len(list((tmp_path / "log" / "events").iterdir())) == 3
+    with pytest.raises(RuntimeError):
+        log.add(log.load(newest.version)) and log.add(newest)
+
+
+def test_counters_lie_in_few_files(spark, tmp_path):
+    """Runs of a binary counter: of n batches at most fanout - 1 for each of log(n) sizes."""
+    runs = ()
+    for n in range(200):
+        runs = (*runs, Run(n, n, {}))
+        while k := to_merge(runs, 4):
+            runs = (*runs[:-k], Run(runs[-k].first, runs[-1].last, {}))
+        assert len(runs) <= 3 * (1 + math.log(n + 1, 4)) and sum(r.size for r in runs) == n + 1
+        assert all(a.last + 1 == b.first for a, b in zip(runs, runs[1:], strict=False))
+
+
+def test_a_replayed_batch_after_a_merge_counts_once(spark, tmp_path):
+    root, queue, checkpoint = str(tmp_path / "log"), str(tmp_path / "queue"), tmp_path / "c"
+    lines_of(spark, queue, *[[(f"k{k}", k), ("again", 1)] for k in range(4)])
+    go = lambda: S.ingest(spark, S.read_queue(spark, queue, 1), root, str(checkpoint), {"availableNow": True}, S.Upkeep(fanout=2)).awaitTermination()
+    go()
+    before = seen_by_reader(spark, root)
+    assert before == (["again", "k0", "k1", "k2", "k3"], {0: 5, 2: 5}, 0) and [r.size for r in CommitLog(spark, root).newest().runs] == [4]
+    for name in ("3", ".3.crc"):
+        (checkpoint / "commits" / name).unlink(missing_ok=True)
+    go()
+    assert seen_by_reader(spark, root) == before
+
+
+def scanned(df):
+    """Rows that the scans of a plan have read."""
+    df.write.format("noop").mode("overwrite").save()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    rows = df.collect()
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found, len(rows)
+
+
+def test_a_look_for_replays_reads_what_the_batch_spans(spark, tmp_path):
+    """A month with ten times the events doesn't make a batch of two hours read more of it."""
+    read = {}
+    for name, per_hour in (("small", 400), ("large", 4000)):
+        log = CommitLog(spark, str(tmp_path / name))
+        hour0 = int(DAY.replace(tzinfo=datetime.UTC).timestamp()) * 1_000_000 // S.HOUR
+        keys = spark.range(720 * 400, numPartitions=4).select(F.concat(F.lit("k"), F.col("id")).alias("key"), ((hour0 + F.col("id") % 720) * S.HOUR + F.col("id")).alias("us"))
+        if per_hour == 4000:
+            # the added ones lie in other hours than the batch's
+            more = spark.range(720 * 3600, numPartitions=4).select(F.concat(F.lit("m"), F.col("id")).alias("key"), ((hour0 + 100 + F.col("id") % 500) * S.HOUR + F.col("id")).alias("us"))
+            keys = keys.unionByName(more)
+        folder = log.write(S.by_time(keys), "keys", 0, 0)
+        commit = log.add(Commit(runs=(Run(0, 0, {"keys": [folder]}, (hour0 * S.HOUR, (hour0 + 720) * S.HOUR)),)))
+        read[name] = scanned(S.seen_keys(log, commit, [hour0 + 3, hour0 + 4], 64))
+        assert S.seen_keys(log, commit, [hour0 - 9], 64) is None
+    assert read["small"][1] == read["large"][1] == 800
+    # whole pages of some thousand rows are read, of millions
+    assert read["large"][0] <= read["small"][0] + 40_000 and read["large"][0] < 100_000
+
+
+def test_ranges_hold_all_hours():
+    assert S.ranges_of([], 3) == []
+    hours = [1, 2, 5, 6, 7, 20, 21, 90]
+    for most in (1, 2, 3, 4, 9):
+        got = S.ranges_of(hours, most)
+        assert len(got) == min(most, 4) and all(any(lo <= h * S.HOUR <= hi for lo, hi in got) for h in hours)
+    assert S.ranges_of(hours, 2) == [(S.HOUR, 22 * S.HOUR - 1), (90 * S.HOUR, 91 * S.HOUR - 1)]
 
 
 def test_reservations(spark, tmp_path):
