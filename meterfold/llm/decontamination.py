@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ UNITS = frozenset(
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())
 #: Scripts that write no spaces between words, a token a character: Thai, Lao, Burmese, Khmer, kana, Han, Yi.
 _SPACED = r"[\p{L}\p{M}&&[\x00-\u0DFF\u0F00-\u0FFF\u10A0-\u177F\u1800-\u303F\u3100-\u31EF\u3200-\u33FF\uA4D0-\uF8FF\uFB00-\x{1FFFF}\x{40000}-\x{10FFFF}]]"
-TOKEN = rf"\p{{N}}+(?:[.,:/]\p{{N}}+)*|(?<=\p{{N}} ?)[-+*/=×÷^<>](?= ?\p{{N}})|{_SPACED}+(?:['’]{_SPACED}+)*|\p{{L}}\p{{M}}*|[%$€£¥°]|[.!?]|\n"
+#: Loops are possessive: what follows a run never begins like it, and the engine takes such a loop without recursion.
+TOKEN = rf"\p{{N}}++(?:[.,:/]\p{{N}}++)*+|(?<=\p{{N}} ?)[-+*/=×÷^<>](?= ?\p{{N}})|{_SPACED}++(?:['’]{_SPACED}++)*+|\p{{L}}\p{{M}}*+|[%$€£¥°]|[.!?]|\n"
 LITERAL, NUMBER, UNIT, NAME, OPERATOR, END = range(6)
 #: Bits of the filter of benchmark windows that every task gets: its size is fixed, a fuller one lets more rows pass.
 FILTER_BITS = 1 << 24
@@ -41,12 +43,16 @@ class Params:
     """A document holds an item if one occurrence has coverage of its windows, and consistent of its values agree there.
 
     An item of fewer tokens than width has a single window of its own length, one of fewer than least only its exact one.
-    A window needs literals tokens that aren't placeholders.
+    A window needs literals tokens that aren't placeholders. An item without such a window, like a short sum, has one
+    window of its own length in which only numbers and units are placeholders, if it has one of those and worded other
+    tokens. An item of fewer tokens than alone, like `Yes`, is held only by a document that says nothing else.
     """
 
     width: int = 8
     least: int = 4
     literals: int = 3
+    worded: int = 2
+    alone: int = 2
     coverage: float = 0.6
     consistent: float = 0.8
 
@@ -95,14 +101,31 @@ class Templates:
         self.row = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
         n = len(self.raw)
         with np.errstate(over="ignore"):
-            self.back = np.cumprod(np.full(n, INVERSE))
-            self.upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.raw * np.cumprod(np.full(n, BASE)))])
+            self.back, self.powers = np.cumprod(np.full(n, INVERSE)), np.cumprod(np.full(n, BASE))
+        self.upto = self._upto(self.raw)
 
-    def exact(self, start: np.ndarray, width: int) -> np.ndarray:
-        """Hashes of the tokens as they stand in windows of so many tokens: a polynomial modulo 2^64, from running sums."""
+    def _upto(self, values: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            total = (self.upto[start + width] - self.upto[start]) * self.back[start]
-            total = (total ^ (total >> np.uint64(32)) ^ np.uint64(width)) * np.uint64(0x9E3779B97F4A7C15)
+            return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.powers)])
+
+    @cached_property
+    def measured(self) -> np.ndarray:
+        """Whether a token is a number or a unit."""
+        return (self.kind == NUMBER) | (self.kind == UNIT)
+
+    @cached_property
+    def typed_upto(self) -> np.ndarray:
+        return self._upto(np.where(self.measured, self.value, self.raw))
+
+    def exact(self, start: np.ndarray, width: int, typed: bool = False) -> np.ndarray:
+        """Hashes of the tokens as they stand in windows of so many tokens: a polynomial modulo 2^64, from running sums.
+
+        typed: numbers and units by their types.
+        """
+        upto = self.typed_upto if typed else self.upto
+        with np.errstate(over="ignore"):
+            total = (upto[start + width] - upto[start]) * self.back[start]
+            total = (total ^ (total >> np.uint64(32)) ^ np.uint64(2 * width + typed)) * np.uint64(0x9E3779B97F4A7C15)
         return total ^ (total >> np.uint64(29))
 
     def inside(self, width: int) -> np.ndarray:
@@ -124,23 +147,23 @@ class Templates:
             total ^= total >> np.uint64(29)
         return row[start], start, total
 
-    def slots(self, start: int, width: int) -> list[str]:
-        """The values that stand in a window's placeholders, lower-cased."""
-        return [self.pieces.distinct[self.place[k]].as_py().lower() for k in range(start, start + width) if NUMBER <= self.kind[k] <= NAME]
+    def slots(self, start: int, width: int, last: int = NAME) -> list[str]:
+        """The values that stand in a window's placeholders, lower-cased; last: names are some, or numbers and units only."""
+        return [self.pieces.distinct[self.place[k]].as_py().lower() for k in range(start, start + width) if NUMBER <= self.kind[k] <= last]
 
 
 FIELDS = ["hash", "at", "slots"]
 RESULT = ["n_windows", "matched", "n_slots", "n_consistent", "n_changed", "verbatim"]
 
 
-def _rows(key: pa.Array, templates: Templates, row: np.ndarray, start: np.ndarray, hashes: np.ndarray, width: int, more: list[tuple[str, pa.Array]]) -> pa.RecordBatch:
-    slots = pa.array([templates.slots(s, width) for s in start.tolist()], pa.list_(pa.string()))
+def _rows(key: pa.Array, templates: Templates, row: np.ndarray, start: np.ndarray, hashes: np.ndarray, width: int, more: list[tuple[str, pa.Array]], last: int = NAME) -> pa.RecordBatch:
+    slots = pa.array([templates.slots(s, width, last) for s in start.tolist()], pa.list_(pa.string()))
     at = start - templates.offsets[row]
     return pa.RecordBatch.from_arrays([key.take(pa.array(row)), pa.array(hashes.view(np.int64)), pa.array(at), slots, *(v for _, v in more)], ["key", *FIELDS, *(n for n, _ in more)])
 
 
 def item_windows(items: DataFrame, p: Params, key: str = "item_id", text: str = "text") -> DataFrame:
-    """key, width, hash, at, slots of each window of each item, and n_windows of its item."""
+    """key, width, hash, at, slots of each window of each item, n_windows of its item, and whether only numbers and units are its placeholders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Remembered(_codes, "<u8")
@@ -148,16 +171,30 @@ def item_windows(items: DataFrame, p: Params, key: str = "item_id", text: str =
             for part in slices(batch, "pieces"):
                 templates = Templates(part.column("pieces"), code)
                 size = np.diff(templates.offsets)
+                bare = size > 0
                 for width in range(p.least, p.width + 1):
                     row, start, hashes = templates.windows(width, p.literals)
                     own = (size[row] == width) | ((width == p.width) & (size[row] > width))
                     row, start, hashes = row[own], start[own], hashes[own]
                     n = np.bincount(row, minlength=part.num_rows)[row]
-                    yield _rows(part.column("key"), templates, row, start, hashes, width, [("width", pa.array(np.full(len(row), width, dtype=np.int32))), ("n_windows", pa.array(n))])
+                    bare[row] = False
+                    yield _rows(part.column("key"), templates, row, start, hashes, width, _more(width, n, False))
+                within = np.concatenate([[0], np.cumsum(templates.measured)])
+                slots = within[templates.offsets[1:]] - within[templates.offsets[:-1]]
+                bare &= (slots > 0) & (size - slots >= p.worded)
+                for width in np.unique(size[bare]).tolist():
+                    row = np.flatnonzero(bare & (size == width))
+                    start = templates.offsets[row]
+                    yield _rows(part.column("key"), templates, row, start, templates.exact(start, width, True), width, _more(width, np.ones(len(row), np.int64), True), UNIT)
 
     kind = items.schema[key].dataType.simpleString()
     rows = items.select(F.col(key).alias("key"), tokens(text).alias("pieces"))
-    return rows.mapInArrow(tidy(run), f"key {kind}, hash long, at long, slots array<string>, width int, n_windows long")
+    return rows.mapInArrow(tidy(run), f"key {kind}, hash long, at long, slots array<string>, width int, n_windows long, typed boolean")
+
+
+def _more(width: int, n_windows: np.ndarray, typed: bool) -> list[tuple[str, pa.Array]]:
+    n = len(n_windows)
+    return [("width", pa.array(np.full(n, width, dtype=np.int32))), ("n_windows", pa.array(n_windows)), ("typed", pa.array(np.full(n, typed)))]
 
 
 def item_exact(items: DataFrame, p: Params, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -180,16 +217,19 @@ def item_exact(items: DataFrame, p: Params, key: str = "item_id", text: str = "t
     return rows.mapInArrow(tidy(run), f"key {kind}, n long, head long, hash long")
 
 
-def _exact_hits(templates: Templates, lengths: list[int], heads: np.ndarray, wholes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _exact_hits(templates: Templates, lengths: list[int], heads: np.ndarray, wholes: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the windows that pass both filters, each once a row: heads are looked for, whole items where one is."""
+    size = np.diff(templates.offsets)
     out = []
     starts = {}
     for n in lengths:
-        short = min(n, width)
+        short = min(n, p.width)
         if short not in starts:
             inside = templates.inside(short)
             starts[short] = inside[_passes(heads, templates.exact(inside, short))]
         start = starts[short]
+        if n < p.alone:
+            start = start[size[templates.row[start]] == n]
         start = start[start + n <= templates.offsets[templates.row[start] + 1]]
         found = templates.exact(start, n)
         own = _passes(wholes, found)
@@ -203,7 +243,7 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
 
-def doc_windows(docs: DataFrame, widths: list[int], bits: np.ndarray, lengths: list[int], heads: np.ndarray, wholes: np.ndarray, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
+def doc_windows(docs: DataFrame, widths: list[int], typed: list[int], bits: np.ndarray, lengths: list[int], heads: np.ndarray, wholes: np.ndarray, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, hash, at, slots of the windows of every whole text that pass the filters of the benchmark; exact ones have no at."""
     shared = docs.sparkSession.sparkContext.broadcast((bits, heads, wholes))
 
@@ -218,7 +258,13 @@ def doc_windows(docs: DataFrame, widths: list[int], bits: np.ndarray, lengths: l
                     own = _passes(bits, hashes)
                     if own.any():
                         yield _rows(part.column("key"), templates, row[own], start[own], hashes[own], width, [])
-                row, hashes = _exact_hits(templates, lengths, heads, wholes, p.width)
+                for width in typed:
+                    start = templates.inside(width)
+                    hashes = templates.exact(start, width, True)
+                    own = _passes(bits, hashes)
+                    if own.any():
+                        yield _rows(part.column("key"), templates, templates.row[start[own]], start[own], hashes[own], width, [], UNIT)
+                row, hashes = _exact_hits(templates, lengths, heads, wholes, p)
                 if len(row):
                     none = pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(hashes.view(np.int64)), *none], ["key", *FIELDS])
@@ -254,7 +300,7 @@ def candidates(found: DataFrame, known: DataFrame, p: Params) -> DataFrame:
 
 
 def occurrences(hits: DataFrame, p: Params) -> DataFrame:
-    """The best qualifying occurrence of each doc and item, from hits (doc, item, at, slots, item_at, item_slots, n_windows).
+    """The best qualifying occurrence of each doc and item, from hits (doc, item, at, slots, item_at, item_slots, n_windows, width).
 
     A hit's shift is at - item_at. Copies of an item stand at shifts that lie its length or more apart, and words put in
     or left out move a copy's later windows. So shifts fall into buckets as wide as the item, twice, the second time half
@@ -263,9 +309,9 @@ def occurrences(hits: DataFrame, p: Params) -> DataFrame:
     """
     pair = ["doc", "item"]
     shifted = hits.withColumn("shift", F.col("at") - F.col("item_at"))
-    able = shifted.groupBy(*pair).agg(F.countDistinct("item_at").alias("n"), F.min("shift").alias("first"), F.max("shift").alias("last"), F.max("n_windows").alias("n_windows"))
+    able = shifted.groupBy(*pair).agg(F.countDistinct("item_at").alias("n"), F.min("shift").alias("first"), F.max("shift").alias("last"), F.max("n_windows").alias("n_windows"), F.max("width").alias("width"))
     able = able.where(F.col("n") >= p.coverage * F.col("n_windows")).select(*pair, F.when(F.col("first") == F.col("last"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))).alias("grids"))
-    wide = F.col("n_windows") + (p.width - 1)
+    wide = F.col("n_windows") + F.col("width") - 1
     placed = shifted.join(able, pair).withColumn("grid", F.explode("grids")).withColumn("bucket", F.floor((F.col("shift") + F.col("grid") * F.floor(wide / 2)) / wide))
     own = [*pair, "grid", "bucket"]
     support = placed.groupBy(*own, "shift").agg(F.count("*").alias("support"))
@@ -286,17 +332,18 @@ def leaks(docs: DataFrame, items: DataFrame, p: Params = Params(), doc_key: str
     Each occurrence of an item in a document is judged apart, and the best one that qualifies is told, a verbatim one
     first. n_slots counts the distinct values in matched placeholders of the item, n_consistent those that stand for one
     value in the occurrence throughout, n_changed those of them that differ there. An item that only its exact window finds has
-    this one window. Null texts count as empty and match nothing;
-    rows that share an id count as one document or item. Other columns aren't carried.
+    this one window. Null texts count as empty and match nothing; whole texts of any length are looked through, and runs of
+    any length are one token. Rows that share an id count as one document or item. Other columns aren't carried.
     """
     ship(docs.sparkSession)
     known = materialised(item_windows(items, p, item_key).withColumnRenamed("key", "item"), "item-windows")
     whole = materialised(item_exact(items, p, item_key).withColumnRenamed("key", "item"), "items")
-    widths = sorted(r.width for r in known.select("width").distinct().collect())
+    sizes = known.select("typed", "width").distinct().collect()
+    widths, typed = (sorted(r.width for r in sizes if r.typed == own) for own in (False, True))
     lengths = sorted(r.n for r in whole.select("n").distinct().collect())
     filters = _filter(known), lengths, _filter(whole, "head"), _filter(whole)
-    found = materialised(doc_windows(docs, widths, *filters, p, doc_key).withColumnRenamed("key", "doc"), "found")
-    known = known.select("item", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows")
+    found = materialised(doc_windows(docs, widths, typed, *filters, p, doc_key).withColumnRenamed("key", "doc"), "found")
+    known = known.select("item", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows", "width")
     hits = materialised(candidates(found.where("at IS NOT NULL"), materialised(known, "known"), p), "hits")
     exact = dim_join(found.where("at IS NULL").select("doc", "hash"), whole.select("item", "hash"), ["hash"], "inner").select("doc", "item").distinct()
     best = occurrences(hits, p)
