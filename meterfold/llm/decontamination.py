@@ -33,6 +33,8 @@ TOKEN = rf"\p{{N}}++(?:[.,:/]\p{{N}}++)*+|(?<=\p{{N}} ?)[-+*/=×÷^<>](?= ?\p{{N
 LITERAL, NUMBER, UNIT, NAME, OPERATOR, END = range(6)
 #: Bits of the filter of benchmark windows that every task gets: its size is fixed, a fuller one lets more rows pass.
 FILTER_BITS = 1 << 24
+#: Stands for the place of an exact window in a text of fewer tokens than Params.alone.
+BRIEF = -1
 #: An odd number and what it is multiplied with to give 1 modulo 2^64.
 BASE = np.uint64(0xD1342543DE82EF95)
 INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -45,7 +47,8 @@ class Params:
     An item of fewer tokens than width has a single window of its own length, one of fewer than least only its exact one.
     A window needs literals tokens that aren't placeholders. An item without such a window, like a short sum, has one
     window of its own length in which only numbers and units are placeholders, if it has one of those and worded other
-    tokens. An item of fewer tokens than alone, like `Yes`, is held only by a document that says nothing else.
+    tokens. An item of fewer tokens than alone, like `Yes`, is held by documents that say nothing else; by others only if
+    they are a single one, or at most rare of all documents.
     """
 
     width: int = 8
@@ -53,6 +56,7 @@ class Params:
     literals: int = 3
     worded: int = 2
     alone: int = 2
+    rare: float = 0.0001
     coverage: float = 0.6
     consistent: float = 0.8
 
@@ -217,9 +221,8 @@ def item_exact(items: DataFrame, p: Params, key: str = "item_id", text: str = "t
     return rows.mapInArrow(tidy(run), f"key {kind}, n long, head long, hash long")
 
 
-def _exact_hits(templates: Templates, lengths: list[int], heads: np.ndarray, wholes: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of the windows that pass both filters, each once a row: heads are looked for, whole items where one is."""
-    size = np.diff(templates.offsets)
+def _exact_hits(templates: Templates, lengths: list[int], heads: np.ndarray, wholes: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of the windows that pass both filters, each once a row, and whether a row is shorter than p.alone: heads are looked for, whole items where one is."""
     out = []
     starts = {}
     for n in lengths:
@@ -228,14 +231,13 @@ def _exact_hits(templates: Templates, lengths: list[int], heads: np.ndarray, who
             inside = templates.inside(short)
             starts[short] = inside[_passes(heads, templates.exact(inside, short))]
         start = starts[short]
-        if n < p.alone:
-            start = start[size[templates.row[start]] == n]
         start = start[start + n <= templates.offsets[templates.row[start] + 1]]
         found = templates.exact(start, n)
         own = _passes(wholes, found)
         out.append(np.stack([templates.row[start[own]].astype(np.uint64), found[own]], axis=1))
     both = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.uint64)
-    return both[:, 0].astype(np.int64), both[:, 1]
+    row = both[:, 0].astype(np.int64)
+    return row, both[:, 1], np.diff(templates.offsets)[row] < p.alone
 
 
 def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -244,7 +246,7 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def doc_windows(docs: DataFrame, widths: list[int], typed: list[int], bits: np.ndarray, lengths: list[int], heads: np.ndarray, wholes: np.ndarray, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, hash, at, slots of the windows of every whole text that pass the filters of the benchmark; exact ones have no at."""
+    """key, hash, at, slots of the windows of every whole text that pass the filters of the benchmark; exact ones have no at, or BRIEF."""
     shared = docs.sparkSession.sparkContext.broadcast((bits, heads, wholes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +266,10 @@ def doc_windows(docs: DataFrame, widths: list[int], typed: list[int], bits: np.n
                     own = _passes(bits, hashes)
                     if own.any():
                         yield _rows(part.column("key"), templates, templates.row[start[own]], start[own], hashes[own], width, [], UNIT)
-                row, hashes = _exact_hits(templates, lengths, heads, wholes, p)
+                row, hashes, brief = _exact_hits(templates, lengths, heads, wholes, p)
                 if len(row):
-                    none = pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(hashes.view(np.int64)), *none], ["key", *FIELDS])
+                    own = pa.array(np.full(len(row), BRIEF), mask=~brief), pa.nulls(len(row), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(hashes.view(np.int64)), *own], ["key", *FIELDS])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), tokens(text).alias("pieces"))
@@ -300,12 +302,13 @@ def candidates(found: DataFrame, known: DataFrame, p: Params) -> DataFrame:
 
 
 def occurrences(hits: DataFrame, p: Params) -> DataFrame:
-    """The best qualifying occurrence of each doc and item, from hits (doc, item, at, slots, item_at, item_slots, n_windows, width).
+    """The best qualifying occurrence of each doc and item, from hits (doc, item, at, slots, item_at, item_slots, n_windows, width, typed).
 
     A hit's shift is at - item_at. Copies of an item stand at shifts that lie its length or more apart, and words put in
     or left out move a copy's later windows. So shifts fall into buckets as wide as the item, twice, the second time half
     a bucket further: a copy that moves by up to half its length is whole in one of them, and no bucket holds two whole
-    copies. Where windows recur in the item, the shift with the most hits in the bucket decides.
+    copies. Where windows recur in the item, the shift with the most hits in the bucket decides. In a typed window a
+    value that stands for another one of the item's isn't consistent: the same numbers in another order are another item.
     """
     pair = ["doc", "item"]
     shifted = hits.withColumn("shift", F.col("at") - F.col("item_at"))
@@ -315,10 +318,11 @@ def occurrences(hits: DataFrame, p: Params) -> DataFrame:
     placed = shifted.join(able, pair).withColumn("grid", F.explode("grids")).withColumn("bucket", F.floor((F.col("shift") + F.col("grid") * F.floor(wide / 2)) / wide))
     own = [*pair, "grid", "bucket"]
     support = placed.groupBy(*own, "shift").agg(F.count("*").alias("support"))
-    chosen = placed.join(support, [*own, "shift"]).groupBy(*own, "item_at").agg(F.max_by(F.struct("item_slots", "slots", "n_windows"), F.struct("support", -F.col("shift"))).alias("x")).select(*own, "x.*")
+    chosen = placed.join(support, [*own, "shift"]).groupBy(*own, "item_at").agg(F.max_by(F.struct("item_slots", "slots", "n_windows", "typed"), F.struct("support", -F.col("shift"))).alias("x")).select(*own, "x.*")
     covered = chosen.groupBy(*own).agg(F.count("*").alias("matched"), F.max("n_windows").alias("n_windows")).where(F.col("matched") >= p.coverage * F.col("n_windows"))
-    values = chosen.select(*own, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).groupBy(*own, F.col("x.item_slots").alias("was")).agg(F.min("x.slots").alias("low"), F.max("x.slots").alias("high"))
-    one = F.col("low") == F.col("high")
+    values = chosen.select(*own, F.when(F.col("typed"), F.col("item_slots")).alias("others"), F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).groupBy(*own, F.col("x.item_slots").alias("was")).agg(F.min("x.slots").alias("low"), F.max("x.slots").alias("high"), F.any_value("others").alias("others"))
+    crossed = (F.col("low") != F.col("was")) & F.coalesce(F.array_contains("others", F.col("low")), F.lit(False))
+    one = (F.col("low") == F.col("high")) & ~crossed
     slots = values.groupBy(*own).agg(F.count("*").alias("n_slots"), F.sum(one.cast("long")).alias("n_consistent"), F.sum((one & (F.col("low") != F.col("was"))).cast("long")).alias("n_changed"))
     both = covered.join(slots, own, "left").fillna(0, ["n_slots", "n_consistent", "n_changed"]).where(F.col("n_consistent") >= p.consistent * F.col("n_slots"))
     verbatim = (F.col("n_changed") == 0) & (F.col("n_consistent") == F.col("n_slots"))
@@ -343,9 +347,15 @@ def leaks(docs: DataFrame, items: DataFrame, p: Params = Params(), doc_key: str
     lengths = sorted(r.n for r in whole.select("n").distinct().collect())
     filters = _filter(known), lengths, _filter(whole, "head"), _filter(whole)
     found = materialised(doc_windows(docs, widths, typed, *filters, p, doc_key).withColumnRenamed("key", "doc"), "found")
-    known = known.select("item", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows", "width")
-    hits = materialised(candidates(found.where("at IS NOT NULL"), materialised(known, "known"), p), "hits")
-    exact = dim_join(found.where("at IS NULL").select("doc", "hash"), whole.select("item", "hash"), ["hash"], "inner").select("doc", "item").distinct()
+    known = known.select("item", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows", "width", "typed")
+    hits = materialised(candidates(found.where("at >= 0"), materialised(known, "known"), p), "hits")
+    held = found.where(F.col("at").isNull() | (F.col("at") == BRIEF)).select("doc", "hash", F.col("at").isNotNull().alias("brief"))
+    exact = dim_join(held, whole.where(F.col("n") >= p.alone).select("item", "hash"), ["hash"], "inner").select("doc", "item")
+    if lengths and lengths[0] < p.alone:
+        single = dim_join(held, whole.where(F.col("n") < p.alone).select("item", "hash"), ["hash"], "inner")
+        few = single.groupBy("item").agg(F.count("*").alias("often")).where(F.col("often") <= F.greatest(F.lit(1), F.floor(F.lit(p.rare) * docs.count()))).select("item", F.lit(True).alias("few"))
+        exact = exact.unionByName(dim_join(single, few, ["item"]).where("brief OR few").select("doc", "item"))
+    exact = exact.distinct()
     best = occurrences(hits, p)
     one = {"n_windows": F.lit(1), "matched": F.lit(1)}
     both = best.withColumn("exact", F.lit(False)).unionByName(exact.select("doc", "item", *[one.get(c, F.lit(0)).cast("boolean" if c == "verbatim" else "long").alias(c) for c in RESULT], F.lit(True).alias("exact")))

@@ -39,9 +39,9 @@ def test_short_items_need_their_words_and_operators(spark):
 
 
 def test_short_items_need_values_that_map_as_one(spark):
-    items = ["What is 12 + 12?"]
-    docs = ["What is 9 + 9?", "What is 9 + 8?", "What is 9 + 8? What is 7 + 7?"]
-    assert set(pairs(spark, docs, items)) == {(0, 0), (2, 0)}
+    items = ["What is 12 + 12?", "What is 31 / 44?"]
+    docs = ["What is 9 + 9?", "What is 9 + 8?", "What is 9 + 8? What is 7 + 7?", "What is 44 / 31?", "What is 31 / 45?"]
+    assert set(pairs(spark, docs, items)) == {(0, 0), (2, 0), (4, 1)}
 
 
 def test_short_items_precision_and_recall(spark):
@@ -90,7 +90,8 @@ def plain_occurrences(hits, p):
             for _, h in chosen.values():
                 for was, now in zip(h["item_slots"], h["slots"], strict=True):
                     values[was].add(now)
-            consistent = [w for w, v in values.items() if len(v) == 1]
+            crossed = lambda w, v: own[0][1]["typed"] and v != {w} and v <= set(values)
+            consistent = [w for w, v in values.items() if len(v) == 1 and not crossed(w, v)]
             if len(consistent) < p.consistent * len(values):
                 continue
             changed = sum(values[w] != {w} for w in consistent)
@@ -107,12 +108,12 @@ def test_occurrences_are_those_of_plain_loops(spark, seed):
         n_windows, width = rng.choice([(1, 5), (3, 8), (6, 8)])
         slots = {at: [f"v{rng.randint(0, 3)}" for _ in range(rng.randint(0, 3))] for at in range(n_windows)}
         for start in rng.sample(range(0, 60), rng.randint(1, 3)):
-            changes = {f"v{k}": rng.choice([f"v{k}", f"x{k}"]) for k in range(4)}
+            changes = {f"v{k}": rng.choice([f"v{k}", f"x{k}", f"x{k}", f"v{3 - k}"]) for k in range(4)}
             for at in range(n_windows):
                 if rng.random() < 0.85:
                     now = [changes[w] if rng.random() < 0.9 else "odd" for w in slots[at]]
-                    rows.append(dict(doc=doc, item=doc % 7, at=start + at + rng.choice([0, 0, 0, 1]), slots=now, item_at=at, item_slots=slots[at], n_windows=n_windows, width=width))
-    schema = "doc long, item long, at long, slots array<string>, item_at long, item_slots array<string>, n_windows long, width int"
+                    rows.append(dict(doc=doc, item=doc % 7, at=start + at + rng.choice([0, 0, 0, 1]), slots=now, item_at=at, item_slots=slots[at], n_windows=n_windows, width=width, typed=n_windows == 1))
+    schema = "doc long, item long, at long, slots array<string>, item_at long, item_slots array<string>, n_windows long, width int, typed boolean"
     unique = list({(r["doc"], r["at"], r["item_at"]): r for r in rows}.values())
     found = {r.doc: (r.verbatim, r.matched, r.n_consistent, r.n_windows, r.n_slots, r.n_changed) for r in decontamination.occurrences(spark.createDataFrame(unique, schema), p).collect()}
     groups = defaultdict(list)
