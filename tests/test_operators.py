@@ -19,6 +19,7 @@ from meterfold.operators.page import collapse_tail, page
 from meterfold.schema import EVENT, conform_events
 from meterfold.sources.events import drop_months, expired_months, read_events, write_events
 from meterfold.sources.store import Store
+from meterfold.streaming import balances as B
 from meterfold.streaming import jobs as S
 from meterfold.streaming.commits import Commit, CommitLog, Run, to_merge
 
@@ -341,6 +342,43 @@ def test_reservations(spark, tmp_path):
     assert got(60) == {2: (12, 0, 1, 1), 3: (16, 0, 1, 1)}
 
 
+def test_live_balances_of_a_stream_that_goes_on(spark, tmp_path):
+    """What is reserved is known while reservations are open, before any deadline or watermark; records that come again count once."""
+    at = lambda m: DAY + datetime.timedelta(minutes=m)
+    held, billed = "project_id long, user_id long, call_id string, held_nano long, held_from timestamp", "project_id long, user_id long, call_id string, billed_nano long, billed_at timestamp"
+
+    def put(name, schema, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    put("r", held, [(1, 2, "a", 10, at(0)), (1, 2, "b", 20, at(1)), (1, 3, "c", 30, at(2))])
+    put("s", billed, [(1, 3, "alone", 16, at(1))])
+    streams = [spark.readStream.schema(schema).parquet(str(tmp_path / name)) for name, schema in (("r", held), ("s", billed))]
+    root = str(tmp_path / "log")
+    go = lambda: B.keep_balances(spark, B.signed_amounts(*streams), root, str(tmp_path / "c"), {"processingTime": "0 seconds"}, fanout=2)
+    ask = lambda m: {(r.project_id, r.user_id): (r.spent_nano, r.reserved_nano, r.late, r.ran_out) for r in B.balances_at(spark, root, at(m)).collect()}
+    query = go()
+    try:
+        query.processAllAvailable()
+        assert query.isActive and ask(3) == {(1, 2): (0, 30, 0, 0), (1, 3): (16, 30, 1, 0)}
+        # one settles in time and comes twice, one late
+        put("s", billed, [(1, 2, "a", 4, at(5)), (1, 2, "a", 4, at(5)), (1, 3, "c", 8, at(18))])
+        put("r", held, [(1, 2, "b", 20, at(1)), (2, 2, "d", 5, at(6))])
+        query.processAllAvailable()
+        assert ask(4) == {(1, 2): (0, 30, 0, 0), (1, 3): (16, 30, 1, 0)}
+        assert ask(6) == {(1, 2): (4, 20, 0, 0), (1, 3): (16, 30, 1, 0), (2, 2): (0, 5, 0, 0)}
+    finally:
+        query.stop()
+    query = go()
+    try:
+        put("s", billed, [(2, 2, "d", 1, at(21))])
+        query.processAllAvailable()
+        assert ask(20) == {(1, 2): (4, 0, 0, 1), (1, 3): (24, 0, 2, 1), (2, 2): (0, 5, 0, 0)}
+        assert ask(60) == {(1, 2): (4, 0, 0, 1), (1, 3): (24, 0, 2, 1), (2, 2): (1, 0, 0, 0)}
+    finally:
+        query.stop()
+    assert len(CommitLog(spark, root).newest().runs) <= 3
+
+
 def test_score_known_answer(spark):
     runs = spark.createDataFrame([(1, "r", DAY, DAY, 12500, 4, 3)], "project_id long, run_id string, ts timestamp, last_event_at timestamp, peak_input_tokens long, llm_calls long, tool_calls long")
     counts = spark.createDataFrame([(1, "r", "kit__heavy", None, 2), (1, "r", "light", None, 1)], "project_id long, run_id string, tool_name string, toolkit_type string, calls long")
