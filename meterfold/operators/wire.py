@@ -1,4 +1,4 @@
-"""Usage readings from response bodies of eleven wire shapes, by one parse of each payload and one shuffle."""
+"""Token counts from response bodies of eleven wire shapes, by one parse of each payload and one shuffle; raw streams are cut into their events first."""
 
 from __future__ import annotations
 
@@ -16,39 +16,45 @@ class Shape:
     """How a wire shape is known, where its counts lie, and whether input includes what the cache served.
 
     path and body are patterns of the endpoint's path and of the beginning of a call's first body; versioned: whether the
-    query must (or must not) name an api-version; provider: the only one whose calls have this shape.
+    query must (or must not) name an api-version. provider: whose calls may have this shape; for these own_path and
+    own_body hold instead, where given, as what tells providers apart isn't asked of a known one. A shape without path is
+    known by its provider only.
     """
 
-    path: str
+    path: str | None
     counts: tuple[tuple[str, ...], ...]
     inclusive: bool
     body: str | None = None
     versioned: bool | None = None
     provider: str | None = None
+    own_path: str | None = None
+    own_body: str | None = None
 
 
 # Field paths of public wire formats. Where a count has several, the first that is there holds.
 _CHAT = (("usage.prompt_tokens",), ("usage.completion_tokens",), ("usage.prompt_tokens_details.cached_tokens",), ("usage.prompt_tokens_details.cache_creation_tokens",), ("usage.completion_tokens_details.reasoning_tokens",))
-_CHAT_PATH = r"/(chat/)?completions$"
+_CHAT_PATH, _CHAT_BODY = r"/(chat/)?completions$", r'"prompt_tokens"'
 _METRICS = "amazon-bedrock-invocationMetrics"
 _INVOKED = (("inputTokenCount", "inputTokens", "input_tokens"), ("outputTokenCount", "outputTokens", "output_tokens"), ("cacheReadInputTokenCount", "cacheReadInputTokens", "cache_read_input_tokens"), ("cacheWriteInputTokenCount", "cacheWriteInputTokens", "cache_creation_input_tokens"), ("", "", ""))
 #: In the order in which they are tried, the specific before the general.
 SHAPES = {
-    "wam.chat": Shape(_CHAT_PATH, _CHAT, True, provider="wam"),
-    "ollama.native": Shape(r"/api/(chat|generate|embed|embeddings)$", (("prompt_eval_count",), ("eval_count",), (), (), ()), False, body=r'"(prompt_eval_count|eval_count)"'),
-    "azure.chat": Shape(r"/openai/deployments/.*/(chat/)?completions$", _CHAT, True, versioned=True),
-    "ai_dial.chat": Shape(r"(dial.*/(chat/)?completions|/openai/deployments/.*/(chat/)?completions)$", _CHAT, True, versioned=False),
-    "openai.responses": Shape(r"/(responses|images/generations|edits|variations)$", tuple((f"usage.{n}", f"response.usage.{n}") if n else () for n in ("input_tokens", "output_tokens", "input_tokens_details.cached_tokens", "", "output_tokens_details.reasoning_tokens")), True, body=r'"(input_tokens_details|output_tokens_details)"'),
-    "openai.embeddings": Shape(r"/embeddings$", (("usage.prompt_tokens", "usage.total_tokens"), (), (), (), ()), True),
-    "openai.chat": Shape(_CHAT_PATH, _CHAT, True, body=r'"prompt_tokens"'),
-    "anthropic.messages": Shape(r"/messages$", tuple((f"usage.{n}", f"message.usage.{n}") if n else () for n in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "")), False, body=r'"(cache_read_input_tokens|message_start)"'),
-    "bedrock.converse": Shape(r"/converse(-stream)?$", tuple((f"usage.{n}", f"metadata.usage.{n}") if n else () for n in ("inputTokens", "outputTokens", "cacheReadInputTokens", "cacheWriteInputTokens", "")), False),
-    "bedrock.invoke": Shape(r"/invoke(-with-response-stream)?$", tuple((f"{_METRICS}.{own}", f"usage.{camel}", f"usage.{snake}", f"message.usage.{snake}") if own else () for own, camel, snake in _INVOKED), False),
-    "google.generate_content": Shape(r":(streamG|g)enerateContent$", (("usageMetadata.promptTokenCount",), ("usageMetadata.candidatesTokenCount",), ("usageMetadata.cachedContentTokenCount",), (), ("usageMetadata.thoughtsTokenCount",)), True, body=r'"usageMetadata"'),
+    "wam.chat": Shape(None, _CHAT, True, provider="wam", own_path=_CHAT_PATH),
+    "ollama.native": Shape(r"/api/(chat|generate|embed|embeddings)$", (("prompt_eval_count",), ("eval_count",), (), (), ()), False, body=r'"(prompt_eval_count|eval_count)"', provider="ollama"),
+    "azure.chat": Shape(r"/openai/deployments/.*/(chat/)?completions$", _CHAT, True, versioned=True, provider="azure_open_ai", own_path=_CHAT_PATH, own_body=_CHAT_BODY),
+    "ai_dial.chat": Shape(r"((?i:dial).*/(chat/)?completions|/openai/deployments/.*/(chat/)?completions)$", _CHAT, True, versioned=False, provider="ai_dial", own_path=_CHAT_PATH, own_body=_CHAT_BODY),
+    "openai.responses": Shape(r"/(responses|images/generations|images/edits|images/variations)$|/responses/", tuple((f"usage.{n}", f"response.usage.{n}") if n else () for n in ("input_tokens", "output_tokens", "input_tokens_details.cached_tokens", "", "output_tokens_details.reasoning_tokens")), True, body=r'"(input_tokens_details|output_tokens_details)"', provider="open_ai"),
+    "openai.embeddings": Shape(r"/embeddings$", (("usage.prompt_tokens", "usage.total_tokens"), (), (), (), ()), True, provider="open_ai"),
+    "openai.chat": Shape(_CHAT_PATH, _CHAT, True, body=_CHAT_BODY, provider="open_ai"),
+    "anthropic.messages": Shape(r"/messages(/|$)", tuple((f"usage.{n}", f"message.usage.{n}") if n else () for n in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "")), False, body=r'"(cache_read_input_tokens|message_start)"'),
+    "bedrock.converse": Shape(r"/converse(-stream)?$", tuple((f"usage.{n}", f"metadata.usage.{n}") if n else () for n in ("inputTokens", "outputTokens", "cacheReadInputTokens", "cacheWriteInputTokens", "")), False, provider="amazon_bedrock"),
+    "bedrock.invoke": Shape(r"/invoke(-with-response-stream)?$", tuple((f"{_METRICS}.{own}", f"usage.{camel}", f"usage.{snake}", f"message.usage.{snake}") if own else () for own, camel, snake in _INVOKED), False, provider="amazon_bedrock"),
+    "google.generate_content": Shape(r":(streamG|g)enerateContent", (("usageMetadata.promptTokenCount",), ("usageMetadata.candidatesTokenCount",), ("usageMetadata.cachedContentTokenCount",), (), ("usageMetadata.thoughtsTokenCount",)), True, body=r'"usageMetadata"', provider="vertex_ai"),
 }
 MODEL = ("model", "message.model", "response.model", "modelVersion")
 #: A base64 field that holds the body proper, in events of bedrock.invoke.
 PACKED = "bytes"
+#: So many characters of a body tell its shape.
+HEAD = 8192
 
 
 def _schema() -> T.StructType:
@@ -74,24 +80,67 @@ def _at(body: str, path: str) -> Column:
     return out
 
 
-def dialect_by_endpoint(endpoint: Column, provider: Column) -> Column:
-    path = F.regexp_replace(F.substring_index(F.substring_index(endpoint, "#", 1), "?", 1), "/+$", "")
-    versioned = F.substring_index(endpoint, "#", 1).contains("api-version=")
+def _path(endpoint: Column) -> Column:
+    return F.regexp_replace(F.substring_index(F.substring_index(endpoint, "#", 1), "?", 1), "/+$", "")
+
+
+def _own(provider: Column, endpoint: Column | None = None, payload: Column | None = None) -> Column:
+    """The first shape of the provider's own that the endpoint's path, or a body's beginning, has."""
     rules = []
     for name, s in SHAPES.items():
+        pattern = (s.own_path or s.path) if payload is None else (s.own_body or s.body)
+        if s.provider and pattern:
+            text = _path(endpoint) if payload is None else F.substring(payload, 1, HEAD)
+            rules.append(F.when((provider == s.provider) & text.rlike(pattern), name))
+    return F.coalesce(*rules)
+
+
+def dialect_by_endpoint(endpoint: Column) -> Column:
+    path, query = _path(endpoint), F.substring_index(endpoint, "#", 1)
+    versioned = F.when(query.contains("?"), F.substring(query, F.length(F.substring_index(query, "?", 1)) + 1, F.length(query)).contains("api-version")).otherwise(False)
+    rules = []
+    for name, s in SHAPES.items():
+        if s.path is None:
+            continue
         fits = path.rlike(s.path)
         if s.versioned is not None:
             # elsewhere than under deployments a query says nothing
-            fits = fits & (versioned if s.versioned else ~(versioned & path.contains("/openai/deployments/")))
-        rules.append(F.when(fits & (provider == s.provider) if s.provider else fits, name))
+            fits = fits & (versioned if s.versioned else ~(versioned & path.contains("/openai/deployments/") & ~F.lower(path).contains("dial")))
+        rules.append(F.when(fits, name))
     return F.coalesce(*rules)
 
 
 def dialect_by_body(payload: Column) -> Column:
-    head = F.substring(payload, 1, 8192)
+    head = F.substring(payload, 1, HEAD)
     return F.coalesce(*[F.when(head.rlike(s.body), name) for name, s in SHAPES.items() if s.body])
 
 
+def frame_bodies(raw: DataFrame) -> DataFrame:
+    """A raw response's events in order: call_id, endpoint, provider, seq, payload.
+
+    raw: call_id, endpoint, provider, content_type, body (text). By content_type a body is a stream of server-sent events
+    (their data lines joined; comments, other fields, empty events and the end mark go), lines of JSON, or one JSON text;
+    without one that says so, its first characters tell. Lines end in LF, CR or both, and a last event counts without the
+    empty line that should end it. A JSON text that is a list gives an event an element, any other is one event as it
+    stands. A body without events, or null, gives one null payload, so that its call isn't lost.
+    """
+    text = F.regexp_replace(F.regexp_replace("body", "^\\uFEFF", ""), "\r\n?", "\n")
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    start = F.substring("_text", 1, HEAD)
+    named = F.when(kind.contains("event-stream"), "sse").when(kind.rlike("ndjson|jsonl|json-?lines|json-?seq"), "lines").when(kind.contains("json"), "json")
+    told = F.when(start.rlike(r"^\s*(data|event|id|retry)?:"), "sse").when(start.rlike(r"^\s*\{[^\n]*\}[ \t]*\n\s*\{"), "lines").otherwise("json")
+    rows = raw.select("call_id", "endpoint", "provider", text.alias("_text"), named.alias("_named"))
+    # a body that is labelled as JSON and has event lines is a stream all the same
+    rows = rows.withColumn("_kind", F.when(F.col("_named").isNull() | ((F.col("_named") == "json") & start.rlike(r"^\s*(data|event):")), told).otherwise(F.col("_named")))
+    data = lambda e: F.filter(F.split(e, "\n"), lambda x: x.rlike("^data(:|$)"))
+    joined = F.transform(F.split("_text", "\n\n+"), lambda e: F.when(F.size(data(e)) > 0, F.array_join(F.transform(data(e), lambda x: F.regexp_replace(x, "^data:? ?", "")), "\n")))
+    lines = F.split("_text", "\n")
+    listed = F.when(start.rlike(r"^\s*\["), F.from_json("_text", "array<string>"))
+    events = F.when(F.col("_kind") == "sse", joined).when(F.col("_kind") == "lines", lines).otherwise(F.coalesce(listed, F.array("_text")))
+    clean = F.filter(F.transform(events, lambda x: F.regexp_replace(x, "^\\x1E", "")), lambda x: x.isNotNull() & (F.trim(x) != "") & (F.trim(x) != "[DONE]"))
+    return rows.select("call_id", "endpoint", "provider", F.posexplode_outer(clean).alias("seq", "payload")).withColumn("seq", F.coalesce("seq", F.lit(0)).cast("long")).select("call_id", "endpoint", "provider", "seq", "payload")
+
+
 def billable_input(inclusive: Column, given: Column, read: Column, creation: Column) -> Column:
     """Input tokens to bill: without what the cache served where the count includes it; null stays null."""
     less = given - F.coalesce(read, F.lit(0)) - F.coalesce(creation, F.lit(0))
@@ -99,21 +148,26 @@ def billable_input(inclusive: Column, given: Column, read: Column, creation: Col
 
 
 def parse_bodies(bodies: DataFrame) -> DataFrame:
-    """One usage reading a call from its deframed events: call_id, dialect, counts, model_name, billable input, token_source.
+    """The token counts of each call from its deframed events: call_id, dialect, counts, model_name, billable input, token_source.
 
-    bodies: call_id, seq, endpoint, provider, payload (a JSON object). The shape follows from provider and endpoint, which
-    all events of a call share, or else from the call's first body. Across a call's events the first input count, the last
+    bodies: call_id, seq, endpoint, provider, payload (a JSON object). A provider with shapes of its own has one of these,
+    by the endpoint's path or else by the call's first body; if none fits, or the provider isn't known, any shape may, by
+    the endpoint or else by the first body. All events of a call share provider and endpoint. Across a call's events the first input count, the last
     output count, and the first count other than 0 of the others hold. Counts must be whole and not negative. A model that
     the path names comes before one that a body does.
 
-    Each payload is parsed once. Events are read as their endpoint says, or, where it says nothing, as each shape that a
-    body can tell; one aggregation a call keeps both, and the first body's shape then picks its reading.
+    Each payload is parsed once. Events are read as their endpoint says, and, where a body may still say otherwise, as each
+    shape that a body can tell; one aggregation a call keeps both, and the first body's shape then picks its counts.
     """
     schema = _schema()
-    rows = bodies.select("call_id", "seq", dialect_by_endpoint(F.col("endpoint"), F.col("provider")).alias("_own"), F.regexp_extract(F.coalesce("endpoint", F.lit("")), r"/model/([^/]+)/", 1).alias("_path_model"), "payload", F.from_json("payload", schema).alias("_x"))
+    provider, endpoint, payload = F.col("provider"), F.col("endpoint"), F.col("payload")
+    # _sure: the provider's own by its path; _own: what the endpoint alone says
+    rows = bodies.select("call_id", "seq", _own(provider, endpoint).alias("_sure"), dialect_by_endpoint(endpoint).alias("_any"), F.regexp_extract(F.coalesce(endpoint, F.lit("")), r"/model/([^/]+)/", 1).alias("_path_model"), "provider", "payload", F.from_json("payload", schema).alias("_x"))
+    rows = rows.withColumn("_own", F.coalesce("_sure", "_any"))
     packed = F.col("_x").getField(PACKED)
     rows = rows.withColumn("_x", F.when((F.col("_own") == "bedrock.invoke") & packed.isNotNull(), F.from_json(F.decode(F.unbase64(packed), "UTF-8"), schema)).otherwise(F.col("_x")))
-    rows = rows.withColumn("_told", F.when(F.col("_own").isNull(), dialect_by_body(F.col("payload"))))
+    mine = F.when(F.col("_sure").isNull(), _own(provider, payload=payload))
+    rows = rows.withColumn("_mine", mine).withColumn("_told", F.when(F.col("_sure").isNull(), F.coalesce("_mine", F.when(F.col("_any").isNull(), dialect_by_body(payload)))))
 
     def reading(name: str, k: int) -> Column:
         paths = SHAPES[name].counts[k]
@@ -122,13 +176,16 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
     def number(value: Column) -> Column:
         return F.when(value.rlike("^[0-9]{1,18}$"), value.cast("long"))
 
+    # shapes that a body tells; a provider's own chat is read like any other
     told = [n for n, s in SHAPES.items() if s.body]
+    alike = {n: "openai.chat" for n, s in SHAPES.items() if s.own_body}
+    open_to_bodies = F.col("_sure").isNull() & (F.col("_any").isNull() | provider.isin(*{s.provider for s in SHAPES.values() if s.provider and (s.own_body or s.body)}))
     read, merged = {}, []
     for k, count in enumerate(COUNTS):
         own = F.coalesce(*[F.when(F.col("_own") == n, reading(n, k)) for n, s in SHAPES.items() if s.counts[k]])
         read[f"_{count}"] = number(own)
-        read |= {f"_{count}_{i}": number(F.when(F.col("_own").isNull(), reading(n, k))) for i, n in enumerate(told) if SHAPES[n].counts[k]}
-    rows = rows.select("call_id", "seq", "_own", "_path_model", "_told", F.coalesce(*[_at("_x", p) for p in MODEL]).alias("_model"), *[c.alias(n) for n, c in read.items()])
+        read |= {f"_{count}_{i}": number(F.when(open_to_bodies, reading(n, k))) for i, n in enumerate(told) if SHAPES[n].counts[k]}
+    rows = rows.select("call_id", "seq", "_sure", "_own", "_path_model", "_mine", "_told", F.coalesce(*[_at("_x", p) for p in MODEL]).alias("_model"), *[c.alias(n) for n, c in read.items()])
     google = told.index("google.generate_content")
     for output, thoughts, known in (("_output_tokens", "_reasoning_tokens", F.col("_own") == "google.generate_content"), (f"_output_tokens_{google}", f"_reasoning_tokens_{google}", F.lit(True))):
         rows = rows.withColumn(output, F.col(output) + F.when(known, F.coalesce(thoughts, F.lit(0))).otherwise(0))
@@ -137,12 +194,14 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
         count = next(c for c in COUNTS if n.startswith(f"_{c}"))
         how = first(n) if count == "input_tokens" else F.max_by(n, F.when(F.col(n).isNotNull(), F.col("seq"))) if count == "output_tokens" else first(n, F.col(n) != 0)
         merged.append(how.alias(n))
-    calls = rows.groupBy("call_id").agg(F.max("_own").alias("_own"), F.min_by("_told", "seq").alias("_told"), F.max("_path_model").alias("_path_model"), first("_model").alias("_model"), *merged)
-    calls = calls.withColumn("dialect", F.coalesce("_own", "_told"))
+    calls = rows.groupBy("call_id").agg(F.max("_sure").alias("_sure"), F.max("_own").alias("_own"), F.min_by("_mine", "seq").alias("_mine"), F.min_by("_told", "seq").alias("_told"), F.max("_path_model").alias("_path_model"), first("_model").alias("_model"), *merged)
+    calls = calls.withColumn("dialect", F.coalesce("_sure", "_mine", "_own", "_told"))
+    calls = calls.withColumn("_by_body", F.when(F.col("_sure").isNull() & (F.col("_mine").isNotNull() | F.col("_own").isNull()), F.col("dialect")))
+    calls = calls.replace(alike, subset=["_by_body"])
     counts = {}
     for k, count in enumerate(COUNTS):
-        by_body = [F.when(F.col("_told") == n, F.col(f"_{count}_{i}")) for i, n in enumerate(told) if SHAPES[n].counts[k]]
-        value = F.when(F.col("_own").isNotNull(), F.col(f"_{count}")).otherwise(F.coalesce(*by_body))
+        by_body = [F.when(F.col("_by_body") == n, F.col(f"_{count}_{i}")) for i, n in enumerate(told) if SHAPES[n].counts[k]]
+        value = F.when(F.col("_by_body").isNull(), F.col(f"_{count}")).otherwise(F.coalesce(*by_body))
         counts[count] = value if k < 2 else F.coalesce(value, F.lit(0))
     counts["output_tokens"] = F.when(F.col("dialect") == "openai.embeddings", F.coalesce(counts["output_tokens"], F.lit(0))).otherwise(counts["output_tokens"])
     out = calls.select("call_id", "dialect", *[c.alias(n) for n, c in counts.items()], F.coalesce(F.nullif("_path_model", F.lit("")), "_model").alias("model_name"))

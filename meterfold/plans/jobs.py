@@ -12,7 +12,7 @@ from meterfold.operators import complexity as X
 from meterfold.operators import counters as K
 from meterfold.operators import ingest as I
 from meterfold.operators.budget import best_warnings, budget_door, budget_state, scope_rows
-from meterfold.operators.wire import billable_input, parse_bodies
+from meterfold.operators.wire import billable_input, frame_bodies, parse_bodies
 from meterfold.plans.catalog import add
 from meterfold.plans.parts import MONTH, PROJECT
 from meterfold.schema import conform_events
@@ -108,14 +108,49 @@ def bodies(s: Store) -> DataFrame:
 
 _KIND = f"CAST(regexp_extract(idempotency_key, 'k-(\\d+)', 1) AS BIGINT) % {len(BODIES)}"
 _NAMES = "[" + ", ".join(f"'{n}'" for n in BODIES) + "]"
-add("parse_bodies", lambda s: parse_bodies(bodies(s)), f"""SELECT call_id, dialect, model_name, input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens, reasoning_tokens,
+PARSED = f"""SELECT call_id, dialect, model_name, input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens, reasoning_tokens,
   CASE WHEN chat OR dialect IN ('openai.responses', 'google.generate_content') THEN GREATEST(0, input_tokens - cache_read_tokens - cache_creation_tokens) ELSE input_tokens END AS billable_input_tokens, 'provider' AS token_source
 FROM (SELECT idempotency_key AS call_id, dialect, dialect LIKE '%.chat' AS chat, model_name, input_tokens,
   CASE dialect WHEN 'google.generate_content' THEN output_tokens + 2 WHEN 'openai.embeddings' THEN 0 ELSE output_tokens END AS output_tokens,
   CASE WHEN dialect IN ('openai.embeddings', 'ollama.native') THEN 0 ELSE cache_read_tokens END AS cache_read_tokens,
   CASE WHEN dialect IN ('openai.embeddings', 'ollama.native', 'openai.responses', 'google.generate_content') THEN 0 ELSE cache_creation_tokens END AS cache_creation_tokens,
   CAST(CASE WHEN dialect = 'google.generate_content' THEN 2 WHEN dialect = 'openai.responses' THEN 4 WHEN dialect LIKE '%.chat' THEN 3 ELSE 0 END AS BIGINT) AS reasoning_tokens
-  FROM (SELECT *, ({_NAMES})[1 + {_KIND}] AS dialect FROM ev WHERE event_type = 'llm'))""")
+  FROM (SELECT *, ({_NAMES})[1 + {_KIND}] AS dialect FROM ev WHERE event_type = 'llm'))"""
+add("parse_bodies", lambda s: parse_bodies(bodies(s)), PARSED)
+
+
+def raw_bodies(s: Store) -> DataFrame:
+    """The same calls as raw responses: streams of server-sent events in two styles, and lines of JSON, by turns."""
+    pairs = bodies(s).groupBy("call_id", "endpoint", "provider").agg(*[F.max(F.when(F.col("seq") == k, F.col("payload"))).alias(f"p{k}") for k in (0, 1)])
+    kind = F.pmod(F.crc32("call_id"), F.lit(3))
+    plain = F.concat(F.lit(": hello\n\nevent: a\ndata: "), "p0", F.lit("\n\ndata:"), "p1", F.lit("\n\ndata: [DONE]\n\n"))
+    other = F.concat(F.lit("id: 1\r\ndata: "), "p0", F.lit("\r\nretry: 5\r\n\r\n\r\ndata: "), "p1", F.lit("\r\n"))
+    lines = F.concat("p0", F.lit("\n\n"), "p1", F.lit("\n"))
+    body = F.when(kind == 0, plain).when(kind == 1, other).otherwise(lines)
+    content = F.when(kind == 0, "text/event-stream").when(kind == 2, "application/x-ndjson")
+    return pairs.select("call_id", "endpoint", "provider", content.alias("content_type"), body.alias("body"))
+
+
+add("frame_bodies", lambda s: parse_bodies(frame_bodies(raw_bodies(s))), PARSED)
+
+PROVIDERS = [None, "azure_open_ai", "ai_dial", "wam", "vertex_ai"]
+DISAGREEING = ["https://gate/v1/chat/completions", "https://x/openai/deployments/d/chat/completions?api-version=1", "https://x/v1/messages", "https://x/proxy"]
+
+
+def disagreeing(s: Store) -> DataFrame:
+    """Calls whose provider and endpoint say different things, all with the body of a chat."""
+    own = s.events.where("event_type = 'llm'")
+    pick = lambda some, n: F.element_at(F.array(*[F.lit(x) for x in some]), (F.pmod(n, F.lit(len(some))) + 1).cast("int"))
+    body = F.format_string('{"usage":{"prompt_tokens":%d,"completion_tokens":%d}}', "input_tokens", "output_tokens")
+    rows = own.select(F.col("idempotency_key").alias("call_id"), F.lit(0).cast("long").alias("seq"), pick(DISAGREEING, F.col("duration_ms")).alias("endpoint"), pick(PROVIDERS, F.col("user_id")).alias("provider"), body.alias("payload"))
+    return parse_bodies(rows).select("call_id", "dialect", "input_tokens")
+
+
+add("match_provider", disagreeing, """SELECT call_id, dialect, CASE WHEN dialect <> 'anthropic.messages' THEN input_tokens END AS input_tokens FROM (
+  SELECT idempotency_key AS call_id, input_tokens, CASE user_id % 5
+    WHEN 0 THEN (['openai.chat', 'azure.chat', 'anthropic.messages', 'openai.chat'])[1 + duration_ms % 4] WHEN 1 THEN 'azure.chat' WHEN 2 THEN 'ai_dial.chat'
+    WHEN 3 THEN (['wam.chat', 'wam.chat', 'anthropic.messages', 'openai.chat'])[1 + duration_ms % 4]
+    ELSE (['openai.chat', 'azure.chat', 'anthropic.messages', 'openai.chat'])[1 + duration_ms % 4] END AS dialect FROM ev WHERE event_type = 'llm')""")
 add("billable_input", lambda s: s.events.select("idempotency_key", billable_input(F.col("project_id") % 2 == 0, F.col("input_tokens"), F.col("cache_read_tokens") * 3, F.col("cache_creation_tokens")).alias("billable")), "SELECT idempotency_key, GREATEST(0, CASE WHEN project_id % 2 = 0 THEN input_tokens - 3 * cache_read_tokens - cache_creation_tokens ELSE input_tokens END) AS billable FROM ev")
 PRICED = ["cost_nano_usd", "input_cost_nano_usd", "output_cost_nano_usd", "cache_read_cost_nano_usd", "cache_creation_cost_nano_usd"]
 _P = {"input_cost_nano_usd": "COALESCE(billable_input_tokens * input_rate, 0)", "output_cost_nano_usd": "COALESCE(output_tokens * output_rate, 0)", "cache_read_cost_nano_usd": "COALESCE(cache_read_tokens * COALESCE(cache_read_rate, input_rate), 0)", "cache_creation_cost_nano_usd": "COALESCE(cache_creation_tokens * COALESCE(cache_creation_rate, input_rate), 0)"}

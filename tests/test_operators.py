@@ -14,7 +14,7 @@ from meterfold.functions.predicates import date_range
 from meterfold.operators import complexity as X
 from meterfold.operators import counters as K
 from meterfold.operators import ingest as I
-from meterfold.operators.wire import parse_bodies
+from meterfold.operators.wire import frame_bodies, parse_bodies
 from meterfold.operators.page import collapse_tail, page
 from meterfold.schema import EVENT, conform_events
 from meterfold.sources.events import drop_months, expired_months, read_events, write_events
@@ -126,6 +126,74 @@ def test_every_wire_shape(spark):
         assert r.token_source == ("unparsed" if dialect is None else "provider")
 
 
+USED = '{"usage":{"prompt_tokens":100,"completion_tokens":7}}'
+TOLD = [
+    # dialect, endpoint, provider, bodies
+    ("azure.chat", "https://gate/v1/chat/completions", "azure_open_ai", [USED]),
+    ("ai_dial.chat", "https://gate/v1/chat/completions", "ai_dial", [USED]),
+    ("ai_dial.chat", "https://x/openai/deployments/d/chat/completions?api-version=1", "ai_dial", [USED]),
+    ("azure.chat", "https://dial.x/openai/deployments/d/completions", "azure_open_ai", [USED]),
+    ("openai.chat", "https://dial.x/v1/chat/completions", "open_ai", [USED]),
+    ("wam.chat", "https://dial.x/v1/chat/completions", "wam", [USED]),
+    # a provider's own shape by its body comes before another's by the endpoint
+    ("azure.chat", "https://gate/v1/messages", "azure_open_ai", [USED]),
+    ("google.generate_content", "https://gate/v1/messages", "vertex_ai", ['{"usageMetadata":{"promptTokenCount":100,"candidatesTokenCount":7}}']),
+    # a provider that has no shape for it: any by the endpoint, then any by the body
+    ("openai.embeddings", "https://x/v1/embeddings", "ai_dial", ['{"usage":{"total_tokens":100}}']),
+    ("anthropic.messages", "https://x/v1/messages", "amazon_bedrock", ['{"usage":{"input_tokens":100,"output_tokens":7}}']),
+    ("openai.chat", "https://x/proxy", "amazon_bedrock", [USED]),
+    ("openai.chat", "https://x/proxy", "unheard_of", [USED]),
+    ("openai.embeddings", "https://x/v1/embeddings", "wam", ['{"usage":{"prompt_tokens":100}}']),
+    # paths that go on, and an api-version that is in the path only
+    ("anthropic.messages", "https://x/v1/messages/batch", None, ['{"usage":{"input_tokens":100,"output_tokens":7}}']),
+    ("openai.responses", "https://x/v1/responses/r1", None, ['{"usage":{"input_tokens":100,"output_tokens":7}}']),
+    ("google.generate_content", "https://x/m:generateContent/x", None, ['{"usageMetadata":{"promptTokenCount":100,"candidatesTokenCount":7}}']),
+    ("ollama.native", "https://x/api/embeddings/", None, ['{"prompt_eval_count":100,"eval_count":7}']),
+    ("ai_dial.chat", "https://x/openai/deployments/api-version/chat/completions", None, [USED]),
+    ("ai_dial.chat", "https://DIAL/openai/deployments/d/chat/completions", None, [USED]),
+]
+
+
+def test_a_known_provider_narrows_the_shapes(spark):
+    rows = [(k, seq, endpoint, provider, body) for k, (_, endpoint, provider, bodies) in enumerate(TOLD) for seq, body in enumerate(bodies)]
+    got = {r.call_id: r for r in parse_bodies(spark.createDataFrame(rows, "call_id long, seq long, endpoint string, provider string, payload string")).collect()}
+    for k, (dialect, *own) in enumerate(TOLD):
+        assert (got[k].dialect, got[k].input_tokens, got[k].output_tokens) == (dialect, 100, 0 if dialect == "openai.embeddings" else 7), own
+
+
+def sse(*bodies, end="\n", extra=""):
+    return "".join(f"event: x{end}{extra}data: {b}{end}{end}" for b in bodies)
+
+
+RAW = [
+    # dialect, endpoint, content type, raw body, (input, output)
+    ("openai.chat", "https://x/v1/chat/completions", "text/event-stream; charset=utf-8", sse('{"choices":[]}', CHAT, "[DONE]"), (100, 7)),
+    ("anthropic.messages", "https://x/v1/messages", "text/event-stream", ": ping\r\n\r\n" + sse(MESSAGE, '{"usage":{"output_tokens":7}}', end="\r\n", extra="id: 1\r\n"), (100, 7)),
+    ("google.generate_content", "https://x/m:streamGenerateContent", "text/event-stream", sse('{"usageMetadata":{"promptTokenCount":100,\ndata:"candidatesTokenCount":7}}'), (100, 7)),
+    ("google.generate_content", "https://x/m:streamGenerateContent", "application/json", '[{"usageMetadata":{"promptTokenCount":100,"candidatesTokenCount":2}}\n,\r\n{"usageMetadata":{"promptTokenCount":100,"candidatesTokenCount":7}}]', (100, 7)),
+    ("ollama.native", "https://x/api/chat", "application/x-ndjson", '{"model":"m","done":false}\n\n{"prompt_eval_count":100,"eval_count":7}\n', (100, 7)),
+    ("openai.responses", "https://x/v1/responses", None, sse('{"response":{"model":"m"}}', '{"response":{"usage":{"input_tokens":100,"output_tokens":7}}}', end="\r"), (100, 7)),
+    ("openai.chat", "https://x/v1/chat/completions", "application/json", CHAT.replace(",", ",\n  "), (100, 7)),
+    ("openai.chat", "https://x/v1/chat/completions", "application/json", "\ufeffdata: " + CHAT, (100, 7)),
+    ("ollama.native", "https://x/api/chat", None, '{"model":"m"}\n{"prompt_eval_count":100,"eval_count":7}', (100, 7)),
+    ("openai.chat", "https://x/v1/chat/completions", "text/event-stream", ": only a comment\n\n", (None, None)),
+    ("openai.chat", "https://x/v1/chat/completions", "text/event-stream", None, (None, None)),
+    ("openai.chat", "https://x/v1/chat/completions", "application/json", "", (None, None)),
+]
+
+
+def test_raw_streams_become_events(spark):
+    rows = [(k, endpoint, None, kind, body) for k, (_, endpoint, kind, body, _) in enumerate(RAW)]
+    framed = frame_bodies(spark.createDataFrame(rows, "call_id long, endpoint string, provider string, content_type string, body string"))
+    assert "Python" not in framed._jdf.queryExecution().executedPlan().toString()
+    got = {r.call_id: r for r in parse_bodies(framed).collect()}
+    assert len(got) == len(RAW)
+    for k, (dialect, endpoint, kind, _, counts) in enumerate(RAW):
+        assert (got[k].dialect, got[k].input_tokens, got[k].output_tokens) == (dialect, *counts), (k, endpoint, kind)
+    seqs = {(r.call_id, r.seq): r.payload for r in framed.collect()}
+    assert seqs[2, 0] == '{"usageMetadata":{"promptTokenCount":100,\n"candidatesTokenCount":7}}' and (0, 2) not in seqs
+
+
 def test_bodies_are_parsed_in_one_shuffle(spark):
     rows = spark.createDataFrame([("a", 0, "e", None, "{}")], "call_id string, seq long, endpoint string, provider string, payload string")
     plan = parse_bodies(rows)._jdf.queryExecution().executedPlan().toString()
