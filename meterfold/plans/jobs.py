@@ -17,7 +17,10 @@ from meterfold.plans.catalog import add
 from meterfold.plans.parts import MONTH, PROJECT
 from meterfold.schema import conform_events
 from meterfold.sources.events import expired_months
+from meterfold.scratch import scratch
 from meterfold.sources.store import Store
+from meterfold.streaming import rollup
+from meterfold.streaming.commits import Commit, CommitLog
 
 M = MONTH.date()
 TODAY = datetime.date(1997, 1, 1)
@@ -315,8 +318,17 @@ for _name in ("tool_weight", "join_weights"):
     add(_name, lambda s: X.tool_weights(X.run_tool_counts(runs(s)), s.tool_weights), _WEIGHTED)
 
 
+def score_log(s: Store) -> CommitLog:
+    """Scores of the window's runs and their rollup, stored once and read by every report."""
+
+    def build(path: str) -> None:
+        rollup.keep_scores(CommitLog(s.spark, path), Commit(), X.score_runs(X.run_aggregates(runs(s)), X.run_tool_counts(runs(s)), s.tool_weights, END), "month")
+
+    return CommitLog(s.spark, s.built("scores", build))
+
+
 def scored(s: Store) -> DataFrame:
-    return X.score_runs(X.run_aggregates(runs(s)), X.run_tool_counts(runs(s)), s.tool_weights, END)
+    return rollup.read_scores(score_log(s))
 
 
 _SCORED = f"SELECT *, cu_context + cu_llm + cu_tools AS cu_total, first_ts AS ts FROM (SELECT r.*, LEAST(peak_input_tokens / 1000.0, 30.0)::DOUBLE AS cu_context, CAST(llm_calls AS DOUBLE) AS cu_llm, CAST(COALESCE(w.n, 0) AS DOUBLE) AS cu_tools FROM ({_AGG}) r LEFT JOIN (SELECT project_id, run_id, SUM(weight * calls) AS n FROM ({_WEIGHTED}) GROUP BY 1, 2) w ON w.project_id = r.project_id AND w.run_id = r.run_id WHERE llm_calls + tool_calls > 0 AND last_ts <= TIMESTAMP '{END}')"
@@ -329,15 +341,43 @@ N = len(X.BOUNDS) + 1
 
 
 def daily(s: Store) -> DataFrame:
-    return X.complexity_daily(scored(s))
+    return rollup.read_daily(score_log(s)).drop("part")
+
+
+def late_lines(s: Store) -> DataFrame:
+    """The events with those of later lines a day earlier, so that they move their runs' first day."""
+    line = F.regexp_extract("idempotency_key", r"-(\d+)$", 1).cast("int")
+    return s.events.where("run_id IS NOT NULL").withColumn("late", line >= 6).withColumn("ts", F.when(F.col("late"), F.col("ts") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts")))
+
+
+def score_all(s: Store, rows: DataFrame) -> DataFrame:
+    return X.score_runs(X.run_aggregates(rows), X.run_tool_counts(rows), s.tool_weights)
+
+
+def two_passes(s: Store) -> tuple[CommitLog, DataFrame]:
+    """A log in which all runs are scored, then those again that late events change; and the keys that these touch."""
+    rows = late_lines(s)
+    log = CommitLog(s.spark, scratch(s.spark, "two-passes"))
+    first = rollup.keep_scores(log, Commit(), score_all(s, rows.where("NOT late")), "month")
+    again = X.run_rows(rows, rows.where("late").select("project_id", "run_id").distinct())
+    rollup.keep_scores(log, first, score_all(s, again), "month")
+    changed = rollup.read_scores(log).join(again.select("project_id", "run_id").distinct(), ["project_id", "run_id"], "left_semi")
+    return log, rollup.daily_keys(changed, rollup.read_scores(log, first))
+
+
+_LATE_EV = "(SELECT * REPLACE (CASE WHEN late THEN ts - INTERVAL 1 DAY ELSE ts END AS ts) FROM (SELECT *, CAST(regexp_extract(idempotency_key, '-(\\d+)$', 1) AS INT) >= 6 AS late FROM ev WHERE run_id IS NOT NULL))"
 
 
 def flat(df: DataFrame) -> DataFrame:
     return df.withColumns({f"h{k}": F.col("histogram")[k] for k in range(N)}).drop("histogram")
 
 
+_LATE_ALL = SCORED_ALL.replace("(SELECT * FROM ev WHERE run_id IS NOT NULL)", _LATE_EV)
+_LATE_FIRST = SCORED_ALL.replace("(SELECT * FROM ev WHERE run_id IS NOT NULL)", f"(SELECT * FROM {_LATE_EV} WHERE NOT late)")
+add("daily_rollup", lambda s: flat(rollup.read_daily(two_passes(s)[0]).drop("part")).withColumn("day", F.col("day").cast("string")), _DAILYC.replace(_SCORED, _LATE_ALL))
 add("complexity_daily", lambda s: flat(daily(s)).withColumn("day", F.col("day").cast("string")), _DAILYC)
-add("daily_keys", lambda s: daily(s).select("project_id", "root_entity_type", "root_entity_id", F.col("day").cast("string").alias("day")), f"SELECT project_id, root_entity_type, root_entity_id, day FROM ({_DAILYC})")
+_KEYS_OF = "SELECT project_id, root_entity_type, root_entity_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM ({}) WHERE root_entity_id IS NOT NULL AND (project_id, run_id) IN (SELECT project_id, run_id FROM {} WHERE late)"
+add("daily_keys", lambda s: two_passes(s)[1].withColumn("day", F.col("day").cast("string")), f"{_KEYS_OF.format(_LATE_ALL, _LATE_EV)} UNION {_KEYS_OF.format(_LATE_FIRST, _LATE_EV)}")
 add("expire_daily", lambda s: flat(X.expire_daily(daily(s), TODAY, 3)).select("root_entity_id", F.col("day").cast("string").alias("day"), "runs"), f"SELECT root_entity_id, day, runs FROM ({_DAILYC}) WHERE day >= '1996-10-01'")
 _ENT = f"SELECT project_id, root_entity_type, root_entity_id, CAST(SUM(runs) AS BIGINT) AS runs, SUM(cu_sum) AS cu_sum, MAX(cu_max) AS cu_max, {', '.join(f'CAST(SUM(h{k}) AS BIGINT) AS h{k}' for k in range(N))} FROM ({_DAILYC}) GROUP BY 1, 2, 3"
 _BEFORE = [" + ".join(["0", *[f"h{j}" for j in range(k)]]) for k in range(N + 1)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from meterfold.operators.counters import KEYS, VALUES, build_counters, write_counters
@@ -39,6 +41,15 @@ class Store:
         rows = self.spark.read.schema("project_id long, user_id long, period_kind string, model_name string, input_tokens long, output_tokens long, cost_nano_usd long, call_count long, period_start date").parquet(_built[key])
         return rows.select(*KEYS, *VALUES)
 
+    def built(self, name: str, build: Callable[[str], object]) -> str:
+        """A folder that build fills, once a session."""
+        key = self.spark.sparkContext.applicationId, f"{self.sf_dir}#{name}"
+        if key not in _built:
+            path = scratch(self.spark, name)
+            build(path)
+            _built[key] = path
+        return _built[key]
+
     @property
     def raw(self) -> DataFrame:
         return fixtures.raw_events(self.spark, self.sf_dir)

@@ -21,6 +21,7 @@ from meterfold.sources.events import drop_months, expired_months, read_events, w
 from meterfold.sources.store import Store
 from meterfold.streaming import balances as B
 from meterfold.streaming import jobs as S
+from meterfold.streaming import rollup
 from meterfold.streaming.commits import Commit, CommitLog, Run, to_merge
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -486,3 +487,81 @@ def test_months_are_written_and_dropped(spark, tmp_path):
     assert old == [datetime.date(2024, 1, 1)]
     drop_months(spark, path, old)
     assert [r.idempotency_key for r in read_events(spark, path).collect()] == ["b"]
+
+
+def events_of(spark, rows):
+    """Events (run, kind of event, minutes after DAY, entity) of one project."""
+    own = [(1, run, DAY + datetime.timedelta(minutes=m), kind, entity, "application" if entity else None, "kit__t" if kind == "tool" else None, 1000 * (1 + m % 7)) for run, kind, m, entity in rows]
+    df = spark.createDataFrame(own, "project_id long, run_id string, ts timestamp, event_type string, root_entity_id long, root_entity_type string, tool_name string, input_tokens long")
+    return conform_events(df)
+
+
+def files_under(folder):
+    return {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_rollup_follows_changed_runs(spark, tmp_path):
+    """Passes over changed runs give what a rebuild of all gives; days that no changed run is or was in keep their files, and an aborted pass changes nothing."""
+    weights = spark.createDataFrame([("t", 2)], "tool string, weight long")
+    score = lambda rows: X.score_runs(X.run_aggregates(rows), X.run_tool_counts(rows), weights)
+    day = 1440
+    batches = [
+        [(f"r{k}", kind, k % 6 * day + k, k % 4 or None) for k in range(40) for kind in ("llm", "tool")],
+        [("r7", "llm", 1 * day - 30, 3), ("r8", "tool", 2 * day + 500, 4), ("new", "llm", 3 * day, 1)],  # r7 now begins a day earlier
+        [("r9", "llm", 4 * day, 9), ("r12", "llm", 90, 2)],  # r9 has another entity and goes on into another day, r12's entity appears
+    ]
+    log, commit, seen = CommitLog(spark, str(tmp_path / "log")), Commit(), []
+    flat = lambda df, *drop: sorted(map(str, df.drop("part", *drop).collect()))
+    for k, batch in enumerate(batches):
+        seen += batch
+        rows = events_of(spark, seen)
+        window = events_of(spark, batch).select("project_id", "run_id").distinct()
+        scored = score(X.run_rows(rows, window))
+        before, files = rollup.read_scores(log, commit), files_under(tmp_path / "log" / "daily") if k else {}
+        after = rollup.keep_scores(log, commit, scored)
+        changed = rollup.read_scores(log, after).join(window, ["project_id", "run_id"], "left_semi")
+        keys = {(r.root_entity_id, str(r.day)) for r in rollup.daily_keys(changed, before).collect()}
+        if k == 1:
+            assert keys == {(3, "2024-01-01"), (3, "2024-01-02"), (4, "2024-01-03"), (1, "2024-01-04")}
+        if k:
+            days = {p.rpartition("/")[2] for r in after.runs[-1:] for p in r.folders["daily"]}
+            assert days < {f"part=2024-01-0{d}" for d in range(1, 7)}
+            assert files.items() <= files_under(tmp_path / "log" / "daily").items()
+        whole = X.complexity_daily(score(rows))
+        assert flat(rollup.read_daily(log, after).select(*sorted(whole.columns))) == flat(whole.select(*sorted(whole.columns)))
+        assert flat(rollup.read_scores(log, after), "day") == flat(score(rows).select(*[c for c in rollup.SCORE.fieldNames() if c not in ("day", "part")]))
+        commit = after
+    log.vacuum(keep=1)
+    assert flat(rollup.read_daily(log).select(*sorted(whole.columns))) == flat(whole.select(*sorted(whole.columns)))
+    assert len(files_under(tmp_path / "log" / "daily")) == len({p for r in commit.runs for p in r.folders.get("daily", [])})
+
+
+def test_roles_are_filled_in_by_month(spark, tmp_path, monkeypatch):
+    """Only months with an event that can get roles are written again; counts are told, and a killed run changes nothing."""
+    root, queue = str(tmp_path / "log"), str(tmp_path / "queue")
+    record = '{"ts":"2024-0%d-01T00:00:00Z","idempotency_key":"k%d","project_id":1,"user_id":%d,"event_type":"llm","arrival":1%s}'
+    lines = [record % (1 + k % 4, k, 2 if k % 4 < 2 else 3, ',"role_snapshot":["old"]' if k == 4 or k % 4 == 1 and k > 4 else "") for k in range(12)]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(queue)
+    S.ingest(spark, S.read_queue(spark, queue), root, str(tmp_path / "c"), {"availableNow": True}).awaitTermination()
+    members = spark.createDataFrame([(1, 2, "viewer"), (1, 2, "editor")], "project_id long, user_id long, role string")
+    log = CommitLog(spark, root)
+    before, old = log.newest(), files_under(tmp_path / "log" / "events")
+    rows = lambda: sorted((r.idempotency_key, r.role_snapshot) for r in S.read_landed(spark, root).collect())
+    first = rows()
+    real = CommitLog.add
+    monkeypatch.setattr(CommitLog, "add", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        rollup.fill_roles(log, before, members)
+    assert rows() == first and log.newest() == before
+    monkeypatch.setattr(CommitLog, "add", real)
+    after, counts = rollup.fill_roles(log, before, members)
+    assert counts == {"2024-01-01": 2, "2024-02-01": 1}
+    want = [(k, r or (["editor", "viewer"] if int(k[1:]) % 4 < 2 else None)) for k, r in first]
+    assert rows() == want
+    assert {p.rpartition("/")[2] for p in after.runs[-1].folders["events"]} == {"event_month=2024-01-01", "event_month=2024-02-01"}
+    assert old.items() <= files_under(tmp_path / "log" / "events").items()
+    assert rollup.fill_roles(log, after, members) == (after, {})
+    # the stream goes on behind it, and knows its replays
+    spark.createDataFrame([(record % (1, 0, 2, ""),), (record % (1, 99, 2, ""),)], "value string").coalesce(1).write.mode("append").text(queue)
+    S.ingest(spark, S.read_queue(spark, queue), root, str(tmp_path / "c"), {"availableNow": True}).awaitTermination()
+    assert len(rows()) == 13 and rows()[:1] == want[:1]
