@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterfold.operators.quantiles import quantiles
+from meterfold.scratch import materialised
+
 #: Fixed values of the score: cap of the context part, histogram bounds, thresholds before calibration.
 CONTEXT_CAP = 30.0
 BOUNDS = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0, 1024.0, 2048.0]
@@ -106,9 +109,10 @@ def calibrate(scored: DataFrame, today, c: Calibration = Calibration()) -> DataF
     newest = Window.partitionBy("project_id", "root_entity_type", "root_entity_id").orderBy(F.col("ts").desc(), F.col("run_id"))
     own = scored.where((F.col("ts") >= F.date_sub(F.lit(today), c.days)) & (F.col("ts") < F.lit(today)) & F.col("root_entity_id").isNotNull())
     own = own.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= c.newest)
-    marks = F.percentile("cu_total", F.array(*[F.lit(k / 100) for k in range(1, 100)]))
+    own = materialised(own.select("project_id", "root_entity_type", "root_entity_id", "cu_total"), "sample")
     entities = F.countDistinct("project_id", "root_entity_type", "root_entity_id")
-    out = own.agg(F.count("*").alias("sample_runs"), entities.alias("sample_entities"), marks.alias("breakpoints"))
+    marks = quantiles(own, [], "cu_total", [k / 100 for k in range(1, 100)]).withColumnRenamed("quantiles", "breakpoints")
+    out = own.agg(F.count("*").alias("sample_runs"), entities.alias("sample_entities")).join(F.broadcast(marks), F.lit(True), "left")  # rows of one
     return out.select("sample_runs", "sample_entities", *[F.col("breakpoints")[k - 1].alias(f"p{k}") for k in (75, 90, 99)], "breakpoints")
 
 
@@ -132,12 +136,26 @@ def complexity_entities(daily: DataFrame) -> DataFrame:
 def complexity_summary(rollup: DataFrame, exact: DataFrame) -> DataFrame:
     """Rollup rows with exact runs, maximum and median where retention removed no run."""
     key = ["project_id", "root_entity_type", "root_entity_id"]
-    own = exact.where("root_entity_id IS NOT NULL").groupBy(*key).agg(F.count("*").alias("_runs"), F.max("cu_total").alias("_max"), F.percentile("cu_total", F.lit(0.5)).alias("_median"))
-    joined = rollup.join(own, key, "left")
+    own = exact.where("root_entity_id IS NOT NULL").groupBy(*key).agg(F.count("*").alias("_runs"), F.max("cu_total").alias("_max"))
+    joined = rollup.join(own, key, "left").join(medians(exact.where("root_entity_id IS NOT NULL"), key).withColumnRenamed("cu_median", "_median"), key, "left")
     whole = F.coalesce(F.col("_runs") >= F.col("runs"), F.lit(False))
     return joined.select(*key, F.when(whole, F.col("_runs")).otherwise(F.col("runs")).alias("runs"), F.when(whole, F.col("_max")).otherwise(F.col("cu_max")).alias("cu_max"), F.when(whole, F.col("_median")).otherwise(F.col("cu_median")).alias("cu_median"), whole.alias("exact"))
 
 
+def medians(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and cu_median, exact."""
+    return quantiles(scored, keys, "cu_total", [0.5]).select(*keys, F.col("quantiles")[0].alias("cu_median"))
+
+
+def complexity_versions(scored: DataFrame) -> DataFrame:
+    """Runs and median of each version of an entity."""
+    key = ["root_entity_id", "root_entity_version_id"]
+    counts = scored.groupBy(*key).agg(F.count("*").alias("runs")).alias("c")
+    own = medians(scored, key).alias("m")
+    same = F.col("c.root_entity_id").eqNullSafe(F.col("m.root_entity_id")) & F.col("c.root_entity_version_id").eqNullSafe(F.col("m.root_entity_version_id"))
+    return counts.join(own, same, "left").select("c.*", "cu_median")
+
+
 def conversation_top_run(scored: DataFrame) -> DataFrame:
     best = Window.partitionBy("conversation_id").orderBy(F.col("cu_total").desc(), F.col("ts").desc(), F.col("run_id"))
     return scored.where("conversation_id IS NOT NULL").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")

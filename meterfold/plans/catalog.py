@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from meterfold.functions import columns as C
 from meterfold.functions import predicates as P
 from meterfold.functions.measures import COST_SPLIT
 from meterfold.operators import page as pages
+from meterfold.operators.sketches import active_users_trend
 from meterfold.plans.parts import AGENT, FILTERS, PERIOD, PROJECT, SQL_MEASURES, USER, with_events
 from meterfold.plans.reports import measure, report, report_sql, top, top_sql
 from meterfold.sources.store import Store
@@ -88,6 +89,11 @@ _EV_APP = f"(SELECT ev.*, ap.kind AS app_kind, ap.name AS app_name FROM ev {_APP
 add("automated_activity", automated_activity, f"SELECT trigger_source, COALESCE(app_kind, root_entity_type) AS kind, {SQL_MEASURES['runs']} AS runs, {SQL_MEASURES['llm_calls']} AS llm_calls, {SQL_MEASURES['cost_nano']} AS cost_nano FROM {_EV_APP} WHERE {FILTERS['automated'][1]} GROUP BY 1, 2")
 for g in ("day", "week", "month"):
     plain(f"active_users_trend_{g}" if g != "week" else "active_users_trend", "base", [g], ["active_users", "manual_users"])
+add(
+    "active_users_sketch",
+    lambda s: functools.reduce(DataFrame.unionByName, [active_users_trend(s.events.where(FILTERS["base"][0]()), g, approx=True).withColumn("granularity", F.lit(g)) for g in ("day", "week", "month")]).withColumn("bucket", F.col("bucket").cast("string")),
+    " UNION ALL ".join(f"SELECT CAST(CAST(date_trunc('{g}', ts) AS DATE) AS VARCHAR) AS bucket, {SQL_MEASURES['active_users']} AS active_users, {SQL_MEASURES['manual_users']} AS manual_users, '{g}' AS granularity FROM ev WHERE {FILTERS['base'][1]} GROUP BY 1" for g in ("day", "week", "month")),
+)
 plain("event_type_health", "base", ["event_type"], ["events", "errors", "avg_duration_ms"])
 add("available_roles", lambda s: s.members.select("role").distinct().where(~F.col("role").isin("super_admin", "system")), "SELECT DISTINCT role FROM members WHERE role NOT IN ('super_admin', 'system')")
 

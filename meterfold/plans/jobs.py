@@ -16,11 +16,11 @@ from meterfold.operators.wire import billable_input, frame_bodies, parse_bodies
 from meterfold.plans.catalog import add
 from meterfold.plans.parts import MONTH, PROJECT
 from meterfold.schema import conform_events
-from meterfold.sources.events import expired_months
+from meterfold.sources.events import expired_months, with_month
 from meterfold.scratch import scratch
 from meterfold.sources.store import Store
 from meterfold.streaming import rollup
-from meterfold.streaming.commits import Commit, CommitLog
+from meterfold.streaming.commits import Commit, CommitLog, Run
 
 M = MONTH.date()
 TODAY = datetime.date(1997, 1, 1)
@@ -178,6 +178,21 @@ add("stamp_roles", lambda s: I.stamp_roles(s.events, s.members).select("idempote
 add("backfill_roles", lambda s: I.backfill_roles(s.events.withColumn("role_snapshot", F.when(F.col("user_id") % 2 == 0, F.array(F.lit("old")))), s.members).select("idempotency_key", F.array_join("role_snapshot", ",").alias("roles"), "backfilled"), f"SELECT e.idempotency_key, CASE WHEN e.user_id % 2 = 0 THEN 'old' ELSE r.roles END AS roles, e.user_id % 2 <> 0 AND r.roles IS NOT NULL AS backfilled FROM ev e LEFT JOIN {_ROLES} r ON r.project_id = e.project_id AND r.user_id = e.user_id")
 
 
+def filled_roles(s: Store) -> DataFrame:
+    """How many events of each month get roles, where the odd users' have none, by a rewrite of these months in a commit log."""
+    log = CommitLog(s.spark, scratch(s.spark, "roles"))
+    own = with_month(conform_events(s.events.withColumn("role_snapshot", F.when((F.col("user_id") % 2 == 0) | (F.month("ts") % 2 == 0), F.array(F.lit("old"))))))
+    commit = log.add(Commit(runs=(Run(0, 0, {"events": [log.write(rollup.by_month(own), "events", 0, 0, ["event_month"])]}),)))
+    after, counts = rollup.fill_roles(log, commit, s.members)
+    now = log.read("events", rollup.LANDED, after.runs).groupBy(F.col("event_month").cast("string").alias("event_month")).agg(F.count("*").alias("events"), F.count("role_snapshot").alias("with_roles"))
+    told = s.spark.createDataFrame([*counts.items()], "event_month string, filled long")
+    return now.join(told, "event_month", "left").fillna(0, ["filled"])
+
+
+_LACKS = "(e.user_id % 2 <> 0 AND month(e.ts) % 2 <> 0)"
+add("fill_roles", filled_roles, f"SELECT CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS event_month, COUNT(*) AS events, COUNT(*) FILTER (WHERE NOT {_LACKS} OR r.roles IS NOT NULL) AS with_roles, COUNT(*) FILTER (WHERE {_LACKS} AND r.roles IS NOT NULL) AS filled FROM ev e LEFT JOIN {_ROLES} r ON r.project_id = e.project_id AND r.user_id = e.user_id GROUP BY 1")
+
+
 def quarantined(s: Store) -> DataFrame:
     own = s.events.select("idempotency_key", "ts", F.when(F.col("duration_ms") % 11 != 0, F.col("project_id")).alias("project_id"), F.when(F.col("duration_ms") % 13 == 0, "a very long event type").otherwise(F.col("event_type")).alias("event_type"), "duration_ms")
     payload = F.when(F.col("duration_ms") % 7 == 0, "{broken").otherwise(F.to_json(F.struct("idempotency_key", "ts", "project_id", "event_type")))
@@ -389,7 +404,7 @@ add("complexity_entities", lambda s: X.complexity_entities(daily(s)).select(*ENT
 _EXACT = f"SELECT project_id, root_entity_type, root_entity_id, COUNT(*) AS n, MAX(cu_total) AS mx, quantile_cont(cu_total, 0.5) AS md FROM ({_SCORED}) WHERE root_entity_id IS NOT NULL AND ts >= TIMESTAMP '1996-05-01' GROUP BY 1, 2, 3"
 add("complexity_summary", lambda s: X.complexity_summary(X.complexity_entities(daily(s)), scored(s).where(F.col("ts") >= F.lit(datetime.datetime(1996, 5, 1)))), f"SELECT r.project_id, r.root_entity_type, r.root_entity_id, CASE WHEN n >= runs THEN n ELSE runs END AS runs, CASE WHEN n >= runs THEN mx ELSE cu_max END AS cu_max, CASE WHEN n >= runs THEN md ELSE cu_median END AS cu_median, COALESCE(n >= runs, FALSE) AS exact FROM ({_ENTS}) r LEFT JOIN ({_EXACT}) e ON e.project_id = r.project_id AND e.root_entity_type = r.root_entity_type AND e.root_entity_id = r.root_entity_id")
 add("complexity_trend", lambda s: daily(s).where(f"project_id = {PROJECT}").groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("runs").alias("runs"), F.sum("cu_sum").alias("cu_sum"), F.max("cu_max").alias("cu_max")), f"SELECT day, CAST(SUM(runs) AS BIGINT) AS runs, SUM(cu_sum) AS cu_sum, MAX(cu_max) AS cu_max FROM ({_DAILYC}) WHERE project_id = {PROJECT} GROUP BY 1")
-add("complexity_versions", lambda s: scored(s).where(f"project_id = {PROJECT}").groupBy("root_entity_id", "root_entity_version_id").agg(F.count("*").alias("runs"), F.percentile("cu_total", F.lit(0.5)).alias("cu_median")), f"SELECT root_entity_id, root_entity_version_id, COUNT(*) AS runs, quantile_cont(cu_total, 0.5) AS cu_median FROM ({_SCORED}) WHERE project_id = {PROJECT} GROUP BY 1, 2")
+add("complexity_versions", lambda s: X.complexity_versions(scored(s).where(f"project_id = {PROJECT}")), f"SELECT root_entity_id, root_entity_version_id, COUNT(*) AS runs, quantile_cont(cu_total, 0.5) AS cu_median FROM ({_SCORED}) WHERE project_id = {PROJECT} GROUP BY 1, 2")
 add("complexity_runs", lambda s: scored(s).where(f"project_id = {PROJECT}").orderBy(F.col("cu_total").desc(), "run_id").limit(20).select("run_id", "cu_total"), f"SELECT run_id, cu_total FROM ({_SCORED}) WHERE project_id = {PROJECT} ORDER BY cu_total DESC, run_id LIMIT 20")
 add("conversation_top_run", lambda s: X.conversation_top_run(scored(s)).select("conversation_id", "run_id", "cu_total"), f"SELECT conversation_id, run_id, cu_total FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conversation_id ORDER BY cu_total DESC, ts DESC, run_id) AS rn FROM ({_SCORED}) WHERE conversation_id IS NOT NULL) WHERE rn = 1")
 _NEW = f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY project_id, root_entity_type, root_entity_id ORDER BY ts DESC, run_id) AS rn FROM ({_SCORED}) WHERE root_entity_id IS NOT NULL AND ts >= DATE '1996-12-02' AND ts < DATE '1997-01-01') WHERE rn <= 50"

@@ -14,8 +14,11 @@ from meterfold.functions.predicates import date_range
 from meterfold.operators import complexity as X
 from meterfold.operators import counters as K
 from meterfold.operators import ingest as I
+from meterfold.operators import quantiles as quantile_module
 from meterfold.operators.wire import frame_bodies, parse_bodies
 from meterfold.operators.page import collapse_tail, page
+from meterfold.operators.quantiles import quantiles
+from meterfold.operators.sketches import daily_sketches, union_counts
 from meterfold.schema import EVENT, conform_events
 from meterfold.sources.events import drop_months, expired_months, read_events, write_events
 from meterfold.sources.store import Store
@@ -565,3 +568,58 @@ def test_roles_are_filled_in_by_month(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(record % (1, 0, 2, ""),), (record % (1, 99, 2, ""),)], "value string").coalesce(1).write.mode("append").text(queue)
     S.ingest(spark, S.read_queue(spark, queue), root, str(tmp_path / "c"), {"availableNow": True}).awaitTermination()
     assert len(rows()) == 13 and rows()[:1] == want[:1]
+
+
+@pytest.mark.parametrize("keys", [["g"], [], ["g", "h"]])
+def test_quantiles_are_those_of_percentile(spark, keys):
+    """Groups of one row to a hot one, repeated values, nulls, and places between two ranges."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") < 50, F.col("id") % 20).otherwise(F.lit(77)).alias("g"), (F.col("id") % 2).alias("h"), F.when(F.col("id") % 11 != 0, (F.col("id") * 7919 % 4001) / 8.0).alias("v"))
+    shares = [0.0, 0.013, 0.25, 0.5, 0.75, 0.99, 1.0]
+    marks = F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("q")
+    want = {tuple(r[k] for k in keys): r.q for r in (df.groupBy(*keys) if keys else df).agg(marks).collect() if r.q is not None}
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # ranges as many as partitions
+    try:
+        got = {tuple(r[k] for k in keys): r.quantiles for r in quantiles(df, keys, "v", shares).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == want
+
+
+def test_quantiles_put_no_group_in_one_task(spark):
+    """A single group's values are dealt over all partitions."""
+    df = spark.range(40_000).select(F.col("id").cast("double").alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    seen = {}
+    real = quantile_module.materialised
+
+    def look(df, label):
+        out = real(df, label)
+        seen[label] = out.groupBy("_part").count().collect()
+        return out
+
+    quantile_module.materialised = look
+    try:
+        assert quantiles(df, [], "v", [0.5]).first().quantiles == [19999.5]
+    finally:
+        quantile_module.materialised = real
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(seen["values"]) == 4 and max(r["count"] for r in seen["values"]) < 20_000 and sum(r["count"] for r in seen["ranges"]) == 4
+
+
+def test_quantiles_of_nothing(spark):
+    assert quantiles(spark.createDataFrame([(1, None)], "g long, v double"), ["g"], "v", [0.5]).count() == 0
+
+
+def test_sketches_merge_and_err_little(spark):
+    """Daily sketches put together count as one sketch of all rows does, within a few per cent of the exact count."""
+    rows = spark.range(200_000).select(F.lit(1).cast("long").alias("project_id"), (F.lit(DAY) + F.make_dt_interval((F.col("id") % 60).cast("int"))).alias("ts"), (F.col("id") * 31 % 70_001).alias("user_id"), F.concat(F.lit("r"), F.col("id") % 300).alias("run_id"), F.lit("chat").alias("trigger_source"))
+    names = ["active_users", "runs"]
+    daily = daily_sketches(rows, names)
+    exact = rows.groupBy(F.date_trunc("month", "ts").alias("m")).agg(F.count_distinct("user_id").alias("active_users"), F.count_distinct("run_id").alias("runs"))
+    merged = {r.m: r for r in union_counts(daily, names, F.date_trunc("month", "day").alias("m")).collect()}
+    for r in exact.collect():
+        assert abs(merged[r.m].active_users / r.active_users - 1) < 0.05 and abs(merged[r.m].runs / r.runs - 1) < 0.02
+    once = rows.agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", F.lit(12)))).first()[0]
+    assert union_counts(daily, names).first().active_users == pytest.approx(once, rel=0.01)
