@@ -39,18 +39,22 @@ CELL_STOPS = frozenset(["td", "th"])
 ENDS_P = BLOCK - {"html", "body", "head", "caption", "tbody", "tfoot", "thead", "tr", "legend", "figcaption", "summary"}
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt tr figcaption".split())
 #: Elements and roles that don't belong to the article.
-DROPPED = frozenset("nav footer aside form script style noscript template head title iframe svg canvas button select textarea input object embed dialog menu search audio video math xmp noembed noframes".split())
+DROPPED = frozenset("nav footer aside form script style noscript template head title iframe svg canvas button select textarea input object embed dialog menu search audio video annotation annotation-xml xmp noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Class names and ids that say so as they stand; beside other words than PLACES and PARTS they are a hint only.
-DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr newsletter subscribe subscription social share sharing comment comments disqus related recommended recommendations popup modal pagination pager skip notice notification".split())
-DROPPED_NAMES = frozenset(["header", "site-header", "page-header", "masthead", "topbar"])
+DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr newsletter subscribe subscription social share sharing comment comments disqus related recommended recommendations popup modal pagination pager skip notice notification reply replies respond teaser teasers copyright colophon".split())
+DROPPED_NAMES = frozenset("header site-header page-header masthead topbar logo branding user-notes reader-notes user-comments".split())
+#: Names that say so of the outermost blocks of a page only, where these hold no heading.
+EDGES = frozenset("top bottom head foot".split())
+#: Names that a paragraph of an article may have and still be one.
+LOOSE = frozenset("share sharing social banner menu pager skip respond".split())
+#: Names by which an article is none of the page's own: a reader's comment, or a hint at another page.
+NO_ARTICLE = frozenset("comment comments reply replies teaser teasers related recommended recommendations promo promotion sponsored sponsor ad ads advert advertisement".split())
 #: What stands before or behind such a word in the name of a part of a page, and leaves it what it is.
 PLACES = frozenset("site page post article entry main top bottom left right global primary secondary user reader content".split())
-PARTS = frozenset("area bar block box button buttons container content form group inner item items link links list outer panel posts section slot thread unit widget widgets wrap wrapper".split())
-COMMENTS = frozenset(["comment", "comments", "reply", "replies"])
+PARTS = frozenset("area bar block body box card entry button buttons container content form group inner item items line link links list message messages outer overlay panel posts section slot text thread title unit widget widgets wrap wrapper".split())
 KEPT = frozenset(["html", "body", "main"])
-#: Characters from which an element is too long to go for a hint, unless half of it is links.
-HINTED = 200
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 #: The rest of a tag. A quote opens a value behind an equals sign only; nothing is tried twice, so bad markup costs no more.
@@ -75,38 +79,48 @@ class Element:
     dropped: bool = False
     hinted: bool = False  # its names hint that it isn't part of the article
     inside: bool = False  # in an article or main element
+    edge: bool = False  # its tag or names say so if it is at the edge of the page
     main: str = ""
     parts: list = field(default_factory=list)  # texts and numbers of child elements, in order
 
 
-def _named(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """Whether an element of this tag and these attributes goes, whether its names hint so, and if it says that it is the main one."""
+def _all_known(pieces: list[str], said: frozenset[str]) -> bool:
+    """Whether one of a name's pieces says so, and the others are places or kinds of part."""
+    return not said.isdisjoint(pieces) and all(x in said or x in PLACES or x in PARTS for x in pieces)
+
+
+def _named(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, str]:
+    """Whether an element of this tag and these attributes goes, whether its names hint so or say so of the page's edge, and if it says that it is the main one."""
     if tag in DROPPED:
-        return True, False, ""
+        return True, False, False, ""
+    edge = tag == "header" and not inside
     if not TELLING.search(attributes):
-        return False, False, ""
+        return False, False, edge, ""
     main, hinted = "", False
+    loose = LOOSE if inside and tag in PROSE else frozenset()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "").lower()
         if name == "role":
             if value == "main":
                 main = "main"
             elif value in DROPPED_ROLES and tag not in KEPT and tag != "article":
-                return True, False, ""
+                return True, False, False, ""
         elif name in ("class", "id") and tag not in KEPT:
             for word in value.split():
+                pieces = [x for x in SEAMS.split(word) if x and not x.isdigit()]
                 if tag == "article":
-                    if word in COMMENTS:
-                        return True, False, ""
-                elif word in DROPPED_NAMES or word in DROPPED_WORDS:
-                    return True, False, ""
-                elif not DROPPED_WORDS.isdisjoint(pieces := [x for x in SEAMS.split(word) if x and not x.isdigit()]):
-                    if all(x in DROPPED_WORDS or x in PLACES or x in PARTS for x in pieces):
-                        return True, False, ""
-                    hinted = hinted or tag not in PROSE
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and UNSEEN.search(value):
-            return True, False, ""
-    return False, hinted, main
+                    if _all_known(pieces, NO_ARTICLE):
+                        return True, False, False, ""
+                elif word in loose:
+                    continue
+                elif word in DROPPED_NAMES or word in DROPPED_WORDS or _all_known(pieces, DROPPED_WORDS):
+                    return True, False, False, ""
+                else:
+                    edge = edge or word in EDGES and not inside
+                    hinted = hinted or tag not in PROSE and not DROPPED_WORDS.isdisjoint(pieces)
+        elif name == "hidden" or name == "style" and UNSEEN.search(value):
+            return True, False, False, ""
+    return False, hinted, edge, main
 
 
 @lru_cache(maxsize=32)
@@ -202,10 +216,11 @@ def parse(page: str) -> list[Element]:
                 opened.close(opened.of[tag][-1])
             continue
         opened.close_implied(tag)
-        dropped, hinted, main = _named(tag, attributes)
         number = opened.path[-1]
         parent = elements[number]
-        own = Element(tag, number, dropped or parent.dropped, hinted, parent.inside or parent.main != "", tag if tag in ("article", "main") else main)
+        inside = parent.inside or parent.main != ""
+        dropped, hinted, edge, main = _named(tag, attributes, inside)
+        own = Element(tag, number, dropped or parent.dropped, hinted, inside, edge, tag if tag in ("article", "main") else main)
         number = len(elements)
         parent.parts.append(number)
         elements.append(own)
@@ -223,21 +238,30 @@ def parse(page: str) -> list[Element]:
 
 
 def _follow_hints(elements: list[Element]) -> None:
-    """Drop hinted elements outside of articles that are short or mostly links; what lies in a dropped element is dropped."""
-    if not any(e.hinted for e in elements):
+    """Drop what hints and edges decide by structure; what lies in a dropped element is dropped.
+
+    A hinted element outside of articles goes if half of it or more is links. One at the edge goes if it has no heading, or is a child of the body and something else on the page has one.
+    """
+    if not any(e.hinted or e.edge for e in elements):
         return
-    size, links = [0] * len(elements), [0] * len(elements)
-    for k in range(len(elements) - 1, 0, -1):
+    n = len(elements)
+    size, links, headings, articles = [0] * n, [0] * n, [0] * n, [0] * n
+    for k in range(n - 1, 0, -1):
         own = elements[k]
         size[k] += sum(len(x) for x in own.parts if isinstance(x, str))
         if own.tag == "a":
             links[k] = size[k]
         if not own.dropped:
-            size[own.parent] += size[k]
-            links[own.parent] += links[k]
+            headings[k] += own.tag in HEADINGS
+            articles[k] += own.main != ""
+            for count in (size, links, headings, articles):
+                count[own.parent] += count[k]
     for k, own in enumerate(elements):
-        if own.hinted and not own.inside and (size[k] < HINTED or 2 * links[k] >= size[k]):
+        if own.hinted and not own.inside and 2 * links[k] >= size[k]:
             own.dropped = True
+        if own.edge and not articles[k]:
+            outermost = k > 0 and elements[own.parent].tag in ("html", "body")
+            own.dropped = own.dropped or not headings[k] or own.tag == "header" and outermost and headings[0] > headings[k]
         own.dropped = own.dropped or k > 0 and elements[own.parent].dropped
 
 
@@ -294,6 +318,10 @@ def main_text(elements: list[Element], deleted: frozenset[int] = frozenset()) ->
                 elif not elements[part].dropped and part not in deleted:
                     stack += [(k, i + 1), (part, 0)]
                     break
+                elif elements[part].tag in BLOCK:
+                    flush()
+                elif elements[part].tag in CELL:
+                    run.append(" ")
             else:
                 if own.tag in BLOCK:
                     flush()

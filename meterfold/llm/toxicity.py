@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterfold.llm.common import ship, text_or_empty
+from meterfold.llm.common import materialised, ship, text_or_empty
 from meterfold.llm.ragged import Pieces, Remembered, offsets_of, slices, spread, sums, tidy
 
 BUCKETS = 1 << 18
@@ -26,14 +26,14 @@ BUCKETS = 1 << 18
 
 @dataclass(frozen=True)
 class Params:
-    """positives and unlabelled bound the rows that the model is fitted on, features the distinct buckets of each; all else covers all rows.
+    """positives, unlabelled and cells bound what the model is fitted on: rows of each kind, and distinct buckets of all rows of a kind; all else covers all rows.
 
     The soft threshold is sparsity over the root of the number of positives, as chance slopes are.
     """
 
     positives: int = 4000
     unlabelled: int = 10_000
-    features: int = 8192
+    cells: int = 12_000_000
     beginning: int = 5
     steps: int = 150
     rate: float = 1.0
@@ -121,8 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params, key: str = "doc_id", te
 
     Labels of the held-out fold are never read; the class prior is the share of 1 among the other labels, all of them.
     A key with several labels counts as toxic if one of them is 1. Without positives every score is the class prior,
-    0.0 if there are no labels either. Of rows that share a key the one with the least text counts, and of a row with more
-    than p.features buckets those of the lowest numbers, which are hashes.
+    0.0 if there are no labels either. Of rows that share a key the one with the least text counts. Rows count whole: where
+    those of a kind have more than p.cells buckets in all, the last of them in the order of hashes are left out.
     """
     own = labels.select(F.col(key), F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull() & F.col("label").isNotNull() & ~held_out(F.col(key), p.folds))
     own = own.groupBy(key).agg(F.max("label").alias("label"))
@@ -135,19 +135,20 @@ def train(docs: DataFrame, labels: DataFrame, p: Params, key: str = "doc_id", te
     chosen = own.where("label = 1").select(key).orderBy(*order).limit(p.positives).select(key, F.lit(True).alias("positive"))
     others = docs.where(F.col(key).isNotNull() & ~held_out(F.col(key), p.folds)).select(key).distinct().orderBy(*order).limit(p.unlabelled).select(key, F.lit(False).alias("positive"))
     rows = docs.select(key, text).join(F.broadcast(chosen.unionByName(others)), key).groupBy(key, "positive").agg(F.min(text).alias("text"))
-    rows = rows.select("positive", _words("text").alias("pieces"))
+    rows = rows.select("positive", F.xxhash64(key).alias("hash"), _words("text").alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _hashes(p.beginning)
         for batch in batches:
             for part in slices(batch, "pieces"):
                 buckets, offsets = _features(part, hashes)
-                some = np.minimum(np.diff(offsets), p.features)
-                buckets, offsets = buckets[spread(offsets[:-1], some)], offsets_of(some)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("positive"), lists], ["positive", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column("positive"), part.column("hash"), lists], ["positive", "hash", "buckets"])
 
-    got = rows.mapInArrow(tidy(run), "positive boolean, buckets array<int>").toArrow().combine_chunks()
+    held = materialised(rows.mapInArrow(tidy(run), "positive boolean, hash long, buckets array<int>"), "training")
+    upto = F.sum(F.size("buckets")).over(Window.partitionBy("positive").orderBy("hash"))
+    last = held.select("positive", "hash", upto.alias("upto")).where(F.col("upto") <= p.cells).groupBy("positive").agg(F.max("hash").alias("last"))
+    got = held.join(F.broadcast(last), "positive").where(F.col("hash") <= F.col("last")).orderBy("positive", "hash").select("positive", "buckets").toArrow().combine_chunks()
     sides = []
     for side in (True, False):
         lists = got.filter(pa.compute.equal(got["positive"], side))["buckets"].combine_chunks()
