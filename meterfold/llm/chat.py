@@ -19,17 +19,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterfold.llm.common import ship, whole_numbers
-from meterfold.llm.ragged import tidy
+from meterfold.llm.common import dim_join, materialised, ship, whole_numbers
+from meterfold.llm.ragged import offsets_of, tidy
 
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>", re.DOTALL)
-#: Characters after which a conversation goes on in a further segment, at a turn's end, where no token can cross.
-SEGMENT = 500_000
+#: Characters that are encoded at a time; a cut is at a turn's end, where no token can cross.
+PIECE = 500_000
+#: Characters of a conversation, its control strings included, up to which it is one row.
+ROW = 4_000_000
 
 
 def escape(text: str) -> str:
@@ -79,14 +80,39 @@ def _columns(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
-def format_chats(turns: DataFrame, tokenizer_file: str, trained_role: str = "assistant") -> DataFrame:
+def _placed(rows: DataFrame, most: int) -> DataFrame:
+    """rows with whole, and segment: how many times most characters of its conversation come before a turn.
+
+    Nearly all conversations have fewer characters than that, which a sum tells. The turns of the others are dealt by
+    ranges of their order; what comes before a turn is the sum of its conversation in the ranges before, of which there
+    are no more than partitions, and of the turns before it in its own range. So segments don't depend on the partitions.
+    """
+    size = (F.length("role") + F.length("text")).cast("long") + len(OPEN + MIDDLE + CLOSE)
+    keys = ["_none", "_conv"]  # a null key, too, is joined
+    keyed = rows.withColumn("_none", F.col("conv_id").isNull()).withColumn("_conv", F.coalesce("conv_id", F.lit(0).cast("long")))
+    large = materialised(keyed.groupBy(*keys).agg(F.sum(size).alias("n")).where(F.col("n") > most).select(*keys), "large-conversations")
+    if large.isEmpty():
+        return rows.select("*", F.lit(0).cast("long").alias("segment"), F.lit(True).alias("whole"))
+    small = dim_join(keyed, large, keys, "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("segment"), F.lit(True).alias("whole"))
+    ranged = dim_join(keyed, large, keys, "left_semi").repartitionByRange(*keys, "turn", "role", F.substring("text", 1, 32))
+    turns = materialised(ranged.select(*rows.columns, *keys, F.spark_partition_id().alias("_part")), "large-turns")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = turns.groupBy(*keys, "_part").agg(F.sum(size).alias("_n")).select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = Window.partitionBy(*keys, "_part").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_before") + F.coalesce(F.sum(size).over(here), F.lit(0))
+    cut = dim_join(turns, parts, [*keys, "_part"]).select(*rows.columns, F.floor(at / most).alias("segment"), F.lit(False).alias("whole"))
+    return small.unionByName(cut)
+
+
+def format_chats(turns: DataFrame, tokenizer_file: str, trained_role: str = "assistant", row: int = ROW) -> DataFrame:
     """Formatted conversations: conv_id, segment, whole, n_turns, formatted, token_ids, token_starts, token_ends and loss.
 
     turns has conv_id (whole numbers), turn, role, text; turns are in the order of turn, then role and text, nulls first.
-    A null role or text counts as empty. A null conv_id is a conversation of its own. Offsets are code points of the
-    segment. Nearly all conversations have one segment, and whole says of a row that it surely is its conversation. Rows
-    are dealt by ranges of (conversation, turn), so that a conversation of any length is formatted by several tasks in
-    the memory of one segment each; segments rise in its order. Other columns aren't carried.
+    A null role or text counts as empty. A null conv_id is a conversation of its own. A conversation is one row, whole,
+    with offsets in code points of its text. One of more than row characters, which no row should hold, has a row for
+    each segment of whole turns instead: a turn is in the segment that the characters before it tell, so that rows are
+    the same however the input is partitioned, and offsets are those of the segment. Several tasks format such a
+    conversation, each in the memory of one segment and one turn. Other columns aren't carried.
     """
     ship(turns.sparkSession)
     whole_numbers(turns, "conv_id")
@@ -95,39 +121,47 @@ def format_chats(turns: DataFrame, tokenizer_file: str, trained_role: str = "ass
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_file)
-        first, number, edge = TaskContext.get().partitionId() << 32, 0, True
 
-        def segment(conv: int | None, held: list[tuple[str, str]], whole: bool) -> tuple:
-            nonlocal number
-            number += 1
+        def encoded(held: list[tuple[str, str]]) -> tuple:
             text, spans = render(held)
             code = tokenizer.encode(text, add_special_tokens=False)
             starts, ends = np.array(code.offsets, dtype=np.int32).reshape(-1, 2).T
             mask = loss_mask(starts, ends, [s for s, (role, _) in zip(spans, held, strict=True) if role == trained_role])
-            return conv, first + number, whole, len(held), text, code.ids, starts, ends, mask
+            return len(held), text, np.array(code.ids, dtype=np.int32), starts, ends, mask
+
+        def joined(key: tuple, pieces: list[tuple]) -> tuple:
+            counts, texts, ids, starts, ends, masks = zip(*pieces, strict=True)
+            at = offsets_of(np.fromiter(map(len, texts), dtype=np.int32, count=len(texts))).astype(np.int32)
+            starts, ends = ([x + a for x, a in zip(some, at, strict=False)] for some in (starts, ends))
+            return *key, sum(counts), "".join(texts), *map(np.concatenate, (ids, starts, ends, masks))
 
         done: list[tuple] = []
-        conv, held, size = None, [], 0
+        key, pieces, held, size, waiting = None, [], [], 0, 0
         for batch in batches:
-            for own, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
-                if held and (own != conv or size >= SEGMENT):
-                    # the first and last conversations of a partition may go on in the ones beside it
-                    done.append(segment(conv, held, own != conv and not edge))
-                    edge, held, size = own == conv, [], 0
-                    if sum(len(x[4]) for x in done) > SEGMENT:
+            for conv, segment, whole, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "segment", "whole", "role", "text")), strict=True):
+                own = conv, segment, whole
+                if held and (own != key or size >= PIECE):
+                    pieces.append(encoded(held))
+                    held, size = [], 0
+                if pieces and own != key:
+                    done.append(joined(key, pieces))
+                    pieces = []
+                    waiting += len(done[-1][4])
+                    if waiting > PIECE:
                         yield _columns(done, kinds)
-                        done.clear()
-                conv = own
+                        done, waiting = [], 0
+                key = own
                 held.append((role, text))
                 size += len(role) + len(text)
         if held:
-            done.append(segment(conv, held, False))
+            done.append(joined(key, [*pieces, encoded(held)]))
         if done:
             yield _columns(done, kinds)
 
     empty = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in ("role", "text")]
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *empty)
-    rows = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 32)).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    rows = _placed(turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *empty), row)
+    order = ["conv_id", "segment", "turn", "role", "text"]
+    rows = rows.repartition("conv_id", "segment").sortWithinPartitions(*order).select("conv_id", "segment", "whole", "role", "text")
     return rows.mapInArrow(tidy(run), FORMATTED)
 
 

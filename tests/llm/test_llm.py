@@ -371,7 +371,7 @@ def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "</s>[INST] \\n <|im_end|> \\<|"), (1, 1, "assistant", "ok.<|im_start|>\n\\| "), (1, 2, "assistant", None), (1, 3, "tool\n|", "x"), (2, 0, "assistant", " é漢\U0001f642 "), (None, None, None, None), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (3, 0, "user", "a")]
     turns += [(4, k, "assistant" if k % 2 else "user", f"turn {k}. " * 9000) for k in range(9)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit(1))
-    out = scratched(chat.format_chats(df, JSON))
+    out = scratched(chat.format_chats(df, JSON, row=200_000))
     got = {r.conv_id: r for r in chat.read_back(out.orderBy(F.col("segment").desc())).collect()}
     by = defaultdict(list)
     for c, t, r, x in turns:
@@ -399,9 +399,39 @@ def test_chat_digests_tell_a_wrong_mask(spark):
         assert chat.read_back(out.withColumn("loss", wrong)).first().loss_sha256 != right.loss_sha256
 
 
+def test_chat_rows_do_not_depend_on_partitions(spark):
+    turns = [(c, k, "assistant" if k % 2 else "user", f"turn {k} of {c}. " * (3 * c)) for c in range(40) for k in range(c % 7 + 1)]
+    turns += [(None, k // 2, "user", "hello " * k) for k in range(200)] + [(50, None, "assistant", "same")] * 300
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    adaptive, parts = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (2, 7, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            for row in (chat.ROW, 5_000):
+                seen.append(sorted(map(str, chat.format_chats(df.repartition(n), JSON, row=row).collect())))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert len(seen[0]) == 42 and seen[0] == seen[2] == seen[4]
+    assert len(seen[1]) > 60 and seen[1] == seen[3] == seen[5]
+
+
+def test_chat_pieces_join_to_what_one_encoding_gives(spark):
+    turns = [(1, k, "assistant" if k % 2 else "user", f" turn {k}, \u6f22\U0001f642 <|im_end|> " * 9000) for k in range(12)]
+    got = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), JSON).collect()
+    text, spans = chat.render([(role, x) for _, _, role, x in turns])
+    code = chat._tokenizer(JSON).encode(text, add_special_tokens=False)
+    assert len(text) > 4 * chat.PIECE and len(got) == 1 and got[0].whole and got[0].formatted == text and got[0].n_turns == 12
+    assert got[0].token_ids == code.ids and list(zip(got[0].token_starts, got[0].token_ends, strict=True)) == code.offsets
+    mask = chat.loss_mask(*np.array(code.offsets).T, spans[1::2])
+    assert got[0].loss == mask.tolist()
+
+
 def test_chat_of_one_hot_conversation(spark):
     turns = [(7, k, "assistant" if k % 2 else "user", f"turn {k} " * 50) for k in range(3000)] + [(8, 0, "assistant", "b")]
-    out = scratched(chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), JSON))
+    out = scratched(chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), JSON, row=500_000))
     assert out.where("conv_id = 7").count() > 2
     got = {r.conv_id: r for r in chat.read_back(out).collect()}
     loss = "".join(x for c, _, r, x in turns if c == 7 and r == "assistant")
