@@ -6,7 +6,7 @@ are taken in rising order, a rank's places are merged at once in all words, and
 new entries. The codes are written to Parquet, and every text is encoded against them.
 
 What tasks get of the vocabulary is bounded: the pieces that recur most, HEAD of them at most. The others, nearly all of
-which the corpus has a few times, are replayed by the same index in the task that meets them, over windows of a million
+which the corpus has a few times, are replayed by the same index in the task that meets them, over windows of half a million
 pieces. A join of all rows with the whole vocabulary would give the same ids, as a piece's codes depend on nothing else.
 """
 
@@ -30,7 +30,7 @@ from meterfold.llm.ragged import Pieces, Remembered, gathered, offsets_of, slice
 #: Pieces of the corpus vocabulary that every task gets, some 10 MB: those that recur most.
 HEAD = 1 << 18
 #: Pieces of the vocabulary that one replay takes, pieces of texts that a task looks at together, and that it gives out at once.
-REPLAY, WINDOW, PART = 1 << 16, 1_500_000, 150_000
+REPLAY, WINDOW, PART = 1 << 16, 500_000, 150_000
 #: The characters with Unicode's White_Space property, for Java's regular expressions.
 WHITE_SPACE = r"\t-\r\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
