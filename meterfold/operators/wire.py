@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,26 +33,11 @@ class Shape:
     own_body: str | None = None
 
 
-# Field paths of public wire formats. Where a count has several, the first that is there holds.
-_CHAT = (("usage.prompt_tokens",), ("usage.completion_tokens",), ("usage.prompt_tokens_details.cached_tokens",), ("usage.prompt_tokens_details.cache_creation_tokens",), ("usage.completion_tokens_details.reasoning_tokens",))
-_CHAT_PATH, _CHAT_BODY = r"/(chat/)?completions$", r'"prompt_tokens"'
-_METRICS = "amazon-bedrock-invocationMetrics"
-_INVOKED = (("inputTokenCount", "inputTokens", "input_tokens"), ("outputTokenCount", "outputTokens", "output_tokens"), ("cacheReadInputTokenCount", "cacheReadInputTokens", "cache_read_input_tokens"), ("cacheWriteInputTokenCount", "cacheWriteInputTokens", "cache_creation_input_tokens"), ("", "", ""))
+#: The public formats' paths, patterns and sample bodies, which lie in one data file.
+_FORMATS = json.loads(resources.files(__package__).joinpath("wire_shapes.json").read_text())
 #: In the order in which they are tried, the specific before the general.
-SHAPES = {
-    "wam.chat": Shape(None, _CHAT, True, provider="wam", own_path=_CHAT_PATH),
-    "ollama.native": Shape(r"/api/(chat|generate|embed|embeddings)$", (("prompt_eval_count",), ("eval_count",), (), (), ()), False, body=r'"(prompt_eval_count|eval_count)"', provider="ollama"),
-    "azure.chat": Shape(r"/openai/deployments/.*/(chat/)?completions$", _CHAT, True, versioned=True, provider="azure_open_ai", own_path=_CHAT_PATH, own_body=_CHAT_BODY),
-    "ai_dial.chat": Shape(r"((?i:dial).*/(chat/)?completions|/openai/deployments/.*/(chat/)?completions)$", _CHAT, True, versioned=False, provider="ai_dial", own_path=_CHAT_PATH, own_body=_CHAT_BODY),
-    "openai.responses": Shape(r"/(responses|images/generations|images/edits|images/variations)$|/responses/", tuple((f"usage.{n}", f"response.usage.{n}") if n else () for n in ("input_tokens", "output_tokens", "input_tokens_details.cached_tokens", "", "output_tokens_details.reasoning_tokens")), True, body=r'"(input_tokens_details|output_tokens_details)"', provider="open_ai"),
-    "openai.embeddings": Shape(r"/embeddings$", (("usage.prompt_tokens", "usage.total_tokens"), (), (), (), ()), True, provider="open_ai"),
-    "openai.chat": Shape(_CHAT_PATH, _CHAT, True, body=_CHAT_BODY, provider="open_ai"),
-    "anthropic.messages": Shape(r"/messages(/|$)", tuple((f"usage.{n}", f"message.usage.{n}") if n else () for n in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "")), False, body=r'"(cache_read_input_tokens|message_start)"'),
-    "bedrock.converse": Shape(r"/converse(-stream)?$", tuple((f"usage.{n}", f"metadata.usage.{n}") if n else () for n in ("inputTokens", "outputTokens", "cacheReadInputTokens", "cacheWriteInputTokens", "")), False, provider="amazon_bedrock"),
-    "bedrock.invoke": Shape(r"/invoke(-with-response-stream)?$", tuple((f"{_METRICS}.{own}", f"usage.{camel}", f"usage.{snake}", f"message.usage.{snake}") if own else () for own, camel, snake in _INVOKED), False, provider="amazon_bedrock"),
-    "google.generate_content": Shape(r":(streamG|g)enerateContent", (("usageMetadata.promptTokenCount",), ("usageMetadata.candidatesTokenCount",), ("usageMetadata.cachedContentTokenCount",), (), ("usageMetadata.thoughtsTokenCount",)), True, body=r'"usageMetadata"', provider="vertex_ai"),
-}
-MODEL = ("model", "message.model", "response.model", "modelVersion")
+SHAPES = {name: Shape(**{**s, "path": s.get("path"), "counts": tuple(tuple(s["counts"].get(c.removesuffix("_tokens"), ())) for c in COUNTS)}) for name, s in _FORMATS["shapes"].items()}
+MODEL = tuple(_FORMATS["model"])
 #: A base64 field that holds the body proper, in events of bedrock.invoke.
 PACKED = "bytes"
 #: So many characters of a body tell its shape.
@@ -80,24 +67,34 @@ def _at(body: str, path: str) -> Column:
     return out
 
 
+def sample(kind: str, **values) -> str:
+    """A sample body with values in place of some or all of m, i, o, r, c and t; others stay as <i>."""
+    out = _FORMATS["samples"][kind]
+    for name, value in values.items():
+        out = out.replace(f"<{name}>", str(value))
+    return out
+
+
 def _path(endpoint: Column) -> Column:
     return F.regexp_replace(F.substring_index(F.substring_index(endpoint, "#", 1), "?", 1), "/+$", "")
 
 
-def _own(provider: Column, endpoint: Column | None = None, payload: Column | None = None) -> Column:
-    """The first shape of the provider's own that the endpoint's path, or a body's beginning, has."""
+def _versioned(endpoint: Column) -> Column:
+    query = F.substring_index(endpoint, "#", 1)
+    return F.when(query.contains("?"), F.substring(query, F.length(F.substring_index(query, "?", 1)) + 1, F.length(query)).contains("api-version")).otherwise(False)
+
+
+def _own(provider: Column, text: Column, kind: str) -> Column:
+    """The first shape of the provider's own that text, which is an endpoint's path or a body's beginning as kind says, has."""
     rules = []
     for name, s in SHAPES.items():
-        pattern = (s.own_path or s.path) if payload is None else (s.own_body or s.body)
+        pattern = (s.own_path or s.path) if kind == "path" else (s.own_body or s.body)
         if s.provider and pattern:
-            text = _path(endpoint) if payload is None else F.substring(payload, 1, HEAD)
             rules.append(F.when((provider == s.provider) & text.rlike(pattern), name))
     return F.coalesce(*rules)
 
 
-def dialect_by_endpoint(endpoint: Column) -> Column:
-    path, query = _path(endpoint), F.substring_index(endpoint, "#", 1)
-    versioned = F.when(query.contains("?"), F.substring(query, F.length(F.substring_index(query, "?", 1)) + 1, F.length(query)).contains("api-version")).otherwise(False)
+def dialect_by_endpoint(path: Column, versioned: Column) -> Column:
     rules = []
     for name, s in SHAPES.items():
         if s.path is None:
@@ -110,8 +107,7 @@ def dialect_by_endpoint(endpoint: Column) -> Column:
     return F.coalesce(*rules)
 
 
-def dialect_by_body(payload: Column) -> Column:
-    head = F.substring(payload, 1, HEAD)
+def dialect_by_body(head: Column) -> Column:
     return F.coalesce(*[F.when(head.rlike(s.body), name) for name, s in SHAPES.items() if s.body])
 
 
@@ -156,37 +152,42 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
     output count, and the first count other than 0 of the others hold. Counts must be whole and not negative. A model that
     the path names comes before one that a body does.
 
-    Each payload is parsed once. Events are read as their endpoint says, and, where a body may still say otherwise, as each
-    shape that a body can tell; one aggregation a call keeps both, and the first body's shape then picks its counts.
+    Each payload is parsed once, and each endpoint's path cut once. Events are read as their endpoint says, and, where a body
+    may still say otherwise, as each shape that a body can tell; one aggregation a call keeps both, and the first body's shape
+    then picks its counts. What is read is checked as two arrays of texts a row: an expression for each of the two dozen
+    counts would make a method that the JVM doesn't compile.
     """
     schema = _schema()
-    provider, endpoint, payload = F.col("provider"), F.col("endpoint"), F.col("payload")
+    provider, endpoint = F.col("provider"), F.col("endpoint")
+    rows = bodies.select("call_id", "seq", "provider", "payload", _path(endpoint).alias("_path"), _versioned(endpoint).alias("_versioned"), F.regexp_extract(F.coalesce(endpoint, F.lit("")), r"/model/([^/]+)/", 1).alias("_path_model"))
     # _sure: the provider's own by its path; _own: what the endpoint alone says
-    rows = bodies.select("call_id", "seq", _own(provider, endpoint).alias("_sure"), dialect_by_endpoint(endpoint).alias("_any"), F.regexp_extract(F.coalesce(endpoint, F.lit("")), r"/model/([^/]+)/", 1).alias("_path_model"), "provider", "payload", F.from_json("payload", schema).alias("_x"))
+    rows = rows.select("call_id", "seq", "provider", "payload", "_path_model", _own(provider, F.col("_path"), "path").alias("_sure"), dialect_by_endpoint(F.col("_path"), F.col("_versioned")).alias("_any"))
     rows = rows.withColumn("_own", F.coalesce("_sure", "_any"))
+    rows = rows.withColumn("_head", F.when(F.col("_sure").isNull(), F.substring("payload", 1, HEAD))).withColumn("_x", F.from_json("payload", schema))
     packed = F.col("_x").getField(PACKED)
     rows = rows.withColumn("_x", F.when((F.col("_own") == "bedrock.invoke") & packed.isNotNull(), F.from_json(F.decode(F.unbase64(packed), "UTF-8"), schema)).otherwise(F.col("_x")))
-    mine = F.when(F.col("_sure").isNull(), _own(provider, payload=payload))
-    rows = rows.withColumn("_mine", mine).withColumn("_told", F.when(F.col("_sure").isNull(), F.coalesce("_mine", F.when(F.col("_any").isNull(), dialect_by_body(payload)))))
+    rows = rows.withColumn("_mine", _own(provider, F.col("_head"), "body"))
+    rows = rows.withColumn("_told", F.coalesce("_mine", F.when(F.col("_any").isNull(), dialect_by_body(F.col("_head")))))
 
     def reading(name: str, k: int) -> Column:
         paths = SHAPES[name].counts[k]
         return F.coalesce(*[_at("_x", p) for p in paths]) if paths else F.lit(None).cast("string")
 
-    def number(value: Column) -> Column:
-        return F.when(value.rlike("^[0-9]{1,18}$"), value.cast("long"))
+    def numbers(texts: Column) -> Column:
+        return F.transform(texts, lambda value: F.when(value.rlike("^[0-9]{1,18}$"), value.cast("long")))
 
     # shapes that a body tells; a provider's own chat is read like any other
     told = [n for n, s in SHAPES.items() if s.body]
     alike = {n: "openai.chat" for n, s in SHAPES.items() if s.own_body}
     open_to_bodies = F.col("_sure").isNull() & (F.col("_any").isNull() | provider.isin(*{s.provider for s in SHAPES.values() if s.provider and (s.own_body or s.body)}))
-    read, merged = {}, []
-    for k, count in enumerate(COUNTS):
-        own = F.coalesce(*[F.when(F.col("_own") == n, reading(n, k)) for n, s in SHAPES.items() if s.counts[k]])
-        read[f"_{count}"] = number(own)
-        read |= {f"_{count}_{i}": number(F.when(open_to_bodies, reading(n, k))) for i, n in enumerate(told) if SHAPES[n].counts[k]}
-    rows = rows.select("call_id", "seq", "_sure", "_own", "_path_model", "_mine", "_told", F.coalesce(*[_at("_x", p) for p in MODEL]).alias("_model"), *[c.alias(n) for n, c in read.items()])
+    places = [(k, i) for k in range(len(COUNTS)) for i, n in enumerate(told) if SHAPES[n].counts[k]]
+    by_path = F.coalesce(*[F.when(F.col("_own") == n, F.array(*[reading(n, k) for k in range(len(COUNTS))])) for n in SHAPES])
+    by_body = F.when(open_to_bodies, F.array(*[reading(told[i], k) for k, i in places]))
+    rows = rows.select("call_id", "seq", "_sure", "_own", "_path_model", "_mine", "_told", F.coalesce(*[_at("_x", p) for p in MODEL]).alias("_model"), numbers(by_path).alias("_by_path"), numbers(by_body).alias("_by_body"))
+    read = {f"_{c}": F.col("_by_path")[k] for k, c in enumerate(COUNTS)} | {f"_{COUNTS[k]}_{i}": F.col("_by_body")[at] for at, (k, i) in enumerate(places)}
+    rows = rows.select("call_id", "seq", "_sure", "_own", "_path_model", "_mine", "_told", "_model", *[c.alias(n) for n, c in read.items()])
     google = told.index("google.generate_content")
+    merged = []
     for output, thoughts, known in (("_output_tokens", "_reasoning_tokens", F.col("_own") == "google.generate_content"), (f"_output_tokens_{google}", f"_reasoning_tokens_{google}", F.lit(True))):
         rows = rows.withColumn(output, F.col(output) + F.when(known, F.coalesce(thoughts, F.lit(0))).otherwise(0))
     first = lambda n, there=None: F.min_by(n, F.when(F.col(n).isNotNull() if there is None else there, F.col("seq")))

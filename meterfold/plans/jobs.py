@@ -12,7 +12,7 @@ from meterfold.operators import complexity as X
 from meterfold.operators import counters as K
 from meterfold.operators import ingest as I
 from meterfold.operators.budget import best_warnings, budget_door, budget_state, scope_rows
-from meterfold.operators.wire import billable_input, frame_bodies, parse_bodies
+from meterfold.operators.wire import billable_input, frame_bodies, parse_bodies, sample
 from meterfold.plans.catalog import add
 from meterfold.plans.parts import MONTH, PROJECT
 from meterfold.schema import conform_events
@@ -77,19 +77,17 @@ def bodies(s: Store) -> DataFrame:
     def text(template: str) -> Column:
         return F.format_string(template.replace("%", "%%").replace("<m>", "%1$s").replace("<i>", "%2$d").replace("<o>", "%3$d").replace("<r>", "%4$d").replace("<c>", "%5$d"), *names.values())
 
-    chat = '{"model":"<m>","usage":{"prompt_tokens":<i>,"completion_tokens":<o>,"prompt_tokens_details":{"cached_tokens":<r>,"cache_creation_tokens":<c>},"completion_tokens_details":{"reasoning_tokens":3}}}'
-    messages = '{"type":"message_start","message":{"model":"<m>","usage":{"input_tokens":<i>,"cache_read_input_tokens":<r>,"cache_creation_input_tokens":<c>,"output_tokens":1}}}', '{"usage":{"output_tokens":<o>}}'
-    invoke = '{"amazon-bedrock-invocationMetrics":{"inputTokenCount":<i>,"outputTokenCount":<o>,"cacheReadInputTokenCount":<r>,"cacheWriteInputTokenCount":<c>}}'
-    google = '{"modelVersion":"<m>","usageMetadata":{"promptTokenCount":<i>,"candidatesTokenCount":<o>,"thoughtsTokenCount":2,"cachedContentTokenCount":<r>}}'
+    chat = sample("chat", t=3)
+    google = sample("google", t=2)
     later = '{"choices":[]}', chat
     pairs = {
-        "openai.responses": ('{"type":"response.created","response":{"model":"<m>"}}', '{"response":{"usage":{"input_tokens":<i>,"output_tokens":<o>,"input_tokens_details":{"cached_tokens":<r>},"output_tokens_details":{"reasoning_tokens":4}}}}'),
-        "openai.embeddings": ('{"model":"<m>","usage":{"total_tokens":<i>}}', "{}"),
-        "anthropic.messages": messages,
-        "bedrock.converse": ('{"contentBlockDelta":{}}', '{"metadata":{"usage":{"inputTokens":<i>,"outputTokens":<o>,"cacheReadInputTokens":<r>,"cacheWriteInputTokens":<c>}}}'),
-        "bedrock.invoke": ("{broken", invoke),
+        "openai.responses": (sample("response_created"), sample("response", t=4)),
+        "openai.embeddings": (sample("embeddings"), "{}"),
+        "anthropic.messages": (sample("message_start"), sample("message_delta")),
+        "bedrock.converse": ('{"contentBlockDelta":{}}', sample("converse")),
+        "bedrock.invoke": ("{broken", sample("invoke")),
         "google.generate_content": (google, google),
-        "ollama.native": ('{"model":"<m>","done":false}', '{"model":"<m>","done":true,"prompt_eval_count":<i>,"eval_count":<o>}'),
+        "ollama.native": ('{"model":"<m>","done":false}', sample("ollama")),
     }
 
     def payload(seq: int) -> Column:
@@ -144,7 +142,7 @@ def disagreeing(s: Store) -> DataFrame:
     """Calls whose provider and endpoint say different things, all with the body of a chat."""
     own = s.events.where("event_type = 'llm'")
     pick = lambda some, n: F.element_at(F.array(*[F.lit(x) for x in some]), (F.pmod(n, F.lit(len(some))) + 1).cast("int"))
-    body = F.format_string('{"usage":{"prompt_tokens":%d,"completion_tokens":%d}}', "input_tokens", "output_tokens")
+    body = F.format_string(sample("chat_short", i="%d", o="%d"), "input_tokens", "output_tokens")
     rows = own.select(F.col("idempotency_key").alias("call_id"), F.lit(0).cast("long").alias("seq"), pick(DISAGREEING, F.col("duration_ms")).alias("endpoint"), pick(PROVIDERS, F.col("user_id")).alias("provider"), body.alias("payload"))
     return parse_bodies(rows).select("call_id", "dialect", "input_tokens")
 

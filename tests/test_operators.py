@@ -15,7 +15,7 @@ from meterfold.operators import complexity as X
 from meterfold.operators import counters as K
 from meterfold.operators import ingest as I
 from meterfold.operators import quantiles as quantile_module
-from meterfold.operators.wire import frame_bodies, parse_bodies
+from meterfold.operators.wire import frame_bodies, parse_bodies, sample
 from meterfold.operators.page import collapse_tail, page
 from meterfold.operators.quantiles import quantiles
 from meterfold.operators.sketches import daily_sketches, union_counts
@@ -81,11 +81,11 @@ def test_attribution_header(spark):
 
 def test_wire_known_answers(spark):
     rows = [
-        ("a", 0, "https://x/v1/messages", None, '{"message":{"model":"c","usage":{"input_tokens":12,"output_tokens":1,"cache_read_input_tokens":8000,"cache_creation_input_tokens":3200}}}'),
-        ("a", 1, "https://x/v1/messages", None, '{"usage":{"output_tokens":45}}'),
-        ("g", 0, "https://x/m:streamGenerateContent", None, '{"modelVersion":"g","usageMetadata":{"promptTokenCount":5000,"candidatesTokenCount":11,"thoughtsTokenCount":20,"cachedContentTokenCount":4096}}'),
-        ("e", 0, "https://x/v1/embeddings", None, '{"model":"e","usage":{"total_tokens":7}}'),
-        ("u", 0, "https://x/v1/chat/completions", None, '{"usage":{"prompt_tokens":-1}}'),
+        ("a", 0, "https://x/v1/messages", None, sample("message_start", m="c", i=12, r=8000, c=3200)),
+        ("a", 1, "https://x/v1/messages", None, sample("message_delta", o=45)),
+        ("g", 0, "https://x/m:streamGenerateContent", None, sample("google", m="g", i=5000, o=11, t=20, r=4096)),
+        ("e", 0, "https://x/v1/embeddings", None, sample("embeddings", m="e", i=7)),
+        ("u", 0, "https://x/v1/chat/completions", None, sample("prompt_only", i=-1)),
     ]
     got = {r.call_id: r for r in parse_bodies(spark.createDataFrame(rows, "call_id string, seq long, endpoint string, provider string, payload string")).collect()}
     assert (got["a"].input_tokens, got["a"].output_tokens, got["a"].cache_read_tokens, got["a"].cache_creation_tokens, got["a"].billable_input_tokens) == (12, 45, 8000, 3200, 12)
@@ -94,9 +94,9 @@ def test_wire_known_answers(spark):
     assert got["u"].token_source == "unparsed"
 
 
-CHAT = '{"model":"m","usage":{"prompt_tokens":100,"completion_tokens":7,"prompt_tokens_details":{"cached_tokens":30,"cache_creation_tokens":20},"completion_tokens_details":{"reasoning_tokens":2}}}'
-MESSAGE = '{"type":"message_start","message":{"model":"m","usage":{"input_tokens":100,"output_tokens":1,"cache_read_input_tokens":30,"cache_creation_input_tokens":20}}}'
-INVOKED = '{"amazon-bedrock-invocationMetrics":{"inputTokenCount":100,"outputTokenCount":7,"cacheReadInputTokenCount":30,"cacheWriteInputTokenCount":20}}'
+CHAT = sample("chat", m="m", i=100, o=7, r=30, c=20, t=2)
+MESSAGE = sample("message_start", m="m", i=100, r=30, c=20)
+INVOKED = sample("invoke", i=100, o=7, r=30, c=20)
 WIRE = [
     # dialect, endpoint, provider, bodies in order, (input, output, cache read, cache creation, reasoning, billable), model
     ("openai.chat", "https://x/v1/chat/completions?x=1", None, ['{"model":"m","choices":[]}', CHAT], (100, 7, 30, 20, 2, 50), "m"),
@@ -106,17 +106,17 @@ WIRE = [
     ("ai_dial.chat", "https://x/openai/deployments/d/chat/completions", None, [CHAT], (100, 7, 30, 20, 2, 50), "m"),
     ("ai_dial.chat", "https://dial.x/v1/chat/completions", None, [CHAT], (100, 7, 30, 20, 2, 50), "m"),
     ("wam.chat", "https://x/v1/chat/completions", "wam", [CHAT], (100, 7, 30, 20, 2, 50), "m"),
-    ("anthropic.messages", "https://x/v1/messages", "wam", [MESSAGE, '{"usage":{"output_tokens":3}}', '{"usage":{"output_tokens":7}}'], (100, 7, 30, 20, 0, 100), "m"),
-    ("anthropic.messages", "https://x/proxy", None, [MESSAGE, '{"usage":{"output_tokens":7}}'], (100, 7, 30, 20, 0, 100), "m"),
-    ("openai.responses", "https://x/v1/responses", None, ['{"response":{"model":"m"}}', '{"response":{"usage":{"input_tokens":100,"output_tokens":7,"input_tokens_details":{"cached_tokens":30},"output_tokens_details":{"reasoning_tokens":2}}}}'], (100, 7, 30, 0, 2, 70), "m"),
-    ("openai.responses", "https://x/v1/images/edits", None, ['{"usage":{"input_tokens":100,"output_tokens":7}}'], (100, 7, 0, 0, 0, 100), None),
-    ("openai.embeddings", "https://x/v1/embeddings", None, ['{"model":"m","usage":{"total_tokens":100}}'], (100, 0, 0, 0, 0, 100), "m"),
-    ("bedrock.converse", "https://x/model/m.v1/converse-stream", None, ["{}", '{"metadata":{"usage":{"inputTokens":100,"outputTokens":7,"cacheReadInputTokens":30,"cacheWriteInputTokens":20}}}'], (100, 7, 30, 20, 0, 100), "m.v1"),
+    ("anthropic.messages", "https://x/v1/messages", "wam", [MESSAGE, sample("message_delta", o=3), sample("message_delta", o=7)], (100, 7, 30, 20, 0, 100), "m"),
+    ("anthropic.messages", "https://x/proxy", None, [MESSAGE, sample("message_delta", o=7)], (100, 7, 30, 20, 0, 100), "m"),
+    ("openai.responses", "https://x/v1/responses", None, ['{"response":{"model":"m"}}', sample("response", i=100, o=7, r=30, t=2)], (100, 7, 30, 0, 2, 70), "m"),
+    ("openai.responses", "https://x/v1/images/edits", None, [sample("counts_short", i=100, o=7)], (100, 7, 0, 0, 0, 100), None),
+    ("openai.embeddings", "https://x/v1/embeddings", None, [sample("embeddings", m="m", i=100)], (100, 0, 0, 0, 0, 100), "m"),
+    ("bedrock.converse", "https://x/model/m.v1/converse-stream", None, ["{}", sample("converse", i=100, o=7, r=30, c=20)], (100, 7, 30, 20, 0, 100), "m.v1"),
     ("bedrock.invoke", "https://x/model/m.v1/invoke", None, [INVOKED], (100, 7, 30, 20, 0, 100), "m.v1"),
-    ("bedrock.invoke", "https://x/model/m.v1/invoke-with-response-stream", None, [json.dumps({"bytes": base64.b64encode(b.encode()).decode()}) for b in (MESSAGE, '{"usage":{"output_tokens":7}}')], (100, 7, 30, 20, 0, 100), "m.v1"),
-    ("google.generate_content", "https://x/models/m:generateContent", None, ['{"modelVersion":"m","usageMetadata":{"promptTokenCount":100,"candidatesTokenCount":5,"thoughtsTokenCount":2,"cachedContentTokenCount":30}}'], (100, 7, 30, 0, 2, 70), "m"),
+    ("bedrock.invoke", "https://x/model/m.v1/invoke-with-response-stream", None, [json.dumps({"bytes": base64.b64encode(b.encode()).decode()}) for b in (MESSAGE, sample("message_delta", o=7))], (100, 7, 30, 20, 0, 100), "m.v1"),
+    ("google.generate_content", "https://x/models/m:generateContent", None, [sample("google", m="m", i=100, o=5, t=2, r=30)], (100, 7, 30, 0, 2, 70), "m"),
     ("ollama.native", "https://x/api/chat", None, ['{"model":"m","done":false}', '{"model":"m","prompt_eval_count":100,"eval_count":7}'], (100, 7, 0, 0, 0, 100), "m"),
-    (None, "https://x/other", None, ["{broken", '{"usage":{"prompt_tokens":1.5}}'], (None, None, 0, 0, 0, None), None),
+    (None, "https://x/other", None, ["{broken", sample("prompt_only", i=1.5)], (None, None, 0, 0, 0, None), None),
 ]
 
 
@@ -130,7 +130,7 @@ def test_every_wire_shape(spark):
         assert r.token_source == ("unparsed" if dialect is None else "provider")
 
 
-USED = '{"usage":{"prompt_tokens":100,"completion_tokens":7}}'
+USED = sample("chat_short", i=100, o=7)
 TOLD = [
     # dialect, endpoint, provider, bodies
     ("azure.chat", "https://gate/v1/chat/completions", "azure_open_ai", [USED]),
@@ -141,17 +141,17 @@ TOLD = [
     ("wam.chat", "https://dial.x/v1/chat/completions", "wam", [USED]),
     # a provider's own shape by its body comes before another's by the endpoint
     ("azure.chat", "https://gate/v1/messages", "azure_open_ai", [USED]),
-    ("google.generate_content", "https://gate/v1/messages", "vertex_ai", ['{"usageMetadata":{"promptTokenCount":100,"candidatesTokenCount":7}}']),
+    ("google.generate_content", "https://gate/v1/messages", "vertex_ai", [sample("google_short", i=100, o=7)]),
     # a provider that has no shape for it: any by the endpoint, then any by the body
-    ("openai.embeddings", "https://x/v1/embeddings", "ai_dial", ['{"usage":{"total_tokens":100}}']),
-    ("anthropic.messages", "https://x/v1/messages", "amazon_bedrock", ['{"usage":{"input_tokens":100,"output_tokens":7}}']),
+    ("openai.embeddings", "https://x/v1/embeddings", "ai_dial", [sample("embeddings", m="m", i=100)]),
+    ("anthropic.messages", "https://x/v1/messages", "amazon_bedrock", [sample("counts_short", i=100, o=7)]),
     ("openai.chat", "https://x/proxy", "amazon_bedrock", [USED]),
     ("openai.chat", "https://x/proxy", "unheard_of", [USED]),
-    ("openai.embeddings", "https://x/v1/embeddings", "wam", ['{"usage":{"prompt_tokens":100}}']),
+    ("openai.embeddings", "https://x/v1/embeddings", "wam", [sample("prompt_only", i=100)]),
     # paths that go on, and an api-version that is in the path only
-    ("anthropic.messages", "https://x/v1/messages/batch", None, ['{"usage":{"input_tokens":100,"output_tokens":7}}']),
-    ("openai.responses", "https://x/v1/responses/r1", None, ['{"usage":{"input_tokens":100,"output_tokens":7}}']),
-    ("google.generate_content", "https://x/m:generateContent/x", None, ['{"usageMetadata":{"promptTokenCount":100,"candidatesTokenCount":7}}']),
+    ("anthropic.messages", "https://x/v1/messages/batch", None, [sample("counts_short", i=100, o=7)]),
+    ("openai.responses", "https://x/v1/responses/r1", None, [sample("counts_short", i=100, o=7)]),
+    ("google.generate_content", "https://x/m:generateContent/x", None, [sample("google_short", i=100, o=7)]),
     ("ollama.native", "https://x/api/embeddings/", None, ['{"prompt_eval_count":100,"eval_count":7}']),
     ("ai_dial.chat", "https://x/openai/deployments/api-version/chat/completions", None, [USED]),
     ("ai_dial.chat", "https://DIAL/openai/deployments/d/chat/completions", None, [USED]),
@@ -172,11 +172,11 @@ def sse(*bodies, end="\n", extra=""):
 RAW = [
     # dialect, endpoint, content type, raw body, (input, output)
     ("openai.chat", "https://x/v1/chat/completions", "text/event-stream; charset=utf-8", sse('{"choices":[]}', CHAT, "[DONE]"), (100, 7)),
-    ("anthropic.messages", "https://x/v1/messages", "text/event-stream", ": ping\r\n\r\n" + sse(MESSAGE, '{"usage":{"output_tokens":7}}', end="\r\n", extra="id: 1\r\n"), (100, 7)),
-    ("google.generate_content", "https://x/m:streamGenerateContent", "text/event-stream", sse('{"usageMetadata":{"promptTokenCount":100,\ndata:"candidatesTokenCount":7}}'), (100, 7)),
-    ("google.generate_content", "https://x/m:streamGenerateContent", "application/json", '[{"usageMetadata":{"promptTokenCount":100,"candidatesTokenCount":2}}\n,\r\n{"usageMetadata":{"promptTokenCount":100,"candidatesTokenCount":7}}]', (100, 7)),
+    ("anthropic.messages", "https://x/v1/messages", "text/event-stream", ": ping\r\n\r\n" + sse(MESSAGE, sample("message_delta", o=7), end="\r\n", extra="id: 1\r\n"), (100, 7)),
+    ("google.generate_content", "https://x/m:streamGenerateContent", "text/event-stream", sse(sample("google_short", i=100, o=7).replace(",", ",\ndata:")), (100, 7)),
+    ("google.generate_content", "https://x/m:streamGenerateContent", "application/json", "[" + sample("google_short", i=100, o=2) + "\n,\r\n" + sample("google_short", i=100, o=7) + "]", (100, 7)),
     ("ollama.native", "https://x/api/chat", "application/x-ndjson", '{"model":"m","done":false}\n\n{"prompt_eval_count":100,"eval_count":7}\n', (100, 7)),
-    ("openai.responses", "https://x/v1/responses", None, sse('{"response":{"model":"m"}}', '{"response":{"usage":{"input_tokens":100,"output_tokens":7}}}', end="\r"), (100, 7)),
+    ("openai.responses", "https://x/v1/responses", None, sse('{"response":{"model":"m"}}', sample("response_short", i=100, o=7), end="\r"), (100, 7)),
     ("openai.chat", "https://x/v1/chat/completions", "application/json", CHAT.replace(",", ",\n  "), (100, 7)),
     ("openai.chat", "https://x/v1/chat/completions", "application/json", "\ufeffdata: " + CHAT, (100, 7)),
     ("ollama.native", "https://x/api/chat", None, '{"model":"m"}\n{"prompt_eval_count":100,"eval_count":7}', (100, 7)),
@@ -195,7 +195,7 @@ def test_raw_streams_become_events(spark):
     for k, (dialect, endpoint, kind, _, counts) in enumerate(RAW):
         assert (got[k].dialect, got[k].input_tokens, got[k].output_tokens) == (dialect, *counts), (k, endpoint, kind)
     seqs = {(r.call_id, r.seq): r.payload for r in framed.collect()}
-    assert seqs[2, 0] == '{"usageMetadata":{"promptTokenCount":100,\n"candidatesTokenCount":7}}' and (0, 2) not in seqs
+    assert seqs[2, 0] == sample("google_short", i=100, o=7).replace(",", ",\n") and (0, 2) not in seqs
 
 
 def test_bodies_are_parsed_in_one_shuffle(spark):
