@@ -145,8 +145,18 @@ add("join_application", lambda s: pages.join_application(report(s.events, "model
 add("join_skill", lambda s: pages.join_skill(report(s.events, "skills", ["skill_project", "skill_id"], ["events"]), s.skills), f"SELECT t.*, k.name AS skill_name, k.is_public AS is_public FROM ({report_sql('skills', ['skill_project', 'skill_id'], ['events'])}) t LEFT JOIN skills k ON k.project_id = t.skill_project AND k.id = t.skill_id")
 _MODEL_LABEL = "CASE WHEN COUNT(*) OVER (PARTITION BY t.model_name) > 1 THEN CONCAT(COALESCE(m.display_name, a.any_name, t.model_name), CASE WHEN t.scope = 'own' THEN ' (project)' ELSE ' (shared)' END) ELSE COALESCE(m.display_name, a.any_name, t.model_name) END AS model_label"
 _MODEL_JOIN = "LEFT JOIN models m ON m.model_name = t.model_name AND m.scope = t.scope LEFT JOIN (SELECT model_name, MIN(display_name) AS any_name FROM models GROUP BY 1) a ON a.model_name = t.model_name"
-for _name in ("join_model", "model_label"):
-    add(_name, lambda s: pages.join_model(report(s.events, "model", ["model_name", "scope"], ["llm_calls"]), s.models), f"SELECT t.*, {_MODEL_LABEL} FROM ({report_sql('model', ['model_name', 'scope'], ['llm_calls'])}) t {_MODEL_JOIN}")
+add("join_model", lambda s: pages.join_model(report(s.events, "model", ["model_name", "scope"], ["llm_calls"]), s.models), f"SELECT t.*, {_MODEL_LABEL} FROM ({report_sql('model', ['model_name', 'scope'], ['llm_calls'])}) t {_MODEL_JOIN}")
+_CALLS_ONLY = "(SELECT * FROM ev WHERE event_type = 'llm')"
+_LABELLED = f"SELECT t.*, {_MODEL_LABEL} FROM ({report_sql('all', ['model_name', 'scope'], ['llm_calls', 'cost_nano'], _CALLS_ONLY)}) t {_MODEL_JOIN}"
+
+
+def label_totals(s: Store) -> DataFrame:
+    """Calls and cost of all projects by the models' labels."""
+    pairs = report(s.events.where("event_type = 'llm'"), "all", ["model_name", "scope"], ["llm_calls", "cost_nano"])
+    return pages.join_model(pairs, s.models).groupBy("model_label").agg(F.sum("llm_calls").alias("llm_calls"), F.sum("cost_nano").alias("cost_nano"))
+
+
+add("model_label", label_totals, f"SELECT model_label, CAST(SUM(llm_calls) AS BIGINT) AS llm_calls, CAST(SUM(cost_nano) AS BIGINT) AS cost_nano FROM ({_LABELLED}) GROUP BY 1")
 _CHAT_LABEL = f"CASE WHEN c.chat_name IS NULL THEN 'Deleted chat' WHEN c.is_private AND c.author_id <> {USER} THEN 'Private chat' ELSE c.chat_name END AS chat_label"
 add("private_chat_name", lambda s: pages.join_conversation(report(s.events, "chats", ["conversation_id"], ["events"]), s.conversations, USER), f"SELECT t.*, {_CHAT_LABEL} FROM ({report_sql('chats', ['conversation_id'], ['events'])}) t LEFT JOIN conversations c ON c.uuid = t.conversation_id")
 add("join_feature_label", lambda s: pages.join_feature_label(report(s.events, "tool_spend", ["feature"], ["events"]), s.feature_labels), f"SELECT t.*, COALESCE(l.label, t.feature) AS label FROM ({report_sql('tool_spend', ['feature'], ['events'])}) t LEFT JOIN feature_labels l ON l.feature = t.feature")
@@ -200,8 +210,8 @@ def agent_skills(s: Store) -> DataFrame:
 
 _AGENT_SKILLS = FILTERS["base"][1].replace("event_type IN ('llm', 'tool')", "event_type = 'skill'") + f" AND root_entity_type IN ('application', 'pipeline') AND root_entity_id = {AGENT} AND (run_id IS NULL OR run_id NOT IN (SELECT run_id FROM ev WHERE entity_type = 'evaluation' AND run_id IS NOT NULL))"
 _SKILL_PROJECT = "CASE WHEN event_type = 'skill' AND regexp_matches(json_extract_string(meta, '$.skill_project_id'), '^[1-9][0-9]{0,8}$') THEN CAST(json_extract_string(meta, '$.skill_project_id') AS BIGINT) ELSE root_project END"
-for _name in ("agent_skills", "eval_runs_anti"):
-    add(_name, agent_skills, top_sql(f"SELECT entity_id, {_SKILL_PROJECT} AS skill_project, COUNT(*) AS events, {SQL_MEASURES['runs']} AS runs FROM ev WHERE {_AGENT_SKILLS} GROUP BY 1, 2", "events", ["entity_id", "skill_project"], 30))
+add("agent_skills", agent_skills, top_sql(f"SELECT entity_id, {_SKILL_PROJECT} AS skill_project, COUNT(*) AS events, {SQL_MEASURES['runs']} AS runs FROM ev WHERE {_AGENT_SKILLS} GROUP BY 1, 2", "events", ["entity_id", "skill_project"], 30))
+add("eval_runs_anti", lambda s: P.eval_runs_anti(s.events, s.events).groupBy("project_id", "event_type").agg(measure("events"), measure("runs"), measure("cost_nano")), f"SELECT project_id, event_type, COUNT(*) AS events, {SQL_MEASURES['runs']} AS runs, {SQL_MEASURES['cost_nano']} AS cost_nano FROM ev WHERE run_id IS NULL OR run_id NOT IN (SELECT run_id FROM ev WHERE entity_type = 'evaluation' AND run_id IS NOT NULL) GROUP BY 1, 2")
 plain("agent_runs", "agent", ["run_id"], ["started_ms", "last_ms", "active_users", "tokens", "cost_nano", "any_error"], "started_ms", 50)
 
 
@@ -221,8 +231,10 @@ def one_run(s: Store) -> DataFrame:
 
 _RUN = f"project_id = {PROJECT} AND ts BETWEEN TIMESTAMP '{PERIOD.start}' AND TIMESTAMP '{PERIOD.end}' AND run_id = (SELECT MIN(run_id) FROM ev WHERE {FILTERS['agent'][1]})"
 TRACE = ["idempotency_key", "event_type", "entity_type", "entity_id", "entity_name", "model_name", "tool_name", "input_tokens", "output_tokens", "cost_nano_usd", "duration_ms", "is_error"]
-for _name in ("run_trace", "run_filters"):
-    add(_name, lambda s: one_run(s).select(F.unix_millis("ts").alias("ms"), *TRACE).orderBy("ms", "idempotency_key"), f"SELECT epoch_ms(ts) AS ms, {', '.join(TRACE)} FROM ev WHERE {_RUN}")
+add("run_trace", lambda s: one_run(s).select(F.unix_millis("ts").alias("ms"), *TRACE).orderBy("ms", "idempotency_key"), f"SELECT epoch_ms(ts) AS ms, {', '.join(TRACE)} FROM ev WHERE {_RUN}")
+CHAT_OF_RUNS = "00000000-0000-0000-0000-000000000007"
+_SCOPES_OF = {"of_chat": ({"run": CHAT_OF_RUNS}, f"(run_id = '{CHAT_OF_RUNS}' OR conversation_id = '{CHAT_OF_RUNS}')"), "of_evaluation": ({"evaluation": 3}, "entity_type = 'evaluation' AND entity_id = 3"), "of_root": ({"root": ("application", AGENT)}, f"root_entity_type = 'application' AND root_entity_id = {AGENT}"), "of_both": ({"evaluation": 3, "root": ("pipeline", AGENT)}, f"entity_type = 'evaluation' AND entity_id = 3 AND root_entity_type = 'pipeline' AND root_entity_id = {AGENT}")}
+add("run_filters", lambda s: s.events.groupBy("project_id", "event_type").agg(*[F.count_if(P.run_filters(**own)).alias(n) for n, (own, _) in _SCOPES_OF.items()]), "SELECT project_id, event_type, " + ", ".join(f"COUNT(*) FILTER (WHERE {where}) AS {n}" for n, (_, where) in _SCOPES_OF.items()) + " FROM ev GROUP BY 1, 2")
 SUMMARY = ["started_ms", "last_ms", "events", "llm_calls", "tool_runs", "errors", "tokens", "cost_nano"]
 add("run_summary", lambda s: one_run(s).groupBy("run_id").agg(*map(measure, SUMMARY), F.min_by("root_entity_version_id", F.struct("ts", "idempotency_key")).alias("first_version")).withColumn("duration_ms", F.col("last_ms") - F.col("started_ms")), f"SELECT *, last_ms - started_ms AS duration_ms FROM (SELECT run_id, {', '.join(f'{SQL_MEASURES[m]} AS {m}' for m in SUMMARY)}, ARG_MIN(root_entity_version_id, idempotency_key) AS first_version FROM ev WHERE {_RUN} GROUP BY 1)")
 _SUB = "entity_id <> root_entity_id AND COALESCE(entity_type, '') NOT IN ('evaluation', 'skill')"
@@ -304,8 +316,8 @@ def spend_by_source(s: Store) -> DataFrame:
 
 
 _BY_SOURCE = f"SELECT {_SOURCE} AS spend_source, {SQL_MEASURES['llm_calls']} AS llm_calls, {SQL_MEASURES['cost_nano']} AS cost_nano FROM {_EV_APP} WHERE {FILTERS['budget'][1]} GROUP BY 1"
-for _name in ("spend_by_source", "source_bucket"):
-    add(_name, spend_by_source, _BY_SOURCE)
+add("spend_by_source", spend_by_source, _BY_SOURCE)
+add("source_bucket", lambda s: with_source(s, s.events).groupBy("project_id", "event_type", "spend_source").agg(measure("events"), measure("cost_nano")), f"SELECT project_id, event_type, {_SOURCE} AS spend_source, COUNT(*) AS events, {SQL_MEASURES['cost_nano']} AS cost_nano FROM {_EV_APP} GROUP BY 1, 2, 3")
 plain("spend_totals", "budget", [], ["llm_calls", "tokens", "cost_nano", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"])
 plain("spend_by_model", "budget", ["model_name"], ["llm_calls", "tokens", "cost_nano"])
 plain("spend_by_day", "budget", ["day"], ["llm_calls", "tokens", "cost_nano"])
