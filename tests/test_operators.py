@@ -20,6 +20,7 @@ from meterfold.operators.page import collapse_tail, page
 from meterfold.operators.quantiles import quantiles
 from meterfold.operators.sketches import daily_sketches, union_counts
 from meterfold.schema import EVENT, conform_events
+from meterfold.sources import fixtures
 from meterfold.sources.events import drop_months, expired_months, read_events, write_events
 from meterfold.sources.store import Store
 from meterfold.streaming import balances as B
@@ -623,3 +624,32 @@ def test_sketches_merge_and_err_little(spark):
         assert abs(merged[r.m].active_users / r.active_users - 1) < 0.05 and abs(merged[r.m].runs / r.runs - 1) < 0.02
     once = rows.agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", F.lit(12)))).first()[0]
     assert union_counts(daily, names).first().active_users == pytest.approx(once, rel=0.01)
+
+
+def test_events_move_as_few_numbers(spark, sf_dir, monkeypatch):
+    """The table's build deals and sorts what events are made of, over tasks by the number of lines; the events are those of the SQL."""
+    monkeypatch.setattr(fixtures, "LINES_A_TASK", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        dealt_over_tasks(spark, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def dealt_over_tasks(spark, sf_dir):
+    store = Store(spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert len(store.first.columns) <= 14
+    assert store.first.rdd.getNumPartitions() == lines // 500 + 1
+    plan = store.first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") + plan.count("REPARTITION_BY_NUM") <= 4  # lines, owners by order and both by customer: none for arrivals and replays
+    own, sql = store.raw, fixtures._run(spark, fixtures.RAW_EVENTS, sf_dir)
+    sql = sql.withColumn("ts", sql.ts.cast("timestamp"))
+    assert own.schema == sql.schema
+    assert own.exceptAll(sql).count() == 0 and sql.exceptAll(own).count() == 0
+
+
+def test_first_of_other_keys(spark):
+    rows = spark.createDataFrame([(1, 1, 2, "b"), (1, 1, 1, "a"), (1, 2, 1, "c")], "ok long, ln long, arrival long, x string")
+    assert {r.x for r in I.dedupe_events(rows, "arrival", key=("ok", "ln")).collect()} == {"a", "c"}
