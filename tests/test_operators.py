@@ -5,6 +5,7 @@ import datetime
 import json
 import math
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from meterfold.operators.wire import frame_bodies, parse_bodies, sample
 from meterfold.operators.page import collapse_tail, page
 from meterfold.operators.quantiles import quantiles
 from meterfold.operators.sketches import daily_sketches, union_counts
+from meterfold.plans import streams
 from meterfold.schema import EVENT, conform_events
 from meterfold.sources import fixtures
 from meterfold.sources.events import drop_months, expired_months, read_events, write_events
@@ -653,3 +655,54 @@ def dealt_over_tasks(spark, sf_dir):
 def test_first_of_other_keys(spark):
     rows = spark.createDataFrame([(1, 1, 2, "b"), (1, 1, 1, "a"), (1, 2, 1, "c")], "ok long, ln long, arrival long, x string")
     assert {r.x for r in I.dedupe_events(rows, "arrival", key=("ok", "ln")).collect()} == {"a", "c"}
+
+
+def test_quiet_runs_have_a_size(spark, tmp_path):
+    """A batch that only has a new watermark looks empty to the planner; its runs must not, or they'd be broadcast."""
+    rows = [(1, f"r{k}", DAY) for k in range(5)] + [(-1, "end", DAY + datetime.timedelta(days=9))]
+    spark.createDataFrame(rows, "project_id long, run_id string, ts timestamp").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("project_id long, run_id string, ts timestamp").parquet(f"{tmp_path}/in")
+    seen = []
+
+    def score(runs):
+        seen.append((runs.count(), len(runs.inputFiles()) > 0))
+        return runs.withColumn("cu_total", F.lit(1.0))
+
+    S.score_quiet_runs(S.quiet_runs(stream), score, f"{tmp_path}/scores", f"{tmp_path}/checkpoint", {"availableNow": True}).awaitTermination()
+    assert (5, True) in seen and all(sized for _, sized in seen)
+    assert S.read_scores(spark, f"{tmp_path}/scores").count() == 5
+
+
+def test_a_queue_is_packed(spark, sf_dir):
+    """All arrivals and the replays of the first are in the queue, in a tenth of their text's size."""
+    store = Store(spark, sf_dir)
+    folder = streams.queue_of(store).removeprefix("file://")
+    lines = spark.read.text(folder)
+    first = store.first.count()
+    assert lines.count() == store.raw.count() + first
+    own = lines.agg(F.sum(F.length("value") + 1)).first()[0]
+    assert sum(f.stat().st_size for f in Path(folder).rglob("part-*")) * 8 < own
+
+
+def test_state_lies_on_disk(spark, sf_dir):
+    streams.deduped(Store(spark, sf_dir))
+    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_a_batch_leaves_no_stage(spark, tmp_path):
+    log = CommitLog(spark, f"{tmp_path}/log")
+    batch = spark.createDataFrame([('{"idempotency_key":"a","ts":"2024-01-01T00:00:00Z","project_id":1,"event_type":"llm","arrival":1}',), ("{broken",)], "payload string")
+    S.land(log, log.newest(), batch, "s", 0)
+    assert S.read_landed(spark, f"{tmp_path}/log").count() == 1 and [r.payload for r in S.read_letters(spark, f"{tmp_path}/log").collect()] == ["{broken"]
+    assert not list((tmp_path / "log" / "staged").glob("run=*"))
+
+
+def test_tool_weights_keep_their_runs(spark, sf_dir):
+    """Whole rows: a run's tools, not sums over runs; and events that scopes select, not their number."""
+    from meterfold.plans.catalog import QUERIES
+
+    store = Store(spark, sf_dir)
+    weights = QUERIES["tool_weight"](store)
+    assert {"project_id", "run_id"} <= {*weights.columns} and weights.select("run_id").distinct().count() > 100
+    rows = QUERIES["run_filters"](store)
+    assert rows.where("of_root").count() > 20 and "idempotency_key" in rows.columns
