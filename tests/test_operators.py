@@ -706,3 +706,11 @@ def test_tool_weights_keep_their_runs(spark, sf_dir):
     assert {"project_id", "run_id"} <= {*weights.columns} and weights.select("run_id").distinct().count() > 100
     rows = QUERIES["run_filters"](store)
     assert rows.where("of_root").count() > 20 and "idempotency_key" in rows.columns
+
+
+def test_roles_go_to_the_events(spark):
+    events = conform_events(spark.createDataFrame([("a", 1, 2), ("b", 1, 3)], "idempotency_key string, project_id long, user_id long"))
+    members = spark.createDataFrame([(1, 2, "editor"), (1, 2, "viewer")], "project_id long, user_id long, role string")
+    for df in (I.backfill_roles(events, members), I.stamp_roles(events, members)):
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {r.idempotency_key: r.role_snapshot for r in df.collect()} == {"a": ["editor", "viewer"], "b": None}
