@@ -708,6 +708,18 @@ def test_tool_weights_keep_their_runs(spark, sf_dir):
     assert rows.where("of_root").count() > 20 and "idempotency_key" in rows.columns
 
 
+def test_runs_are_dealt_once_for_their_scores(spark):
+    events = events_of(spark, [(f"r{k % 40}" if k % 5 else None, "llm" if k % 2 else "tool", k, 3) for k in range(200)])
+    rows = X.by_run(events, a_task=20)
+    assert rows.rdd.getNumPartitions() == 160 // 20 + 1
+    runs = rows.select("project_id", "run_id", F.spark_partition_id().alias("p")).distinct()
+    assert runs.count() == runs.select("project_id", "run_id").distinct().count()
+    weights = spark.createDataFrame([("t", 2)], "tool string, weight long")
+    scores = X.score_runs(X.run_aggregates(rows), X.run_tool_counts(rows), weights)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
+
+
 def test_roles_go_to_the_events(spark):
     events = conform_events(spark.createDataFrame([("a", 1, 2), ("b", 1, 3)], "idempotency_key string, project_id long, user_id long"))
     members = spark.createDataFrame([(1, 2, "editor"), (1, 2, "viewer")], "project_id long, user_id long, role string")
