@@ -10,6 +10,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+
 from meterfold.functions import columns as C
 from meterfold.functions.predicates import date_range
 from meterfold.operators import complexity as X
@@ -726,3 +728,8 @@ def test_roles_go_to_the_events(spark):
     for df in (I.backfill_roles(events, members), I.stamp_roles(events, members)):
         assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
         assert {r.idempotency_key: r.role_snapshot for r in df.collect()} == {"a": ["editor", "viewer"], "b": None}
+
+
+def test_runs_without_evaluations_are_counted_in_tasks_by_number(spark, sf_dir):
+    plan = entry.queries()["eval_runs_anti"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "distinct" not in plan
