@@ -22,6 +22,7 @@ from meterfold.operators.wire import frame_bodies, parse_bodies, sample
 from meterfold.operators.page import collapse_tail, page
 from meterfold.operators.quantiles import quantiles
 from meterfold.operators.sketches import daily_sketches, union_counts
+from meterfold.plans import jobs as jobs_plans
 from meterfold.plans import streams
 from meterfold.schema import EVENT, conform_events
 from meterfold.sources import fixtures
@@ -733,3 +734,9 @@ def test_roles_go_to_the_events(spark):
 def test_runs_without_evaluations_are_counted_in_tasks_by_number(spark, sf_dir):
     plan = entry.queries()["eval_runs_anti"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and "distinct" not in plan
+
+
+def test_derived_raw_bodies_are_not_shuffled(spark, sf_dir):
+    raw = jobs_plans.raw_bodies(Store(spark, sf_dir))
+    assert "Exchange" not in raw._jdf.queryExecution().executedPlan().toString()
+    assert raw.count() == raw.select("call_id").distinct().count() > 0
