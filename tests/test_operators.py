@@ -736,7 +736,27 @@ def test_runs_without_evaluations_are_counted_in_tasks_by_number(spark, sf_dir):
     assert plan.count("REPARTITION_BY_NUM") == 1 and "distinct" not in plan
 
 
+def test_parsing_keeps_few_values_a_call(spark):
+    rows = spark.createDataFrame([("a", 0, "https://x/proxy", None, "{}")], "call_id string, seq long, endpoint string, provider string, payload string")
+    plan = parse_bodies(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_") <= 12
+
+
 def test_derived_raw_bodies_are_not_shuffled(spark, sf_dir):
     raw = jobs_plans.raw_bodies(Store(spark, sf_dir))
     assert "Exchange" not in raw._jdf.queryExecution().executedPlan().toString()
     assert raw.count() == raw.select("call_id").distinct().count() > 0
+
+
+def test_calls_told_by_bodies_take_counts_from_all_their_events(spark):
+    events = [
+        ("open", 2, '{"usage":{"prompt_tokens":9,"completion_tokens":7}}'),
+        ("open", 0, '{"usage":{"prompt_tokens":5,"prompt_tokens_details":{"cached_tokens":0}}}'),
+        ("open", 1, '{"usage":{"completion_tokens":6,"prompt_tokens_details":{"cached_tokens":2}}}'),
+        ("google", 0, '{"usageMetadata":{"promptTokenCount":4,"candidatesTokenCount":3,"thoughtsTokenCount":2}}'),
+        ("google", 1, '{"usageMetadata":{"candidatesTokenCount":8,"thoughtsTokenCount":1}}'),
+        ("none", 0, "{}"),
+    ]
+    rows = spark.createDataFrame([(c, s, "https://x/proxy", None, p) for c, s, p in events], "call_id string, seq long, endpoint string, provider string, payload string")
+    out = {r.call_id: (r.dialect, r.input_tokens, r.output_tokens, r.cache_read_tokens, r.reasoning_tokens) for r in parse_bodies(rows).collect()}
+    assert out == {"open": ("openai.chat", 5, 7, 2, 0), "google": ("google.generate_content", 4, 9, 0, 2), "none": (None, None, None, 0, 0)}
