@@ -760,3 +760,10 @@ def test_calls_told_by_bodies_take_counts_from_all_their_events(spark):
     rows = spark.createDataFrame([(c, s, "https://x/proxy", None, p) for c, s, p in events], "call_id string, seq long, endpoint string, provider string, payload string")
     out = {r.call_id: (r.dialect, r.input_tokens, r.output_tokens, r.cache_read_tokens, r.reasoning_tokens) for r in parse_bodies(rows).collect()}
     assert out == {"open": ("openai.chat", 5, 7, 2, 0), "google": ("google.generate_content", 4, 9, 0, 2), "none": (None, None, None, 0, 0)}
+
+
+def test_a_task_of_the_reservations_join_has_one_state_store(spark, sf_dir, tmp_path):
+    S.state_on_disk(spark)
+    calls = S.open_reservations(*streams.calls_as_streams(Store(spark, sf_dir), str(tmp_path)))
+    calls.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start(f"{tmp_path}/rows").awaitTermination()
+    assert (tmp_path / "checkpoint/state/0/0").is_dir() and not list((tmp_path / "checkpoint/state/0/0").glob("*keyToNumValues*"))
