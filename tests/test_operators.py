@@ -254,6 +254,22 @@ def test_compaction_keeps_the_events(spark, tmp_path):
     assert sorted(r.idempotency_key for r in S.read_landed(spark, root).collect()) == sorted(f"k{n}" for n in range(10))
     assert [r.size for r in CommitLog(spark, root).newest().runs] == [3, 3, 1]
 
+
+def test_a_task_of_ingest_has_a_bounded_share(spark, tmp_path, monkeypatch):
+    """Events of one month are dealt over tasks by their number, in batches and in merges, and so are their keys."""
+    monkeypatch.setattr(S, "ROWS_A_TASK", 200, raising=False)
+    root, queue = str(tmp_path / "log"), str(tmp_path / "queue")
+    for k in range(2):
+        record = F.format_string('{"ts":"2024-01-01T%02d:00:00Z","idempotency_key":"k%d","project_id":1,"event_type":"llm","arrival":1}', (F.col("id") % 24).cast("int"), F.col("id"))
+        spark.range(k * 900, k * 900 + 1000, numPartitions=1).select(record).write.mode("append").text(queue)  # 100 come again
+    S.ingest(spark, S.read_queue(spark, queue, 1), root, str(tmp_path / "p"), {"availableNow": True}, S.Upkeep(fanout=2)).awaitTermination()
+    assert [r.idempotency_key for r in S.read_landed(spark, root).orderBy(F.substring("idempotency_key", 2, 9).cast("int")).collect()] == [f"k{n}" for n in range(1900)]
+    for table in ("events", "keys"):
+        for folder in (tmp_path / "log" / table).iterdir():
+            rows = [r["count"] for r in spark.read.parquet(str(folder)).groupBy(F.input_file_name()).count().collect()]
+            assert max(rows) <= 400 and len(rows) <= sum(rows) // 200 + 2
+
+
 def lines_of(spark, path, *batches):
     """A queue with one file a batch, whose records are (key, minute) pairs of model calls or broken lines."""
     import os
