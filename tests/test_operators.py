@@ -783,3 +783,15 @@ def test_a_task_of_the_reservations_join_has_one_state_store(spark, sf_dir, tmp_
     calls = S.open_reservations(*streams.calls_as_streams(Store(spark, sf_dir), str(tmp_path)))
     calls.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start(f"{tmp_path}/rows").awaitTermination()
     assert (tmp_path / "checkpoint/state/0/0").is_dir() and not list((tmp_path / "checkpoint/state/0/0").glob("*keyToNumValues*"))
+
+
+def test_a_bodys_shape_is_told_by_its_whole_text(spark):
+    """What tells a shape may lie behind any length of content, and a line that tells a stream of lines may have any length."""
+    long = "words of an answer " * 1000
+    usage = '"usage":{"prompt_tokens":100,"completion_tokens":7}'
+    parsed = spark.createDataFrame([("a", 0, "https://x/proxy", None, f'{{"content":"{long}",{usage}}}'), ("b", 0, "https://x/v1/messages", "azure_open_ai", f'{{"content":"{long}",{usage}}}')], "call_id string, seq long, endpoint string, provider string, payload string")
+    raw = spark.createDataFrame([("c", "https://x/proxy", None, None, f'{{"content":"{long}"}}\n{{{usage}}}'), ("d", "https://x/proxy", None, None, "\n" * 9000 + f"data: {{{usage}}}\n\n")], "call_id string, endpoint string, provider string, content_type string, body string")
+    framed = frame_bodies(raw)
+    assert [(r.call_id, r.n) for r in framed.groupBy("call_id").agg(F.count("*").alias("n")).orderBy("call_id").collect()] == [("c", 2), ("d", 1)]
+    out = {r.call_id: (r.dialect, r.input_tokens, r.output_tokens) for r in parse_bodies(parsed.unionByName(framed.where("call_id = 'd'").select(*parsed.columns))).collect()}
+    assert out == {"a": ("openai.chat", 100, 7), "b": ("azure.chat", 100, 7), "d": ("openai.chat", 100, 7)}
