@@ -795,3 +795,19 @@ def test_a_bodys_shape_is_told_by_its_whole_text(spark):
     assert [(r.call_id, r.n) for r in framed.groupBy("call_id").agg(F.count("*").alias("n")).orderBy("call_id").collect()] == [("c", 2), ("d", 1)]
     out = {r.call_id: (r.dialect, r.input_tokens, r.output_tokens) for r in parse_bodies(parsed.unionByName(framed.where("call_id = 'd'").select(*parsed.columns))).collect()}
     assert out == {"a": ("openai.chat", 100, 7), "b": ("azure.chat", 100, 7), "d": ("openai.chat", 100, 7)}
+
+
+def test_what_lands_is_priced_and_has_roles(spark, tmp_path):
+    """A model call without a cost source is priced, one with it and a paid tool keep theirs; counters have the priced cost."""
+    record = {"ts": "2024-01-01T00:00:00Z", "project_id": 1, "user_id": 2, "event_type": "llm", "model_name": "m", "billable_input_tokens": 10, "output_tokens": 3, "arrival": 1}
+    own = [{"idempotency_key": "open"}, {"idempotency_key": "priced", "cost_source": "catalog", "cost_nano_usd": 5}, {"idempotency_key": "tool", "event_type": "tool_cost", "cost_nano_usd": 9, "meta": '{"feature":"f"}'}]
+    own += [{"idempotency_key": "unknown", "model_name": "other", "user_id": 3}, {"idempotency_key": "old", "cost_source": "catalog", "role_snapshot": ["owner"]}]
+    spark.createDataFrame([(json.dumps(record | o),) for o in own], "value string").coalesce(1).write.text(str(tmp_path / "queue"))
+    prices = spark.createDataFrame([("m", 10, 30, None, None)], "model_name string, input_rate long, output_rate long, cache_read_rate long, cache_creation_rate long")
+    members = spark.createDataFrame([(1, 2, "viewer"), (1, 2, "editor")], "project_id long, user_id long, role string")
+    S.ingest(spark, S.read_queue(spark, str(tmp_path / "queue")), str(tmp_path / "log"), str(tmp_path / "c"), {"availableNow": True}, prices=prices, members=members).awaitTermination()
+    got = {r.idempotency_key: (r.cost_nano_usd, r.input_cost_nano_usd, r.cost_source, r.role_snapshot) for r in S.read_landed(spark, str(tmp_path / "log")).collect()}
+    roles = ["editor", "viewer"]
+    assert got == {"open": (190, 100, "catalog", roles), "priced": (5, 0, "catalog", roles), "tool": (9, 0, None, roles), "unknown": (0, 0, "unpriced", None), "old": (0, 0, "catalog", ["owner"])}
+    counted = {(r.user_id, r.model_name): r.cost_nano_usd for r in S.read_counters(spark, str(tmp_path / "log")).collect()}
+    assert counted == {(0, ""): 195, (2, ""): 195, (3, ""): 0, (0, "f"): 9, (2, "f"): 9}
