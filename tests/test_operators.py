@@ -811,3 +811,23 @@ def test_what_lands_is_priced_and_has_roles(spark, tmp_path):
     assert got == {"open": (190, 100, "catalog", roles), "priced": (5, 0, "catalog", roles), "tool": (9, 0, None, roles), "unknown": (0, 0, "unpriced", None), "old": (0, 0, "catalog", ["owner"])}
     counted = {(r.user_id, r.model_name): r.cost_nano_usd for r in S.read_counters(spark, str(tmp_path / "log")).collect()}
     assert counted == {(0, ""): 195, (2, ""): 195, (3, ""): 0, (0, "f"): 9, (2, "f"): 9}
+
+
+def test_a_batch_of_events_moves_once(spark, tmp_path, monkeypatch):
+    """Events are dealt once for replays in the batch, replays of earlier ones and the write by month; a queue that was read goes."""
+    record = '{"ts":"%s","idempotency_key":"%s","project_id":1,"user_id":2,"event_type":"llm","arrival":%d}'
+    lines = [record % (f"2024-0{1 + k % 3}-01T00:00:00Z", f"k{k}", 1) for k in range(30)]
+    for again in (lines[:20] + lines[:3], lines[10:]):
+        spark.createDataFrame([(x,) for x in again], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "queue"))
+    plans, real = [], S.CommitLog.write
+
+    def look(log, df, table, *more):
+        if table == "events":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(log, df, table, *more)
+
+    monkeypatch.setattr(S.CommitLog, "write", look)
+    S.ingest(spark, S.read_queue(spark, str(tmp_path / "queue"), 1), str(tmp_path / "log"), str(tmp_path / "c"), {"availableNow": True}).awaitTermination()
+    assert sorted(r.idempotency_key for r in S.read_landed(spark, str(tmp_path / "log")).collect()) == sorted(f"k{k}" for k in range(30))
+    moved = [p.count("Exchange") - p.count("BroadcastExchange") for p in plans]
+    assert moved == [1, 2], plans  # the second batch's keys move too
